@@ -45,6 +45,13 @@ def text_units(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else "".join(c for c in t if c.isalnum()).casefold())
 
 
+@F.pandas_udf(T.BooleanType())
+def same_units(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two texts have the same case-folded letters and digits."""
+    fold = lambda t: "".join(c for c in t or "" if c.isalnum()).casefold()
+    return pd.Series([fold(a) == fold(b) for a, b in zip(left, right)], dtype="bool")
+
+
 _BLANKED = str.maketrans(COMPARE_PUNCTUATION, " " * len(COMPARE_PUNCTUATION))
 
 

@@ -87,13 +87,6 @@ def _numbered(cues: DataFrame, keys: Sequence[str], order: Sequence[str], slab_m
     return placed.select(*keys, number, "start_ms", "end_ms", "text", block)
 
 
-def srt_documents(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One SRT document per key. A file is one value, so its cues are joined here and only here."""
-    parts = F.sort_array(F.collect_list(F.struct("cue_no", "block")))
-    body = F.concat(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n"), F.lit("\n"))
-    return cues.groupBy(*keys).agg(body.alias("srt"))
-
-
 def write_srt(cues: DataFrame, keys: Sequence[str], path: str) -> None:
     """Write cue blocks as text, one directory per key, without joining a file in memory.
 

@@ -10,6 +10,7 @@ from itertools import accumulate
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions import text as tx
@@ -67,19 +68,20 @@ def alignment_verdicts(segments: DataFrame, raw: str = "raw_words") -> DataFrame
         lambda a: a["reason"],
     )
     out = out.withColumn("__first", walk)
-    out = out.withColumn("__joined", tx.text_units(F.array_join(F.transform(w, lambda x: x["t"]), "")))
-    out = out.withColumn("__source", tx.text_units(F.col("zh_text")))
+    # Marked nondeterministic so that a filter on the verdict is not pushed below the Python step.
+    covers = tx.same_units.asNondeterministic()
+    out = out.withColumn("__covers", covers(F.array_join(F.transform(w, lambda x: x["t"]), ""), F.col("zh_text")))
     span = F.element_at(w, -1)["e"] - F.element_at(w, 1)["s"]
     reason = (
         F.when(F.col("__first").isNotNull(), F.col("__first"))
-        .when((F.size(w) == 0) | (F.col("__joined") != F.col("__source")), "INCOMPLETE_TEXT_ALIGNMENT")
+        .when((F.size(w) == 0) | ~F.col("__covers"), "INCOMPLETE_TEXT_ALIGNMENT")
         .when(span < MIN_SPAN_MS, "COLLAPSED_UTTERANCE_ALIGNMENT")
     )
     out = out.withColumn("reason", reason)
     words = F.transform(w, lambda x: F.struct(x["t"], x["s"], x["e"]))
     empty = F.array().cast(f"array<{WORD}>")
     out = out.withColumn("words", F.when(F.col("reason").isNull(), words).otherwise(empty))
-    return out.drop("__w", "__first", "__joined", "__source")
+    return out.drop("__w", "__first", "__covers")
 
 
 def review_fallback(segments: DataFrame) -> DataFrame:
@@ -275,15 +277,17 @@ def build_utterances(
     return segments.select(*need).mapInPandas(run, f"{types}, utterance_no bigint, {UTTERANCE}")
 
 
-def slot_bounds(utts: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
-    """First utterance starts at the slot start and the last ends at the slot end; words are untouched."""
-    lasts = utts.groupBy(*keys).agg(F.max("utterance_no").alias("__last"))
-    ends = slots.select(*keys, F.col("start_ms").alias("__ss"), F.col("end_ms").alias("__se"))
-    out = utts.join(lasts.join(ends, keys), keys)
+def slot_bounds(utts: DataFrame, keys: list[str], slot_start: str = "slot_start", slot_end: str = "slot_end") -> DataFrame:
+    """First utterance starts at the slot start and the last ends at the slot end; words are untouched.
+
+    ``keys`` name one recogniser segment, so a window group holds the utterances of a single row.
+    """
+    last = F.max("utterance_no").over(W.partitionBy(*keys))
+    out = utts.withColumn("__last", last)
     return (
-        out.withColumn("start_ms", F.when(F.col("utterance_no") == 0, F.col("__ss")).otherwise(F.col("start_ms")))
-        .withColumn("end_ms", F.when(F.col("utterance_no") == F.col("__last"), F.col("__se")).otherwise(F.col("end_ms")))
-        .drop("__last", "__ss", "__se")
+        out.withColumn("start_ms", F.when(F.col("utterance_no") == 0, F.col(slot_start)).otherwise(F.col("start_ms")))
+        .withColumn("end_ms", F.when(F.col("utterance_no") == F.col("__last"), F.col(slot_end)).otherwise(F.col("end_ms")))
+        .drop("__last", slot_start, slot_end)
     )
 
 

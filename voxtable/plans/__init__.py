@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("intervals", "dialogue")
+MODULES = ("intervals", "dialogue", "gates")
 
 
 def load() -> None:

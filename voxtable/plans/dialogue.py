@@ -20,11 +20,16 @@ TOK_SQL = """tok AS (SELECT episode_id, ord, speaker_id, start_ms, end_ms, zh_te
    start_ms + i*(end_ms-start_ms)//n AS s, start_ms + (i+1)*(end_ms-start_ms)//n AS e FROM (
    SELECT *, unnest(string_split(zh_text,' ')) AS t, CAST(generate_subscripts(string_split(zh_text,' '),1)-1 AS BIGINT) AS i,
      len(string_split(zh_text,' ')) AS n FROM segment))"""
-WORDS = ("transform(split(zh_text, ' '), (t, i) -> named_struct('t', t, "
-         "'s', start_ms + CAST(i AS BIGINT)*(end_ms-start_ms) DIV size(split(zh_text, ' ')), "
-         "'e', start_ms + CAST(i+1 AS BIGINT)*(end_ms-start_ms) DIV size(split(zh_text, ' '))))")
+# The one-element array binds the tokens once, so the inner lambda does not split the text per token.
+def bound(body: str) -> str:
+    return ("element_at(transform(array(named_struct('toks', split(zh_text, ' '), 'n', size(split(zh_text, ' ')))), b -> "
+            f"{body}), 1)")
+
+
+WORDS = bound("transform(b.toks, (t, i) -> named_struct('t', t, 'i', i, "
+              "'s', start_ms + CAST(i AS BIGINT)*(end_ms-start_ms) DIV b.n, 'e', start_ms + CAST(i+1 AS BIGINT)*(end_ms-start_ms) DIV b.n))")
 # Planted alignment faults, by line: low score, outside the window, out of order, missing, no score.
-RAW = f"""transform(filter({WORDS.replace("'t', t,", "'t', t, 'i', i,")}, w -> NOT ((episode_id+ord)%6=4 AND w.i = size(split(zh_text,' '))-1)), w -> named_struct(
+RAW = f"""transform(filter({WORDS}, w -> NOT ((episode_id+ord)%6=4 AND w.e = end_ms)), w -> named_struct(
   'word', w.t, 'start', (w.s - CASE WHEN (episode_id+ord)%6=3 AND w.i=3 THEN 150 ELSE 0 END)/1000.0D,
   'end', (CASE WHEN (episode_id+ord)%6=2 AND w.i=1 THEN end_ms+500 ELSE w.e END)/1000.0D,
   'score', CASE WHEN (episode_id+ord)%6=5 AND w.i=0 THEN CAST(NULL AS DOUBLE) WHEN (episode_id+ord)%6=1 AND w.i=2 THEN 0.001D ELSE 0.5D END))"""
@@ -46,7 +51,8 @@ RAW_SQL = TOK_SQL + """, raw AS (SELECT * REPLACE (s - CASE WHEN (episode_id+ord
 
 
 def segments_with_words(spark, sf):
-    return view(spark, sf, "segment").withColumn("words", F.expr(WORDS))
+    return view(spark, sf, "segment").withColumn(
+        "words", F.expr(f"transform({WORDS}, w -> named_struct('t', w.t, 's', w.s, 'e', w.e))"))
 
 
 def raw_alignments(spark, sf):
@@ -97,7 +103,7 @@ def alignment_rollup(spark, sf):
         F.sum(F.col("end_ms") - F.col("start_ms")).alias("processed_media_ms"))
 
 
-NATIVE = f"""transform({WORDS.replace("'t', t,", "'t', t, 'i', i,")}, w -> named_struct('word', w.t, 'start', (w.s-start_ms)/1000.0D,
+NATIVE = f"""transform({WORDS}, w -> named_struct('word', w.t, 'start', (w.s-start_ms)/1000.0D,
   'end', (CASE WHEN w.i%7=3 THEN w.s+10 WHEN w.i%11=5 THEN end_ms+40 ELSE w.e END - start_ms)/1000.0D, 'score', 1.0D))"""
 
 
@@ -234,8 +240,9 @@ def utterances(spark, sf):
 @query("aligned_utterance_slots")
 def aligned_utterance_slots(spark, sf):
     good = wd.alignment_verdicts(raw_alignments(spark, sf)).where("reason IS NULL")
-    made = wd.build_utterances(good, ["episode_id", "ord"], min_span_ms=wd.MIN_SPAN_MS)
-    out = wd.slot_bounds(made, good, ["episode_id", "ord"])
+    good = good.withColumnsRenamed({"start_ms": "slot_start", "end_ms": "slot_end"})
+    made = wd.build_utterances(good, ["episode_id", "ord", "slot_start", "slot_end"], min_span_ms=wd.MIN_SPAN_MS)
+    out = wd.slot_bounds(made, ["episode_id", "ord"])
     return out.select("episode_id", "ord", "utterance_no", "start_ms", "end_ms", "text",
                       tx.segment_id(F.col("start_ms"), F.col("utterance_no")).alias("segment_id"))
 
@@ -275,7 +282,8 @@ def utterance_slot_bounds(spark, sf):
     utts = seg.select("episode_id", "ord", F.posexplode("words").alias("pos", "w")).groupBy(
         "episode_id", "ord", F.floor(F.col("pos") / 20).cast("long").alias("utterance_no")
     ).agg((F.min("w.s") + 3).alias("start_ms"), (F.max("w.e") - 3).alias("end_ms"))
-    return wd.slot_bounds(utts, seg, ["episode_id", "ord"]).select("episode_id", "ord", "utterance_no", "start_ms", "end_ms")
+    slots = view(spark, sf, "segment").selectExpr("episode_id", "ord", "start_ms AS slot_start", "end_ms AS slot_end")
+    return wd.slot_bounds(utts.join(slots, ["episode_id", "ord"]), ["episode_id", "ord"]).select("episode_id", "ord", "utterance_no", "start_ms", "end_ms")
 
 
 @query("nearby_dialogue", """SELECT episode_id, ord, substring(coalesce(array_to_string(list_concat(
