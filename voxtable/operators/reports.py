@@ -119,8 +119,8 @@ def plan_jobs(cases: DataFrame, keys: Sequence[str], *, synthetic: bool = False)
 def job_ids(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Readable job id; a case whose id collides with an earlier case gets a hash suffix."""
     named = jobs.withColumn("__case", F.col("case_id").cast("string")).withColumn("__slug", tx.job_slug(F.col("__case")))
-    first = named.groupBy(*keys, "__slug").agg(F.min_by("__case", F.struct("case_no", "__case")).alias("__first"))
-    out = named.join(first, [*keys, "__slug"])
+    first = named.groupBy(*keys, "__slug", "stage").agg(F.min_by("__case", F.struct("case_no", "__case")).alias("__first"))
+    out = named.join(first, [*keys, "__slug", "stage"])
     cut = F.regexp_replace(F.substring("__slug", 1, 36), r"[-._]+$", "")
     hashed = F.concat_ws("_", cut, F.substring(F.sha2("__case", 256), 1, 8), F.col("stage"))
     plain = F.concat_ws("_", "__slug", "stage")

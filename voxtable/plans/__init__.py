@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("intervals", "dialogue", "gates")
+MODULES = ("intervals", "dialogue", "gates", "context", "catalog", "reports")
 
 
 def load() -> None:
