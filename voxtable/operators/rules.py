@@ -157,8 +157,13 @@ def corpus_coverage(cases: DataFrame, errors: DataFrame, keys: Sequence[str], *,
 
 
 def public_map(settings: Column) -> Column:
-    """Flat settings without secret-like or environment keys."""
-    return F.map_filter(settings, lambda k, _: ~k.rlike(SECRET_KEY) & ~F.lower(k).isin(*ENV_KEYS))
+    """Flat settings without credential-like keys."""
+    return F.map_filter(settings, lambda k, _: ~k.rlike(SECRET_KEY))
+
+
+def plan_map(settings: Column) -> Column:
+    """Flat settings without environment keys."""
+    return F.map_filter(settings, lambda k, _: ~F.lower(k).isin(*ENV_KEYS))
 
 
 def measured_metrics(metrics: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("intervals", "dialogue", "gates", "context", "catalog", "reports")
+MODULES = ("intervals", "dialogue", "gates", "context", "catalog", "reports", "media", "streams", "cues")
 
 
 def load() -> None:

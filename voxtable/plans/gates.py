@@ -159,7 +159,7 @@ def category_difference(spark, sf):
 def public_settings(spark, sf):
     runs = view(spark, sf, "stage_run").withColumn("settings", F.expr(
         "map('model', 'm1', 'API_KEY', 'x', 'access_token', stage, 'Env', 'y', 'user_password', 'z')"))
-    shown = F.array_join(F.transform(F.map_entries(rl.public_map(F.col("settings"))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    shown = F.array_join(F.transform(F.map_entries(rl.plan_map(rl.public_map(F.col("settings")))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return runs.select("run_id", "worker", "attempt", "stage", shown.alias("settings"))
 
 

@@ -171,11 +171,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def view_of(base: DataFrame, name: str) -> DataFrame:
+    """The projection of a view over its base table, batch or stream."""
+    return base.selectExpr(*[f"{_engine(expr, 'spark')} AS {col}" for col, expr in VIEWS[name][1].items()])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    base, columns = VIEWS[name]
-    return table(spark, sf_dir, base).selectExpr(
-        *[f"{_engine(expr, 'spark')} AS {col}" for col, expr in columns.items()]
-    )
+    return view_of(table(spark, sf_dir, VIEWS[name][0]), name)
 
 
 def view_sql(name: str) -> str:
