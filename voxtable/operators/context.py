@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from voxtable.functions import text as tx
 from voxtable.operators.scan import neighbours, row_index, slab
-from voxtable.session import at_most
+from voxtable.session import at_most, staged
 
 GLOSSARY_LIMIT = 5_000  # Largest glossary that is sent to every task.
 SEED_CHARS = 8
@@ -57,6 +57,7 @@ def packed_batches(
         .withColumn("batch_tokens", F.get("__s", F.col("lines").cast("int") - 1))
         .withColumn("__blk", F.floor(F.col(index) / block_rows).cast("long"))
     )
+    jumps = staged(jumps.drop("__t", "__s"))
     blocks = jumps.groupBy(*keys, "__blk").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col("lines").alias("n")))),
                     lambda r: r["n"]).alias("__jumps"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.operators.scan import HOUR_MS, blocked, prefix, previous, slab
+from voxtable.operators.scan import HOUR_MS, islands, neighbours, prefix, previous, slab
+from voxtable.session import staged
 
 
 def coalesce_intervals(
@@ -33,16 +34,11 @@ def coalesce_intervals(
     points = df.groupBy(*keys, F.col(start).alias("start_ms")).agg(
         F.max(end).alias("end_ms"), F.count("*").alias("n"), *extra
     )
-    points = blocked(points, slab("start_ms", slab_ms))
-    seen = prefix(points, keys, ["start_ms"], None, {"__reach": ("max", F.col("end_ms"))})
-    distance = F.col("start_ms") - F.col("__reach")
-    opens = F.col("__reach").isNull() | (distance > gap_ms if inclusive else distance >= gap_ms)
-    marked = seen.withColumn("__open", F.when(opens, F.col("start_ms")))
-    # The island is named by its first start; starts only grow, so the running max is the open one.
-    named = prefix(marked, keys, ["start_ms"], None, {"__from": ("max", F.col("__open"))})
-    island = F.coalesce(F.col("__open"), F.col("__from")).alias("start_ms")
+    named = islands(points, keys, ["start_ms"], slab("start_ms", slab_ms), start="start_ms", end="end_ms",
+                    gap=gap_ms, inclusive=inclusive, furthest=True)
     merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("__lab")))).alias("labels")] if labels else []
-    return named.select(*keys, island, "end_ms", "n", *(["__lab"] if labels else [])).groupBy(
+    named = named.select(*keys, F.col("island.start_ms").alias("start_ms"), "end_ms", "n", *(["__lab"] if labels else []))
+    return named.groupBy(
         *keys, "start_ms"
     ).agg(F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"), *merged)
 
@@ -156,7 +152,7 @@ def separation_windows(
         *keys, F.lit(0).cast("long").alias("start_ms"), F.least(F.col(duration), F.lit(min_ms)).cast("long").alias("end_ms")
     )
     pieces = split_overlapping(merged.unionByName(idle), max_ms, overlap_ms)
-    padded = pad_to_minimum(pieces.join(episodes, list(keys)), duration, min_ms)
+    padded = staged(pad_to_minimum(pieces.join(episodes, list(keys)), duration, min_ms).select(*keys, "start_ms", "end_ms"))
     return drop_contained(padded, keys, slab_ms=slab_ms)
 
 
@@ -265,7 +261,7 @@ def latest_before(
 
 def uncovered_words(words: DataFrame, windows: DataFrame, keys: Sequence[str], *, slab_ms: int = HOUR_MS) -> DataFrame:
     """Words that are not fully covered by the union of the windows (touching windows join up)."""
-    merged = coalesce_intervals(windows, keys, gap_ms=0, slab_ms=slab_ms)
+    merged = staged(coalesce_intervals(windows, keys, gap_ms=0, slab_ms=slab_ms))
     found = latest_before(
         words, merged, keys, probe_at="s", mark_at="start_ms", value=F.col("end_ms"), name="__until",
         slab_ms=slab_ms, probe_ids=[c for c in words.columns if c not in keys],
@@ -291,9 +287,10 @@ def colliding(
 
 def chunk_bounds(chunks: DataFrame, keys: Sequence[str], *, chunk: str = "chunk_no", block_rows: int = 4096) -> DataFrame:
     """Ownership range of each chunk: neighbours that overlap meet at the integer midpoint."""
-    near = blocked(chunks, slab(chunk, block_rows))
-    near = previous(near, keys, [chunk], None, {"__pe": F.col("end_ms")})
-    near = previous(near, keys, [chunk], None, {"__ns": F.col("start_ms")}, reverse=True)
+    span = F.struct(F.col(chunk).alias("no"), "start_ms", "end_ms")
+    near = neighbours(chunks, keys, chunk, 1, 1, {"__near": (span, False)}, block_rows=block_rows)
+    beside = lambda step: F.get(F.filter("__near", lambda x: x["no"] == F.col(chunk) + step), 0)
+    near = near.withColumn("__pe", beside(-1)["end_ms"]).withColumn("__ns", beside(1)["start_ms"])
     half = lambda a, b: F.floor((a + b) / 2).cast("long")
     return near.select(
         *chunks.columns,
@@ -313,12 +310,8 @@ def silence_groups(
     start: str = "s", end: str = "e",
 ) -> DataFrame:
     """Group consecutive words; a silence of ``gap_ms`` or more starts a new group."""
-    words = blocked(words, slab(start, slab_ms))
-    near = previous(words, keys, order, None, {"__pe": F.col(end)})
-    opens = F.col("__pe").isNull() | (F.col(start) - F.col("__pe") >= gap_ms)
-    marked = near.withColumn("__open", F.when(opens, F.struct(*order)))
-    named = prefix(marked, keys, order, None, {"__from": ("last", F.col("__open"))})
-    named = named.withColumn("__group", F.coalesce("__open", "__from"))
+    named = islands(words, keys, order, slab(start, slab_ms), start=start, end=end, gap=gap_ms, inclusive=False,
+                    furthest=False, name="__group")
     return named.groupBy(*keys, "__group").agg(
         F.min(start).alias("start_ms"), F.max(end).alias("end_ms"), F.count("*").alias("n_words")
     ).drop("__group")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
 from voxtable.operators.scan import prefix
+from voxtable.session import staged
 
 BOUNDARY = T.StructType().add("matched_words", T.LongType()).add("compared_boundaries", T.LongType()).add(
     "median_abs_error_ms", T.DoubleType()).add("p95_abs_error_ms", T.DoubleType()).add("errors", T.ArrayType(T.LongType()))
@@ -123,6 +124,7 @@ def subtitle_bands(lines: DataFrame, keys: Sequence[str], *, width: Column, heig
         *keys, "box_top", "box_bottom", ((F.col("box_top") + F.col("box_bottom")) / 2).alias("centre"),
         width.alias("__w"), height.alias("__h"))
     bands = rows.groupBy(*keys, "box_top", "box_bottom", "centre", "__h").agg(F.count("*").alias("n"))
+    bands = staged(bands)
     totals = bands.groupBy(*keys).agg(F.sum("n").alias("total")).where("total >= 3")
     seen = prefix(bands, keys, ["centre", "box_top"], F.floor(F.col("centre") / 64).cast("long"), {"seen": ("sum", F.col("n"))})
     middle = seen.join(totals, list(keys)).where(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
 from voxtable.operators.scan import HOUR_MS, previous, slab
+from voxtable.session import staged
 
 # Kinds of benchmark material, and the time a representative corpus has to cover.
 CATEGORIES = ("speech_clear", "music_loud", "nonverbal", "overlap", "subtitle_static", "subtitle_motion", "dark")
@@ -292,7 +293,7 @@ def dense_timeline_rules(frames: DataFrame, keys: Sequence[str], *, frame_cap: i
     uncovered = F.when(F.col("n") > 1, (F.col("lo") - F.col("start_ms") > edge) | (F.col("end_ms") - F.col("hi") > edge)).otherwise(
         F.col("end_ms") - F.col("start_ms") > edge)
     offset = F.greatest(F.lit(0), F.bround((F.col("first_at") - F.col("source_start_ms")) / F.col("period")))
-    rolled = rolled.withColumn("offset", offset)
+    rolled = staged(rolled.withColumn("offset", offset))
     placed = frames.join(rolled.select(*keys, "offset", "period", "slack"), list(keys))
     expected = F.col("source_start_ms") + F.bround((F.col("offset") + F.col("frame_index")) * F.col("period"))
     drifting = placed.groupBy(*keys).agg(F.bool_or(F.abs(F.col("at_ms") - expected) > F.col("slack")).alias("drift"))

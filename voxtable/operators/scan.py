@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtable.session import pinned
+from voxtable.session import staged
 
 HOUR_MS = 3_600_000
 BLK = "__blk"
@@ -35,16 +35,11 @@ def _fold(kind: str, col: Column) -> Column:
     return F.last(col, ignorenulls=True)
 
 
-def blocked(df: DataFrame, block: Column) -> DataFrame:
-    """Attach the block column for a chain of scans with ``block=None``."""
-    return df.withColumn(BLK, block)
-
-
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column | None,
+    block: Column,
     specs: dict[str, tuple[str, Column]],
     *,
     reverse: bool = False,
@@ -53,11 +48,8 @@ def prefix(
 
     Kinds: ``sum`` (0 when there is none), ``max``, ``min`` and ``last`` (latest non-null value;
     null when there is none). ``reverse`` scans from the end, so "earlier" means "later".
-
-    With ``block=None`` the block column made by :func:`blocked` is used and kept, so that a chain of
-    scans shares one shuffle.
     """
-    src = df if block is None else df.withColumn(BLK, block)
+    src = df.withColumn(BLK, block)
     names = {name: f"__v_{name}" for name in specs}
     src = src.select("*", *[specs[n][1].alias(v) for n, v in names.items()])
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
@@ -114,6 +106,52 @@ def row_index(df, keys, order, block, name: str = "idx") -> DataFrame:
     return prefix(df, keys, order, block, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    *,
+    start: str,
+    end: str,
+    gap: int,
+    inclusive: bool,
+    furthest: bool,
+    name: str = "island",
+) -> DataFrame:
+    """Name, for each row, the first row of its run: a struct of the ``order`` values.
+
+    A row opens a run when it starts more than ``gap`` after what lies before it (``inclusive``), or
+    at least ``gap`` after it. "Before" is the furthest end so far (``furthest``) or the end of the row
+    just before. One scan is enough: whether the last opening of a block stands can be told from the
+    block's own summary and the carry of the earlier blocks.
+    """
+    src = df.withColumn(BLK, block).withColumn("__pos", F.struct(*order))
+    rows = W.partitionBy(*keys, BLK).orderBy(*order)
+    kind = "max" if furthest else "last"
+
+    def opens(at: Column, reach: Column) -> Column:
+        distance = at - reach
+        return reach.isNull() | (distance > gap if inclusive else distance >= gap)
+
+    local = src.withColumn("__reach", _fold(kind, F.col(end)).over(rows.rowsBetween(W.unboundedPreceding, -1)))
+    marked = local.withColumn("__at", F.when(opens(F.col(start), F.col("__reach")), F.struct("__pos", F.col(start).alias("s"))))
+    blocks = marked.groupBy(*keys, BLK).agg(
+        (F.max(end) if furthest else F.max_by(end, "__pos")).alias("__out"),
+        F.max("__at").alias("__at"), F.min("__pos").alias("__head"))
+    earlier = W.partitionBy(*keys).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__carry", _fold(kind, F.col("__out")).over(earlier))
+    stands = opens(F.col("__at.s"), F.col("__carry"))
+    if not furthest:
+        # Behind the first row of a block the carry no longer matters.
+        stands = stands | (F.col("__at.__pos") != F.col("__head"))
+    blocks = blocks.withColumn("__from", F.last(F.when(stands, F.col("__at.__pos")), ignorenulls=True).over(earlier))
+    both = local.join(blocks.select(*keys, BLK, "__carry", "__from"), [*keys, BLK])
+    reach = F.greatest("__reach", "__carry") if furthest else F.coalesce("__reach", "__carry")
+    opened = F.last(F.when(opens(F.col(start), reach), F.col("__pos")), ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, 0))
+    return both.select(*df.columns, F.coalesce(opened, F.col("__from")).alias(name))
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -158,12 +196,12 @@ def neighbours(
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """One-based rank over the whole table without a single-task window.
 
-    Rows are range-partitioned on the full order, the placement is checkpointed (a range split is
+    Rows are range-partitioned on the full order, the placement is written down (a range split is
     sampled, so it must not be recomputed), ranked inside a partition, and shifted by the row counts
     of the partitions before. The offsets are one row per partition, which bounds the broadcast.
     The last order column should make rows unique, so that no run of ties has to stay together.
     """
-    placed = pinned(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    placed = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
     inside = W.partitionBy("__part").orderBy(*order)
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -59,17 +59,20 @@ def cue_errors(lines: DataFrame) -> Column:
         "CUE_TEXT_TOO_LONG")
 
 
-def strict_cues(lines: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *, slab_ms: int = HOUR_MS) -> tuple[DataFrame, DataFrame]:
-    """Numbered, escaped cues ordered by (start, end, text), and the rows that fail the checks."""
+def strict_cues(lines: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *, carry: Sequence[str] = (), slab_ms: int = HOUR_MS) -> tuple[DataFrame, DataFrame]:
+    """Numbered, escaped cues ordered by (start, end, text), and the rows that fail the checks.
+
+    ``carry`` names columns of the lines to keep on the cues.
+    """
     judged = lines.withColumn("error", cue_errors(lines))
     wording = F.coalesce(F.nullif(F.col("subtitle_vi"), F.lit("")), F.col("dub_vi"))
     cues = judged.where("error IS NULL").select(
-        *keys,
+        *keys, *carry,
         F.least("start_ms", duration).cast("long").alias("start_ms"),
         F.least("end_ms", duration).cast("long").alias("end_ms"),
         tx.cue_text(wording).alias("text"),
     ).where("end_ms > start_ms AND char_length(text) > 0")
-    return _numbered(cues, keys, ["start_ms", "end_ms", "text"], slab_ms), judged.where("error IS NOT NULL")
+    return _numbered(cues, keys, ["start_ms", "end_ms", "text"], slab_ms, carry), judged.where("error IS NOT NULL")
 
 
 def plain_cues(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, slab_ms: int = HOUR_MS) -> DataFrame:
@@ -79,12 +82,12 @@ def plain_cues(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, s
     return _numbered(cues, keys, order, slab_ms)
 
 
-def _numbered(cues: DataFrame, keys: Sequence[str], order: Sequence[str], slab_ms: int) -> DataFrame:
+def _numbered(cues: DataFrame, keys: Sequence[str], order: Sequence[str], slab_ms: int, carry: Sequence[str] = ()) -> DataFrame:
     placed = row_index(cues, keys, order, slab(order[0], slab_ms), "__i")
     head = F.concat_ws(" --> ", tx.timestamp(F.col("start_ms")), tx.timestamp(F.col("end_ms")))
     number = (F.col("__i") + 1).alias("cue_no")
     block = F.concat_ws("\n", (F.col("__i") + 1).cast("string"), head, F.col("text")).alias("block")
-    return placed.select(*keys, number, "start_ms", "end_ms", "text", block)
+    return placed.select(*keys, *carry, number, "start_ms", "end_ms", "text", block)
 
 
 def write_srt(cues: DataFrame, keys: Sequence[str], path: str) -> None:

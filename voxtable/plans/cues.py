@@ -11,23 +11,21 @@ from voxtable.operators import subtitles as st
 from voxtable.plans.dialogue import EP
 from voxtable.plans.registry import query
 from voxtable.plans.views import view
+from voxtable.session import staged
 
 
 def dubbed_cues(segments: DataFrame, clips: DataFrame) -> DataFrame:
     """Cues of every line, with its fitting decision and the speech window it lies in."""
     duration = segments.groupBy(*EP).agg(F.max("end_ms").alias("duration_ms"))
     timed = segments.join(duration, EP)
-    windows = iv.padded_windows(timed, EP).select(
-        *EP, F.col("start_ms").alias("window_start_ms"), F.col("end_ms").alias("window_end_ms"))
+    windows = staged(iv.padded_windows(timed, EP).select(*EP, F.col("start_ms").alias("window_start_ms")))
     target = F.col("end_ms") - F.col("start_ms")
     fitted = timed.join(clips, [*EP, "ord"]).withColumn("fit", ft.fitting_action(F.col("actual_ms"), target, F.col("attempts")))
     placed = iv.latest_before(
         fitted.select(*EP, "ord", "start_ms", "end_ms", "duration_ms", "subtitle_vi", "dub_vi", "fit"), windows, EP,
         probe_at="start_ms", mark_at="window_start_ms", value=F.col("window_start_ms"), name="window_ms", probe_ids=["ord"])
-    cues, _ = st.strict_cues(placed, EP)
-    # A cue keeps its start and end, which identify the line again.
-    facts = placed.select(*EP, "start_ms", "end_ms", "fit", "window_ms")
-    return cues.join(facts, [*EP, "start_ms", "end_ms"]).select(*EP, "cue_no", "window_ms", "fit", "block")
+    cues, _ = st.strict_cues(staged(placed), EP, carry=["window_ms", "fit"])
+    return cues.select(*EP, "cue_no", "window_ms", "fit", "block")
 
 
 @query("dubbed_cues", r"""

@@ -98,14 +98,14 @@ def public_json(spark, sf):
 
 def stem_blocks(spark, sf):
     """Stems of 32-frame stereo blocks: one embedding row is one block of one episode."""
-    level = lambda e: F.transform("embedding", lambda v: F.floor(v.cast("double") * e).cast("smallint"))
+    level = lambda e: F.transform("embedding", lambda v: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(v.cast("double") * e))).cast("smallint"))
     return table(spark, sf, "embeddings").select(
         F.expr("vec_id DIV 50 AS episode_id"), F.expr("vec_id % 50 AS block_no"), level(60_000).alias("speech"), level(3_000).alias("music"),
         F.transform("embedding", lambda v, i: i.cast("smallint")).alias("effects"))
 
 
 MIX_SQL = """blk AS (SELECT vec_id//50 AS episode_id, vec_id%50 AS block_no, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1)-1 AS BIGINT) AS i FROM embeddings),
- smp AS (SELECT episode_id, block_no, i, block_no*32 + i//2 AS frame, CAST(floor(CAST(v AS DOUBLE)*60000) AS BIGINT) AS speech, CAST(floor(CAST(v AS DOUBLE)*3000) AS BIGINT) AS music FROM blk),
+ smp AS (SELECT episode_id, block_no, i, block_no*32 + i//2 AS frame, greatest(-32768, least(32767, CAST(floor(CAST(v AS DOUBLE)*60000) AS BIGINT))) AS speech, CAST(floor(CAST(v AS DOUBLE)*3000) AS BIGINT) AS music FROM blk),
  mixed AS (SELECT s.*, CASE WHEN block_no%3=0 AND i//2 >= 5 AND i//2 < 20 THEN 0 ELSE speech END + music + i
    + CASE WHEN block_no%4=1 AND i//2 >= 20 THEN 400 + ((frame - (block_no*32+20))*2 + i%2) ELSE 0 END
    + CASE WHEN block_no%4=2 AND i//2 < 18 AND (episode_id, block_no-1) IN (SELECT (vec_id//50, vec_id%50) FROM embeddings) THEN 400 + ((frame - ((block_no-1)*32+20))*2 + i%2) ELSE 0 END AS m FROM smp s)"""

@@ -58,10 +58,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes row placement so later stages agree even after executor loss."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage where a result is used more than once, and fixes row placement, so later stages
+    agree with each other even after an executor is lost.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, limit: int) -> bool:
