@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from voxtable.functions import text as tx
 from voxtable.operators.scan import neighbours, row_index, slab
-from voxtable.session import at_most, staged
+from voxtable.session import at_most, spread, staged
 
 GLOSSARY_LIMIT = 5_000  # Largest glossary that is sent to every task.
 SEED_CHARS = 8
@@ -111,7 +111,7 @@ def term_matches(
     A larger one is matched through its first characters: the line gives its character runs of that
     length, an equi-join on (keys, run) finds candidates, and the full term is then checked.
     """
-    lines_named = lines.withColumn("__text", F.col(text))
+    lines_named = spread(lines).withColumn("__text", F.col(text))
     if at_most(terms, broadcast_rows):
         small = F.broadcast(terms)
         hit = F.contains(F.col("__text"), F.col(term))

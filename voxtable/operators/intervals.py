@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.operators.scan import HOUR_MS, islands, neighbours, prefix, previous, slab
-from voxtable.session import staged
+from voxtable.session import spread, staged
 
 
 def coalesce_intervals(
@@ -86,7 +86,7 @@ def split_overlapping(df: DataFrame, width_ms: int, overlap_ms: int, index: str
     step = width_ms - overlap_ms
     length = F.col("end_ms") - F.col("start_ms")
     last = F.when(length <= width_ms, F.lit(0)).otherwise(F.ceil((length - width_ms) / F.lit(step))).cast("long")
-    out = df.withColumn("__origin", F.col("start_ms")).withColumn("__whole", F.col("end_ms"))
+    out = spread(df).withColumn("__origin", F.col("start_ms")).withColumn("__whole", F.col("end_ms"))
     out = out.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     out = out.withColumn("start_ms", F.col("__origin") + F.col("__i") * step).withColumn(
         "end_ms", F.least(F.col("__whole"), F.col("start_ms") + width_ms)
@@ -161,7 +161,7 @@ def sample_grid(df: DataFrame, fps: str = "fps") -> DataFrame:
     # The count is the smallest n with floor(n * 1000 / fps) >= length.
     length = F.col("end_ms") - F.col("start_ms")
     count = F.ceil(length * F.col(fps) / F.lit(1000)).cast("long")
-    return df.withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn(
+    return spread(df).withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn(
         "at_ms", F.col("start_ms") + F.floor(F.col("frame_index") * 1000 / F.col(fps)).cast("long")
     )
 
@@ -176,7 +176,7 @@ def halo_chunks(df: DataFrame, duration: str = "duration_ms", *, core_ms: int =
     """Core chunks with context on both sides; ``pad_ms`` is the silence a too-short input needs."""
     starts = F.sequence(F.lit(0).cast("long"), F.col(duration) - 1, F.lit(core_ms).cast("long"))
     return (
-        df.withColumn("start_ms", F.explode(starts))
+        spread(df).withColumn("start_ms", F.explode(starts))
         .withColumn("end_ms", F.least(F.col(duration), F.col("start_ms") + core_ms).cast("long"))
         .withColumn("left_ms", F.greatest(F.lit(0), F.col("start_ms") - context_ms).cast("long"))
         .withColumn("right_ms", F.least(F.col(duration), F.col("end_ms") + context_ms).cast("long"))
@@ -305,6 +305,11 @@ def owned_words(words: DataFrame, bounds: DataFrame, keys: Sequence[str], *, chu
     return words.join(lim, [*keys, chunk]).where("s >= lo_ms AND s < hi_ms").drop("lo_ms", "hi_ms")
 
 
+def owned_in_row(chunks: DataFrame, words: str = "words") -> DataFrame:
+    """The same for chunk rows that carry their own word array and bounds: nothing is moved."""
+    return chunks.withColumn(words, F.filter(words, lambda w: (w["s"] >= F.col("lo_ms")) & (w["s"] < F.col("hi_ms"))))
+
+
 def silence_groups(
     words: DataFrame, keys: Sequence[str], order: Sequence[str], *, gap_ms: int = 400, slab_ms: int = HOUR_MS,
     start: str = "s", end: str = "e",

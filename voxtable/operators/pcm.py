@@ -37,44 +37,44 @@ def _ramp(frames: np.ndarray, lo: int, hi: int, ramp: int) -> np.ndarray:
 def clip_pieces(clips: DataFrame, keys: Sequence[str], *, rate: int = RATE, ramp: int = 0) -> DataFrame:
     """Cut clips (``left, right`` frames and samples) to blocks and add up those of a block.
 
-    A clip whose length differs from its slot is read at proportional positions. Pieces are summed
-    inside each batch before the shuffle and once more after it, so a block that many clips touch
-    still arrives as a few dense arrays.
+    A clip whose length differs from its slot is read at proportional positions. Pieces are summed per
+    task before the shuffle, so a block that many clips touch arrives as a few dense arrays, and these
+    are added one after the other.
     """
     fields = f"{_key_types(clips, keys)}, block_no bigint, samples array<double>"
     names = [*keys, "block_no"]
 
-    def summed(pdf: pd.DataFrame) -> dict:
-        total: dict = {}
-        for row in pdf.to_dict("records"):
-            left, right = int(row["left"]), int(row["right"])
-            voice = np.asarray(row["samples"], dtype="float64").reshape(-1, 2)
-            for block in range(left // rate, (right - 1) // rate + 1):
-                frames = np.arange(max(left, block * rate), min(right, (block + 1) * rate))
-                source = np.minimum(len(voice) - 1, (frames - left) * len(voice) // (right - left))
-                part = voice[source] * _ramp(frames, left, right, ramp)[:, None]
-                key = (*[row[k] for k in keys], block)
-                if key not in total:
-                    total[key] = np.zeros((rate, 2))
-                total[key][frames - block * rate] += part
-        return total
+    def pieces(row: dict) -> Iterator[tuple]:
+        left, right = int(row["left"]), int(row["right"])
+        voice = np.asarray(row["samples"], dtype="float64").reshape(-1, 2)
+        for block in range(left // rate, (right - 1) // rate + 1):
+            frames = np.arange(max(left, block * rate), min(right, (block + 1) * rate))
+            source = np.minimum(len(voice) - 1, (frames - left) * len(voice) // (right - left))
+            yield (*[row[k] for k in keys], block), frames - block * rate, voice[source] * _ramp(frames, left, right, ramp)[:, None]
+
+    def flushed(total: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, values.ravel()) for key, values in total.items()], columns=[*names, "samples"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
         for pdf in batches:
-            for key, values in summed(pdf).items():
-                yield pd.DataFrame([(*key, values.ravel())], columns=[*names, "samples"])
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            for row in pdf.to_dict("records"):
+                for key, at, part in pieces(row):
+                    total.setdefault(key, np.zeros((rate, 2)))[at] += part
+                if len(total) > 64:
+                    yield flushed(total)
+                    total = {}
+        yield flushed(total)
+
+    def join(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(2 * rate)
-        for part in pdf["samples"]:
-            total += part
-        return pd.DataFrame([(*key, total)], columns=[*names, "samples"])
-
-    pieces = clips.where("left < right AND size(samples) > 0").mapInPandas(cut, fields)
-    # Two steps, so that the pieces of one crowded block are first added up by several tasks.
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("samples"), F.lit(16)))
-    partial = salted.groupBy(*names, "salt").applyInPandas(lambda key, pdf: join(key[:-1], pdf), fields)
-    return partial.groupBy(*names).applyInPandas(join, fields)
+        for pdf in parts:
+            for part in pdf["samples"]:
+                total += part
+        yield pd.DataFrame([(*key, total)], columns=[*names, "samples"])
+
+    usable = clips.where("left < right AND size(samples) > 0")
+    return usable.mapInPandas(cut, fields).groupBy(*names).applyInPandas(join, fields)
 
 
 def block_masks(words: DataFrame, keys: Sequence[str], *, rate: int = RATE) -> DataFrame:

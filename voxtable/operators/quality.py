@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
 from voxtable.operators.scan import prefix
-from voxtable.session import staged
+from voxtable.session import spread, staged
 
 BOUNDARY = T.StructType().add("matched_words", T.LongType()).add("compared_boundaries", T.LongType()).add(
     "median_abs_error_ms", T.DoubleType()).add("p95_abs_error_ms", T.DoubleType()).add("errors", T.ArrayType(T.LongType()))
@@ -22,7 +22,7 @@ BOUNDARY = T.StructType().add("matched_words", T.LongType()).add("compared_bound
 
 def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add ``cer`` and its parts. Normalization runs once per side."""
-    out = pairs.withColumn("__r", tx.normalize_chinese(F.col(reference))).withColumn("__h", tx.normalize_chinese(F.col(hypothesis)))
+    out = spread(pairs).withColumn("__r", tx.normalize_chinese(F.col(reference))).withColumn("__h", tx.normalize_chinese(F.col(hypothesis)))
     return (
         out.withColumn("ref_chars", F.char_length("__r").cast("long"))
         .withColumn("cer", tx.cer(F.col("__r"), F.col("__h")))
@@ -62,7 +62,7 @@ def boundary_error(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
 
 def word_boundary_errors(cases: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """Per case: matched words, compared boundaries, median and 95th percentile of the error."""
-    return cases.withColumn("boundary", boundary_error(F.col(reference), F.col(hypothesis)))
+    return spread(cases).withColumn("boundary", boundary_error(F.col(reference), F.col(hypothesis)))
 
 
 def block_levels(samples: str | Column, window: int, threshold: float) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions import text as tx
 from voxtable.schemas import WORD
+from voxtable.session import spread
 
 GAP_MS, MIN_MS, MAX_MS = 400, 800, 12_000
 MIN_SCORE, MIN_SPAN_MS = 0.01, 100
@@ -55,7 +56,7 @@ def alignment_verdicts(segments: DataFrame, raw: str = "raw_words") -> DataFrame
             word_verdict(w, F.col("start_ms"), F.col("end_ms")).alias("reason"),
         ),
     )
-    out = segments.withColumn("__w", judged)
+    out = spread(segments).withColumn("__w", judged)
     w = F.col("__w")
     # One pass in word order: a word's own problem comes before its order problem.
     start = F.struct(F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("reason"))
@@ -274,7 +275,7 @@ def build_utterances(
             yield pd.DataFrame(rows, columns=[*names, "utterance_no", "start_ms", "end_ms", "text", "words"])
 
     need = [*names, *[c for c in (text, words, lo, hi) if c and c not in names]]
-    return segments.select(*need).mapInPandas(run, f"{types}, utterance_no bigint, {UTTERANCE}")
+    return spread(segments.select(*need)).mapInPandas(run, f"{types}, utterance_no bigint, {UTTERANCE}")
 
 
 def slot_bounds(utts: DataFrame, keys: list[str], slot_start: str = "slot_start", slot_end: str = "slot_end") -> DataFrame:
@@ -336,4 +337,4 @@ def split_sentences(segments: DataFrame, *, text: str = "zh_text", words: str =
                                  "start_ms": listed[a]["s"], "end_ms": listed[b - 1]["e"]})
             yield pd.DataFrame(rows, columns=names)
 
-    return segments.mapInPandas(run, types)
+    return spread(segments).mapInPandas(run, types)

@@ -134,14 +134,13 @@ SELECT episode_id, chunk_no, count(*) AS owned, min(s) AS first_ms, max(e) AS la
 def chunk_word_ownership(spark, sf):
     whole = view(spark, sf, "media").withColumn("start_ms", F.lit(0).cast("long")).withColumn("end_ms", F.col("duration_ms"))
     chunks = iv.split_overlapping(whole, 240_000, 1_000, index="chunk_no").select("episode_id", "chunk_no", "start_ms", "end_ms")
-    ticks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("end_ms") - F.col("start_ms")) / 500).cast("long") - 1))
-    words = chunks.withColumn("i", ticks).select(
-        "episode_id", "chunk_no", (F.col("start_ms") + F.col("i") * 500).alias("s"), (F.col("start_ms") + F.col("i") * 500 + 400).alias("e")
-    )
-    owned = iv.owned_words(words, iv.chunk_bounds(chunks, EP), EP)
-    return owned.groupBy("episode_id", "chunk_no").agg(
-        F.count("*").alias("owned"), F.min("s").alias("first_ms"), F.max("e").alias("last_ms")
-    )
+    count = F.ceil((F.col("end_ms") - F.col("start_ms")) / 500).cast("long")
+    words = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(
+        (F.col("start_ms") + i * 500).alias("s"), (F.col("start_ms") + i * 500 + 400).alias("e")))
+    owned = iv.owned_in_row(iv.chunk_bounds(chunks, EP).withColumn("words", words))
+    return owned.where(F.size("words") > 0).select(
+        "episode_id", "chunk_no", F.size("words").cast("long").alias("owned"),
+        F.array_min(F.transform("words", lambda w: w["s"])).alias("first_ms"), F.array_max(F.transform("words", lambda w: w["e"])).alias("last_ms"))
 
 
 @query("adjacent_overlap_check", """

@@ -69,6 +69,16 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out the rows before work that costs much more per row than moving the row.
+
+    Only an input with fewer splits than the cluster has cores (a few small files) is moved; a large
+    input already has enough splits and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
