@@ -59,6 +59,28 @@ def rms_threshold(dbfs_level: float) -> float:
     return 32768 * 10 ** (dbfs_level / 20)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half-even rounding of the exact binary value.
+
+    ``bround`` rounds the shortest decimal form, which turns near-ties into ties. Here the error of
+    ``x * 10**digits`` is computed exactly (split product), and it decides where the product is a tie.
+    """
+    scale = 10.0**digits
+
+    def halves(v):
+        big = v * 134217729.0
+        high = big - (big - v)
+        return high, v - high
+
+    product = x * scale
+    (xh, xl), (sh, sl) = halves(x), halves(scale)
+    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    near = F.rint(product)
+    gap = product - near
+    fixed = F.when((gap == 0.5) & (error > 0), near + 1).when((gap == -0.5) & (error < 0), near - 1).otherwise(near)
+    return fixed / scale
+
+
 def projected_cost(elapsed_ms: Column, remaining_ms: Column, api: Column, rate: int = 6000) -> Column:
     return (elapsed_ms + remaining_ms) * F.lit(rate) / F.lit(3_600_000) + api
 

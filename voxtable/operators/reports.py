@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
 
 # Stages of a benchmark plan, in order, and the environment each runs in.
@@ -43,7 +44,7 @@ def suite_rollup(jobs: DataFrame, keys: Sequence[str], rate: Column) -> DataFram
     open_ = F.bool_or(F.col("status").isin("PENDING", "RUNNING", "TIMED_OUT", "INTERRUPTED"))
     status = F.when(open_, "INCOMPLETE").when(F.bool_or(F.col("status") == "FAILED"), "FAILED").otherwise("MEASURED")
     out = jobs.groupBy(*keys).agg(F.sum("wall_ms").alias("elapsed_ms"), status.alias("status"), F.count("*").alias("jobs"))
-    return out.withColumn("cost", F.bround(F.col("elapsed_ms") * rate / 3_600_000, 2))
+    return out.withColumn("cost", ft.rounded(F.col("elapsed_ms") * rate / 3_600_000, 2))
 
 
 def realtime_factors(reports: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def realtime_factors(reports: DataFrame) -> DataFrame:
         .when(F.col("adapter_ms").isNotNull(), "adapter_wall_ms").otherwise("stage_wall_ms"))
     usable = processed > 0
     return (
-        reports.withColumn("realtime_factor", F.when(usable, F.bround(wall / processed, 6)))
+        reports.withColumn("realtime_factor", F.when(usable, ft.rounded(wall / processed, 6)))
         .withColumn("basis_ms", F.when(usable, processed)).withColumn("wall_basis", F.when(usable, basis)))
 
 

@@ -11,6 +11,18 @@ from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
 
 
+def rounded_sql(v: str, digits: int) -> str:
+    """SQL of the exact half-even rounding of a double column."""
+    k, c = "134217729::DOUBLE", 10.0**digits
+    ch = c * 134217729.0 - (c * 134217729.0 - c)
+    cl = c - ch
+    p = f"({v}*{c:.0f}::DOUBLE)"
+    vh = f"({v}*{k}-({v}*{k}-{v}))"
+    err = f"((({vh}*{ch:.0f}::DOUBLE-{p})+{vh}*{cl:.0f}::DOUBLE+({v}-{vh})*{ch:.0f}::DOUBLE)+({v}-{vh})*{cl:.0f}::DOUBLE)"
+    near = f"round_even({p}, 0)"
+    return (f"(CASE WHEN {p}-{near}=0.5 AND {err}>0 THEN {near}+1 WHEN {p}-{near}=-0.5 AND {err}<0 THEN {near}-1 ELSE {near} END/{c:.0f}::DOUBLE)")
+
+
 def stage_runs(spark, sf):
     # The recording order of the stages of a run.
     return view(spark, sf, "stage_run").withColumn("seq", F.expr("attempt*100000L + worker"))
@@ -35,8 +47,8 @@ def stage_fractions(spark, sf):
     return rp.stage_fractions(rows, rp.run_totals(rows)).select("run_id", "seq", "stage", "fraction_of_wall_time")
 
 
-@query("suite_rollup", """SELECT worker, CAST(sum(wall_ms) AS BIGINT) AS elapsed_ms, CASE WHEN bool_or(status IN ('PENDING','RUNNING','TIMED_OUT','INTERRUPTED')) THEN 'INCOMPLETE' WHEN bool_or(status='FAILED') THEN 'FAILED' ELSE 'MEASURED' END AS status,
-  count(*) AS jobs, round_even(sum(wall_ms)*6000.0::DOUBLE/3600000, 2) AS cost FROM stage_run GROUP BY worker""")
+@query("suite_rollup", """SELECT * EXCLUDE (c), """ + rounded_sql("c", 2) + """ AS cost FROM (SELECT worker, CAST(sum(wall_ms) AS BIGINT) AS elapsed_ms, CASE WHEN bool_or(status IN ('PENDING','RUNNING','TIMED_OUT','INTERRUPTED')) THEN 'INCOMPLETE' WHEN bool_or(status='FAILED') THEN 'FAILED' ELSE 'MEASURED' END AS status,
+  count(*) AS jobs, CAST(sum(wall_ms) AS BIGINT)*6000.0::DOUBLE/3600000 AS c FROM stage_run GROUP BY worker)""")
 def suite_rollup(spark, sf):
     return rp.suite_rollup(view(spark, sf, "stage_run"), ["worker"], F.lit(6000.0))
 
@@ -47,19 +59,20 @@ def run_suite_status(spark, sf):
     return rp.suite_rollup(view(spark, sf, "stage_run"), ["run_id"], F.lit(None).cast("double"))
 
 
-@query("realtime_factors", """SELECT run_id, seq, stage, CASE WHEN p > 0 THEN round_even(w/CAST(p AS DOUBLE), 6) END AS realtime_factor, CASE WHEN p > 0 THEN p END AS basis_ms, CASE WHEN p > 0 THEN b END AS wall_basis FROM (
+@query("realtime_factors", """SELECT run_id, seq, stage, CASE WHEN p > 0 THEN """ + rounded_sql("q", 6) + """ END AS realtime_factor, CASE WHEN p > 0 THEN p END AS basis_ms, CASE WHEN p > 0 THEN b END AS wall_basis FROM (
   SELECT *, attempt*100000 + worker AS seq, coalesce(processed_ms, source_ms) AS p, coalesce(inference_ms, adapter_ms, wall_ms) AS w,
-   CASE WHEN inference_ms IS NOT NULL THEN 'adapter_inference_ms' WHEN adapter_ms IS NOT NULL THEN 'adapter_wall_ms' ELSE 'stage_wall_ms' END AS b FROM stage_run)""")
+   CASE WHEN inference_ms IS NOT NULL THEN 'adapter_inference_ms' WHEN adapter_ms IS NOT NULL THEN 'adapter_wall_ms' ELSE 'stage_wall_ms' END AS b,
+   coalesce(inference_ms, adapter_ms, wall_ms)/CAST(coalesce(processed_ms, source_ms) AS DOUBLE) AS q FROM stage_run)""")
 def realtime_factors(spark, sf):
     return rp.realtime_factors(stage_runs(spark, sf)).select("run_id", "seq", "stage", "realtime_factor", "basis_ms", "wall_basis")
 
 
-@query("budget_projection", """SELECT run_id, total, round_even(total, 2) AS projected, CASE WHEN total > 8000 THEN 'REQUIRE_CONTINUE' WHEN total > 6500 THEN 'NO_AUTO_PROPAINTER' WHEN total > 5000 THEN 'REDUCE_FALLBACK' ELSE 'NORMAL' END AS policy FROM (
+@query("budget_projection", """SELECT run_id, total, """ + rounded_sql("total", 2) + """ AS projected, CASE WHEN total > 8000 THEN 'REQUIRE_CONTINUE' WHEN total > 6500 THEN 'NO_AUTO_PROPAINTER' WHEN total > 5000 THEN 'REDUCE_FALLBACK' ELSE 'NORMAL' END AS policy FROM (
   SELECT run_id, (sum(wall_ms)*40 + 1000000)*6000.0::DOUBLE/3600000 + 17.0::DOUBLE AS total FROM stage_run GROUP BY run_id)""")
 def budget_projection(spark, sf):
     sums = view(spark, sf, "stage_run").groupBy("run_id").agg((F.sum("wall_ms") * 40).alias("elapsed_ms"))
     total = ft.projected_cost(F.col("elapsed_ms"), F.lit(1_000_000), F.lit(17.0))
-    return sums.select("run_id", total.alias("total"), F.bround(total, 2).alias("projected"), ft.budget_policy(total).alias("policy"))
+    return sums.select("run_id", total.alias("total"), ft.rounded(total, 2).alias("projected"), ft.budget_policy(total).alias("policy"))
 
 
 @query("evidence_rollup", """SELECT run_id, seq, array_to_string(CASE WHEN r IS NULL AND n IS NULL THEN ['quality_evidence'] WHEN r IS NULL THEN n WHEN n IS NULL THEN r ELSE list_concat(r, list_filter(n, lambda x: NOT list_contains(r, x))) END, ',') AS missing FROM (
