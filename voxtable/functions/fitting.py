@@ -82,7 +82,7 @@ def rounded(x: Column, digits: int) -> Column:
 
 
 def projected_cost(elapsed_ms: Column, remaining_ms: Column, api: Column, rate: int = 6000) -> Column:
-    return (elapsed_ms + remaining_ms) * F.lit(rate) / F.lit(3_600_000) + api
+    return (elapsed_ms + remaining_ms).cast("long") * F.lit(rate) / F.lit(3_600_000) + api
 
 
 def budget_policy(total: Column, target: int = 5000, warning: int = 6500, hard: int = 8000) -> Column:

@@ -170,13 +170,7 @@ def neighbours(
     """
     pos = F.col(index)
     home = F.floor(pos / block_rows).cast("long")
-    blocks = F.array_distinct(
-        F.array(
-            F.floor((pos - after) / block_rows).cast("long"),
-            home,
-            F.floor((pos + before) / block_rows).cast("long"),
-        )
-    )
+    blocks = F.sequence(F.floor((pos - after) / block_rows).cast("long"), F.floor((pos + before) / block_rows).cast("long"))
     spread = df.withColumn("__home", home).withColumn(BLK, F.explode(blocks))
     frame = W.partitionBy(*keys, BLK).orderBy(index).rowsBetween(-before, after)
     packed = {n: F.collect_list(F.struct(pos.alias("i"), v.alias("v"))).over(frame)
