@@ -256,6 +256,20 @@ def capped_history(history: DataFrame, fresh: DataFrame, keys: Sequence[str], or
     return both.withColumn("__r", rank).where(F.col("__r") <= keep).drop("__r")
 
 
+def series_memory(history: DataFrame, lines: DataFrame, *, keep_history: int = 200, keep_lines: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Series memory after a run: the last addressing rows, and the last lines of the run.
+
+    Speaker labels belong to one episode, so they are not part of either table. ``history``:
+    ``series_id, run_no, start_ms, segment_id, speaker, addressee, addressing``; ``lines`` adds the new run.
+    """
+    order = ["run_no", "start_ms", "segment_id"]
+    known = F.col("character_id").isNotNull() & F.col("addressee_id").isNotNull() & (F.size("addressing") > 0)
+    fresh = lines.where(known).select("series_id", *order, F.col("character_id").alias("speaker"), F.col("addressee_id").alias("addressee"), "addressing")
+    last = capped_history(lines.limit(0), lines, ["series_id"], order, keep_lines)
+    return capped_history(history, fresh, ["series_id"], order, keep_history), last.select(
+        "series_id", *order, "zh_text", "subtitle_vi", "character_id")
+
+
 def deletable(parents: DataFrame, children: DataFrame, key: str, status: str = "status") -> DataFrame:
     """Parents none of whose children a worker is holding."""
     busy = children.where(F.col(status).isin(*ACTIVE)).select(key)

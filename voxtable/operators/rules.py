@@ -99,6 +99,13 @@ def duplicates(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.lit(code).alias("code"))
 
 
+def translation_input_rules(lines: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
+    """Lines that cannot be sent to translation: blank source text or an id used twice."""
+    ids = [*keys, ident]
+    blank = violations(lines, ids, {"BLANK_SOURCE_TEXT": tx.strip(F.col("zh_text")) == ""})
+    return blank.unionByName(duplicates(lines, ids, "DUPLICATE_ID"))
+
+
 def contained_path(path: Column) -> Column:
     """Relative path that stays below its root and is not the root itself."""
     steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))

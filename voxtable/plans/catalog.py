@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.states import moves_sql
 from voxtable.operators import catalog as ct
+from voxtable.operators import rules as rl
 from voxtable.operators import scan
 from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
+from voxtable.session import fresh_path, staged
 
 EP = ["episode_id"]
 QUEUE = "q AS (SELECT e.episode_id, s.priority, s.created_at AS sc, s.series_id, e.ordinal FROM episode e JOIN series s USING (series_id) WHERE e.status='QUEUED' AND e.queue_requested)"
@@ -238,6 +240,28 @@ def cascade_delete(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("manifest_set_mismatch", """WITH a AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents), b AS (SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id%21=4 THEN text || '!' ELSE text END) AS sha256 FROM documents WHERE doc_id%33<>5)
+(SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))""")
+def manifest_set_mismatch(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    listed = docs.select("path", F.sha2("text", 256).alias("sha256"))
+    found = docs.where("doc_id%33 <> 5").select("path", F.sha2(F.expr("CASE WHEN doc_id%21=4 THEN concat(text, '!') ELSE text END"), 256).alias("sha256"))
+    return rl.bag_mismatch(listed, found)
+
+
+@query("replaced_segments", """SELECT episode_id, ord, CASE WHEN episode_id%3=0 THEN 'edited' ELSE action END AS action FROM segment WHERE NOT (episode_id%3=0 AND ord%2=1)""")
+def replaced_segments(spark, sf):
+    """Segments of some episodes are overwritten; the other partitions stay."""
+    path = fresh_path(spark, "segments")
+    seg = view(spark, sf, "segment").select("ord", "action", F.col("episode_id"), (F.col("episode_id") % 16).alias("shard"))
+    ct.replace_partitions(seg, path, "shard")
+    stored = spark.read.schema("ord bigint, action string, episode_id bigint, shard bigint").parquet(path)
+    hit = stored.where("episode_id%3 = 0 AND ord%2 = 0").withColumn("action", F.lit("edited"))
+    # A partition holds several episodes, so the untouched ones are written back with it.
+    ct.replace_partitions(staged(hit.unionByName(stored.where("episode_id%3 <> 0"))), path, "shard")
+    return spark.read.schema("ord bigint, action string, episode_id bigint, shard bigint").parquet(path).select("episode_id", "ord", "action")
+
+
 @query("frozen_run_changes", """SELECT o_orderkey AS run_id, CASE WHEN o_orderkey%5=0 THEN 'CONFIG_CHANGED' WHEN o_orderkey%7=0 THEN 'SOURCE_CHANGED' ELSE 'CODE_CHANGED' END AS reason FROM orders WHERE o_orderkey%5=0 OR o_orderkey%7=0 OR o_orderkey%11=0""")
 def frozen_run_changes(spark, sf):
     o = table(spark, sf, "orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxtable.functions import text as tx
 from voxtable.operators import catalog as ct
 from voxtable.operators import context as cx
+from voxtable.operators import rules as rl
 from voxtable.operators import subtitles as st
 from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
@@ -154,6 +155,37 @@ def addressing_history(spark, sf):
     return ct.capped_history(rows.where("ord < 2"), rows.where("ord >= 2"), ["series_id"], ["ord", "episode_id"], 200)
 
 
+MEM = """l AS (SELECT series_id, episode_id AS run_no, start_ms, segment_id, zh_text, CASE WHEN speaker_id<>'system' THEN speaker_id END AS character_id, CASE WHEN ord%3<>0 THEN 'x' END AS addressee_id FROM segment)"""
+
+
+def memory_lines(spark, sf):
+    return view(spark, sf, "segment").selectExpr(
+        "series_id", "episode_id AS run_no", "start_ms", "segment_id", "zh_text", "'' AS subtitle_vi", "CASE WHEN speaker_id<>'system' THEN speaker_id END AS character_id",
+        "CASE WHEN ord%3<>0 THEN 'x' END AS addressee_id", "map('self', 'toi') AS addressing")
+
+
+@query("series_memory_history", "WITH " + MEM + """ SELECT series_id, run_no, segment_id FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY run_no DESC, start_ms DESC, segment_id DESC) AS r FROM l WHERE character_id IS NOT NULL AND addressee_id IS NOT NULL) WHERE r <= 200""")
+def series_memory_history(spark, sf):
+    lines = memory_lines(spark, sf)
+    old = lines.where("run_no%2 = 0 AND character_id IS NOT NULL AND addressee_id IS NOT NULL").selectExpr(
+        "series_id", "run_no", "start_ms", "segment_id", "character_id AS speaker", "addressee_id AS addressee", "addressing")
+    return ct.series_memory(old, lines.where("run_no%2 = 1"))[0].select("series_id", "run_no", "segment_id")
+
+
+@query("series_memory_last_lines", "WITH " + MEM + """ SELECT series_id, run_no, segment_id, zh_text FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY run_no DESC, start_ms DESC, segment_id DESC) AS r FROM l) WHERE r <= 30""")
+def series_memory_last_lines(spark, sf):
+    lines = memory_lines(spark, sf)
+    none = lines.selectExpr("series_id", "run_no", "start_ms", "segment_id", "character_id AS speaker", "addressee_id AS addressee", "addressing").limit(0)
+    return ct.series_memory(none, lines)[1].select("series_id", "run_no", "segment_id", "zh_text")
+
+
+@query("translation_input_violations", """SELECT episode_id, lid AS line_id, 'BLANK_SOURCE_TEXT' AS code FROM (SELECT episode_id, ord//2 AS lid, ord FROM segment) WHERE (episode_id+ord)%9=2
+UNION ALL SELECT episode_id, ord//2, 'DUPLICATE_ID' FROM segment GROUP BY ALL HAVING count(*) > 1""")
+def translation_input_violations(spark, sf):
+    lines = view(spark, sf, "segment").selectExpr("episode_id", "ord DIV 2 AS line_id", "CASE WHEN (episode_id+ord)%9=2 THEN ' \n' ELSE zh_text END AS zh_text")
+    return rl.translation_input_rules(lines, EP, "line_id")
+
+
 CUE_SRC = """src AS (SELECT series_id, episode_id, ord, start_ms + CASE WHEN ord%5=4 THEN -20000000 ELSE 0 END AS start_ms, end_ms, CASE WHEN ord%3=0 THEN '' WHEN ord%4=1 THEN '<i>{' || zh_text || '} & ' ELSE zh_text END AS subtitle_vi,
    CASE WHEN ord=0 THEN '   ' ELSE 'dub ' || zh_text END AS dub_vi, CAST(100000 AS BIGINT) AS duration_ms FROM segment)"""
 
