@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions.binding import let
 from voxtable.operators.scan import HOUR_MS, islands, neighbours, prefix, previous, slab
 from voxtable.session import spread, staged
 
@@ -307,7 +308,9 @@ def owned_words(words: DataFrame, bounds: DataFrame, keys: Sequence[str], *, chu
 
 def owned_in_row(chunks: DataFrame, words: str = "words") -> DataFrame:
     """The same for chunk rows that carry their own word array and bounds: nothing is moved."""
-    return chunks.withColumn(words, F.filter(words, lambda w: (w["s"] >= F.col("lo_ms")) & (w["s"] < F.col("hi_ms"))))
+    own = let({"w": F.col(words), "lo": F.col("lo_ms"), "hi": F.col("hi_ms")},
+              lambda b: F.filter(b["w"], lambda w: (w["s"] >= b["lo"]) & (w["s"] < b["hi"])))
+    return chunks.withColumn(words, own)
 
 
 def silence_groups(

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions import text as tx
+from voxtable.functions.binding import let
 from voxtable.schemas import WORD
 from voxtable.session import spread
 
@@ -48,14 +49,13 @@ def _units(col: Column) -> Column:
 
 def alignment_verdicts(segments: DataFrame, raw: str = "raw_words") -> DataFrame:
     """Add ``words`` (accepted) and ``reason`` (first problem in word order, else of the whole group)."""
-    kept = F.filter(F.col(raw), lambda w: F.char_length(_units(F.coalesce(w["word"], F.lit("")))) > 0)
-    judged = F.transform(
-        kept,
-        lambda w: F.struct(
+    def judged_words(b: Column) -> Column:
+        kept = F.filter(b["raw"], lambda w: F.char_length(_units(F.coalesce(w["word"], F.lit("")))) > 0)
+        return F.transform(kept, lambda w: F.struct(
             tx.strip(w["word"]).alias("t"), to_ms(w["start"]).alias("s"), to_ms(w["end"]).alias("e"),
-            word_verdict(w, F.col("start_ms"), F.col("end_ms")).alias("reason"),
-        ),
-    )
+            word_verdict(w, b["lo"], b["hi"]).alias("reason")))
+
+    judged = let({"raw": F.col(raw), "lo": F.col("start_ms"), "hi": F.col("end_ms")}, judged_words)
     out = spread(segments).withColumn("__w", judged)
     w = F.col("__w")
     # One pass in word order: a word's own problem comes before its order problem.
@@ -97,21 +97,28 @@ def review_fallback(segments: DataFrame) -> DataFrame:
 
 def native_words(df: DataFrame, raw: str = "raw_words") -> DataFrame:
     """Split native recogniser words into ``words`` inside the window and ``issues`` rows."""
-    timed = F.transform(
-        F.col(raw),
-        lambda w: F.struct(w["word"].alias("t"), (F.col("start_ms") + F.bround(w["start"] * 1000)).cast("long").alias("s"),
-                           (F.col("start_ms") + F.bround(w["end"] * 1000)).cast("long").alias("e")),
-    )
-    inside = lambda w: (w["s"] >= F.col("start_ms")) & (w["s"] < w["e"]) & (w["e"] <= F.col("end_ms"))
-    out = df.withColumn("__t", timed)
-    issue = lambda code, w: F.struct(F.lit(code).alias("code"), w["t"].alias("token"), w["s"].alias("s"), w["e"].alias("e"))
-    short = F.transform(F.filter("__t", lambda w: inside(w) & (w["e"] - w["s"] < 20)), lambda w: issue("VERY_SHORT_NATIVE_WORD_TIME", w))
-    outside = F.transform(F.filter("__t", lambda w: ~inside(w)), lambda w: issue("INVALID_NATIVE_WORD_TIME", w))
-    none = F.when(F.size(F.filter("__t", inside)) == 0, F.array(F.struct(
-        F.lit("NATIVE_WORD_TIMING_UNAVAILABLE").alias("code"), F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))))
-    issues = F.concat(short, outside, F.coalesce(none, F.expr("filter(array(named_struct('code','','token','','s',0L,'e',0L)), x -> false)")))
-    return out.withColumn("words", F.filter("__t", inside)).withColumn("issues", issues).drop("__t")
+    def sorted_out(b: Column) -> Column:
+        inside = lambda w: (w["s"] >= b["lo"]) & (w["s"] < w["e"]) & (w["e"] <= b["hi"])
+        # In word order: inside but too short to be real, or not inside at all.
+        doubtful = F.filter(b["t"], lambda w: ~inside(w) | (w["e"] - w["s"] < 20))
+        found = F.transform(doubtful, lambda w: F.struct(
+            F.when(inside(w), "VERY_SHORT_NATIVE_WORD_TIME").otherwise("INVALID_NATIVE_WORD_TIME").alias("code"),
+            w["t"].alias("token"), w["s"].alias("s"), w["e"].alias("e")))
+        untimed = F.array(F.struct(F.lit("NATIVE_WORD_TIMING_UNAVAILABLE").alias("code"), F.lit(None).cast("string").alias("token"),
+                                   F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e")))
+        issues = F.when(F.exists(b["t"], inside), found).otherwise(F.concat(found, untimed))
+        return F.struct(F.filter(b["t"], inside).alias("words"), issues.alias("issues"))
+
+    def timed(b: Column) -> Column:
+        return F.transform(b["raw"], lambda w: F.struct(
+            w["word"].alias("t"), (b["lo"] + F.bround(w["start"] * 1000)).cast("long").alias("s"),
+            (b["lo"] + F.bround(w["end"] * 1000)).cast("long").alias("e")))
+
+    window = {"lo": F.col("start_ms"), "hi": F.col("end_ms")}
+    split = let({"raw": F.col(raw), **window}, lambda b: let({"t": timed(b), "lo": b["lo"], "hi": b["hi"]}, sorted_out))
+    # Exploding the one result keeps it from being computed again for each field.
+    out = spread(df).withColumn("__r", F.explode(F.array(split)))
+    return out.withColumn("words", F.col("__r.words")).withColumn("issues", F.col("__r.issues")).drop("__r")
 
 
 def dub_decision(df: DataFrame, text: str = "zh_text", words: str = "words", speakers: str = "speaker_ids") -> DataFrame:
@@ -130,18 +137,20 @@ def dub_decision(df: DataFrame, text: str = "zh_text", words: str = "words", spe
 def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
     """Force aligned words to be ordered and inside the chunk, one millisecond long at least."""
     empty = F.array().cast(f"array<{WORD}>")
-    start = F.struct(chunk_start.cast("long").alias("at"), empty.alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        s = F.greatest(w["s"], acc["at"])
-        e = F.greatest(s + 1, w["e"], w["s"] + 1)
-        over = e > chunk_end
-        end = F.when(over, chunk_end).otherwise(e).cast("long")
-        begin = F.when(over, F.least(s, F.greatest(chunk_start, chunk_end - 1))).otherwise(s).cast("long")
-        word = F.struct(w["t"].alias("t"), begin.alias("s"), end.alias("e"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(word)).alias("out"))
-
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
+
+    def fold(b: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            s = F.greatest(w["s"], acc["at"])
+            e = F.greatest(s + 1, w["e"], w["s"] + 1)
+            over = e > b["hi"]
+            end = F.when(over, b["hi"]).otherwise(e)
+            begin = F.when(over, F.least(s, F.greatest(b["lo"], b["hi"] - 1))).otherwise(s)
+            word = F.struct(w["t"].alias("t"), begin.alias("s"), end.alias("e"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(word)).alias("out"))
+
+        return F.aggregate(b["w"], F.struct(b["lo"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    return let({"w": words, "lo": chunk_start.cast("long"), "hi": chunk_end.cast("long")}, fold)
 
 
 # --- utterance kernel ---------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from voxtable.operators import subtitles as st
 from voxtable.operators import words as wd
 from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
+from voxtable.session import spread
 
 EP = ["episode_id"]
 
@@ -22,17 +23,17 @@ TOK_SQL = """tok AS (SELECT episode_id, ord, speaker_id, start_ms, end_ms, zh_te
      len(string_split(zh_text,' ')) AS n FROM segment))"""
 # The one-element array binds the tokens once, so the inner lambda does not split the text per token.
 def bound(body: str) -> str:
-    return ("element_at(transform(array(named_struct('toks', split(zh_text, ' '), 'n', size(split(zh_text, ' ')))), b -> "
+    return ("element_at(transform(array(named_struct('toks', split(zh_text, ' '), 'n', size(split(zh_text, ' ')), 's', start_ms, 'd', end_ms - start_ms)), b -> "
             f"{body}), 1)")
 
 
 WORDS = bound("transform(b.toks, (t, i) -> named_struct('t', t, 'i', i, "
-              "'s', start_ms + CAST(i AS BIGINT)*(end_ms-start_ms) DIV b.n, 'e', start_ms + CAST(i+1 AS BIGINT)*(end_ms-start_ms) DIV b.n))")
+              "'s', b.s + CAST(i AS BIGINT)*b.d DIV b.n, 'e', b.s + CAST(i+1 AS BIGINT)*b.d DIV b.n))")
 # Planted alignment faults, by line: low score, outside the window, out of order, missing, no score.
-RAW = f"""transform(filter({WORDS}, w -> NOT ((episode_id+ord)%6=4 AND w.e = end_ms)), w -> named_struct(
+RAW = f"""element_at(transform(array(named_struct('w', {WORDS}, 'e', end_ms)), c -> transform(filter(c.w, w -> NOT ((episode_id+ord)%6=4 AND w.e = c.e)), w -> named_struct(
   'word', w.t, 'start', (w.s - CASE WHEN (episode_id+ord)%6=3 AND w.i=3 THEN 150 ELSE 0 END)/1000.0D,
-  'end', (CASE WHEN (episode_id+ord)%6=2 AND w.i=1 THEN end_ms+500 ELSE w.e END)/1000.0D,
-  'score', CASE WHEN (episode_id+ord)%6=5 AND w.i=0 THEN CAST(NULL AS DOUBLE) WHEN (episode_id+ord)%6=1 AND w.i=2 THEN 0.001D ELSE 0.5D END))"""
+  'end', (CASE WHEN (episode_id+ord)%6=2 AND w.i=1 THEN c.e+500 ELSE w.e END)/1000.0D,
+  'score', CASE WHEN (episode_id+ord)%6=5 AND w.i=0 THEN CAST(NULL AS DOUBLE) WHEN (episode_id+ord)%6=1 AND w.i=2 THEN 0.001D ELSE 0.5D END))), 1)"""
 RAW_SQL = TOK_SQL + """, raw AS (SELECT * REPLACE (s - CASE WHEN (episode_id+ord)%6=3 AND i=3 THEN 150 ELSE 0 END AS s,
     CASE WHEN (episode_id+ord)%6=2 AND i=1 THEN end_ms+500 ELSE e END AS e),
     CASE WHEN (episode_id+ord)%6=5 AND i=0 THEN NULL WHEN (episode_id+ord)%6=1 AND i=2 THEN 0.001 ELSE 0.5 END AS score
@@ -51,12 +52,12 @@ RAW_SQL = TOK_SQL + """, raw AS (SELECT * REPLACE (s - CASE WHEN (episode_id+ord
 
 
 def segments_with_words(spark, sf):
-    return view(spark, sf, "segment").withColumn(
+    return spread(view(spark, sf, "segment")).withColumn(
         "words", F.expr(f"transform({WORDS}, w -> named_struct('t', w.t, 's', w.s, 'e', w.e))"))
 
 
 def raw_alignments(spark, sf):
-    return view(spark, sf, "segment").withColumn("raw_words", F.expr(RAW)).withColumn(
+    return spread(view(spark, sf, "segment")).withColumn("raw_words", F.expr(RAW)).withColumn(
         "confidence", F.create_map(F.lit("asr"), F.lit(0.9)))
 
 
@@ -103,8 +104,8 @@ def alignment_rollup(spark, sf):
         F.sum(F.col("end_ms") - F.col("start_ms")).alias("processed_media_ms"))
 
 
-NATIVE = f"""transform({WORDS}, w -> named_struct('word', w.t, 'start', (w.s-start_ms)/1000.0D,
-  'end', (CASE WHEN w.i%7=3 THEN w.s+10 WHEN w.i%11=5 THEN end_ms+40 ELSE w.e END - start_ms)/1000.0D, 'score', 1.0D))"""
+NATIVE = f"""element_at(transform(array(named_struct('w', {WORDS}, 's', start_ms, 'e', end_ms)), c -> transform(c.w, w -> named_struct('word', w.t, 'start', (w.s-c.s)/1000.0D,
+  'end', (CASE WHEN w.i%7=3 THEN w.s+10 WHEN w.i%11=5 THEN c.e+40 ELSE w.e END - c.s)/1000.0D, 'score', 1.0D))), 1)"""
 
 
 @query("native_word_issues", "WITH " + TOK_SQL + """, x AS (SELECT episode_id, ord, t, s, CASE WHEN i%7=3 THEN s+10 WHEN i%11=5 THEN end_ms+40 ELSE e END AS e, start_ms, end_ms FROM tok),

@@ -128,15 +128,16 @@ WITH RECURSIVE ch AS (
    CASE WHEN lag(end_ms) OVER w > start_ms THEN (start_ms + lag(end_ms) OVER w)//2 ELSE start_ms END AS lo_ms,
    CASE WHEN lead(start_ms) OVER w < end_ms THEN (lead(start_ms) OVER w + end_ms)//2 ELSE end_ms END AS hi_ms
    FROM ch WINDOW w AS (PARTITION BY episode_id ORDER BY chunk_no)),
- words AS (SELECT episode_id, chunk_no, start_ms + i*500 AS s, start_ms + i*500 + 400 AS e, lo_ms, hi_ms
-   FROM (SELECT *, unnest(range(0, CAST(ceil((end_ms-start_ms)/500) AS BIGINT))) AS i FROM b))
+ words AS (SELECT episode_id, chunk_no, start_ms + i*6000 AS s, start_ms + i*6000 + 400 AS e, lo_ms, hi_ms
+   FROM (SELECT *, unnest(range(0, CAST(ceil((end_ms-start_ms)/6000) AS BIGINT))) AS i FROM b))
 SELECT episode_id, chunk_no, count(*) AS owned, min(s) AS first_ms, max(e) AS last_ms FROM words WHERE s >= lo_ms AND s < hi_ms GROUP BY ALL""")
 def chunk_word_ownership(spark, sf):
     whole = view(spark, sf, "media").withColumn("start_ms", F.lit(0).cast("long")).withColumn("end_ms", F.col("duration_ms"))
     chunks = iv.split_overlapping(whole, 240_000, 1_000, index="chunk_no").select("episode_id", "chunk_no", "start_ms", "end_ms")
-    count = F.ceil((F.col("end_ms") - F.col("start_ms")) / 500).cast("long")
+    # Documents give one second per character, so this is about one word per six characters.
+    count = F.ceil((F.col("end_ms") - F.col("start_ms")) / 6000).cast("long")
     words = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(
-        (F.col("start_ms") + i * 500).alias("s"), (F.col("start_ms") + i * 500 + 400).alias("e")))
+        (F.col("start_ms") + i * 6000).alias("s"), (F.col("start_ms") + i * 6000 + 400).alias("e")))
     owned = iv.owned_in_row(iv.chunk_bounds(chunks, EP).withColumn("words", words))
     return owned.where(F.size("words") > 0).select(
         "episode_id", "chunk_no", F.size("words").cast("long").alias("owned"),

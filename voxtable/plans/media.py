@@ -11,7 +11,7 @@ from voxtable.functions import adapters as ad
 from voxtable.operators import pcm
 from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
-from voxtable.session import fresh_path
+from voxtable.session import fresh_path, spread
 from voxtable.sources import audio as au
 from voxtable.sources import documents as dc
 
@@ -93,7 +93,7 @@ def punctuated_lines(spark, sf):
 def public_json(spark, sf):
     doc = F.format_string('{"stage":"%s","API_KEY":"k","a":{"token":1,"keep":%d,"env":{"z":1}},"list":[{"x":1,"user_password":2}],"environment":3}', "stage", "wall_ms")
     rows = view(spark, sf, "stage_run").select("run_id", F.expr("attempt*100000L + worker AS seq"), doc.alias("doc"))
-    return rows.select("run_id", "seq", dc.plan_json(dc.public_json("doc")).alias("doc"))
+    return spread(rows).select("run_id", "seq", dc.plan_json(dc.public_json("doc")).alias("doc"))
 
 
 def stem_blocks(spark, sf):

@@ -66,7 +66,7 @@ class StateMonitor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of one trigger come unordered.
         pdf = pd.concat(rows).sort_values(["ts_ms", "event_id"])
-        state, since = self.last.get() if self.last.exists() else (None, None)
+        state, since = self.last.get() or (None, None)
         out = []
         for event, ts, new in zip(pdf["event_id"], pdf["ts_ms"], pdf["state"]):
             if state is not None:
@@ -96,7 +96,7 @@ class UploadAssembler(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values("seq")
-        done = int(self.committed.get()[0]) if self.committed.exists() else 0
+        done = int((self.committed.get() or (0,))[0])
         out = []
         for seq, offset, length, total in zip(pdf["seq"], pdf["offset"], pdf["length"], pdf["total_bytes"]):
             if done == total:
