@@ -159,9 +159,19 @@ def test_history_cap(rows):
     assert listed(ct.capped_history(old, new, ["series_id"], ["at"], 3), "at") == [(3,), (4,), (9,)]
 
 
-def test_quota_is_inclusive(rows):
-    req = rows("seq bigint, total_bytes bigint", [(1, 40), (2, 60), (3, 1)])
-    assert listed(ct.quota_admission(req, 0, 100, width=1), "seq", "reserved_bytes", "admitted") == [(1, 0, True), (2, 40, True), (3, 100, False)]
+def test_quota_refusals_reserve_nothing(rows):
+    import random
+
+    rnd = random.Random(1)
+    data = [(k, i, rnd.randrange(1, 60)) for k in (1, 2, 3) for i in range(80)] + [(4, 0, 100), (4, 1, 1), (5, 0, 101)]
+    want, used = [], {}
+    for k, i, size in data:
+        held = used.get(k, 0)
+        want.append((k, i, held, held + size <= 100))
+        used[k] = held + size if held + size <= 100 else held
+    req = rows("k bigint, seq bigint, total_bytes bigint", data)
+    for width in (7, 1000):
+        assert listed(ct.quota_admission(req, ["k"], 100, width=width), "k", "seq", "reserved_bytes", "admitted") == sorted(want, key=repr)
 
 
 def test_character_names_in_ids(spark):

@@ -12,6 +12,7 @@ from voxtable.functions import fitting as ft
 from voxtable.functions.states import ACTIVE, RECOVERABLE, STAGE_ORDER, moves_table
 from voxtable.operators.scan import following, global_rank, prefix, previous
 from voxtable.schemas import ROI
+from voxtable.session import staged
 
 # Issues that keep an episode in review, and issues a saved review resolves.
 REVIEW_CODES = ("DURATION_REWRITE_REQUIRED", "ALIGNMENT_REVIEW_REQUIRED", "TRANSCRIPT_REVIEW_REQUIRED", "MISSING_TTS_CLIP")
@@ -84,16 +85,44 @@ def event_page(events: DataFrame, cursor: int, size: int = 100) -> DataFrame:
     return events.where(F.col("event_id") > cursor).orderBy("event_id").limit(size)
 
 
-def quota_admission(requests: DataFrame, reserved: int | Column, quota: int, *, order: str = "seq", width: int = 1_000_000) -> DataFrame:
-    """Running reservation over all requests in arrival order, and whether each still fits.
+def quota_admission(
+    requests: DataFrame, keys: Sequence[str], quota: int, *, reserved: DataFrame | None = None, order: str = "seq", width: int = 1_000_000
+) -> DataFrame:
+    """Admit upload requests in arrival order while they fit; a refused request reserves nothing.
 
-    The running sum counts every earlier request, so it is the reservation if all of them were admitted.
+    Up to the first refusal of a key a running sum is exact. After it only requests that still fit the
+    space left can ever be admitted, so each round judges all of those up to the next refusal, for all
+    keys at once. A round mostly halves the space left, which keeps the rounds few.
+    ``reserved``: keys and ``reserved_bytes`` held before the batch.
     """
-    keyed = requests.withColumn("__all", F.lit(0))
-    out = prefix(keyed, ["__all"], [order], F.floor(F.col(order) / width).cast("long"), {"ahead": ("sum", F.col("total_bytes"))})
-    base = F.lit(reserved) if isinstance(reserved, int) else reserved
-    return out.drop("__all").withColumn("reserved_bytes", F.col("ahead") + base).withColumn(
-        "admitted", F.col("reserved_bytes") + F.col("total_bytes") <= quota).drop("ahead")
+    block = F.floor(F.col(order) / width).cast("long")
+    base = requests.select(*keys, order, "total_bytes")
+    if reserved is None:
+        left = base.withColumn("used", F.lit(0).cast("long"))
+    else:
+        left = base.join(reserved.select(*keys, F.col("reserved_bytes").alias("used")), list(keys), "left").fillna(0, ["used"])
+    left, admitted = left.where(F.col("used") + F.col("total_bytes") <= quota), None
+    while True:
+        run = prefix(left, keys, [order], block, {"ahead": ("sum", F.col("total_bytes"))})
+        judged = staged(run.withColumn("fits", F.col("used") + F.col("ahead") + F.col("total_bytes") <= quota))
+        stop = judged.groupBy(*keys).agg(F.min(F.when(~F.col("fits"), F.col(order))).alias("stop"))
+        marked = judged.join(stop, list(keys))
+        before = F.col("stop").isNull() | (F.col(order) < F.col("stop"))
+        taken = marked.where(before).select(*keys, order, F.lit(True).alias("admitted"))
+        admitted = taken if admitted is None else admitted.unionByName(taken)
+        if not judged.where("NOT fits").limit(1).count():
+            break
+        held = marked.where("stop IS NOT NULL").groupBy(*keys).agg(
+            (F.max("used") + F.sum(F.when(before, F.col("total_bytes")).otherwise(0))).alias("used"), F.first("stop").alias("stop"))
+        left = judged.drop("used", "ahead", "fits").join(held, list(keys)).where(
+            (F.col(order) > F.col("stop")) & (F.col("used") + F.col("total_bytes") <= quota)).drop("stop")
+    out = requests.join(admitted, [*keys, order], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    out = prefix(out, keys, [order], block, {"reserved_bytes": ("sum", F.when(F.col("admitted"), F.col("total_bytes")).otherwise(0))})
+    if reserved is None:
+        return out
+    held = reserved.select(*keys, F.col("reserved_bytes").alias("__base"))
+    return out.join(held, list(keys), "left").withColumn(
+        "reserved_bytes", F.col("reserved_bytes") + F.coalesce(F.col("__base"), F.lit(0).cast("long"))).drop("__base")
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:

@@ -58,11 +58,13 @@ def event_page(spark, sf):
     return ct.event_page(view(spark, sf, "job_event"), 250).select("event_id", "episode_id", "state")
 
 
-@query("quota_admission", """SELECT episode_id, reserved_bytes, reserved_bytes + total_bytes <= 900000000 AS admitted FROM (
-  SELECT *, CAST(1000 + coalesce(sum(total_bytes) OVER (ORDER BY episode_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS reserved_bytes FROM episode)""")
+@query("quota_admission", """WITH RECURSIVE r AS (SELECT series_id%25 AS workspace, episode_id, total_bytes, row_number() OVER (PARTITION BY series_id%25 ORDER BY episode_id) AS n FROM episode),
+ st AS (SELECT workspace, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS episode_id, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS reserved_bytes, false AS admitted FROM (SELECT DISTINCT workspace FROM r)
+  UNION ALL SELECT r.workspace, r.n, r.episode_id, CASE WHEN used + total_bytes <= 20000000 THEN used + total_bytes ELSE used END, used, used + total_bytes <= 20000000 FROM st JOIN r ON r.workspace=st.workspace AND r.n=st.n+1)
+SELECT workspace, episode_id, reserved_bytes, admitted FROM st WHERE n > 0""")
 def quota_admission(spark, sf):
-    req = view(spark, sf, "episode").select("episode_id", F.col("episode_id").alias("seq"), "total_bytes")
-    return ct.quota_admission(req, 1000, 900_000_000, width=4096).select("episode_id", "reserved_bytes", "admitted")
+    req = view(spark, sf, "episode").selectExpr("series_id % 25 AS workspace", "episode_id", "total_bytes")
+    return ct.quota_admission(req, ["workspace"], 20_000_000, order="episode_id", width=65_536).select("workspace", "episode_id", "reserved_bytes", "admitted")
 
 
 @query("issue_summary", "SELECT code, severity, count(*) AS n FROM issue WHERE NOT resolved GROUP BY ROLLUP(code, severity)")
