@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
         F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
     # Up to the first source that does not fill up the level grows; from there on that source's level holds for all.
     marked = listed.withColumn("__level", level)
-    stop = F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))).over(full.rowsBetween(W.unboundedPreceding, 0))
+    stop = F.first(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level")), ignorenulls=True).over(full.rowsBetween(W.unboundedPreceding, 0))
     return marked.select("source", "source_size", F.when(stop.isNull(), F.col("__cap")).otherwise(F.least(stop * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
@@ -90,8 +90,8 @@ def _position(seed: int, columns: list[str]) -> Column:
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """All columns of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken``; columns of these names are replaced.
 
-    Counts and sums are aggregated before they are shuffled. The documents of one length of one source are told apart
-    by bins of their seeded position, counted in histograms; only one bin of each length is ranked row by row.
+    Counts and sums are aggregated before they are shuffled. The documents of one length of one source fall into bins by
+    their seeded position; a histogram of the bins gives each bin its quota, so no task ranks a whole length.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     columns = docs.columns
@@ -99,7 +99,6 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     place = _position(seed, [c for c in ("doc_id", "text") if c in columns])
     sized = docs.withColumns({"size": word_count, "__pos": place})
     sized = sized.withColumn("__bin", F.pmod(F.shiftrightunsigned("__pos", 20), F.lit(BINS)).cast("int"))
-    # A length's documents fall into bins of their own number's order, so that small groups use few bins.
     by_bin = staged(sized.groupBy("source", "size", "__bin").agg(F.count("*").alias("n")), "mix-bins")
     lengths = by_bin.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -125,14 +124,10 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     steps = by_bin.join(plan, same).select(by_bin["source"], by_bin["size"], "__bin", "n", "whole", "more").withColumn("__upto", F.sum("n").over(ordered))
     want = F.col("more") - (F.col("__upto") - F.col("n"))
     quota = staged(steps.select(F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("__bin").alias("__b"), "whole",
-                                F.least(F.greatest(want, F.lit(0)), F.col("n")).alias("__want"), F.col("n").alias("__have")), "mix-quota")
+                                F.least(F.greatest(want, F.lit(0)), F.col("n")).alias("__want")), "mix-quota")
     joined = sized.join(quota, sized["source"].eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")) & (F.col("__bin") == F.col("__b")), "left")
-    settled = (F.col("__want") == 0) | (F.col("__want") == F.col("__have")) | F.col("__want").isNull()
-    plain = joined.where(settled).withColumn("__in", F.when(F.col("__want") > 0, 1).otherwise(0))
-    edge = W.partitionBy("source", "size", "__bin").orderBy("__pos")
-    ranked = joined.where(~settled).withColumn("__in", (F.row_number().over(edge) <= F.col("__want")).cast("int"))
-    # Without shuffling texts again: both branches read the same joined rows.
-    both = plain.unionByName(ranked)
+    inside = W.partitionBy("source", "size", "__bin").orderBy("__pos")
+    both = joined.withColumn("__in", (F.row_number().over(inside) <= F.coalesce("__want", F.lit(0))).cast("int"))
     taken = (F.coalesce(F.col("whole"), F.lit(0)) + F.col("__in")) * F.col("size")
     out = both.join(F.broadcast(goal.withColumnRenamed("source", "__g")), F.col("source").eqNullSafe(F.col("__g")), "left")
     return out.select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
