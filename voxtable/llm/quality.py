@@ -94,12 +94,12 @@ class ByteConvNet:
         x, _, _ = self._features(peaks, strides)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights["out"] + self.weights["base"], -30, 30)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> ByteConvNet:
-        """Adam on the log loss. With no rows it stays at one half; with one class it learns that class."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 650, batch: int = 64, rate: float = 0.01) -> ByteConvNet:
+        """Adam on the log loss, about ``steps`` batches. With no rows it stays at one half; with one class it learns that class."""
         rng = np.random.default_rng(self.seed)
         w = self.weights
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-        step = 0
+        step, epochs = 0, -(-steps * batch // max(1, len(texts)))
         for epoch in range(epochs if len(texts) else 0):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
@@ -156,9 +156,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality
     return [(r["__text"].encode(), r["__label"]) for r in picked]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4000, epochs: int = 10) -> ByteConvNet:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4000, steps: int = 650) -> ByteConvNet:
     sample = labelled_sample(docs, labels, max_rows=max_rows)
-    return ByteConvNet().fit([t for t, _ in sample], np.array([y for _, y in sample]), epochs=epochs)
+    return ByteConvNet().fit([t for t, _ in sample], np.array([y for _, y in sample]), steps=steps)
 
 
 def score_quality(docs: DataFrame, model: ByteConvNet, name: str = "score") -> DataFrame:

@@ -173,21 +173,24 @@ def _near(planes: np.ndarray, prints: np.ndarray, query: np.ndarray, word: np.nd
     return query, word, alive
 
 
-def block_masks(radius: int) -> list[int]:
-    """One mask per table: two of ``radius + 2`` blocks of bits."""
-    edges = [BITS * i // (radius + 2) for i in range(radius + 3)]
+def block_masks(radius: int, matched: int = 2) -> list[int]:
+    """One mask per table: ``matched`` of ``radius + matched`` blocks of bits."""
+    edges = [BITS * i // (radius + matched) for i in range(radius + matched + 1)]
     blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
-    return [a | b for a, b in combinations(blocks, 2)]
+    return [sum(chosen) for chosen in combinations(blocks, matched)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(prints: DataFrame, radius: int, *, bucket_rows: int = 8192) -> DataFrame:
-    """Links (``a``, ``b``) between different fingerprints of the one bigint column, enough to connect all within the radius."""
+def near_links(prints: DataFrame, radius: int, *, matched: int = 2, bucket_rows: int = 8192) -> DataFrame:
+    """Links (``a``, ``b``) between different fingerprints of the one bigint column, enough to connect all within the radius.
+
+    More ``matched`` blocks make more tables of smaller buckets, for very many fingerprints; the links are the same sets.
+    """
     name = prints.columns[0]
-    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(radius)])
+    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(radius, matched)])
     dealt = prints.select(F.col(name).alias("fp")).distinct().select("fp", F.posexplode(masks).alias("t", "m"))
     dealt = dealt.select("fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
     # A bucket of more rows than one task should hold is cut in parts; every pair of parts meets once.
@@ -238,6 +241,48 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> Da
     return prints.join(named, prints["__fp"] == named["fp"]).select("doc_id", F.col("__fp").alias("fingerprint"), "component_id")
 
 
+def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (``ka1, ka2, kb1, kb2`` and more) whose sets of shingles have at least this Jaccard similarity."""
+    ends = pairs.select(F.col("ka1").alias("k1"), F.col("ka2").alias("k2")).unionAll(pairs.select("kb1", "kb2")).distinct()
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows.slices(batches, "text", 1 << 22):
+            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in rows.raw(part.column("text"))]
+            yield rows.with_columns(part, ["k1", "k2"], shingles=pa.array(found, pa.list_(pa.int64())))
+
+    texts = docs.select(F.col(rows.KEY[0]).alias("k1"), F.col(rows.KEY[1]).alias("k2"), "text").join(ends, ["k1", "k2"], "left_semi")
+    held = staged(texts.mapInArrow(sets, "k1 bigint, k2 bigint, shingles array<bigint>").dropDuplicates(["k1", "k2"]), "shingle-sets")
+    a, b = held.toDF("ka1", "ka2", "sa"), held.toDF("kb1", "kb2", "sb")
+    both = pairs.join(a, ["ka1", "ka2"]).join(b, ["kb1", "kb2"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select(*pairs.columns)
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns.
+
+    Fingerprints within ``radius`` bits are candidates; a link stands if the texts' sets of word shingles have at least the
+    given Jaccard similarity. Of a group the smallest ``doc_id`` stays (null ids come last, then the text's hash decides); of rows
+    that agree in id and text one stays. All empty and null texts are one group.
+    """
+    held = rows.keyed(docs, "doc_id", "text")
+    key = [*rows.KEY]
+    prints = staged(with_fingerprints(held.select("doc_id", *key, "text"), shingle=shingle), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *key)
+    first = staged(prints.groupBy("__fp").agg(F.min(order).alias("one"), F.count("*").alias("n")), "simhash-first")
+    links = near_links(first.select("__fp"), radius).distinct()
+    ends = [first.select(F.col("__fp").alias(x), F.col(f"one.{key[0]}").alias(f"k{x}1"), F.col(f"one.{key[1]}").alias(f"k{x}2")) for x in "ab"]
+    pairs = staged(links.join(ends[0], "a").join(ends[1], "b"), "simhash-pairs")
+    label = staged(components(_alike(held, pairs, shingle, similarity).select("a", "b")), "simhash-sets")
+    named = first.join(label, F.col("__fp") == F.col("node"), "left").withColumn("set", F.coalesce("label", "__fp"))
+    best = named.groupBy("set").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
+    grouped = named.join(best.drop("n"), "set").select(F.col("__fp").alias("fp"), "stays")
+    gone = prints.join(grouped, F.col("__fp") == F.col("fp")).where((F.col(key[0]) != F.col(f"stays.{key[0]}")) | (F.col(key[1]) != F.col(f"stays.{key[1]}")))
+    kept = held.join(gone.select(*key).distinct(), key, "left_anti")
+    if not prints.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(key)
+    return kept.select(*docs.columns)
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(rows.table(spark, sf_dir, "documents"))
