@@ -205,9 +205,18 @@ def near_links(prints: DataFrame, radius: int, *, matched: int = 2, bucket_rows:
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = [], []
 
-        def search(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = sets_within(f, k, radius)
-            return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], names=["a", "b"])
+        def search(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # Planes take 4 KB a word of up to 64 rows: rows alone in their bucket need none, and few buckets are laid out at once.
+            edge = np.r_[True, k[1:] != k[:-1], True]
+            together = ~(edge[1:] & edge[:-1])
+            k, f = k[together], f[together]
+            start = 0
+            while start < len(k):
+                stop = min(len(k), start + (1 << 14))
+                stop = len(k) if stop == len(k) else int(np.searchsorted(k, k[stop], side="right"))
+                a, b = sets_within(f[start:stop], k[start:stop], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(f[start:stop][a]), pa.array(f[start:stop][b])], names=["a", "b"])
+                start = stop
 
         for batch in batches:
             held_k.append(batch.column(0).to_numpy())
@@ -217,10 +226,10 @@ def near_links(prints: DataFrame, radius: int, *, matched: int = 2, bucket_rows:
             k, f = np.concatenate(held_k), np.concatenate(held_f)
             stop = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0  # the last bucket may go on
             if stop:
-                yield search(k[:stop], f[:stop])
+                yield from search(k[:stop], f[:stop])
             held_k, held_f = [k[stop:]], [f[stop:]]
         if held_k and sum(map(len, held_k)):
-            yield search(np.concatenate(held_k), np.concatenate(held_f))
+            yield from search(np.concatenate(held_k), np.concatenate(held_f))
 
     return placed.mapInArrow(link, "a bigint, b bigint")
 
