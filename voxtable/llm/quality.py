@@ -49,15 +49,17 @@ class ByteConvNet:
 
     @staticmethod
     def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts in one byte array, each padded so that no filter reaches into the next; strides of each."""
+        """All texts in one byte array, each followed by padding of a filter's width at least; strides of each."""
         strides = np.array([-(-(len(t) + WIDTH) // STRIDE) for t in texts], dtype=np.int64)
         data = b"".join(t.ljust(int(n) * STRIDE, b"\0") for t, n in zip(texts, strides))
         return np.frombuffer(data, np.uint8), strides
 
     @staticmethod
-    def _strides(data: np.ndarray, tables: np.ndarray, place: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    def _strides(data: np.ndarray, strides: np.ndarray, tables: np.ndarray, place: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """The strongest answer of each filter in each stride, and where in the stride it was."""
         peaks, places = [], []
+        final = np.zeros(len(data) // STRIDE, bool)
+        final[np.cumsum(strides) - 1] = True
         for start in range(0, len(data), PIECE):
             stop = min(len(data), start + PIECE)
             part = np.zeros(stop - start + WIDTH, np.uint8)
@@ -68,6 +70,8 @@ class ByteConvNet:
             for k in range(1, WIDTH):
                 answers += tables[k][part[k : k + STEP * n : STEP]]
             answers = answers.reshape(-1, STRIDE // STEP, FILTERS)
+            # What starts in the last bytes of a text's padding would reach into the next text.
+            answers[final[start // STRIDE : stop // STRIDE], -(WIDTH // STEP) :] = -1e9
             peaks.append(answers.max(axis=1))
             if place:
                 places.append(answers.argmax(axis=1) * STEP + np.arange(start, stop, STRIDE)[:, None])
@@ -90,11 +94,11 @@ class ByteConvNet:
         if not texts:
             return np.zeros(0)
         data, strides = self.layout(texts)
-        peaks, _ = self._strides(data, self._tables(), False)
+        peaks, _ = self._strides(data, strides, self._tables(), False)
         x, _, _ = self._features(peaks, strides)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights["out"] + self.weights["base"], -30, 30)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 650, batch: int = 64, rate: float = 0.01) -> ByteConvNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 1000, batch: int = 64, rate: float = 0.01) -> ByteConvNet:
         """Adam on the log loss, about ``steps`` batches. With no rows it stays at one half; with one class it learns that class."""
         rng = np.random.default_rng(self.seed)
         w = self.weights
@@ -117,13 +121,15 @@ class ByteConvNet:
     def _gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
         data, strides = self.layout(texts)
-        peaks, places = self._strides(data, self._tables(), True)
+        peaks, places = self._strides(data, strides, self._tables(), True)
         x, chunks, source = self._features(peaks, strides)
         error = (1 / (1 + np.exp(-np.clip(x @ w["out"] + w["base"], -30, 30))) - labels) / len(texts)
         grads = {"out": x.T @ error + 1e-5 * w["out"], "base": np.array([error.sum()])}
         doc = np.repeat(np.arange(len(texts)), strides)
         flow = (error / strides)[doc][:, None] * w["out"][None, :FILTERS]
-        flow += (chunks >= x[:, FILTERS:].astype(np.float32)[doc]) * error[doc][:, None] * w["out"][None, FILTERS:]
+        best = chunks >= x[:, FILTERS:].astype(np.float32)[doc]
+        ties = np.add.reduceat(best.astype(np.float64), np.cumsum(strides) - strides, axis=0)
+        flow += best / ties[doc] * error[doc][:, None] * w["out"][None, FILTERS:]
         flow *= chunks > 0
         grads["bias"] = flow.sum(axis=0)
         at = np.take_along_axis(places, source, axis=0)
@@ -138,7 +144,7 @@ class ByteConvNet:
         return grads
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = 4000, max_bytes: int = 32768) -> list[tuple[bytes, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = 8000, max_bytes: int = 32768) -> list[tuple[bytes, float]]:
     """The rows to learn from: at most ``max_rows`` labelled documents outside the held-out fifth.
 
     The rows are the lowest in a hash of the id. Only for learning, texts over ``max_bytes`` are passed over, which bounds
@@ -156,7 +162,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality
     return [(r["__text"].encode(), r["__label"]) for r in picked]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4000, steps: int = 650) -> ByteConvNet:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, steps: int = 1000) -> ByteConvNet:
     sample = labelled_sample(docs, labels, max_rows=max_rows)
     return ByteConvNet().fit([t for t, _ in sample], np.array([y for _, y in sample]), steps=steps)
 
