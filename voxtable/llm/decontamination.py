@@ -13,6 +13,8 @@ in id and text are one document or item; null ids are ids like others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,24 +27,32 @@ SHINGLE, THRESHOLD = 5, 0.8
 ITEM = ("__i1", "__i2")
 
 
-def shingles(text: Column, width: int) -> Column:
-    """The word shingles of a text, repeats included, as an array of texts."""
+def _shingled(text: Column, width: int, whole: Callable[[list[Column]], Column], short: Callable[[Column], Column], kind: str) -> Column:
     def cut(bound: Column) -> Column:
         w = bound["w"]
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - F.lit(width - 1)), lambda i: F.concat_ws(" ", *[F.element_at(w, (i + k).cast("int")) for k in range(width)]))
-        return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(width)), lambda i: whole([F.get(w, i + k) for k in range(width)]))
+        return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(short(w))).otherwise(F.array().cast(f"array<{kind}>"))
 
     return let({"w": rows.words(rows.ascii_lower(text))}, cut)
 
 
+def shingles(text: Column, width: int) -> Column:
+    """The word shingles of a text, repeats included, as an array of texts."""
+    return _shingled(text, width, lambda w: F.concat_ws(" ", *w), lambda w: F.array_join(w, " "), "string")
+
+
+def shingle_hashes(text: Column, width: int) -> Column:
+    """The MinHash order: a hash of each shingle's words, repeats included; no shingle is put together as a text."""
+    return _shingled(text, width, lambda w: F.xxhash64(*w), lambda w: F.xxhash64(w), "bigint")
+
+
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """Per item and sketch hash: the item's key, ``part`` (its size class), ``n`` and ``h``."""
+    """Per item and sketch hash: the item's key, ``part`` (its size class), ``n`` and ``h``, from ``n`` and ``hashes``."""
     sized = items.withColumn("part", F.floor(F.log2(F.col("n"))).cast("int"))
     largest = sized.groupBy("part").agg(F.max("n").alias("top"))
     sized = sized.join(largest, "part")
     length = (F.col("top") - F.ceil(F.col("top") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
-    return sized.select(*ITEM, "part", "n", F.explode(F.slice(hashes, F.lit(1), length)).alias("h"))
+    return sized.select(*ITEM, "part", "n", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), length)).alias("h"))
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -54,19 +64,19 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHI
     """``doc_id``, ``item_id``, ``n_shingles``, ``n_shared`` and ``containment`` of each item held by a document."""
     texts = rows.keyed(docs.select("doc_id", "text"), "doc_id", "text")
     items = rows.keyed(benchmark.select("item_id", "text"), "item_id", "text", names=ITEM).dropDuplicates([*ITEM])
-    items = items.select("item_id", *ITEM, F.array_distinct(shingles(F.col("text"), shingle)).alias("shingles"))
+    items = items.select("item_id", *ITEM, F.array_distinct(shingles(F.col("text"), shingle)).alias("shingles"), F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("hashes"))
     items = staged(items.withColumn("n", F.size("shingles")).where("n > 0"), "test-items")
     index = _small(sketches(items, threshold), broadcast_rows)
 
-    cut = texts.select("doc_id", *rows.KEY, shingles(F.col("text"), shingle).alias("s"))
     # A document cannot hold more of an item than it has shingles.
-    looked = cut.select(*rows.KEY, F.size("s").alias("m"), F.explode("s").alias("s")).select(*rows.KEY, "m", F.xxhash64("s").alias("h"))
+    looked = texts.select(*rows.KEY, shingle_hashes(F.col("text"), shingle).alias("h")).select(*rows.KEY, F.size("h").alias("m"), F.explode("h").alias("h"))
     hits = looked.join(index, "h").where(F.col("m") >= F.col("n") * F.lit(threshold) - 1e-9)
     found = staged(hits.select(*rows.KEY, *ITEM).distinct(), "contained-candidates")
 
     wanted = items.join(found.select(*ITEM).distinct(), [*ITEM], "left_semi").select(*ITEM, F.explode("shingles").alias("s"))
-    held = cut.join(found.select(*rows.KEY).distinct(), [*rows.KEY], "left_semi")
-    shared = held.select("doc_id", *rows.KEY, F.explode("s").alias("s")).join(_small(wanted, broadcast_rows), "s")
+    # Only candidates' texts are cut again: the explode keeps the cutting behind the join.
+    held = texts.join(found.select(*rows.KEY).distinct(), [*rows.KEY], "left_semi")
+    shared = held.select("doc_id", *rows.KEY, F.explode(shingles(F.col("text"), shingle)).alias("s")).join(_small(wanted, broadcast_rows), "s")
     shared = shared.select("doc_id", *rows.KEY, *ITEM, "s").distinct().groupBy("doc_id", *rows.KEY, *ITEM).agg(F.count("*").alias("n_shared"))
     settled = shared.join(found, [*rows.KEY, *ITEM], "left_semi").join(items.select("item_id", *ITEM, F.col("n").cast("long").alias("n_shingles")), [*ITEM])
     settled = settled.where(F.col("n_shared") >= F.col("n_shingles") * F.lit(threshold) - 1e-9)
