@@ -85,7 +85,7 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3) -> Dat
 def edited_texts(docs: DataFrame) -> DataFrame:
     """Each text with its last quarter replaced by the first part of the next document's.
 
-    Columns: ``doc_id``, the row's key, ``text`` (null: empty), ``edited`` and the next row's key. Rows are in the order of
+    Columns: ``doc_id``, the row's key, ``text`` (null: empty), ``edited``, the next row's key and ``next_id``. Rows are in the order of
     ``doc_id`` (null first), then of the text's hash; rows that agree in both are one place and come out once. Behind the
     last is the first. Only keys and lengths are sorted; of the next text only the part that is needed is sent.
     """
@@ -97,11 +97,12 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     following = ranked.select(before.cast("long").alias("at"), *[F.col(k).alias(f"n{k}") for k in rows.KEY])
     chain = ranked.join(following, "at").select(*rows.KEY, "n", *[f"n{k}" for k in rows.KEY])
     need = chain.select(*[F.col(f"n{k}").alias(k) for k in rows.KEY], *[F.col(k).alias(f"p{k}") for k in rows.KEY], F.floor(F.col("n") / 4).cast("int").alias("need"))
-    heads = base.join(need, [*rows.KEY]).select(*[F.col(f"p{k}").alias(k) for k in rows.KEY], *[F.col(k).alias(f"n{k}") for k in rows.KEY], F.substring("text", F.lit(1), F.col("need")).alias("head"))
+    heads = base.join(need, [*rows.KEY]).select(*[F.col(f"p{k}").alias(k) for k in rows.KEY], *[F.col(k).alias(f"n{k}") for k in rows.KEY], F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("doc_id").alias("next_id"))
+    # Both joins take the same columns of ``base`` by the same key, so that texts are shuffled once.
     joined = base.join(heads.dropDuplicates([*rows.KEY]), [*rows.KEY])
     n = F.char_length("text")
     kept = F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int"))
-    return joined.select("doc_id", *rows.KEY, "text", F.concat(kept, "head").alias("edited"), *[f"n{k}" for k in rows.KEY])
+    return joined.select("doc_id", *rows.KEY, "text", F.concat(kept, "head").alias("edited"), *[f"n{k}" for k in rows.KEY], "next_id")
 
 
 def edit_likeness(docs: DataFrame, *, radius: int = 3) -> DataFrame:
@@ -110,12 +111,12 @@ def edit_likeness(docs: DataFrame, *, radius: int = 3) -> DataFrame:
     ``n_within`` is, for rows whose id is divisible by 100, the number of rows (itself included) whose fingerprint lies
     within ``radius`` bits, and null for the others.
     """
-    own = [*rows.KEY, *[f"n{k}" for k in rows.KEY], "doc_id", "n_chars", "edited_sha256", "which"]
+    own = [*rows.KEY, *[f"n{k}" for k in rows.KEY], "doc_id", "next_id", "n_chars", "edited_sha256", "which"]
     both = edited_texts(docs)
     sides = F.array(
         F.struct(F.lit(0).alias("which"), F.col("text"), F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")),
         F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"), F.char_length("text").cast("long").alias("n_chars"), F.lit("").alias("edited_sha256")))
-    sided = both.select(*own[:5], F.explode(sides).alias("s")).select(*own[:5], "s.which", "s.text", "s.n_chars", "s.edited_sha256")
+    sided = both.select(*own[:6], F.explode(sides).alias("s")).select(*own[:6], "s.which", "s.text", "s.n_chars", "s.edited_sha256")
     marked = staged(fingerprints(sided, own), "fingerprints")
     first, second = marked.where("which = 0"), marked.where("which = 1").select(*rows.KEY, F.col("fingerprint").alias("edited_fingerprint"))
     beside = first.select(*[F.col(k).alias(f"n{k}") for k in rows.KEY], F.col("fingerprint").alias("next"))
@@ -131,7 +132,7 @@ def edit_likeness(docs: DataFrame, *, radius: int = 3) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next")).alias("near_next"), "n_within")
+        likeness(F.col("fingerprint"), F.col("next")).alias("near_next"), "n_within", "next_id")
 
 
 @query("op7_document_fingerprints")
