@@ -109,7 +109,7 @@ def test_strict_cues(rows):
     df = rows(schema, [
         (1, 900, 2000, "c", "", 1600), (1, 0, 500, " <b>\r\n{x}\n\n\x07 & ", "", 1600), (1, 500, 900, "", "dub", 1600), (1, 1600, 1700, "late", "", 1600),
         (1, -1, 5, "x", "", 1600), (1, 5, 5, "x", "", 1600), (1, 0, 1, "y" * 2049, "", 1600), (1, 0, 1, "  ", " ", 1600)])
-    cues, bad = st.strict_cues(df, ["episode_id"], slab_ms=400)
+    cues, bad = st.strict_cues(df, ["episode_id"], block_rows=2)
     assert [r[1] for r in listed(cues, "cue_no", "block")] == [
         "1\n00:00:00,000 --> 00:00:00,500\n&lt;b&gt;\n｛x｝\n&amp;", "2\n00:00:00,500 --> 00:00:00,900\ndub", "3\n00:00:00,900 --> 00:00:01,600\nc"]
     assert sorted(r["error"] for r in bad.collect()) == ["CUE_TEXT_TOO_LONG", "INVALID_CUE_BOUNDS", "INVALID_CUE_BOUNDS"]
@@ -128,8 +128,12 @@ def test_voice_slot_limits(rows):
     voiced = rows("episode_id bigint, line bigint, first_ms bigint, end_ms bigint, actual_ms bigint", [
         (1, 1, 0, 1000, 1200), (1, 2, 2000, 3000, 1201), (1, 3, 4000, 5000, 900), (1, 4, 6000, 7000, 500)])
     kept = rows("episode_id bigint, start_ms bigint, end_ms bigint", [(1, 4800, 4900), (1, 6500, 6600)])
-    got = dict(listed(st.fitted_slots(voiced, kept, ["episode_id"], ident="line", slab_ms=700), "line", "issue"))
+    got = dict(listed(st.fitted_slots(voiced, kept, ["episode_id"], ident="line", block_rows=2), "line", "issue"))
     assert got == {1: None, 2: "VOICE_EXCEEDS_FROZEN_DURATION_POLICY", 3: "PROTECTED_EVENT_COLLISION_KEEP_ORIGINAL", 4: None}
+    half = rows("episode_id bigint, line bigint, first_ms bigint, end_ms bigint, actual_ms double", [(1, 1, 0, 1200, 1000.5), (2, 1, 0, 1200, 1000.0)])
+    at = rows("episode_id bigint, start_ms bigint, end_ms bigint", [(1, 1000, 1100), (2, 1000, 1100)])
+    got = dict(listed(st.fitted_slots(half, at, ["episode_id"], ident="line"), "episode_id", "issue"))
+    assert got == {1: "PROTECTED_EVENT_COLLISION_KEEP_ORIGINAL", 2: None}
 
 
 def test_regions(spark):

@@ -80,7 +80,7 @@ def test_monitor_over_several_triggers_equals_batch(spark, rows, tmp_path):
         rows(schema, data[::-1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = sj.file_stream(spark, str(tmp_path / "log"), schema, "*.parquet", files_per_trigger=1)
     got = sj.run_once(sj.monitored_moves(stream), "test-moves", stateful=True)
-    batch = ct.judged_moves(spark.read.parquet(str(tmp_path / "log")), ["episode_id"], ["ts_ms", "event_id"], block=scan.slab("ts_ms", 500))
+    batch = ct.judged_moves(spark.read.parquet(str(tmp_path / "log")), ["episode_id"], ["ts_ms", "event_id"])
     want = batch.where("from_state IS NOT NULL")
     cols = ("episode_id", "event_id", "from_state", "state", "legal")
     assert listed(got, *cols) == listed(want, *cols)

@@ -19,21 +19,21 @@ def skewed(spark):
     return spark.createDataFrame([(k, i, s, s + d) for k, i, s, d in data], "key bigint, id bigint, start_ms bigint, end_ms bigint").cache()
 
 
-@pytest.mark.parametrize("width", [1, 37, 10_000])
+@pytest.mark.parametrize("width", [5, 100, 10_000])
 def test_prefix_equals_window(skewed, width):
     w = W.partitionBy("key").orderBy("start_ms", "id").rowsBetween(W.unboundedPreceding, -1)
     want = skewed.select("id", F.coalesce(F.sum("end_ms").over(w), F.lit(0)).alias("a"), F.max("end_ms").over(w).alias("b"),
                          F.min("end_ms").over(w).alias("c"), F.last("end_ms").over(w).alias("d"))
-    got = scan.prefix(skewed, ["key"], ["start_ms", "id"], scan.slab("start_ms", width), {
-        "a": ("sum", F.col("end_ms")), "b": ("max", F.col("end_ms")), "c": ("min", F.col("end_ms")), "d": ("last", F.col("end_ms"))})
+    got = scan.prefix(skewed, ["key"], ["start_ms", "id"], {
+        "a": ("sum", F.col("end_ms")), "b": ("max", F.col("end_ms")), "c": ("min", F.col("end_ms")), "d": ("last", F.col("end_ms"))}, block_rows=width)
     assert listed(got, "id", "a", "b", "c", "d") == listed(want, "id", "a", "b", "c", "d")
 
 
-@pytest.mark.parametrize("width", [11, 10_000])
+@pytest.mark.parametrize("width", [100, 10_000])
 def test_following_equals_lead(skewed, width):
     w = W.partitionBy("key").orderBy("start_ms", "id")
     want = skewed.select("id", F.lead("end_ms").over(w).alias("n"))
-    got = scan.following(skewed, ["key"], ["start_ms", "id"], scan.slab("start_ms", width), {"n": F.col("end_ms")})
+    got = scan.following(skewed, ["key"], ["start_ms", "id"], {"n": F.col("end_ms")}, block_rows=width)
     assert listed(got, "id", "n") == listed(want, "id", "n")
 
 
@@ -51,7 +51,7 @@ def test_coalesce_equals_loop(skewed, width, inclusive):
             else:
                 current = [s, e, 1]
                 want.append((key, current))
-    got = iv.coalesce_intervals(skewed, ["key"], gap_ms=gap, inclusive=inclusive, slab_ms=width)
+    got = iv.coalesce_intervals(skewed, ["key"], gap_ms=gap, inclusive=inclusive, block_rows=width)
     assert listed(got, "key", "start_ms", "end_ms", "n") == sorted(((k, *c) for k, c in want), key=repr)
 
 
@@ -65,7 +65,7 @@ def test_silence_groups_equal_loop(skewed, width):
                 current = [s, e, 0]
                 want.append((key, current))
             current[1], current[2], last = max(current[1], e), current[2] + 1, e
-    got = iv.silence_groups(skewed, ["key"], ["start_ms", "id"], gap_ms=3, slab_ms=width, start="start_ms", end="end_ms")
+    got = iv.silence_groups(skewed, ["key"], ["start_ms", "id"], gap_ms=3, block_rows=width, start="start_ms", end="end_ms")
     assert listed(got, "key", "start_ms", "end_ms", "n_words") == sorted(((k, *c) for k, c in want), key=repr)
 
 
@@ -92,12 +92,65 @@ def test_global_rank(skewed):
     assert got.agg(F.max("r")).first()[0] == 3000
 
 
-def test_hot_key_is_spread_over_tasks(skewed):
-    """No window or exchange of the row-level plan groups by the key alone."""
-    df = scan.prefix(skewed, ["key"], ["start_ms", "id"], scan.slab("start_ms", 100), {"a": ("sum", F.col("end_ms"))})
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    row_windows = [line for line in plan.splitlines() if "Window [" in line and "__l_a" in line]
-    assert row_windows and all("__blk" in line for line in row_windows)
+def test_hot_key_and_hour_is_cut_by_rows(skewed):
+    """All rows lie in five seconds; the large key still gets many blocks of few rows."""
+    _, big = scan._parted(skewed, ["key"], "start_ms", 500)
+    blocks = [r["count"] for r in big.groupBy("key", scan.BLK).count().collect()]
+    assert sum(blocks) > 1500 and len(blocks) > 50 and max(blocks) < 100
+
+
+def test_null_keys_and_times_are_kept(spark):
+    data = [(k, t, i) for i, (k, t) in enumerate([(None, 1), (None, None), (None, 3), (1, None), (1, None), (1, 2), (1, 5), (2, 9)] * 4)]
+    df = spark.createDataFrame(data, "key bigint, t bigint, id bigint")
+    w = W.partitionBy("key").orderBy("t", "id")
+    want = df.select("id", (F.row_number().over(w) - 1).alias("i"), F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("n"))
+    for rows_ in (3, 1000):
+        got = scan.row_index(df, ["key"], ["t", "id"], "i", block_rows=rows_)
+        got = scan.previous(got, ["key"], ["t", "id"], {"p": F.col("id")}, block_rows=rows_)
+        got = scan.following(got, ["key"], ["t", "id"], {"n": F.col("id")}, block_rows=rows_)
+        assert listed(got, "id", "i", "p", "n") == listed(want, "id", "i", "p", "n")
+        named = scan.islands(df, ["key"], ["t", "id"], start="t", end="t", gap=1, inclusive=True, furthest=False, block_rows=rows_)
+        assert named.count() == len(data) and named.where("island IS NULL").count() == 0
+        near = scan.neighbours(df.withColumn("o", F.col("id")), ["key"], "o", 1, 1, {"near": (F.col("id"), False)}, block_rows=rows_)
+        v = W.partitionBy("key").orderBy("id")
+        both = df.select("id", F.array_compact(F.array(F.lag("id").over(v), F.lead("id").over(v))).alias("near"))
+        assert listed(near, "id", "near") == listed(both, "id", "near")
+
+
+def test_a_chain_of_scans_reads_its_source_once(spark, skewed, tmp_path):
+    """A scan of a table is read where it stands; what comes behind a scan is read from a written table."""
+    skewed.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    one = scan.row_index(df, ["key"], ["start_ms", "id"], "i")
+    two = scan.previous(one, ["key"], ["start_ms", "id"], {"p": F.col("id")})
+    three = scan.following(two, ["key"], ["start_ms", "id"], {"n": F.col("id")})
+    plan = three._jdf.queryExecution().optimizedPlan().toString()
+    assert str(tmp_path) not in three._jdf.queryExecution().executedPlan().toString() and "start_ms" in plan
+
+
+def test_building_a_query_starts_no_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    base = skewed.selectExpr("key", "id", "start_ms", "end_ms")
+    scan.prefix(base, ["key"], ["start_ms", "id"], {"a": ("sum", F.col("end_ms"))})
+    iv.split_overlapping(base.groupBy("key").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), 100, 10)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_keyed_fold_carries_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).selectExpr("id % 3 AS k", "id", "id % 5 AS v")
+
+        def step(state, values):
+            state["s"] = state.get("s", 0) + values[0]
+            return (state["s"],)
+
+        got = scan.keyed_fold(df, ["k"], ["id"], ["v"], {"s": "bigint"}, step)
+        want = df.withColumn("s", F.sum("v").over(W.partitionBy("k").orderBy("id")))
+        assert listed(got, "id", "s") == listed(want, "id", "s")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_reachable_overlap_joins_have_no_cross_product(skewed):

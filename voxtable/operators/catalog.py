@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft
-from voxtable.functions.states import ACTIVE, RECOVERABLE, STAGE_ORDER, moves_table
-from voxtable.operators.scan import following, global_rank, prefix, previous
+from voxtable.functions.states import ACTIVE, RECOVERABLE, STAGE_ORDER, legal_moves, moves_table
+from voxtable.operators.scan import following, global_rank, keyed_fold, null_safe_join, prefix, previous
 from voxtable.schemas import ROI
 from voxtable.session import staged
 
@@ -86,43 +86,26 @@ def event_page(events: DataFrame, cursor: int, size: int = 100) -> DataFrame:
 
 
 def quota_admission(
-    requests: DataFrame, keys: Sequence[str], quota: int, *, reserved: DataFrame | None = None, order: str = "seq", width: int = 1_000_000
+    requests: DataFrame, keys: Sequence[str], quota: int, *, reserved: DataFrame | None = None, order: str = "seq"
 ) -> DataFrame:
     """Admit upload requests in arrival order while they fit; a refused request reserves nothing.
 
-    Up to the first refusal of a key a running sum is exact. After it only requests that still fit the
-    space left can ever be admitted, so each round judges all of those up to the next refusal, for all
-    keys at once. A round mostly halves the space left, which keeps the rounds few.
-    ``reserved``: keys and ``reserved_bytes`` held before the batch.
+    Whether a request fits depends on every answer before it, so each key is walked in order; rows stream, and the state
+    is one number. ``reserved``: keys and ``reserved_bytes`` held before the batch. Null sizes are refused.
     """
-    block = F.floor(F.col(order) / width).cast("long")
-    base = requests.select(*keys, order, "total_bytes")
-    if reserved is None:
-        left = base.withColumn("used", F.lit(0).cast("long"))
-    else:
-        left = base.join(reserved.select(*keys, F.col("reserved_bytes").alias("used")), list(keys), "left").fillna(0, ["used"])
-    left, admitted = left.where(F.col("used") + F.col("total_bytes") <= quota), None
-    while True:
-        run = prefix(left, keys, [order], block, {"ahead": ("sum", F.col("total_bytes"))})
-        judged = staged(run.withColumn("fits", F.col("used") + F.col("ahead") + F.col("total_bytes") <= quota))
-        stop = judged.groupBy(*keys).agg(F.min(F.when(~F.col("fits"), F.col(order))).alias("stop"))
-        marked = judged.join(stop, list(keys))
-        before = F.col("stop").isNull() | (F.col(order) < F.col("stop"))
-        taken = marked.where(before).select(*keys, order, F.lit(True).alias("admitted"))
-        admitted = taken if admitted is None else admitted.unionByName(taken)
-        if not judged.where("NOT fits").limit(1).count():
-            break
-        held = marked.where("stop IS NOT NULL").groupBy(*keys).agg(
-            (F.max("used") + F.sum(F.when(before, F.col("total_bytes")).otherwise(0))).alias("used"), F.first("stop").alias("stop"))
-        left = judged.drop("used", "ahead", "fits").join(held, list(keys)).where(
-            (F.col(order) > F.col("stop")) & (F.col("used") + F.col("total_bytes") <= quota)).drop("stop")
-    out = requests.join(admitted, [*keys, order], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
-    out = prefix(out, keys, [order], block, {"reserved_bytes": ("sum", F.when(F.col("admitted"), F.col("total_bytes")).otherwise(0))})
-    if reserved is None:
-        return out
-    held = reserved.select(*keys, F.col("reserved_bytes").alias("__base"))
-    return out.join(held, list(keys), "left").withColumn(
-        "reserved_bytes", F.col("reserved_bytes") + F.coalesce(F.col("__base"), F.lit(0).cast("long"))).drop("__base")
+    held = requests.withColumn("__base", F.lit(0).cast("long"))
+    if reserved is not None:
+        base = reserved.select(*keys, F.col("reserved_bytes").alias("__held"))
+        held = null_safe_join(requests, base, list(keys), "left").withColumn("__base", F.coalesce("__held", F.lit(0)).cast("long")).drop("__held")
+
+    def step(state: dict, values: tuple) -> tuple[bool, int]:
+        size, base = values
+        used = state.get("used", base)
+        fits = size is not None and used + size <= quota
+        state["used"] = used + size if fits else used
+        return fits, used
+
+    return keyed_fold(held, keys, [order], ["total_bytes", "__base"], {"admitted": "boolean", "reserved_bytes": "bigint"}, step).drop("__base")
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
@@ -163,63 +146,89 @@ def resolved_roi(episodes: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def glossary_upsert(current: DataFrame, requests: DataFrame, series: DataFrame, *, max_entries: int = 5_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply glossary requests: (new glossary, series with raised version, rejects).
+    """Apply glossary requests in the order of ``request_id``: (new glossary, series with raised version, rejects).
 
-    ``requests``: ``request_id, series_id, zh, vi, locked, updated_at``. A duplicate term, a model term
-    over a user-locked one, or too many entries rejects the whole request.
+    ``requests``: ``request_id, series_id, zh, vi, locked, updated_at``. Too many entries, a duplicate term, or a model term
+    over a user-locked one rejects the whole request. A lock made by an accepted request holds for those after it, so the
+    requests of a series are walked in order; a request is one row of at most ``max_entries`` terms.
     """
-    dup = requests.groupBy("request_id", "series_id", "zh").agg(F.count("*").alias("n")).where("n > 1").select(
-        "request_id", F.lit("DUPLICATE_TERM").alias("code"))
-    locked = current.where("locked").select("series_id", "zh")
-    over = requests.where("NOT locked").join(locked, ["series_id", "zh"], "left_semi").select(
-        "request_id", F.lit("LOCKED_TERM").alias("code"))
-    many = requests.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") > max_entries).select(
-        "request_id", F.lit("TOO_MANY_ENTRIES").alias("code"))
-    rejects = dup.unionByName(over).unionByName(many).distinct()
-    good = requests.join(rejects.select("request_id").distinct(), "request_id", "left_anti")
+    ids = ["series_id", "request_id"]
+    counted = requests.groupBy(*ids).agg(F.count("*").alias("n"), F.count_distinct("zh").alias("terms"))
+    code = F.when(F.col("n") > max_entries, "TOO_MANY_ENTRIES").when(F.col("terms") < F.col("n"), "DUPLICATE_TERM")
+    judged = counted.select(*ids, code.alias("code"))
+    fine = requests.join(judged.where("code IS NULL").select(*ids), ids)
+    locked = current.where("locked").select("series_id", "zh", F.lit(True).alias("__held")).distinct()
+    walked = fine.join(locked, ["series_id", "zh"], "left").groupBy(*ids).agg(
+        F.collect_list(F.struct("zh", "locked", F.coalesce("__held", F.lit(False)).alias("held"))).alias("terms"))
+
+    def step(state: dict, values: tuple) -> tuple[bool]:
+        terms = values[0]
+        if any((t["held"] or t["zh"] in state) and not t["locked"] for t in terms):
+            return (False,)
+        state.update((t["zh"], True) for t in terms if t["locked"])
+        return (True,)
+
+    accepted = staged(keyed_fold(walked, ["series_id"], ["request_id"], ["terms"], {"fits": "boolean"}, step).select(*ids, "fits"), "upsert")
+    rejects = judged.where("code IS NOT NULL").select("request_id", "code").unionByName(
+        accepted.where("NOT fits").select("request_id", F.lit("LOCKED_TERM").alias("code")))
+    good = fine.join(accepted.where("fits").select(*ids), ids)
     fields = ("vi", "locked", "updated_at")
-    old = current.select("series_id", "zh", *fields, F.lit(-1).cast("long").alias("__age"))
+    old = current.select("series_id", "zh", *fields, F.lit(None).cast("long").alias("__age"))
     new = good.select("series_id", "zh", *fields, F.col("request_id").cast("long").alias("__age"))
-    latest = old.unionByName(new).groupBy("series_id", "zh").agg(F.max_by(F.struct(*fields), F.col("__age")).alias("r"))
-    raised = good.groupBy("series_id").agg(F.countDistinct("request_id").alias("__up"))
+    latest = old.unionByName(new).groupBy("series_id", "zh").agg(F.max_by(F.struct(*fields), F.struct(F.col("__age").isNotNull(), "__age")).alias("r"))
+    raised = accepted.where("fits").groupBy("series_id").agg(F.count("*").alias("__up"))
     versions = series.join(raised, "series_id", "left").withColumn(
         "glossary_version", F.col("glossary_version") + F.coalesce(F.col("__up"), F.lit(0))).drop("__up")
     return latest.select("series_id", "zh", "r.*"), versions, rejects
 
 
-def judged_moves(events: DataFrame, keys: Sequence[str], order: Sequence[str], *, block: Column, state: str = "state") -> DataFrame:
+def judged_moves(events: DataFrame, keys: Sequence[str], order: Sequence[str], *, state: str = "state") -> DataFrame:
     """Each event with the state before it and whether the move is legal (null for the first event)."""
-    near = previous(events, keys, order, block, {"from_state": F.col(state)})
+    near = previous(events, keys, order, {"from_state": F.col(state)})
     moves = F.broadcast(moves_table(events.sparkSession).withColumn("__legal", F.lit(True)))
     out = near.join(moves, (near["from_state"] == moves["old"]) & (near[state] == moves["new"]), "left")
     legal = F.when(F.col("from_state").isNotNull(), F.coalesce(F.col("__legal"), F.lit(False)))
     return out.withColumn("legal", legal).drop("old", "new", "__legal")
 
 
-def time_in_state(events: DataFrame, keys: Sequence[str], order: Sequence[str], *, block: Column, state: str = "state") -> DataFrame:
+def time_in_state(events: DataFrame, keys: Sequence[str], order: Sequence[str], *, state: str = "state") -> DataFrame:
     """Milliseconds until the next event of the key; null while it is the last one."""
-    nxt = following(events, keys, order, block, {"__next": F.col("ts_ms")})
+    nxt = following(events, keys, order, {"__next": F.col("ts_ms")})
     return nxt.withColumn("in_state_ms", F.col("__next") - F.col("ts_ms")).drop("__next")
 
 
-def apply_transitions(episodes: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One requested status per episode: (updated episodes, event rows, rejects)."""
-    moves = F.broadcast(moves_table(episodes.sparkSession).withColumn("__legal", F.lit(True)))
-    req = requests.select("episode_id", F.col("status").alias("__new"), "message", "ts_ms")
-    both = req.join(episodes.select("episode_id", F.col("status").alias("__old"), F.lit(True).alias("__known")), "episode_id", "left")
-    judged = both.join(moves, (both["__old"] == moves["old"]) & (both["__new"] == moves["new"]), "left")
-    rejects = judged.where("__legal IS NULL").select(
-        "episode_id", F.col("__old").alias("from_state"), F.col("__new").alias("to_state"),
-        F.when(F.col("__known").isNull(), "EPISODE_NOT_FOUND").otherwise("INVALID_TRANSITION").alias("code"))
-    done = judged.where("__legal").select("episode_id", F.col("__new").alias("state"), "message", "ts_ms")
-    updated = episodes.join(done.select("episode_id", F.col("state").alias("__s")), "episode_id", "left").withColumn(
-        "status", F.coalesce("__s", "status")).drop("__s")
+def apply_transitions(episodes: DataFrame, requests: DataFrame, *, order: Sequence[str] = ("ts_ms", "status", "message")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requested statuses in order: (updated episodes, event rows, rejects).
+
+    Each request is judged against the state that the accepted ones before it left, so an episode's requests are walked
+    in the given order; ``n`` numbers them.
+    """
+    legal = frozenset(legal_moves())
+    both = requests.select("episode_id", "status", "message", "ts_ms", *[c for c in order if c not in ("status", "message", "ts_ms")]).join(
+        episodes.select("episode_id", F.col("status").alias("__old"), F.lit(True).alias("__known")), "episode_id", "left")
+
+    def step(state: dict, values: tuple) -> tuple[int, str | None, str | None]:
+        target, old, known = values
+        state["n"] = state.get("n", 0) + 1
+        now = state.setdefault("now", old)
+        if not known:
+            return state["n"], None, "EPISODE_NOT_FOUND"
+        if (now, target) not in legal:
+            return state["n"], now, "INVALID_TRANSITION"
+        state["now"] = target
+        return state["n"], now, None
+
+    judged = staged(keyed_fold(both, ["episode_id"], list(order), ["status", "__old", "__known"], {"n": "bigint", "from_state": "string", "code": "string"}, step), "transitions")
+    rejects = judged.where("code IS NOT NULL").select("episode_id", "from_state", F.col("status").alias("to_state"), "code")
+    done = judged.where("code IS NULL").select("episode_id", F.col("status").alias("state"), "message", "ts_ms", "n")
+    last = done.groupBy("episode_id").agg(F.max_by("state", "n").alias("__s"))
+    updated = episodes.join(last, "episode_id", "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
     return updated, done, rejects
 
 
-def first_rejected_chunk(chunks: DataFrame, keys: Sequence[str], totals: DataFrame | None = None, *, order: str = "seq", width: int = 1_000_000_000) -> DataFrame:
+def first_rejected_chunk(chunks: DataFrame, keys: Sequence[str], totals: DataFrame | None = None, *, order: str = "seq") -> DataFrame:
     """First chunk of each upload whose offset is not the bytes so far, or which overruns the total."""
-    run = prefix(chunks, keys, [order], F.floor(F.col(order) / width).cast("long"), {"expected": ("sum", F.col("length"))})
+    run = prefix(chunks, keys, [order], {"expected": ("sum", F.col("length"))})
     bad = F.col("offset") != F.col("expected")
     if totals is not None:
         run = run.join(totals.select(*keys, "total_bytes"), list(keys), "left")

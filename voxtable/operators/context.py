@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtable.functions import text as tx
-from voxtable.operators.scan import neighbours, row_index, slab
-from voxtable.session import at_most, spread, staged
+from voxtable.functions.binding import let
+from voxtable.operators.scan import keyed_fold, neighbours, null_safe_join, row_index
+from voxtable.session import spread, staged
 
-GLOSSARY_LIMIT = 5_000  # Largest glossary that is sent to every task.
-SEED_CHARS = 8
+SEEDS = (8, 4, 2, 1)  # Lengths of term heads, longest first.
 
 
 def nearby_dialogue(
@@ -28,7 +28,7 @@ def nearby_dialogue(
 
 def numbered_batches(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, size: int = 10) -> DataFrame:
     """Fixed-size batch number, position in the batch and short alias of each line."""
-    placed = row_index(lines, keys, order, slab(order[0]), "__i")
+    placed = row_index(lines, keys, order, "__i")
     return (
         placed.withColumn("batch_no", F.floor(F.col("__i") / size).cast("long"))
         .withColumn("pos", (F.col("__i") % size).cast("long"))
@@ -45,21 +45,22 @@ def packed_batches(
 
     Where a batch starting at a line would end depends on that line and the next few only. So every
     line first gets its own jump length; a block of lines then maps each possible entry offset to the
-    offset at which the chain of batches leaves it, and only these small maps are folded per key.
+    offset at which the chain of batches leaves it, and only these small maps are walked per key. Lines are numbered here, in
+    the order of ``index``, which may start anywhere and have gaps; null tokens count as none.
     Output: one row per batch with ``first_ord, lines, tokens, too_long``.
     """
-    ahead = neighbours(lines.select(*keys, index, tokens), keys, index, 0, max_lines - 1,
-                       {"__t": (F.col(tokens).cast("long"), True)}, block_rows=block_rows)
+    numbered = row_index(lines.select(*keys, index, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__tok")), keys, [index], "__i")
+    ahead = neighbours(numbered, keys, "__i", 0, max_lines - 1, {"__t": (F.col("__tok"), True)})
     sums = F.transform("__t", lambda _, i: F.aggregate(F.slice("__t", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
     jumps = (
         ahead.withColumn("__s", sums)
         .withColumn("lines", F.greatest(F.lit(1), F.size(F.filter("__s", lambda x: x <= max_tokens))).cast("long"))
         .withColumn("batch_tokens", F.get("__s", F.col("lines").cast("int") - 1))
-        .withColumn("__blk", F.floor(F.col(index) / block_rows).cast("long"))
+        .withColumn("__blk", F.floor(F.col("__i") / block_rows).cast("long"))
     )
-    jumps = staged(jumps.drop("__t", "__s"))
+    jumps = staged(jumps.drop("__t", "__s", "__tok"))
     blocks = jumps.groupBy(*keys, "__blk").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col("lines").alias("n")))),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("lines").alias("n")))),
                     lambda r: r["n"]).alias("__jumps"),
     )
     entries = F.array(*[F.lit(e).cast("long") for e in range(max_lines)])
@@ -71,72 +72,61 @@ def packed_batches(
         return walked["next"] - F.size("__jumps")
 
     maps = blocks.select(*keys, "__blk", F.transform(entries, leave).alias("__exit"))
-    chained = maps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__blk", "__exit"))).alias("__m"))
-    seed = F.struct(F.lit(0).cast("long").alias("entry"), F.array().cast("array<struct<__blk:bigint,__entry:bigint>>").alias("out"))
-    walked = F.aggregate(
-        "__m", seed,
-        lambda a, m: F.struct(
-            F.get(m["__exit"], a["entry"].cast("int")).alias("entry"),
-            F.concat(a["out"], F.array(F.struct(m["__blk"].alias("__blk"), a["entry"].alias("__entry")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    entry = chained.select(*keys, F.inline(walked))
-    fold = F.aggregate(
-        "__jumps",
-        F.struct(F.lit(0).cast("long").alias("at"), F.col("__entry").alias("next"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, n: F.struct(
-            (a["at"] + 1).alias("at"),
-            F.when(a["at"] == a["next"], a["next"] + n).otherwise(a["next"]).alias("next"),
-            F.when(a["at"] == a["next"], F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    starts = blocks.join(entry, [*keys, "__blk"]).select(*keys, "__blk", F.explode(fold).alias("__at")).select(
-        *keys, (F.col("__blk") * block_rows + F.col("__at")).alias(index)
-    )
-    return jumps.join(starts, [*keys, index]).select(
+
+    def enter(state: dict, values: tuple) -> tuple[int]:
+        entry = state.get("entry", 0)
+        state["entry"] = values[0][entry]
+        return (entry,)
+
+    entry = keyed_fold(maps, keys, ["__blk"], ["__exit"], {"__entry": "bigint"}, enter).drop("__exit")
+
+    def begin(state: dict, values: tuple) -> tuple[list[int]]:
+        jumps_, at = values
+        out = []
+        while at < len(jumps_):
+            out.append(at)
+            at += jumps_[at]
+        return (out,)
+
+    both = null_safe_join(blocks, entry, [*keys, "__blk"], "inner")
+    starts = keyed_fold(both, [*keys, "__blk"], [], ["__jumps", "__entry"], {"__at": "array<bigint>"}, begin)
+    starts = starts.select(*keys, F.explode(F.transform("__at", lambda a: F.col("__blk") * block_rows + a)).alias("__i"))
+    return null_safe_join(jumps, starts, [*keys, "__i"], "inner").select(
         *keys, F.col(index).alias("first_ord"), "lines", F.col("batch_tokens").alias("tokens"),
         (F.col("batch_tokens") > max_tokens).alias("too_long"),
     )
 
 
-def term_matches(
-    lines: DataFrame, terms: DataFrame, keys: Sequence[str], *, text: str, term: str,
-    broadcast_rows: int = GLOSSARY_LIMIT,
-) -> DataFrame:
-    """Join every line with the terms that occur in it as a substring (same ``keys``).
+def term_matches(lines: DataFrame, terms: DataFrame, keys: Sequence[str], *, text: str, term: str) -> DataFrame:
+    """Join every line with the terms that occur in it as a substring (same ``keys``); empty and null terms match nothing.
 
-    A glossary of at most ``broadcast_rows`` rows (counted) goes to every task and is tested in place.
-    A larger one is matched through its first characters: the line gives its character runs of that
-    length, an equi-join on (keys, run) finds candidates, and the full term is then checked.
+    One way for any number of terms. The head of a term is its first 8, 4, 2 or 1 characters, the longest that fit. A line
+    gives its different runs of the head lengths that occur, cut from one array of its characters; an equi-join
+    on (keys, run) finds candidates, each a line's hash and a term, and the whole term is then looked up in the line. Texts are
+    not sent with their runs. Lines that agree in every column share their candidates.
     """
-    lines_named = spread(lines).withColumn("__text", F.col(text))
-    if at_most(terms, broadcast_rows):
-        small = F.broadcast(terms)
-        hit = F.contains(F.col("__text"), F.col(term))
-        if keys:
-            on = [lines_named[k] == small[k] for k in keys]
-            joined = lines_named.join(small, on=[*on, F.contains(lines_named["__text"], small[term])])
-            for k in keys:
-                joined = joined.drop(small[k])
-            return joined.drop("__text")
-        return lines_named.crossJoin(small).where(hit).drop("__text")
-    seeded = terms.withColumn("__n", F.least(F.char_length(term), F.lit(SEED_CHARS))).withColumn(
-        "__seed", F.substring(F.col(term), 1, SEED_CHARS)
-    )
-    grams = F.array_distinct(
-        F.flatten(F.transform(
-            F.sequence(F.lit(1), F.lit(SEED_CHARS)),
-            lambda n: F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("__text") - n + 1)),
-                         lambda i: i + n - 1 <= F.char_length("__text")),
-                lambda i: F.substr(F.col("__text"), i, n)),
-        ))
-    )
-    runs = lines_named.withColumn("__seed", F.explode(grams))
-    hits = runs.join(seeded, [*keys, "__seed"]).where(F.contains(F.col("__text"), F.col(term)))
-    return hits.drop("__seed", "__n", "__text")
+    length = F.char_length(term)
+    size = F.when(length >= SEEDS[0], SEEDS[0])
+    for n in SEEDS[1:]:
+        size = size.when(length >= n, n)
+    wanted = terms.withColumns({"__len": size, "__tid": F.xxhash64(*terms.columns)}).where("__len IS NOT NULL")
+    used = sorted(r[0] for r in wanted.select("__len").distinct().collect())  # four lengths at most
+    seeded = wanted.withColumn("__seed", F.substr(F.col(term), F.lit(1), F.col("__len")))
+
+    def runs(b: Column) -> Column:
+        def cut(n: int) -> Column:
+            starts = F.when(F.size(b["c"]) >= n, F.sequence(F.lit(1), F.size(b["c"]) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(b["c"], i, n), ""))
+
+        return F.array_distinct(F.concat(*[cut(n) for n in used])) if used else F.array().cast("array<string>")
+
+    named = spread(lines).withColumn("__lid", F.xxhash64(*[c for n in lines.columns for c in (F.col(n).isNull(), F.col(n))]))
+    chars = let({"c": F.split(F.coalesce(F.col(text), F.lit("")), "")}, runs)
+    found = named.select(*keys, "__lid", F.explode(chars).alias("__seed")).join(seeded.select(*keys, "__seed", "__tid"), [*keys, "__seed"])
+    found = found.select("__lid", "__tid").distinct()
+    full = wanted.drop(*keys, "__len").distinct()
+    hits = named.join(found, "__lid").join(full, "__tid").where(F.contains(F.col(text), F.col(term)))
+    return hits.drop("__lid", "__tid")
 
 
 def relevant_terms(batches: DataFrame, terms: DataFrame, keys: Sequence[str], batch: Sequence[str], *, text: str, term: str) -> DataFrame:
@@ -183,10 +173,11 @@ def matched_translations(lines: DataFrame, responses: DataFrame, keys: Sequence[
 
     ``lines`` carry ``keys`` (the batch), ``pos``, ``alias`` and ``ident``. Returns accepted lines with
     ``subtitle_vi, dub_vi, emotion`` and rejected batches with ``reason``. A batch is small by
-    construction (its size is fixed), so it is checked as one array row.
+    construction (its size is fixed), so it is checked as one array row. A batch with several replies is rejected once.
     """
     batch = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.col(ident).alias("id"), "alias"))).alias("members"))
-    both = batch.join(response_items(responses, keys), list(keys), "left")
+    replies = responses.groupBy(*keys).agg(F.count("*").alias("__replies"), F.min("body").alias("body"))
+    both = batch.join(response_items(replies, [*keys, "__replies"]), list(keys), "left")
     members = F.col("members")
     lookup = F.map_from_arrays(F.transform(members, lambda m: m["alias"]), F.transform(members, lambda m: m["id"]))
     resolved = F.transform("items", lambda r: F.struct(
@@ -199,6 +190,7 @@ def matched_translations(lines: DataFrame, responses: DataFrame, keys: Sequence[
     want = F.transform(members, lambda m: m["id"])
     reason = (
         F.when(F.col("ok").isNull(), "NO_RESPONSE")
+        .when(F.col("__replies") > 1, "DUPLICATE_RESPONSE")
         .when(~F.col("ok"), "INVALID_SHAPE")
         .when((F.size(F.array_distinct(ids)) != F.size(ids)) | F.exists(ids, lambda i: i == ""), "DUPLICATE_ID")
         .when(blank, "EMPTY_TEXT")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.binding import let
-from voxtable.operators.scan import HOUR_MS, islands, neighbours, prefix, previous, slab
+from voxtable.operators.scan import BLOCK_ROWS, islands, neighbours, prefix, previous
 from voxtable.session import spread, staged
 
 
@@ -21,21 +21,20 @@ def coalesce_intervals(
     gap_ms: int = 0,
     inclusive: bool = True,
     labels: str | None = None,
-    slab_ms: int = HOUR_MS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Merge intervals whose distance to everything before them is small.
 
     ``inclusive`` merges when ``start - latest_end <= gap_ms``, otherwise only when ``<``. Output is
     ``keys, start_ms, end_ms, n`` plus, with ``labels``, the sorted distinct labels of the island.
 
-    Rows are first reduced to one per (key, start), so a slab never holds more rows than it has
-    milliseconds, whatever the skew.
+    Rows are first reduced to one per (key, start), whatever the skew.
     """
     extra = [F.collect_set(labels).alias("__lab")] if labels else []
     points = df.groupBy(*keys, F.col(start).alias("start_ms")).agg(
         F.max(end).alias("end_ms"), F.count("*").alias("n"), *extra
     )
-    named = islands(points, keys, ["start_ms"], slab("start_ms", slab_ms), start="start_ms", end="end_ms",
+    named = islands(points, keys, ["start_ms"], block_rows=block_rows, start="start_ms", end="end_ms",
                     gap=gap_ms, inclusive=inclusive, furthest=True)
     merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("__lab")))).alias("labels")] if labels else []
     named = named.select(*keys, F.col("island.start_ms").alias("start_ms"), "end_ms", "n", *(["__lab"] if labels else []))
@@ -51,7 +50,7 @@ def padded_windows(
     *,
     padding_ms: int = 600,
     gap_ms: int = 1200,
-    slab_ms: int = HOUR_MS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Pad spans, clip to the duration and merge neighbours at most ``gap_ms`` apart."""
     padded = spans.select(
@@ -59,7 +58,7 @@ def padded_windows(
         F.greatest(F.lit(0), F.col("start_ms") - padding_ms).cast("long").alias("start_ms"),
         F.least(F.col(duration), F.col("end_ms") + padding_ms).cast("long").alias("end_ms"),
     )
-    return coalesce_intervals(padded, keys, gap_ms=gap_ms, slab_ms=slab_ms)
+    return coalesce_intervals(padded, keys, gap_ms=gap_ms, block_rows=block_rows)
 
 
 def span_errors(spans: DataFrame, duration: str = "duration_ms") -> DataFrame:
@@ -99,7 +98,7 @@ def split_overlapping(df: DataFrame, width_ms: int, overlap_ms: int, index: str
 
 def speech_windows(
     turns: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *, chunk_ms: int = 30_000,
-    slab_ms: int = HOUR_MS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Union of speaker turns, split every ``chunk_ms``, with the speakers of the union.
 
@@ -111,7 +110,7 @@ def speech_windows(
         F.least(F.col(duration), F.col("end_ms")).cast("long").alias("end_ms"),
         "speaker_id",
     ).where("start_ms < end_ms")
-    unions = coalesce_intervals(clipped, keys, gap_ms=0, inclusive=False, labels="speaker_id", slab_ms=slab_ms)
+    unions = coalesce_intervals(clipped, keys, gap_ms=0, inclusive=False, labels="speaker_id", block_rows=block_rows)
     return split_fixed(unions.withColumnRenamed("labels", "speaker_ids").drop("n"), chunk_ms)
 
 
@@ -130,16 +129,16 @@ def pad_to_minimum(df: DataFrame, duration: str = "duration_ms", min_ms: int = 3
     )
 
 
-def drop_contained(df: DataFrame, keys: Sequence[str], *, slab_ms: int = HOUR_MS) -> DataFrame:
+def drop_contained(df: DataFrame, keys: Sequence[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct intervals of a key that lie inside no other interval of it."""
     widest = df.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"))
-    reach = prefix(widest, keys, ["start_ms"], slab("start_ms", slab_ms), {"__reach": ("max", F.col("end_ms"))})
+    reach = prefix(widest, keys, ["start_ms"], {"__reach": ("max", F.col("end_ms"))}, block_rows=block_rows)
     return reach.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("end_ms"))).drop("__reach")
 
 
 def separation_windows(
     spans: DataFrame, episodes: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *,
-    min_ms: int = 30_000, max_ms: int = 120_000, overlap_ms: int = 4_000, slab_ms: int = HOUR_MS,
+    min_ms: int = 30_000, max_ms: int = 120_000, overlap_ms: int = 4_000, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Plan model windows that cover every span: merge, split with overlap, pad, drop contained.
 
@@ -148,13 +147,13 @@ def separation_windows(
     if not 0 < overlap_ms < max_ms or min_ms > max_ms:
         raise ValueError("invalid window limits")
     timed = spans.join(episodes, list(keys))
-    merged = padded_windows(timed, keys, duration, slab_ms=slab_ms).drop("n")
+    merged = padded_windows(timed, keys, duration, block_rows=block_rows).drop("n")
     idle = episodes.join(spans.select(*keys).distinct(), list(keys), "left_anti").select(
         *keys, F.lit(0).cast("long").alias("start_ms"), F.least(F.col(duration), F.lit(min_ms)).cast("long").alias("end_ms")
     )
     pieces = split_overlapping(merged.unionByName(idle), max_ms, overlap_ms)
     padded = staged(pad_to_minimum(pieces.join(episodes, list(keys)), duration, min_ms).select(*keys, "start_ms", "end_ms"))
-    return drop_contained(padded, keys, slab_ms=slab_ms)
+    return drop_contained(padded, keys, block_rows=block_rows)
 
 
 def sample_grid(df: DataFrame, fps: str = "fps") -> DataFrame:
@@ -242,37 +241,38 @@ def speaker_overlaps(turns: DataFrame, keys: Sequence[str], *, bin_ms: int = 60_
 
 def latest_before(
     probes: DataFrame, marks: DataFrame, keys: Sequence[str], *, probe_at: str, mark_at: str, value: Column,
-    kind: str = "last", strict: bool = False, name: str = "found", slab_ms: int = HOUR_MS, probe_ids: Sequence[str] = (),
+    kind: str = "last", strict: bool = False, name: str = "found", block_rows: int = BLOCK_ROWS, probe_ids: Sequence[str] = (),
 ) -> DataFrame:
     """As-of lookup: fold ``value`` over the marks at or before (``strict``: before) each probe.
 
-    Both sides are unioned onto one ordered axis and scanned; no pairs are made.
+    Both sides are unioned onto one ordered axis and scanned; no pairs are made. The axis keeps fractions where one side has them.
     """
+    axis = "double" if "double" in (dict(probes.dtypes)[probe_at], dict(marks.dtypes)[mark_at]) else "long"
     rows = probes.select(*keys, F.struct(*[c for c in probes.columns if c not in keys]).alias("__p"),
-                         F.col(probe_at).cast("long").alias("__at"), F.lit(0 if strict else 1).alias("__side"),
+                         F.col(probe_at).cast(axis).alias("__at"), F.lit(0 if strict else 1).alias("__side"),
                          F.struct(*(probe_ids or [probe_at])).alias("__tie"))
     shape = rows.schema
     marked = marks.select(*keys, F.lit(None).cast(shape["__p"].dataType).alias("__p"),
-                          F.col(mark_at).cast("long").alias("__at"), F.lit(1 if strict else 0).alias("__side"),
+                          F.col(mark_at).cast(axis).alias("__at"), F.lit(1 if strict else 0).alias("__side"),
                           F.lit(None).cast(shape["__tie"].dataType).alias("__tie"), value.alias("__val"))
     both = rows.withColumn("__val", F.lit(None).cast(marked.schema["__val"].dataType)).unionByName(marked)
-    out = prefix(both, keys, ["__at", "__side", "__tie"], slab("__at", slab_ms), {name: (kind, F.col("__val"))})
+    out = prefix(both, keys, ["__at", "__side", "__tie"], {name: (kind, F.col("__val"))}, block_rows=block_rows)
     return out.where("__p IS NOT NULL").select(*keys, "__p.*", name)
 
 
-def uncovered_words(words: DataFrame, windows: DataFrame, keys: Sequence[str], *, slab_ms: int = HOUR_MS) -> DataFrame:
+def uncovered_words(words: DataFrame, windows: DataFrame, keys: Sequence[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Words that are not fully covered by the union of the windows (touching windows join up)."""
-    merged = staged(coalesce_intervals(windows, keys, gap_ms=0, slab_ms=slab_ms))
+    merged = staged(coalesce_intervals(windows, keys, gap_ms=0, block_rows=block_rows))
     found = latest_before(
         words, merged, keys, probe_at="s", mark_at="start_ms", value=F.col("end_ms"), name="__until",
-        slab_ms=slab_ms, probe_ids=[c for c in words.columns if c not in keys],
+        block_rows=block_rows, probe_ids=[c for c in words.columns if c not in keys],
     )
     return found.where(F.coalesce(F.col("__until") < F.col("e"), F.lit(True))).drop("__until")
 
 
 def colliding(
     voiced: DataFrame, protected: DataFrame, keys: Sequence[str], *, start: str, stop: str,
-    probe_ids: Sequence[str], slab_ms: int = HOUR_MS,
+    probe_ids: Sequence[str], block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``collides``: some protected ``[start_ms, end_ms)`` overlaps ``[start, stop)`` of the row.
 
@@ -281,12 +281,12 @@ def colliding(
     """
     found = latest_before(
         voiced, protected, keys, probe_at=stop, mark_at="start_ms", value=F.col("end_ms"), kind="max",
-        strict=True, name="__reach", slab_ms=slab_ms, probe_ids=probe_ids,
+        strict=True, name="__reach", block_rows=block_rows, probe_ids=probe_ids,
     )
     return found.withColumn("collides", F.coalesce(F.col("__reach") > F.col(start), F.lit(False))).drop("__reach")
 
 
-def chunk_bounds(chunks: DataFrame, keys: Sequence[str], *, chunk: str = "chunk_no", block_rows: int = 4096) -> DataFrame:
+def chunk_bounds(chunks: DataFrame, keys: Sequence[str], *, chunk: str = "chunk_no", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Ownership range of each chunk: neighbours that overlap meet at the integer midpoint."""
     span = F.struct(F.col(chunk).alias("no"), "start_ms", "end_ms")
     near = neighbours(chunks, keys, chunk, 1, 1, {"__near": (span, False)}, block_rows=block_rows)
@@ -314,18 +314,18 @@ def owned_in_row(chunks: DataFrame, words: str = "words") -> DataFrame:
 
 
 def silence_groups(
-    words: DataFrame, keys: Sequence[str], order: Sequence[str], *, gap_ms: int = 400, slab_ms: int = HOUR_MS,
+    words: DataFrame, keys: Sequence[str], order: Sequence[str], *, gap_ms: int = 400, block_rows: int = BLOCK_ROWS,
     start: str = "s", end: str = "e",
 ) -> DataFrame:
     """Group consecutive words; a silence of ``gap_ms`` or more starts a new group."""
-    named = islands(words, keys, order, slab(start, slab_ms), start=start, end=end, gap=gap_ms, inclusive=False,
+    named = islands(words, keys, order, block_rows=block_rows, start=start, end=end, gap=gap_ms, inclusive=False,
                     furthest=False, name="__group")
     return named.groupBy(*keys, "__group").agg(
         F.min(start).alias("start_ms"), F.max(end).alias("end_ms"), F.count("*").alias("n_words")
     ).drop("__group")
 
 
-def adjacent_overlaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, block: Column | None = None) -> DataFrame:
+def adjacent_overlaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows that start before the row ahead of them in the order has ended."""
-    near = previous(df, keys, order, block if block is not None else slab(order[0]), {"prev_end_ms": F.col("end_ms")})
+    near = previous(df, keys, order, {"prev_end_ms": F.col("end_ms")}, block_rows=block_rows)
     return near.where(F.col("prev_end_ms") > F.col("start_ms"))

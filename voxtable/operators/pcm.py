@@ -80,7 +80,7 @@ def clip_pieces(clips: DataFrame, keys: Sequence[str], *, rate: int = RATE, ramp
 def block_masks(words: DataFrame, keys: Sequence[str], *, rate: int = RATE) -> DataFrame:
     """Union of word spans in frames, cut to blocks: at most half a block of disjoint ranges each."""
     spans = words.select(*keys, frame_of(F.col("s"), rate).alias("start_ms"), frame_of(F.col("e"), rate).alias("end_ms")).where("start_ms < end_ms")
-    merged = coalesce_intervals(spans, keys, gap_ms=0, slab_ms=rate * 600)
+    merged = coalesce_intervals(spans, keys, gap_ms=0)
     cut = merged.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start_ms") / rate).cast("long"), F.floor((F.col("end_ms") - 1) / rate).cast("long"))))
     lo = F.greatest(F.col("start_ms") - F.col("block_no") * rate, F.lit(0))
     hi = F.least(F.col("end_ms") - F.col("block_no") * rate, F.lit(rate))

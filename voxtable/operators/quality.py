@@ -126,7 +126,7 @@ def subtitle_bands(lines: DataFrame, keys: Sequence[str], *, width: Column, heig
     bands = rows.groupBy(*keys, "box_top", "box_bottom", "centre", "__h").agg(F.count("*").alias("n"))
     bands = staged(bands)
     totals = bands.groupBy(*keys).agg(F.sum("n").alias("total")).where("total >= 3")
-    seen = prefix(bands, keys, ["centre", "box_top"], F.floor(F.col("centre") / 64).cast("long"), {"seen": ("sum", F.col("n"))})
+    seen = prefix(bands, keys, ["centre", "box_top"], {"seen": ("sum", F.col("n"))})
     middle = seen.join(totals, list(keys)).where(
         (F.col("seen") <= F.floor(F.col("total") / 2)) & (F.floor(F.col("total") / 2) < F.col("seen") + F.col("n"))
     ).select(*keys, F.col("centre").alias("__m"))

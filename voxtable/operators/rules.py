@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
-from voxtable.operators.scan import HOUR_MS, previous, slab
+from voxtable.operators.scan import BLOCK_ROWS, previous
 from voxtable.session import staged
 
 # Kinds of benchmark material, and the time a representative corpus has to cover.
@@ -198,7 +198,7 @@ def plan_rules(jobs: DataFrame, keys: Sequence[str], inventory: DataFrame | None
 
 
 def edit_violations(
-    stored: DataFrame, edits: DataFrame, episodes: DataFrame, keys: Sequence[str], ident: str, *, slab_ms: int = HOUR_MS
+    stored: DataFrame, edits: DataFrame, episodes: DataFrame, keys: Sequence[str], ident: str, *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Review edits: same ids, ordered per track, inside the episode, decided, and complete when dubbed."""
     ids = [*keys, ident]
@@ -207,7 +207,7 @@ def edit_violations(
     both = have.join(sent, ids, "full_outer").select(*ids, F.when(
         F.col("__old").isNull() | F.col("__sent").isNull() | (F.col("__sent") > 1), "SEGMENT_SET_CHANGED").alias("code"))
     tracked = edits.withColumn("__track", F.coalesce(F.nullif(F.col("track_id"), F.lit("")), F.lit("legacy")))
-    near = previous(tracked, [*keys, "__track"], ["sent_no"], slab("sent_no", 4096), {"__pe": F.col("end_ms")})
+    near = previous(tracked, [*keys, "__track"], ["sent_no"], {"__pe": F.col("end_ms")}, block_rows=block_rows)
     timed = near.join(episodes.select(*keys, "duration_ms"), list(keys), "left")
     words = F.col("words")
     rules = violations(timed, ids, {
@@ -227,7 +227,7 @@ def applied_edits(stored: DataFrame, edits: DataFrame, rejected: DataFrame, keys
     return fine.join(stored.select(*ids, "confidence"), ids)
 
 
-def mix_input_violations(segments: DataFrame, clips: DataFrame, keys: Sequence[str], ident: str, *, slab_ms: int = HOUR_MS) -> DataFrame:
+def mix_input_violations(segments: DataFrame, clips: DataFrame, keys: Sequence[str], ident: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What forbids mixing: undecided lines, bad words, overlaps, duplicate ids, clips that do not match."""
     ids = [*keys, ident]
     inside = F.forall("words", lambda w: (F.col("start_ms") <= w["s"]) & (w["s"] < w["e"]) & (w["e"] <= F.col("end_ms")))
@@ -241,7 +241,7 @@ def mix_input_violations(segments: DataFrame, clips: DataFrame, keys: Sequence[s
         "WORD_OUTSIDE_SEGMENT": dub & ~inside,
         "WORDS_OVERLAP": dub & ~ordered,
     })
-    near = previous(segments, keys, ["start_ms", "end_ms", ident], slab("start_ms", slab_ms), {"__pe": F.col("end_ms")})
+    near = previous(segments, keys, ["start_ms", "end_ms", ident], {"__pe": F.col("end_ms")}, block_rows=block_rows)
     crossed = near.where(F.col("__pe") > F.col("start_ms")).select(*ids, F.lit("SEGMENTS_OVERLAP").alias("code"))
     dubs = segments.where(dub)
     pairing = dubs.select(*ids, F.lit(1).alias("__d")).join(clips.select(*ids, F.lit(1).alias("__c")), ids, "full_outer")
@@ -279,13 +279,12 @@ def bag_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
-def dense_timeline_rules(frames: DataFrame, keys: Sequence[str], *, frame_cap: int, block_rows: int = 4096) -> DataFrame:
+def dense_timeline_rules(frames: DataFrame, keys: Sequence[str], *, frame_cap: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Problems of a dense frame manifest, per key.
 
     ``frames``: keys, ``frame_index, at_ms, start_ms, end_ms, fps_num, fps_den, source_start_ms, source_frames``.
     """
-    near = previous(frames, keys, ["frame_index"], slab("frame_index", block_rows),
-                    {"__pi": F.col("frame_index"), "__pa": F.col("at_ms")})
+    near = previous(frames, keys, ["frame_index"], {"__pi": F.col("frame_index"), "__pa": F.col("at_ms")}, block_rows=block_rows)
     period = F.lit(1000.0) * F.col("fps_den") / F.col("fps_num")
     slack = F.greatest(F.lit(1.1), F.lit(1000.0) / F.col("fps_num"))
     first = F.col("frame_index") - F.coalesce("__pi", F.lit(-1)) != 1

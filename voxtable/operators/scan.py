@@ -1,28 +1,60 @@
-"""Ordered scans that never put a whole key into one task.
+"""Ordered scans that never put a hot key into one task, and lose no row.
 
-A plain ``Window.partitionBy(episode)`` sends a hot episode to one task. Here the order axis of a
-key is cut into blocks (a time slab, or a range of ordinals). The window runs inside a block, every
-block is summed up in one row, the block rows are scanned per key, and the carry is joined back.
-Window groups are then bounded by the block width, and the per-key scan sees one row per block.
+A plain window per key sends a hot key to one task. Here the keys with more than ``block_rows`` rows are found by counting.
+All other keys take the plain window. A large key is cut along its order axis into blocks of about equal row counts
+(by approximate quantiles of its own order values); the window runs inside a block, every block is summed up in one row, the
+block rows are scanned per key, and the carry is joined back. Both ways give the same rows.
+
+Keys and order values may be null: a null key is a key, null order values come first. An input that is more than a scan of a
+table is written once, so that a chain of scans reads its source once. Rows that agree in the first order column stay in one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from voxtable.session import staged
+from voxtable.session import is_scan, staged
 
-HOUR_MS = 3_600_000
+BLOCK_ROWS = 1 << 20
+PARTS = 255
 BLK = "__blk"
+_ORDERED = re.compile(r"(tinyint|smallint|int|bigint|float|double|date|timestamp\w*|decimal.*)$")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on columns of both sides, null equal to null; the columns come from the left."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on])
+    return left.join(renamed, same, how).drop(*[f"__r_{c}" for c in on])
+
 
+def _parted(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of large keys with their block number."""
+    if not _ORDERED.match(dict(df.dtypes)[order]):
+        raise TypeError(f"{order} is no number or time")
+    # At most one key in block_rows rows: bounded by the table's size over block_rows.
+    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > block_rows).select(*keys))
+    small = null_safe_join(df, large, keys, "left_anti")
+    big = null_safe_join(df, large, keys, "left_semi")
+    bounds = big.groupBy(*keys).agg(F.percentile_approx(order, [i / (PARTS + 1) for i in range(1, PARTS + 1)], 10_000).alias("__bounds"))
+    at = F.size(F.filter(F.array_distinct("__bounds"), lambda b: b <= F.col(order)))
+    cut = null_safe_join(big, bounds, keys, "inner").withColumn(BLK, F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at))
+    return small, cut.drop("__bounds")
 
-def slab(column: str, width: int = HOUR_MS) -> Column:
-    """Block number of an integer order column."""
-    return F.floor(F.col(column) / F.lit(width)).cast("long")
+
+def _scanned(df: DataFrame, keys: Sequence[str], order: str, block_rows: int, plain: Callable[[DataFrame], DataFrame], blocked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    once = df if is_scan(df) else staged(df, "scan")
+    small, big = _parted(once, keys, order, block_rows)
+    return plain(small).unionByName(blocked(big))
 
 
 def _fold(kind: str, col: Column) -> Column:
@@ -36,155 +68,185 @@ def _fold(kind: str, col: Column) -> Column:
 
 
 def prefix(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column,
-    specs: dict[str, tuple[str, Column]],
-    *,
-    reverse: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, Column]], *,
+    reverse: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add, per spec ``name -> (kind, column)``, the fold over all *earlier* rows of the key.
 
     Kinds: ``sum`` (0 when there is none), ``max``, ``min`` and ``last`` (latest non-null value;
     null when there is none). ``reverse`` scans from the end, so "earlier" means "later".
     """
-    src = df.withColumn(BLK, block)
-    names = {name: f"__v_{name}" for name in specs}
-    src = src.select("*", *[specs[n][1].alias(v) for n, v in names.items()])
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    before = W.partitionBy(*keys, BLK).orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
-    local = src.select(
-        "*", *[_fold(specs[n][0], F.col(v)).over(before).alias(f"__l_{n}") for n, v in names.items()]
-    )
+    keys = list(keys)
 
-    pos = F.struct(*order)
-    pick = F.min_by if reverse else F.max_by
-    totals = src.groupBy(*keys, BLK).agg(
-        *[
-            pick(F.col(v), F.when(F.col(v).isNotNull(), pos)).alias(f"__t_{n}")
-            if specs[n][0] == "last"
-            else _fold(specs[n][0], F.col(v)).alias(f"__t_{n}")
-            for n, v in names.items()
-        ]
-    )
-    blk_order = F.col(BLK).desc() if reverse else F.col(BLK).asc()
-    earlier = W.partitionBy(*keys).orderBy(blk_order).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        BLK,
-        *[_fold(specs[n][0], F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n in names],
-    )
-    joined = local.join(carry, [*keys, BLK])
-
-    def merged(name: str) -> Column:
-        kind, inner, outer = specs[name][0], F.col(f"__l_{name}"), F.col(f"__c_{name}")
+    def merged(name: str, inner: Column, outer: Column | None) -> Column:
+        kind = specs[name][0]
         if kind == "sum":
-            return F.coalesce(inner, F.lit(0)) + F.coalesce(outer, F.lit(0))
-        if kind == "max":
-            return F.greatest(inner, outer)
-        if kind == "min":
-            return F.least(inner, outer)
-        return F.coalesce(inner, outer)
-
-    return joined.select(*df.columns, *[merged(n).alias(n) for n in names])
-
-
-def previous(df, keys, order, block, columns: dict[str, Column], *, reverse=False) -> DataFrame:
+            return (F.coalesce(inner, F.lit(0)) + (F.coalesce(outer, F.lit(0)) if outer is not None else 0)).alias(name)
+        if outer is None:
+            return inner.alias(name)
+        return {"max": F.greatest, "min": F.least}.get(kind, F.coalesce)(inner, outer).alias(name)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        before = W.partitionBy(*keys).orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
+        return rows.select(*df.columns, *[merged(n, _fold(kind, c).over(before), None) for n, (kind, c) in specs.items()])
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        src = rows.select("*", *[c.alias(f"__v_{n}") for n, (_, c) in specs.items()])
+        before = W.partitionBy(*keys, BLK).orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
+        local = src.select("*", *[_fold(kind, F.col(f"__v_{n}")).over(before).alias(f"__l_{n}") for n, (kind, _) in specs.items()])
+        pos, pick = F.struct(*order), F.min_by if reverse else F.max_by
+        totals = src.groupBy(*keys, BLK).agg(*[
+            (pick(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), pos)) if kind == "last" else _fold(kind, F.col(f"__v_{n}"))).alias(f"__t_{n}")
+            for n, (kind, _) in specs.items()])
+        earlier = W.partitionBy(*keys).orderBy(F.col(BLK).desc() if reverse else F.col(BLK).asc()).rowsBetween(W.unboundedPreceding, -1)
+        carry = totals.select(*keys, BLK, *[_fold(kind, F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (kind, _) in specs.items()])
+        joined = null_safe_join(local, carry, [*keys, BLK], "inner")
+        return joined.select(*df.columns, *[merged(n, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in specs])
+
+    return _scanned(df, keys, order[0], block_rows, plain, blocked)
+
+
+def previous(df, keys, order, columns: dict[str, Column], *, reverse=False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``lag`` (or ``lead`` with ``reverse``) of the named columns across blocks."""
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    out = prefix(df, keys, order, block, {"__prev": ("last", packed)}, reverse=reverse)
+    out = prefix(df, keys, order, {"__prev": ("last", packed)}, reverse=reverse, block_rows=block_rows)
     return out.select(*df.columns, *[F.col(f"__prev.{n}").alias(n) for n in columns])
 
 
-def following(df, keys, order, block, columns: dict[str, Column]) -> DataFrame:
-    return previous(df, keys, order, block, columns, reverse=True)
+def following(df, keys, order, columns: dict[str, Column], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return previous(df, keys, order, columns, reverse=True, block_rows=block_rows)
 
 
-def row_index(df, keys, order, block, name: str = "idx") -> DataFrame:
+def row_index(df, keys, order, name: str = "idx", *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Zero-based position of each row inside its key."""
-    return prefix(df, keys, order, block, {name: ("sum", F.lit(1).cast("long"))})
+    return prefix(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, block_rows=block_rows)
 
 
 def islands(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column,
-    *,
-    start: str,
-    end: str,
-    gap: int,
-    inclusive: bool,
-    furthest: bool,
-    name: str = "island",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, start: str, end: str, gap: int, inclusive: bool,
+    furthest: bool, name: str = "island", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Name, for each row, the first row of its run: a struct of the ``order`` values.
 
     A row opens a run when it starts more than ``gap`` after what lies before it (``inclusive``), or
     at least ``gap`` after it. "Before" is the furthest end so far (``furthest``) or the end of the row
-    just before. One scan is enough: whether the last opening of a block stands can be told from the
-    block's own summary and the carry of the earlier blocks.
+    just before. For a large key one scan is enough: whether the last opening of a block stands can be told from the
+    block's own summary and the carry of the earlier blocks. A null start or end opens no run by distance.
     """
-    src = df.withColumn(BLK, block).withColumn("__pos", F.struct(*order))
-    rows = W.partitionBy(*keys, BLK).orderBy(*order)
-    kind = "max" if furthest else "last"
+    keys, kind, pos = list(keys), "max" if furthest else "last", F.struct(*order)
 
     def opens(at: Column, reach: Column) -> Column:
         distance = at - reach
         return reach.isNull() | (distance > gap if inclusive else distance >= gap)
 
-    local = src.withColumn("__reach", _fold(kind, F.col(end)).over(rows.rowsBetween(W.unboundedPreceding, -1)))
-    marked = local.withColumn("__at", F.when(opens(F.col(start), F.col("__reach")), F.struct("__pos", F.col(start).alias("s"))))
-    blocks = marked.groupBy(*keys, BLK).agg(
-        (F.max(end) if furthest else F.max_by(end, "__pos")).alias("__out"),
-        F.max("__at").alias("__at"), F.min("__pos").alias("__head"))
-    earlier = W.partitionBy(*keys).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__carry", _fold(kind, F.col("__out")).over(earlier))
-    stands = opens(F.col("__at.s"), F.col("__carry"))
-    if not furthest:
-        # Behind the first row of a block the carry no longer matters.
-        stands = stands | (F.col("__at.__pos") != F.col("__head"))
-    blocks = blocks.withColumn("__from", F.last(F.when(stands, F.col("__at.__pos")), ignorenulls=True).over(earlier))
-    both = local.join(blocks.select(*keys, BLK, "__carry", "__from"), [*keys, BLK])
-    reach = F.greatest("__reach", "__carry") if furthest else F.coalesce("__reach", "__carry")
-    opened = F.last(F.when(opens(F.col(start), reach), F.col("__pos")), ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, 0))
-    return both.select(*df.columns, F.coalesce(opened, F.col("__from")).alias(name))
+    def until(window):
+        return window.rowsBetween(W.unboundedPreceding, -1)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        every = W.partitionBy(*keys).orderBy(*order)
+        reached = rows.withColumn("__reach", _fold(kind, F.col(end)).over(until(every)))
+        opened = F.last(F.when(opens(F.col(start), F.col("__reach")), pos), ignorenulls=True)
+        return reached.select(*df.columns, opened.over(every.rowsBetween(W.unboundedPreceding, 0)).alias(name))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        inside = W.partitionBy(*keys, BLK).orderBy(*order)
+        local = rows.withColumn("__pos", pos).withColumn("__reach", _fold(kind, F.col(end)).over(until(inside)))
+        marked = local.withColumn("__at", F.when(opens(F.col(start), F.col("__reach")), F.struct("__pos", F.col(start).alias("s"))))
+        blocks = marked.groupBy(*keys, BLK).agg(
+            (F.max(end) if furthest else F.max_by(end, F.when(F.col(end).isNotNull(), F.col("__pos")))).alias("__out"),
+            F.max("__at").alias("__at"), F.min("__pos").alias("__head"))
+        earlier = until(W.partitionBy(*keys).orderBy(BLK))
+        blocks = blocks.withColumn("__carry", _fold(kind, F.col("__out")).over(earlier))
+        stands = opens(F.col("__at.s"), F.col("__carry"))
+        if not furthest:
+            # Behind the first row of a block the carry no longer matters.
+            stands = stands | (F.col("__at.__pos") != F.col("__head"))
+        blocks = blocks.withColumn("__from", F.last(F.when(stands, F.col("__at.__pos")), ignorenulls=True).over(earlier))
+        both = null_safe_join(local, blocks.select(*keys, BLK, "__carry", "__from"), [*keys, BLK], "inner")
+        reach = F.greatest("__reach", "__carry") if furthest else F.coalesce("__reach", "__carry")
+        opened = F.last(F.when(opens(F.col(start), reach), F.col("__pos")), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+        return both.select(*df.columns, F.coalesce(opened, F.col("__from")).alias(name))
+
+    return _scanned(df, keys, order[0], block_rows, plain, blocked)
 
 
 def neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    index: str,
-    before: int,
-    after: int,
-    columns: dict[str, tuple[Column, bool]],
-    *,
-    block_rows: int = 4096,
+    df: DataFrame, keys: Sequence[str], order: str, before: int, after: int, columns: dict[str, tuple[Column, bool]], *,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Collect the ``before``/``after`` rows around each row into arrays, ordered by ``index``.
+    """Collect the ``before``/``after`` rows around each row into arrays, in the order of ``order``.
 
-    ``index`` is the dense position in the key. Rows next to a block edge are also sent to the
-    neighbouring block, so every frame is complete inside one bounded block. ``columns`` maps the
-    new array name to (value, whether the row itself is kept).
+    Rows count, not values: ``order`` may have gaps. In a large key rows next to a block edge are also sent to the
+    neighbouring block, so every frame is complete inside one block. ``columns`` maps the new array name to
+    (value, whether the row itself is kept).
+    """
+    keys = list(keys)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        every = W.partitionBy(*keys).orderBy(order)
+
+        def near(value: Column, keep_self: bool) -> Column:
+            held = F.collect_list(F.struct(value.alias("v")))
+            if keep_self:
+                found = held.over(every.rowsBetween(-before, after))
+            else:
+                sides = [held.over(every.rowsBetween(-before, -1))] if before else []
+                sides += [held.over(every.rowsBetween(1, after))] if after else []
+                found = F.concat(*sides)
+            return F.transform(found, lambda r: r["v"])
+
+        return rows.select(*df.columns, *[near(v, keep).alias(n) for n, (v, keep) in columns.items()])
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        counted = rows.withColumn("__row", F.row_number().over(W.partitionBy(*keys, BLK).orderBy(order)).cast("long"))
+        sizes = rows.groupBy(*keys, BLK).agg(F.count("*").alias("__n"))
+        ahead = sizes.select(*keys, BLK, F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+        dense = null_safe_join(counted, ahead, [*keys, BLK], "inner").withColumn("__i", F.col("__row") + F.col("__off") - 1).drop(BLK, "__row", "__off")
+        at = F.col("__i")
+        home = F.floor(at / block_rows).cast("long")
+        blocks = F.sequence(F.floor((at - after) / block_rows).cast("long"), F.floor((at + before) / block_rows).cast("long"))
+        sent = dense.withColumn("__home", home).withColumn(BLK, F.explode(blocks))
+        frame = W.partitionBy(*keys, BLK).orderBy("__i").rowsBetween(-before, after)
+        packed = {n: F.collect_list(F.struct(at.alias("i"), v.alias("v"))).over(frame) for n, (v, _) in columns.items()}
+        out = sent.select("*", *[c.alias(f"__f_{n}") for n, c in packed.items()]).where(F.col(BLK) == F.col("__home"))
+
+        def shaped(name: str, keep_self: bool) -> Column:
+            held = F.col(f"__f_{name}")
+            if not keep_self:
+                held = F.filter(held, lambda r: r["i"] != at)
+            return F.transform(held, lambda r: r["v"]).alias(name)
+
+        return out.select(*df.columns, *[shaped(n, keep) for n, (_, keep) in columns.items()])
+
+    return _scanned(df, keys, order, block_rows, plain, blocked)
+
+
+def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], adds: dict[str, str], step: Callable[[dict, tuple], tuple]) -> DataFrame:
+    """Walk each key's rows in order with a state, where the next answer needs the one before.
+
+    ``step(state, values of reads)`` gives the values of the added columns (name -> type); the state starts as an
+    empty dict for each key. Rows stream through a task in sorted order, so memory holds one batch and one state, however
+    many rows a key has; the walk along one key is sequential by its nature.
     """
-    pos = F.col(index)
-    home = F.floor(pos / block_rows).cast("long")
-    blocks = F.sequence(F.floor((pos - after) / block_rows).cast("long"), F.floor((pos + before) / block_rows).cast("long"))
-    spread = df.withColumn("__home", home).withColumn(BLK, F.explode(blocks))
-    frame = W.partitionBy(*keys, BLK).orderBy(index).rowsBetween(-before, after)
-    packed = {n: F.collect_list(F.struct(pos.alias("i"), v.alias("v"))).over(frame)
-              for n, (v, _) in columns.items()}
-    out = spread.select("*", *[c.alias(f"__f_{n}") for n, c in packed.items()])
-    out = out.where(F.col(BLK) == F.col("__home"))
-
-    def shaped(name: str, keep_self: bool) -> Column:
-        rows = F.col(f"__f_{name}")
-        if not keep_self:
-            rows = F.filter(rows, lambda r: r["i"] != pos)
-        return F.transform(rows, lambda r: r["v"]).alias(name)
-
-    return out.select(*df.columns, *[shaped(n, keep) for n, (_, keep) in columns.items()])
+    kept, keys = df.columns, list(keys)
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in adds.items()])
+    kinds = [to_arrow_type(schema[n].dataType) for n in adds]
+
+    def walk(batches):
+        last, state = None, {}
+        for batch in batches:
+            names = [batch.column(k).to_pylist() for k in keys]
+            out = []
+            for at, values in enumerate(zip(*[batch.column(c).to_pylist() for c in reads])):
+                key = tuple(n[at] for n in names)
+                if key != last:
+                    last, state = key, {}
+                out.append(step(state, values))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *adds])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
 from voxtable.operators.intervals import colliding
-from voxtable.operators.scan import HOUR_MS, row_index, slab
+from voxtable.operators.scan import BLOCK_ROWS, row_index
 
 MAX_CUE_CHARS = 2048
 
@@ -32,17 +32,17 @@ def clip_coverage(dubs: DataFrame, clips: DataFrame, keys: Sequence[str], ident:
 
 
 def fitted_slots(
-    voiced: DataFrame, protected: DataFrame, keys: Sequence[str], *, ident: str, slab_ms: int = HOUR_MS
+    voiced: DataFrame, protected: DataFrame, keys: Sequence[str], *, ident: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Fit each clip between its first word and its line end; name the reason to keep the original.
 
     ``voiced``: keys, ident, ``end_ms, actual_ms, first_ms``. The voice may be sped up by at most 1.2,
-    may overrun by 10 ms, and may not touch a protected event.
+    may overrun by 10 ms, and may not touch a protected event. ``right_ms`` keeps fractions: the clip ends inside a millisecond.
     """
     slot = F.col("end_ms") - F.col("first_ms")
     fitted = voiced.withColumn("factor", ft.slot_factor(F.col("actual_ms"), slot)).withColumn(
-        "right_ms", F.col("first_ms") + F.floor(F.col("actual_ms") / F.col("factor")).cast("long"))
-    judged = colliding(fitted, protected, keys, start="first_ms", stop="right_ms", probe_ids=[ident], slab_ms=slab_ms)
+        "right_ms", F.col("first_ms") + F.col("actual_ms") / F.col("factor"))
+    judged = colliding(fitted, protected, keys, start="first_ms", stop="right_ms", probe_ids=[ident], block_rows=block_rows)
     issue = (
         F.when(F.col("factor") > 1.2, "VOICE_EXCEEDS_FROZEN_DURATION_POLICY")
         .when(F.col("right_ms") > F.col("end_ms") + 10, "FIT_OVERFLOW_KEEP_ORIGINAL")
@@ -59,7 +59,7 @@ def cue_errors(lines: DataFrame) -> Column:
         "CUE_TEXT_TOO_LONG")
 
 
-def strict_cues(lines: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *, carry: Sequence[str] = (), slab_ms: int = HOUR_MS) -> tuple[DataFrame, DataFrame]:
+def strict_cues(lines: DataFrame, keys: Sequence[str], duration: str = "duration_ms", *, carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Numbered, escaped cues ordered by (start, end, text), and the rows that fail the checks.
 
     ``carry`` names columns of the lines to keep on the cues.
@@ -72,18 +72,18 @@ def strict_cues(lines: DataFrame, keys: Sequence[str], duration: str = "duration
         F.least("end_ms", duration).cast("long").alias("end_ms"),
         tx.cue_text(wording).alias("text"),
     ).where("end_ms > start_ms AND char_length(text) > 0")
-    return _numbered(cues, keys, ["start_ms", "end_ms", "text"], slab_ms, carry), judged.where("error IS NOT NULL")
+    return _numbered(cues, keys, ["start_ms", "end_ms", "text"], block_rows, carry), judged.where("error IS NOT NULL")
 
 
-def plain_cues(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, slab_ms: int = HOUR_MS) -> DataFrame:
+def plain_cues(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Cues in input order: line breaks become blanks, nothing is escaped, empty lines are skipped."""
     text = F.translate(tx.strip(F.coalesce(F.col("subtitle_vi"), F.lit(""))), "\r\n", "  ")
     cues = lines.withColumn("text", text).where("char_length(text) > 0")
-    return _numbered(cues, keys, order, slab_ms)
+    return _numbered(cues, keys, order, block_rows)
 
 
-def _numbered(cues: DataFrame, keys: Sequence[str], order: Sequence[str], slab_ms: int, carry: Sequence[str] = ()) -> DataFrame:
-    placed = row_index(cues, keys, order, slab(order[0], slab_ms), "__i")
+def _numbered(cues: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int, carry: Sequence[str] = ()) -> DataFrame:
+    placed = row_index(cues, keys, order, "__i", block_rows=block_rows)
     head = F.concat_ws(" --> ", tx.timestamp(F.col("start_ms")), tx.timestamp(F.col("end_ms")))
     number = (F.col("__i") + 1).alias("cue_no")
     block = F.concat_ws("\n", (F.col("__i") + 1).cast("string"), head, F.col("text")).alias("block")

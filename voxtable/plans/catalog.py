@@ -64,7 +64,7 @@ def event_page(spark, sf):
 SELECT workspace, episode_id, reserved_bytes, admitted FROM st WHERE n > 0""")
 def quota_admission(spark, sf):
     req = view(spark, sf, "episode").selectExpr("series_id % 25 AS workspace", "episode_id", "total_bytes")
-    return ct.quota_admission(req, ["workspace"], 20_000_000, order="episode_id", width=65_536).select("workspace", "episode_id", "reserved_bytes", "admitted")
+    return ct.quota_admission(req, ["workspace"], 20_000_000, order="episode_id").select("workspace", "episode_id", "reserved_bytes", "admitted")
 
 
 @query("issue_summary", "SELECT code, severity, count(*) AS n FROM issue WHERE NOT resolved GROUP BY ROLLUP(code, severity)")
@@ -104,8 +104,12 @@ def roi_fallback(spark, sf):
 GLOSS = """cur AS (SELECT series_id, zh, any_value(vi) AS vi, bool_or(locked) AS locked, CAST(0 AS BIGINT) AS updated_at FROM (SELECT series_id, zh, 'old' AS vi, locked FROM glossary) GROUP BY series_id, zh),
  req AS (SELECT c_custkey AS request_id, c_custkey%7 AS series_id, p_name AS zh, p_brand AS vi, c_custkey%2=0 AS locked, c_custkey AS updated_at FROM customer JOIN part ON p_partkey%300=c_custkey
    UNION ALL SELECT updated_at+1000000, series_id, zh, 'new', updated_at%2=0, updated_at+1000000 FROM glossary),
- rej AS (SELECT request_id, 'DUPLICATE_TERM' AS code FROM req GROUP BY request_id, series_id, zh HAVING count(*) > 1
-  UNION SELECT request_id, 'LOCKED_TERM' FROM req r JOIN cur c ON r.series_id=c.series_id AND r.zh=c.zh AND c.locked AND NOT r.locked),
+ rq AS (SELECT series_id, request_id, count(*) > count(DISTINCT zh) AS dup, list(zh) FILTER (NOT locked) AS free, list(zh) FILTER (locked) AS fixed FROM req GROUP BY series_id, request_id),
+ o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY request_id) AS n FROM rq WHERE NOT dup),
+ w AS (SELECT s.series_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, coalesce((SELECT list(zh) FROM cur WHERE cur.series_id=s.series_id AND locked), []) AS held, true AS ok FROM (SELECT DISTINCT series_id FROM o) s
+   UNION ALL SELECT w.series_id, o.n, o.request_id, CASE WHEN list_has_any(coalesce(free, []), held) THEN held ELSE list_concat(held, coalesce(fixed, [])) END, NOT list_has_any(coalesce(free, []), held)
+     FROM w JOIN o ON o.series_id=w.series_id AND o.n=w.n+1),
+ rej AS (SELECT request_id, 'DUPLICATE_TERM' AS code FROM rq WHERE dup UNION ALL SELECT request_id, 'LOCKED_TERM' FROM w WHERE NOT ok),
  good AS (SELECT * FROM req WHERE request_id NOT IN (SELECT request_id FROM rej)),
  newg AS (SELECT series_id, zh, arg_max(vi, age) AS vi, arg_max(locked, age) AS locked FROM (SELECT series_id, zh, vi, locked, -1 AS age FROM cur UNION ALL SELECT series_id, zh, vi, locked, request_id FROM good) GROUP BY series_id, zh)"""
 
@@ -120,17 +124,17 @@ def _glossary_inputs(spark, sf):
     return current, req.unionByName(more), view(spark, sf, "series")
 
 
-@query("glossary_upsert", "WITH " + GLOSS + " SELECT series_id, zh, vi, locked FROM newg")
+@query("glossary_upsert", "WITH RECURSIVE " + GLOSS + " SELECT series_id, zh, vi, locked FROM newg")
 def glossary_upsert(spark, sf):
     return ct.glossary_upsert(*_glossary_inputs(spark, sf))[0].select("series_id", "zh", "vi", "locked")
 
 
-@query("glossary_upsert_rejects", "WITH " + GLOSS + " SELECT request_id, code FROM rej")
+@query("glossary_upsert_rejects", "WITH RECURSIVE " + GLOSS + " SELECT request_id, code FROM rej")
 def glossary_upsert_rejects(spark, sf):
     return ct.glossary_upsert(*_glossary_inputs(spark, sf))[2]
 
 
-@query("glossary_versions", "WITH " + GLOSS + """ SELECT s.series_id, s.glossary_version + coalesce(n, 0) AS glossary_version FROM series s LEFT JOIN (SELECT series_id, count(DISTINCT request_id) AS n FROM good GROUP BY series_id) USING (series_id)""")
+@query("glossary_versions", "WITH RECURSIVE " + GLOSS + """ SELECT s.series_id, s.glossary_version + coalesce(n, 0) AS glossary_version FROM series s LEFT JOIN (SELECT series_id, count(DISTINCT request_id) AS n FROM good GROUP BY series_id) USING (series_id)""")
 def glossary_versions(spark, sf):
     return ct.glossary_upsert(*_glossary_inputs(spark, sf))[1].select("series_id", "glossary_version")
 
@@ -140,28 +144,37 @@ PREV = "p AS (SELECT *, lag(state) OVER (PARTITION BY episode_id ORDER BY ts_ms,
 
 @query("illegal_transitions", "WITH " + PREV + f" SELECT event_id, episode_id, from_state, state FROM p WHERE from_state IS NOT NULL AND (from_state, state) NOT IN (SELECT (old, new) FROM {moves_sql()})")
 def illegal_transitions(spark, sf):
-    out = ct.judged_moves(view(spark, sf, "job_event"), EP, ["ts_ms", "event_id"], block=scan.slab("ts_ms", DAY))
+    out = ct.judged_moves(view(spark, sf, "job_event"), EP, ["ts_ms", "event_id"])
     return out.where("NOT legal").select("event_id", "episode_id", "from_state", "state")
 
 
 @query("time_in_state", "WITH " + PREV + " SELECT event_id, episode_id, state, nx - ts_ms AS in_state_ms FROM p")
 def time_in_state(spark, sf):
-    out = ct.time_in_state(view(spark, sf, "job_event"), EP, ["ts_ms", "event_id"], block=scan.slab("ts_ms", DAY))
+    out = ct.time_in_state(view(spark, sf, "job_event"), EP, ["ts_ms", "event_id"])
     return out.select("event_id", "episode_id", "state", "in_state_ms")
 
 
-REQ = f"""rq AS (SELECT o_orderkey + CASE WHEN o_orderkey%101=7 THEN 100000000 ELSE 0 END AS episode_id, CASE o_orderkey%4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'PREPARING' ELSE 'COMPLETED' END AS ns FROM orders WHERE o_orderpriority<>'5-LOW'),
- j AS (SELECT rq.episode_id, e.status, ns, (status, ns) IN (SELECT (old, new) FROM {moves_sql()}) AS ok FROM rq LEFT JOIN episode e USING (episode_id))"""
+REQ = f"""mv AS (SELECT old, new FROM {moves_sql()}),
+ r1 AS (SELECT o_orderkey + CASE WHEN o_orderkey%101=7 THEN 100000000 ELSE 0 END AS episode_id, CASE o_orderkey%4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'PREPARING' ELSE 'COMPLETED' END AS ns FROM orders WHERE o_orderpriority<>'5-LOW'),
+ r2 AS (SELECT o_orderkey AS episode_id, CASE o_orderkey%2 WHEN 0 THEN 'QUEUED' ELSE 'FAILED' END AS ns FROM orders WHERE o_orderkey%3=0),
+ j1 AS (SELECT r1.episode_id, e.status, ns, (status, ns) IN (SELECT (old, new) FROM mv) AS ok FROM r1 LEFT JOIN episode e USING (episode_id)),
+ s1 AS (SELECT e.episode_id, CASE WHEN ok THEN ns ELSE e.status END AS status FROM episode e LEFT JOIN j1 USING (episode_id)),
+ j2 AS (SELECT r2.episode_id, s1.status, ns, (status, ns) IN (SELECT (old, new) FROM mv) AS ok FROM r2 LEFT JOIN s1 USING (episode_id)),
+ j AS (SELECT * FROM j1 UNION ALL SELECT * FROM j2)"""
 
 
 def _transition_inputs(spark, sf):
-    req = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").selectExpr(
+    """Up to two requests for one episode; the second is judged on what the first left."""
+    orders = table(spark, sf, "orders")
+    first = orders.where("o_orderpriority <> '5-LOW'").selectExpr(
         "o_orderkey + CASE WHEN o_orderkey%101=7 THEN 100000000 ELSE 0 END AS episode_id",
         "CASE o_orderkey%4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'PREPARING' ELSE 'COMPLETED' END AS status", "'m' AS message", "0L AS ts_ms")
-    return view(spark, sf, "episode"), req
+    second = orders.where("o_orderkey%3 = 0").selectExpr(
+        "o_orderkey AS episode_id", "CASE o_orderkey%2 WHEN 0 THEN 'QUEUED' ELSE 'FAILED' END AS status", "'m' AS message", "1L AS ts_ms")
+    return view(spark, sf, "episode"), first.unionByName(second)
 
 
-@query("status_transitions", "WITH " + REQ + " SELECT e.episode_id, CASE WHEN ok THEN ns ELSE e.status END AS status FROM episode e LEFT JOIN j USING (episode_id)")
+@query("status_transitions", "WITH " + REQ + " SELECT s1.episode_id, CASE WHEN ok THEN ns ELSE s1.status END AS status FROM s1 LEFT JOIN j2 USING (episode_id)")
 def status_transitions(spark, sf):
     return ct.apply_transitions(*_transition_inputs(spark, sf))[0].select("episode_id", "status")
 
@@ -181,11 +194,10 @@ def transition_rejects(spark, sf):
 SELECT upload_id, seq, "offset", expected FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY seq) AS r FROM o WHERE "offset" <> expected OR "offset" + length > total) WHERE r=1""")
 def upload_first_rejected(spark, sf):
     base = view(spark, sf, "upload_chunk")
-    width = 1_000_000_000
-    sized = scan.prefix(base, ["upload_id"], ["seq"], scan.slab("seq", width), {"so_far": ("sum", F.col("length"))})
+    sized = scan.prefix(base, ["upload_id"], ["seq"], {"so_far": ("sum", F.col("length"))})
     chunks = sized.withColumn("offset", F.col("so_far") + F.col("skewed")).drop("so_far")
     totals = base.select("upload_id").distinct().withColumn("total_bytes", F.lit(90).cast("long"))
-    return ct.first_rejected_chunk(chunks, ["upload_id"], totals, width=width)
+    return ct.first_rejected_chunk(chunks, ["upload_id"], totals)
 
 
 @query("recovery_plan", """WITH a AS (SELECT *, episode_id%9<>4 AS source_ok, CASE WHEN status<>'PREPARING' OR episode_id%2=0 THEN CASE episode_id%3 WHEN 0 THEN 'TTS' WHEN 1 THEN 'ASR' END END AS st,

@@ -164,7 +164,7 @@ def fit_decision(spark, sf):
 WITH v AS (SELECT s.*, actual_ms, start_ms + (episode_id*7+ord)%400 AS first_ms FROM segment s JOIN clip USING (episode_id, ord) WHERE action='DUB' AND NOT missing),
  f AS (SELECT *, greatest(1.0, actual_ms/CAST(end_ms-first_ms AS DOUBLE)) AS factor FROM v),
  k AS (SELECT episode_id, start_ms - 5000 AS start_ms, start_ms + 4000 AS end_ms FROM segment WHERE action<>'DUB'),
- h AS (SELECT *, first_ms + CAST(floor(actual_ms/factor) AS BIGINT) AS right_ms FROM f)
+ h AS (SELECT *, first_ms + actual_ms/factor AS right_ms FROM f)
 SELECT episode_id, ord, round(factor, 9) AS factor, CASE WHEN factor > 1.2 THEN 'VOICE_EXCEEDS_FROZEN_DURATION_POLICY'
   WHEN right_ms > end_ms + 10 THEN 'FIT_OVERFLOW_KEEP_ORIGINAL'
   WHEN EXISTS (SELECT 1 FROM k WHERE k.episode_id=h.episode_id AND k.start_ms < right_ms AND k.end_ms > first_ms) THEN 'PROTECTED_EVENT_COLLISION_KEEP_ORIGINAL' END AS issue FROM h""")
@@ -305,18 +305,18 @@ def translation_batches(spark, sf):
 
 
 @query("token_budget_batches", """
-WITH RECURSIVE l AS (SELECT episode_id, ord, length(zh_text)*3 AS tokens FROM segment),
+WITH RECURSIVE l AS (SELECT episode_id, ord*3+5 AS ord, row_number() OVER (PARTITION BY episode_id ORDER BY ord) AS i, length(zh_text)*3 AS tokens FROM segment),
  j AS (SELECT *, CASE WHEN t1+t2+t3+t4 <= 4096 THEN 4 WHEN t1+t2+t3 <= 4096 THEN 3 WHEN t1+t2 <= 4096 THEN 2 ELSE 1 END AS k FROM (
-   SELECT episode_id, ord, tokens AS t1, lead(tokens,1) OVER w AS t2, lead(tokens,2) OVER w AS t3, lead(tokens,3) OVER w AS t4 FROM l WINDOW w AS (PARTITION BY episode_id ORDER BY ord))),
- m AS (SELECT episode_id, ord, least(k, CASE WHEN t2 IS NULL THEN 1 WHEN t3 IS NULL THEN CASE WHEN t1+t2<=4096 THEN 2 ELSE 1 END
+   SELECT episode_id, ord, i, tokens AS t1, lead(tokens,1) OVER w AS t2, lead(tokens,2) OVER w AS t3, lead(tokens,3) OVER w AS t4 FROM l WINDOW w AS (PARTITION BY episode_id ORDER BY ord))),
+ m AS (SELECT episode_id, ord, i, least(k, CASE WHEN t2 IS NULL THEN 1 WHEN t3 IS NULL THEN CASE WHEN t1+t2<=4096 THEN 2 ELSE 1 END
     WHEN t4 IS NULL THEN CASE WHEN t1+t2+t3<=4096 THEN 3 WHEN t1+t2<=4096 THEN 2 ELSE 1 END ELSE k END) AS k1,
     CASE WHEN t2 IS NULL THEN 1 WHEN t3 IS NULL THEN CASE WHEN t1+t2<=4096 THEN 2 ELSE 1 END
     WHEN t4 IS NULL THEN CASE WHEN t1+t2+t3<=4096 THEN 3 WHEN t1+t2<=4096 THEN 2 ELSE 1 END ELSE k END AS lines, t1,t2,t3,t4 FROM j),
- b AS (SELECT * FROM m WHERE ord=0 UNION ALL SELECT m.* FROM b JOIN m ON m.episode_id=b.episode_id AND m.ord=b.ord+b.lines)
+ b AS (SELECT * FROM m WHERE i=1 UNION ALL SELECT m.* FROM b JOIN m ON m.episode_id=b.episode_id AND m.i=b.i+b.lines)
 SELECT episode_id, ord AS first_ord, CAST(lines AS BIGINT) AS lines, t1 + CASE WHEN lines>1 THEN t2 ELSE 0 END + CASE WHEN lines>2 THEN t3 ELSE 0 END + CASE WHEN lines>3 THEN t4 ELSE 0 END AS tokens,
  (t1 + CASE WHEN lines>1 THEN t2 ELSE 0 END + CASE WHEN lines>2 THEN t3 ELSE 0 END + CASE WHEN lines>3 THEN t4 ELSE 0 END) > 4096 AS too_long FROM b""")
 def token_budget_batches(spark, sf):
-    lines = view(spark, sf, "segment").selectExpr("episode_id", "ord", "CAST(length(zh_text)*3 AS BIGINT) AS tokens")
+    lines = view(spark, sf, "segment").selectExpr("episode_id", "ord*3 + 5 AS ord", "CAST(length(zh_text)*3 AS BIGINT) AS tokens")
     return cx.packed_batches(lines, EP)
 
 

@@ -26,7 +26,7 @@ WITH src AS (SELECT episode_id, turn_id, greatest(0, start_ms-600000) AS start_m
 SELECT episode_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM islands GROUP BY episode_id, isl""")
 def coalesce_padded_spans(spark, sf):
     spans = view(spark, sf, "turn")
-    return iv.padded_windows(spans, EP, padding_ms=600_000, gap_ms=1_200_000, slab_ms=DAY)
+    return iv.padded_windows(spans, EP, padding_ms=600_000, gap_ms=1_200_000)
 
 
 @query("span_bounds_errors", """
@@ -43,7 +43,7 @@ WITH src AS (SELECT episode_id, turn_id, speaker_id, greatest(0, start_ms) AS st
 SELECT episode_id, st AS start_ms, least(e, st+3600000) AS end_ms, array_to_string(spk, ',') AS speaker_ids
 FROM (SELECT *, unnest(range(s, e, 3600000)) AS st FROM grp)""")
 def speech_window_union(spark, sf):
-    out = iv.speech_windows(view(spark, sf, "turn"), EP, chunk_ms=3_600_000, slab_ms=DAY)
+    out = iv.speech_windows(view(spark, sf, "turn"), EP, chunk_ms=3_600_000)
     return out.select("episode_id", "start_ms", "end_ms", F.array_join("speaker_ids", ",").alias("speaker_ids"))
 
 
@@ -76,7 +76,7 @@ def separation_windows(spark, sf):
     turns = view(spark, sf, "turn")
     episodes = turns.groupBy("episode_id").agg(F.max("duration_ms").alias("duration_ms"))
     spans = turns.where("speaker_id <> 'error' AND episode_id % 10 <> 3").select("episode_id", "start_ms", "end_ms")
-    return iv.separation_windows(spans, episodes, EP, min_ms=1_800_000, max_ms=7_200_000, overlap_ms=240_000, slab_ms=DAY)
+    return iv.separation_windows(spans, episodes, EP, min_ms=1_800_000, max_ms=7_200_000, overlap_ms=240_000)
 
 
 @query("silence_sessions", """
@@ -85,7 +85,7 @@ WITH w AS (SELECT *, sum(opens) OVER (PARTITION BY episode_id ORDER BY s, pos) A
      SELECT *, lag(e) OVER (PARTITION BY episode_id ORDER BY s, pos) AS pe FROM live_word)))
 SELECT episode_id, min(s) AS start_ms, max(e) AS end_ms, count(*) AS n_words FROM w GROUP BY episode_id, g""")
 def silence_sessions(spark, sf):
-    return iv.silence_groups(view(spark, sf, "live_word"), EP, ["s", "pos"], gap_ms=7_200_000, slab_ms=DAY)
+    return iv.silence_groups(view(spark, sf, "live_word"), EP, ["s", "pos"], gap_ms=7_200_000)
 
 
 @query("speaker_overlap_pairs", """
@@ -105,7 +105,7 @@ def protected_collisions(spark, sf):
     turns = view(spark, sf, "turn")
     voiced = turns.where(F.col("speaker_id").isin("click", "view", "signup")).select("episode_id", "turn_id", "start_ms", "end_ms")
     protected = turns.where("speaker_id = 'error'").select("episode_id", "start_ms", "end_ms")
-    return iv.colliding(voiced, protected, EP, start="start_ms", stop="end_ms", probe_ids=["turn_id"], slab_ms=DAY)
+    return iv.colliding(voiced, protected, EP, start="start_ms", stop="end_ms", probe_ids=["turn_id"])
 
 
 @query("uncovered_words", """
@@ -116,7 +116,7 @@ SELECT episode_id, pos, s, e FROM live_word w
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.episode_id=w.episode_id AND ms <= s AND e <= me)""")
 def uncovered_words(spark, sf):
     windows = view(spark, sf, "turn").where("speaker_id <> 'view'").select("episode_id", "start_ms", "end_ms")
-    return iv.uncovered_words(view(spark, sf, "live_word"), windows, EP, slab_ms=DAY)
+    return iv.uncovered_words(view(spark, sf, "live_word"), windows, EP)
 
 
 @query("chunk_word_ownership", """
@@ -148,7 +148,7 @@ def chunk_word_ownership(spark, sf):
 SELECT episode_id, turn_id, start_ms, prev_end_ms FROM (
   SELECT *, lag(end_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, end_ms, turn_id) AS prev_end_ms FROM turn) WHERE prev_end_ms > start_ms""")
 def adjacent_overlap_check(spark, sf):
-    out = iv.adjacent_overlaps(view(spark, sf, "turn"), EP, ["start_ms", "end_ms", "turn_id"], block=scan.slab("start_ms", DAY))
+    out = iv.adjacent_overlaps(view(spark, sf, "turn"), EP, ["start_ms", "end_ms", "turn_id"])
     return out.select("episode_id", "turn_id", "start_ms", "prev_end_ms")
 
 

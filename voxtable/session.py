@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,8 +37,8 @@ def local_session(cpus: str = "8", app: str = "voxtable", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) is
-    a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder is made, on a local master only:
+    on a cluster every executor would write to its own disk.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxtable-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -69,14 +72,22 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WORK = re.compile(r"\b(Join|Aggregate|Window|Repartition\w*|RebalancePartitions|Sort|GlobalLimit|MapIn\w+|FlatMap\w+|ArrowEval\w*|BatchEval\w*|Deduplicate|Distinct|Intersect|Except)\b")
+
+
+def is_scan(df: DataFrame) -> bool:
+    """True when ``df`` only reads, filters and projects; the plan is looked at, nothing runs."""
+    return not _WORK.search(df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out the rows before work that costs much more per row than moving the row.
 
-    Only an input with fewer splits than the cluster has cores (a few small files) is moved; a large
-    input already has enough splits and stays where it is.
+    Only a bare scan with fewer splits than the cluster has cores (a few small files) is moved. Behind a shuffle the
+    rows are dealt already, and asking for their number of splits would run that shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if is_scan(df) and df.rdd.getNumPartitions() < cores else df
 
 
 def at_most(df: DataFrame, limit: int) -> bool:
