@@ -118,19 +118,26 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     plan = lengths.join(goal, lengths["source"].eqNullSafe(goal["source"])).select(lengths["source"], "size", "n", "source_size", "target")
     plan = staged(plan.groupBy("source").applyInPandas(choose, "source string, size bigint, whole bigint, more bigint"), "mix-plan")
 
-    # The bin in which a length's quota ends, and how many documents are still wanted from it.
+    # For each bin of a length, how many of its documents are still wanted. Every row has its bin here.
+    # A row's cell as plain columns: the join by it and the ranking inside it share one shuffle of the rows.
+    cell = ["__named", "__source", "size", "__bin"]
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.withColumns({"__named": F.col("source").isNotNull(), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+
     same = [by_bin["source"].eqNullSafe(plan["source"]), by_bin["size"] == plan["size"]]
     ordered = W.partitionBy("source", "size").orderBy("__bin")
-    steps = by_bin.join(plan, same).select(by_bin["source"], by_bin["size"], "__bin", "n", "whole", "more").withColumn("__upto", F.sum("n").over(ordered))
-    want = F.col("more") - (F.col("__upto") - F.col("n"))
-    quota = staged(steps.select(F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("__bin").alias("__b"), "whole",
-                                F.least(F.greatest(want, F.lit(0)), F.col("n")).alias("__want")), "mix-quota")
-    joined = sized.join(quota, sized["source"].eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")) & (F.col("__bin") == F.col("__b")), "left")
-    inside = W.partitionBy("source", "size", "__bin").orderBy("__pos")
-    both = joined.withColumn("__in", (F.row_number().over(inside) <= F.coalesce("__want", F.lit(0))).cast("int"))
-    taken = (F.coalesce(F.col("whole"), F.lit(0)) + F.col("__in")) * F.col("size")
-    out = both.join(F.broadcast(goal.withColumnRenamed("source", "__g")), F.col("source").eqNullSafe(F.col("__g")), "left")
-    return out.select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    steps = by_bin.join(plan, same, "left").select(by_bin["source"], by_bin["size"], "__bin", "n", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("more", F.lit(0)).alias("more"))
+    steps = steps.withColumn("__before", F.sum("n").over(ordered) - F.col("n"))
+    aims = goal.toDF("__g", "source_size", "target")
+    quota = celled(steps.join(aims, F.col("source").eqNullSafe(F.col("__g")))).select(
+        *cell, "whole", "source_size", "target", F.greatest(F.col("more") - F.col("__before"), F.lit(0)).alias("__want"))
+    # Cells grow with the documents, so they are met by shuffle at every size.
+    joined = celled(sized).join(staged(quota, "mix-quota").hint("merge"), cell)
+    inside = W.partitionBy(*cell).orderBy("__pos")
+    both = joined.withColumn("__in", (F.row_number().over(inside) <= F.col("__want")).cast("int"))
+    taken = (F.col("whole") + F.col("__in")) * F.col("size")
+    return both.select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 @query("op4_source_mix")
