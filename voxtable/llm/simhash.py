@@ -259,7 +259,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
             found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in rows.raw(part.column("text"))]
             yield rows.with_columns(part, ["k1", "k2"], shingles=pa.array(found, pa.list_(pa.int64())))
 
-    texts = docs.select(F.col(rows.KEY[0]).alias("k1"), F.col(rows.KEY[1]).alias("k2"), "text").join(ends, ["k1", "k2"], "left_semi")
+    texts = docs.select(F.col(rows.KEY[0]).alias("k1"), F.col(rows.KEY[1]).alias("k2"), "text").join(ends.hint("merge"), ["k1", "k2"], "left_semi")
     held = staged(texts.mapInArrow(sets, "k1 bigint, k2 bigint, shingles array<bigint>").dropDuplicates(["k1", "k2"]), "shingle-sets")
     a, b = held.toDF("ka1", "ka2", "sa"), held.toDF("kb1", "kb2", "sb")
     both = pairs.join(a, ["ka1", "ka2"]).join(b, ["kb1", "kb2"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -286,7 +286,8 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, radius: int = 8, similarit
     best = named.groupBy("set").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
     grouped = named.join(best.drop("n"), "set").select(F.col("__fp").alias("fp"), "stays")
     gone = prints.join(grouped, F.col("__fp") == F.col("fp")).where((F.col(key[0]) != F.col(f"stays.{key[0]}")) | (F.col(key[1]) != F.col(f"stays.{key[1]}")))
-    kept = held.join(gone.select(*key).distinct(), key, "left_anti")
+    # What goes grows with the documents, so it is met by shuffle at every size.
+    kept = held.join(gone.select(*key).distinct().hint("merge"), key, "left_anti")
     if not prints.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(key)
     return kept.select(*docs.columns)
