@@ -176,25 +176,34 @@ def test_unknown_cost_stays_null(rows):
 
 
 def test_retries(rows):
-    def transport(payload):
-        if payload == "down":
-            raise TimeoutError
-        if payload == "leak":
-            raise RuntimeError("secret")
-        return int(payload), "body"
-
-    req = rows("request_id string, payload string", [(p, p) for p in ("200", "404", "429", "500", "down", "leak")])
-    got = listed(ad.call_with_retry(req, transport, sleep=lambda _: None), "request_id", "attempts", "error")
-    assert got == [("200", 1, None), ("404", 1, "HTTP_FAILURE"), ("429", 3, "TRANSIENT_HTTP_FAILURE"), ("500", 3, "TRANSIENT_HTTP_FAILURE"),
-                   ("down", 3, "TRANSPORT_FAILED"), ("leak", 1, "TRANSPORT_FAILED")]
-
-
-def test_registry(rows):
-    registry = ad.Registry()
-    registry.add("TTS", lambda pdf: pdf.assign(n=pdf["n"] * 2), "n bigint")
-    assert listed(registry.run("TTS", rows("n bigint", [(2,)])), "n") == [(4,)] and registry.stages() == ["TTS"]
-    with pytest.raises(ValueError):
-        registry.run("ASR", rows("n bigint", [(2,)]))
+    tried = rows("call string, n bigint, status bigint", [
+        ("ok", 1, 200), ("later", 1, 503), ("later", 2, None), ("later", 3, 200), ("gone", 1, 404), ("gone", 2, 200), ("busy", 1, 429), ("busy", 2, 500),
+        ("busy", 3, 503), ("busy", 4, 200), ("down", 1, None)])
+    got = listed(ad.retry_outcomes(tried, ["call"], ["n"]), "call", "attempts", "status", "error", "surplus")
+    assert got == sorted([("ok", 1, 200, None, 0), ("later", 3, 200, None, 0), ("gone", 1, 404, "HTTP_FAILURE", 1),
+                          ("busy", 3, 503, "TRANSIENT_HTTP_FAILURE", 1), ("down", 1, None, "TRANSPORT_FAILED", 0)], key=repr)
+
+
+def test_unsupported_stage(rows):
+    runs = rows("run_id bigint, stage string", [(1, "TTS"), (2, "ASR"), (3, None)])
+    assert listed(ad.stage_support(runs, ["TTS"]), "run_id", "problem") == [(1, None), (2, "UNSUPPORTED_STAGE"), (3, "UNSUPPORTED_STAGE")]
+
+
+def test_edits_need_an_open_episode_and_unique_ids(rows):
+    from voxtable.operators import rules as rl
+
+    schema = "e bigint, ord bigint, track_id string, sent_no bigint, start_ms bigint, end_ms bigint, action string, needs_review boolean, dub_vi string, words array<struct<t:string,s:bigint,e:bigint>>"
+    line = lambda e, i: (e, i, "a", i, i * 10, i * 10 + 5, "KEEP", False, "", [])
+    stored = rows("e bigint, ord bigint", [(1, 1), (2, 1), (3, 1), (3, 1)])
+    eps = rows("e bigint, duration_ms bigint, status string", [(1, 100, "NEEDS_REVIEW"), (2, 100, "V1_RUNNING"), (3, 100, "CHECKPOINTED")])
+    out = rl.edit_violations(stored, rows(schema, [line(1, 1), line(2, 1), line(3, 1)]), eps, ["e"], "ord")
+    assert listed(out, "e", "ord", "code") == sorted([(2, None, "EPISODE_NOT_IN_REVIEW"), (3, None, "DUPLICATE_STORED_ID")], key=repr)
+
+
+def test_export_manifest_ignores_order(rows):
+    a = rows("table_name string, doc string", [("t", "é"), ("t", "b"), ("u", "c")])
+    one, two = (listed(ct.export_manifest(x), "table_name", "n", "bytes", "digest") for x in (a, a.orderBy("doc").repartition(5)))
+    assert one == two and one[0][:3] == ("t", 2, 3)
 
 
 def test_history_cap(rows):

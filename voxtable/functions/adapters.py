@@ -1,60 +1,14 @@
-"""Registry of vectorized functions that stand in for models, with declared results.
-
-A model call is a function on pandas batches, injected by the caller; tests pass deterministic stubs.
-"""
+"""Contracts of model and service calls, judged on their recorded rows."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-Batch = Callable[[pd.DataFrame], pd.DataFrame]
-
-
-class Transcriber(Protocol):
-    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """``window`` rows to ``zh_text`` rows."""
-
-
-class Synthesizer(Protocol):
-    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """``dub_vi, voice_id, target_ms`` rows to clip rows."""
-
-
-class Translator(Protocol):
-    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """Batch rows to reply rows."""
-
-
-class Registry:
-    """Stage name to batch function and result schema."""
-
-    def __init__(self) -> None:
-        self._known: dict[str, tuple[Batch, str]] = {}
-
-    def add(self, stage: str, function: Batch, schema: str) -> None:
-        if stage in self._known:
-            raise ValueError(f"stage {stage} is registered twice")
-        self._known[stage] = (function, schema)
-
-    def stages(self) -> list[str]:
-        return sorted(self._known)
-
-    def run(self, stage: str, df: DataFrame) -> DataFrame:
-        if stage not in self._known:
-            raise ValueError(f"unsupported stage: {stage}")
-        function, schema = self._known[stage]
-
-        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield function(pdf)
-
-        return df.mapInPandas(apply, schema)
+MAX_ATTEMPTS = 3
 
 
 def result_problem(model_revision: Column, weights: Column, metrics: Column) -> Column:
@@ -65,39 +19,30 @@ def result_problem(model_revision: Column, weights: Column, metrics: Column) ->
         .when((F.coalesce(model_revision, F.lit("")) == "") | (F.coalesce(weights, F.lit("")) == ""), "MISSING_MODEL_IDENTITY"))
 
 
-REPLY = "request_id string, status bigint, body string, attempts bigint, error string"
+def stage_support(runs: DataFrame, supported: Sequence[str], stage: str = "stage") -> DataFrame:
+    """Add ``problem``: UNSUPPORTED_STAGE for a stage that no adapter is registered for."""
+    known = F.coalesce(F.col(stage).isin(*supported), F.lit(False))
+    return runs.withColumn("problem", F.when(~known, "UNSUPPORTED_STAGE"))
 
 
-def call_with_retry(
-    requests: DataFrame, transport: Callable[[str], tuple[int, str]], *, attempts: int = 3, pause: float = 0.25,
-    sleep: Callable[[float], None] = time.sleep,
-) -> DataFrame:
-    """Send ``request_id, payload`` rows; 429, 5xx and timeouts are tried again, failures become rows."""
-    if not 1 <= attempts <= 3:
-        raise ValueError("attempts must be between 1 and 3")
+def transient(status: Column) -> Column:
+    """Whether a call is tried again: no answer, too many requests, or a server error."""
+    return status.isNull() | (status == 429) | ((status >= 500) & (status <= 599))
 
-    def send(payload: str) -> tuple[int | None, str | None, int, str | None]:
-        status = None
-        for n in range(attempts):
-            if n:
-                sleep(pause * 2 ** (n - 1))
-            try:
-                status, body = transport(payload)
-            except OSError:
-                status = None
-                continue
-            except Exception:
-                # Injected transports may put credentials in exception text.
-                return None, None, n + 1, "TRANSPORT_FAILED"
-            if 200 <= status < 300:
-                return status, body, n + 1, None
-            if status != 429 and not 500 <= status <= 599:
-                return status, None, n + 1, "HTTP_FAILURE"
-        return status, None, attempts, "TRANSPORT_FAILED" if status is None else "TRANSIENT_HTTP_FAILURE"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *send(p)) for i, p in zip(pdf["request_id"], pdf["payload"])]
-            yield pd.DataFrame(rows, columns=["request_id", "status", "body", "attempts", "error"]).astype({"status": "Int64"})
+def retry_outcomes(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], status: str = "status", *, limit: int = MAX_ATTEMPTS) -> DataFrame:
+    """How each call ended, from its recorded attempts: ``attempts, status, error``.
 
-    return requests.select("request_id", "payload").mapInPandas(run, REPLY)
+    The first attempt with a final answer ends a call; otherwise the last of at most ``limit`` does. Attempts recorded
+    behind the end are surplus and are counted in ``surplus``. ``order`` must number a call's attempts without ties.
+    """
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")
+    numbered = attempts.select(*keys, F.col(status).alias("status"), turn.alias("k"))
+    tried = F.col("k") <= limit
+    last = F.coalesce(F.min(F.when(tried & ~transient(F.col("status")), F.col("k"))), F.max(F.when(tried, F.col("k"))))
+    ended = numbered.groupBy(*keys).agg(F.count("*").alias("__recorded"), last.alias("attempts"), F.collect_list(F.when(tried, F.struct("k", "status"))).alias("__t"))
+    answer = F.get(F.filter("__t", lambda t: t["k"] == F.col("attempts")), 0)["status"]
+    out = ended.withColumn("status", answer)
+    good = (F.col("status") >= 200) & (F.col("status") <= 299)
+    error = F.when(F.col("status").isNull(), "TRANSPORT_FAILED").when(good, None).when(transient(F.col("status")), "TRANSIENT_HTTP_FAILURE").otherwise("HTTP_FAILURE")
+    return out.select(*keys, "attempts", "status", error.alias("error"), (F.col("__recorded") - F.col("attempts")).alias("surplus"))

@@ -103,6 +103,14 @@ def audio_quality(blocks: DataFrame, keys: Sequence[str], *, samples: str = "sam
     )
 
 
+def ocr_counts(frames: DataFrame, keys: Sequence[str], *, texts: str = "texts", checked: Column, untouched: Column) -> DataFrame:
+    """Sampled frames, texts seen, texts left in the ``checked`` frames, and whether all pixels outside masks are equal."""
+    found = F.size(texts).cast("long")
+    return frames.groupBy(*keys).agg(
+        F.count("*").alias("sampled_frames"), F.sum(found).alias("text_instances"),
+        F.sum(F.when(checked, found).otherwise(0)).alias("residual_text"), F.bool_and(untouched).alias("all_unmasked_equal"))
+
+
 def mix_quality(measured: DataFrame, source_ms: str = "source_ms") -> DataFrame:
     """Pass or fail of a finished mix: at most 20 ms of drift and 1e-5 of clipped samples."""
     return (

@@ -145,6 +145,12 @@ def report_lines(stages: DataFrame, totals: DataFrame, issues: DataFrame) -> Dat
     return head.unionByName(rows).unionByName(title).unionByName(found)
 
 
+def unchecked_cases(cases: DataFrame, checked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each case with ``mismatch``: no report was made for it."""
+    seen = checked.select(*keys).distinct().withColumn("__seen", F.lit(True))
+    return cases.join(seen, list(keys), "left").withColumn("mismatch", F.col("__seen").isNull()).drop("__seen")
+
+
 def check_summary(checks: DataFrame, keys: Sequence[str], passed: str = "passed") -> DataFrame:
     """PASS only when every check passed, with counts."""
     ok = F.bool_and(passed)

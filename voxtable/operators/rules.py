@@ -197,12 +197,20 @@ def plan_rules(jobs: DataFrame, keys: Sequence[str], inventory: DataFrame | None
     return union_all(parts)
 
 
+# States in which an episode's lines may be edited.
+EDITABLE = ("NEEDS_REVIEW", "CHECKPOINTED")
+
+
 def edit_violations(
     stored: DataFrame, edits: DataFrame, episodes: DataFrame, keys: Sequence[str], ident: str, *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Review edits: same ids, ordered per track, inside the episode, decided, and complete when dubbed."""
+    """Review edits: same ids, ordered per track, inside the episode, decided, and complete when dubbed.
+
+    ``episodes``: keys, ``duration_ms`` and ``status``; edits are taken in review or at a checkpoint only. Stored ids that
+    are not unique are a conflict of their own. Codes of a whole episode have a null ident.
+    """
     ids = [*keys, ident]
-    have = stored.select(*ids, F.lit(True).alias("__old"))
+    have = stored.groupBy(*ids).agg(F.count("*").alias("__old"))
     sent = edits.groupBy(*ids).agg(F.count("*").alias("__sent"))
     both = have.join(sent, ids, "full_outer").select(*ids, F.when(
         F.col("__old").isNull() | F.col("__sent").isNull() | (F.col("__sent") > 1), "SEGMENT_SET_CHANGED").alias("code"))
@@ -217,7 +225,13 @@ def edit_violations(
         "UNDECIDED": ~F.col("action").isin("DUB", "KEEP") | F.col("needs_review"),
         "DUB_INCOMPLETE": (F.col("action") == "DUB") & ((F.size("words") == 0) | (tx.strip(F.col("dub_vi")) == "")),
     })
-    return both.where("code IS NOT NULL").unionByName(rules)
+    whole = F.lit(None).cast(stored.schema[ident].dataType).alias(ident)
+    edited = edits.select(*keys).distinct()
+    closed = edited.join(episodes.select(*keys, "status"), list(keys), "left").where(~F.coalesce(F.col("status").isin(*EDITABLE), F.lit(False)))
+    twice = have.where(F.col("__old") > 1).select(*keys).distinct().join(edited, list(keys), "left_semi")
+    return union_all([
+        both.where("code IS NOT NULL"), rules, closed.select(*keys, whole, F.lit("EPISODE_NOT_IN_REVIEW").alias("code")),
+        twice.select(*keys, whole, F.lit("DUPLICATE_STORED_ID").alias("code"))])
 
 
 def applied_edits(stored: DataFrame, edits: DataFrame, rejected: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:

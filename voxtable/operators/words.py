@@ -85,6 +85,15 @@ def alignment_verdicts(segments: DataFrame, raw: str = "raw_words") -> DataFrame
     return out.drop("__w", "__first", "__covers")
 
 
+def alignment_rollup(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Aligned lines, whether every line has word times, the status that follows, and the media time judged."""
+    timed = F.bool_and(F.size("words") > 0)
+    return verdicts.groupBy(*keys).agg(
+        F.count_if(F.col("reason").isNull()).alias("aligned_segments"), timed.alias("word_timing_available"),
+        F.when(timed, "ALIGNED").otherwise("PARTIAL_REVIEW_REQUIRED").alias("alignment_status"),
+        F.sum(F.col("end_ms") - F.col("start_ms")).alias("processed_media_ms"))
+
+
 def review_fallback(segments: DataFrame) -> DataFrame:
     """A rejected group keeps its text and window, loses words and confidence, and goes to review."""
     bad = F.col("reason").isNotNull()

@@ -285,8 +285,23 @@ def frozen_run_changes(spark, sf):
     return ct.frozen_run_changes(runs, now)
 
 
-@query("workspace_export", """SELECT 'series' AS table_name, '{"series_id":' || series_id || ',"title":"' || title || '","priority":' || priority || ',"created_at":' || created_at || ',"glossary_version":' || glossary_version || ',"roi_json":' ||
-   coalesce('"' || replace(roi_json, '"', '\\"') || '"', 'null') || '}' AS doc FROM series
-UNION ALL SELECT 'issue', '{"issue_id":' || issue_id || ',"episode_id":' || episode_id || ',"code":"' || code || '","severity":"' || severity || '","resolved":' || resolved || '}' FROM issue""".replace('\\\\"', '\\"'))
+EXPORT = "e AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, CAST(json_object({', '.join(f"'{c}', {c}" for c in columns)}) AS VARCHAR) AS doc FROM {source}"
+    for name, columns, source in [
+        (n, ct.EXPORT_COLUMNS[n], n if n != "workspace" else "(SELECT r_regionkey AS id, 1 AS schema_version, CAST(r_regionkey*1000 AS BIGINT) AS created_at FROM region)") for n in ct.EXPORT_COLUMNS]) + ")"
+
+
+def _exported(spark, sf):
+    made = table(spark, sf, "region").selectExpr("r_regionkey AS id", "1 AS schema_version", "CAST(r_regionkey*1000 AS BIGINT) AS created_at")
+    return ct.export_rows({n: made if n == "workspace" else view(spark, sf, n) for n in ct.EXPORT_COLUMNS})
+
+
+@query("workspace_export", "WITH " + EXPORT + " SELECT table_name, doc FROM e")
 def workspace_export(spark, sf):
-    return ct.export_rows({"series": view(spark, sf, "series"), "issue": view(spark, sf, "issue")})
+    return _exported(spark, sf)
+
+
+@query("workspace_export_manifest", "WITH " + EXPORT + """ SELECT table_name, count(*) AS n, CAST(sum(strlen(doc)) AS BIGINT) AS bytes,
+  CAST(sum(CAST(CAST('0x' || substr(sha256(doc), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM e GROUP BY table_name""")
+def workspace_export_manifest(spark, sf):
+    return ct.export_manifest(_exported(spark, sf))

@@ -96,12 +96,7 @@ def alignment_failure_preserved(spark, sf):
   CASE WHEN bool_and(reason IS NULL) THEN 'ALIGNED' ELSE 'PARTIAL_REVIEW_REQUIRED' END AS alignment_status,
   CAST(sum(s.end_ms - s.start_ms) AS BIGINT) AS processed_media_ms FROM verdict JOIN segment s USING (episode_id, ord) GROUP BY episode_id""")
 def alignment_rollup(spark, sf):
-    out = wd.alignment_verdicts(raw_alignments(spark, sf))
-    timed = F.bool_and(F.size("words") > 0)
-    return out.groupBy("episode_id").agg(
-        F.count_if(F.col("reason").isNull()).alias("aligned_segments"), timed.alias("word_timing_available"),
-        F.when(timed, "ALIGNED").otherwise("PARTIAL_REVIEW_REQUIRED").alias("alignment_status"),
-        F.sum(F.col("end_ms") - F.col("start_ms")).alias("processed_media_ms"))
+    return wd.alignment_rollup(wd.alignment_verdicts(raw_alignments(spark, sf)), EP)
 
 
 NATIVE = f"""element_at(transform(array(named_struct('w', {WORDS}, 's', start_ms, 'e', end_ms)), c -> transform(c.w, w -> named_struct('word', w.t, 'start', (w.s-c.s)/1000.0D,

@@ -225,13 +225,19 @@ EDIT_BAD = EDITS + """, tl AS (SELECT episode_id, max(end_ms) AS dur FROM segmen
  o AS (SELECT ed.*, dur, lag(end_ms) OVER (PARTITION BY ed.episode_id, track_id ORDER BY sent_no) AS pe FROM ed JOIN tl USING (episode_id)),
  badrows AS (SELECT episode_id, ord, unnest(list_filter([CASE WHEN start_ms < pe THEN 'OUT_OF_ORDER' END, CASE WHEN end_ms > dur THEN 'OUTSIDE_TIMELINE' END,
   CASE WHEN action='NEEDS_REVIEW' THEN 'UNDECIDED' END, CASE WHEN action='DUB' AND trim(dub_vi)='' THEN 'DUB_INCOMPLETE' END], lambda v: v IS NOT NULL)) AS code FROM o
- UNION ALL SELECT coalesce(a.episode_id, b.episode_id), coalesce(a.ord, b.ord), 'SEGMENT_SET_CHANGED' FROM segment a FULL JOIN ed b ON a.episode_id=b.episode_id AND a.ord=b.ord WHERE a.ord IS NULL OR b.ord IS NULL)"""
+ UNION ALL SELECT coalesce(a.episode_id, b.episode_id), coalesce(a.ord, b.ord), 'SEGMENT_SET_CHANGED' FROM segment a FULL JOIN ed b ON a.episode_id=b.episode_id AND a.ord=b.ord WHERE a.ord IS NULL OR b.ord IS NULL
+ UNION ALL SELECT DISTINCT episode_id, CAST(NULL AS BIGINT), 'EPISODE_NOT_IN_REVIEW' FROM ed WHERE episode_id%9=2)"""
+
+
+def reviewed(stored):
+    return stored.groupBy("episode_id").agg(F.max("end_ms").alias("duration_ms")).withColumn(
+        "status", F.expr("CASE WHEN episode_id%9=2 THEN 'V1_RUNNING' WHEN episode_id%2=0 THEN 'NEEDS_REVIEW' ELSE 'CHECKPOINTED' END"))
 
 
 @query("review_edit_violations", "WITH " + EDIT_BAD + " SELECT episode_id, ord, code FROM badrows")
 def review_edit_violations(spark, sf):
     stored = view(spark, sf, "segment")
-    episodes = stored.groupBy("episode_id").agg(F.max("end_ms").alias("duration_ms"))
+    episodes = reviewed(stored)
     return rl.edit_violations(stored, review_edits(spark, sf), episodes, EP, "ord")
 
 
@@ -239,7 +245,7 @@ def review_edit_violations(spark, sf):
   WHERE episode_id NOT IN (SELECT episode_id FROM badrows)""")
 def review_edits_applied(spark, sf):
     stored = view(spark, sf, "segment").withColumn("confidence", F.expr("map('asr', CAST(NULL AS DOUBLE))"))
-    episodes = stored.groupBy("episode_id").agg(F.max("end_ms").alias("duration_ms"))
+    episodes = reviewed(stored)
     edits = review_edits(spark, sf)
     bad = rl.edit_violations(stored, edits, episodes, EP, "ord")
     return rl.applied_edits(stored, edits, bad, EP, "ord").select("episode_id", "ord", "action", "start_ms", F.col("confidence")["asr"].alias("asr_confidence"))
@@ -368,10 +374,7 @@ def mix_quality(spark, sf):
   bool_and(frame_no%97<>0) AS all_unmasked_equal FROM ocr_line GROUP BY episode_id""")
 def ocr_counts(spark, sf):
     frames = view(spark, sf, "ocr_line").withColumn("texts", F.expr("array_repeat('x', CAST(frame_no%4 AS INT))"))
-    return frames.groupBy("episode_id").agg(
-        F.count("*").alias("sampled_frames"), F.sum(F.size("texts").cast("long")).alias("text_instances"),
-        F.sum(F.expr("CASE WHEN frame_no%5=0 THEN size(texts) ELSE 0 END").cast("long")).alias("residual_text"),
-        F.bool_and(F.expr("frame_no%97<>0")).alias("all_unmasked_equal"))
+    return ql.ocr_counts(frames, EP, checked=F.expr("frame_no%5=0"), untouched=F.expr("frame_no%97<>0"))
 
 
 @query("hostile_cue_text", """SELECT page_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM (SELECT page_id, i, replace(replace(replace(replace(replace(trim(regexp_replace(l0, '[\\x00-\\x1f\\x7f]', ' ', 'g')), '{', '｛'), '}', '｝'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS l

@@ -59,8 +59,8 @@ def overlapping_chunks(spark, sf):
 
 
 @query("separation_windows", """
-WITH RECURSIVE eps AS (SELECT DISTINCT episode_id, CAST(2500000000 AS BIGINT) AS duration_ms FROM turn),
- used AS (SELECT t.* FROM turn t WHERE speaker_id <> 'error' AND episode_id % 10 <> 3),
+WITH RECURSIVE used AS (SELECT * FROM turn),
+ eps AS (SELECT DISTINCT episode_id, duration_ms FROM turn UNION ALL SELECT DISTINCT episode_id, duration_ms FROM media WHERE episode_id NOT IN (SELECT episode_id FROM turn)),
  src AS (SELECT episode_id, turn_id, greatest(0, start_ms-600) AS start_ms, least(duration_ms, end_ms+600) AS end_ms FROM used),
 """ + ISLANDS.format(cond="start_ms - reach > 1200") + """,
  merged AS (SELECT episode_id, min(start_ms) AS s, max(end_ms) AS e FROM islands GROUP BY episode_id, isl
@@ -74,8 +74,10 @@ SELECT * FROM p2 a WHERE NOT EXISTS (SELECT 1 FROM p2 b WHERE b.episode_id=a.epi
    AND (b.start_ms<>a.start_ms OR b.end_ms<>a.end_ms))""")
 def separation_windows(spark, sf):
     turns = view(spark, sf, "turn")
-    episodes = turns.groupBy("episode_id").agg(F.max("duration_ms").alias("duration_ms"))
-    spans = turns.where("speaker_id <> 'error' AND episode_id % 10 <> 3").select("episode_id", "start_ms", "end_ms")
+    spoken = turns.groupBy("episode_id").agg(F.max("duration_ms").alias("duration_ms"))
+    silent = view(spark, sf, "media").select("episode_id", "duration_ms").distinct().join(spoken, EP, "left_anti")
+    episodes = spoken.unionByName(silent)
+    spans = turns.select("episode_id", "start_ms", "end_ms")
     return iv.separation_windows(spans, episodes, EP, min_ms=1_800_000, max_ms=7_200_000, overlap_ms=240_000)
 
 
@@ -109,13 +111,13 @@ def protected_collisions(spark, sf):
 
 
 @query("uncovered_words", """
-WITH src AS (SELECT episode_id, turn_id, start_ms, end_ms FROM turn WHERE speaker_id <> 'view'),
+WITH src AS (SELECT episode_id, turn_id, start_ms, start_ms + (end_ms - start_ms)//60 + 1 AS end_ms FROM turn),
 """ + ISLANDS.format(cond="start_ms > reach") + """,
  m AS (SELECT episode_id, min(start_ms) AS ms, max(end_ms) AS me FROM islands GROUP BY episode_id, isl)
 SELECT episode_id, pos, s, e FROM live_word w
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.episode_id=w.episode_id AND ms <= s AND e <= me)""")
 def uncovered_words(spark, sf):
-    windows = view(spark, sf, "turn").where("speaker_id <> 'view'").select("episode_id", "start_ms", "end_ms")
+    windows = view(spark, sf, "turn").selectExpr("episode_id", "start_ms", "start_ms + (end_ms - start_ms) DIV 60 + 1 AS end_ms")
     return iv.uncovered_words(view(spark, sf, "live_word"), windows, EP)
 
 

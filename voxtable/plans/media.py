@@ -153,15 +153,11 @@ def wav_blocks(spark, sf):
     return out.select("vec_id", "block_no", "rate", total.alias("total"), "frames")
 
 
-def _stub_translate(batch: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"episode_id": batch["episode_id"], "ord": batch["ord"], "dub_vi": batch["zh_text"].str.len().astype(str) + " ký tự"})
-
-
-@query("adapter_stage_run", "SELECT episode_id, ord, CAST(length(zh_text) AS VARCHAR) || ' ký tự' AS dub_vi FROM segment")
+@query("adapter_stage_run", "SELECT run_id, stage, attempt, CASE WHEN stage NOT IN ('stage1', 'stage2', 'stage3', 'stage5') THEN 'UNSUPPORTED_STAGE' END AS problem FROM stage_run")
 def adapter_stage_run(spark, sf):
-    registry = ad.Registry()
-    registry.add("TRANSLATING", _stub_translate, "episode_id bigint, ord bigint, dub_vi string")
-    return registry.run("TRANSLATING", view(spark, sf, "segment").select("episode_id", "ord", "zh_text"))
+    """Recorded runs of stages that no adapter serves."""
+    out = ad.stage_support(view(spark, sf, "stage_run"), ["stage1", "stage2", "stage3", "stage5"])
+    return out.select("run_id", "stage", "attempt", "problem")
 
 
 @query("adapter_result_contract", """SELECT run_id, seq, CASE WHEN attempt%5=1 THEN 'MISSING_QUALITY_METRICS' WHEN attempt%5=2 THEN 'NON_FINITE_METRICS' WHEN attempt%5=3 THEN 'MISSING_MODEL_IDENTITY' END AS problem
@@ -173,15 +169,15 @@ def adapter_result_contract(spark, sf):
     return runs.select("run_id", "seq", ad.result_problem(F.lit("r1"), weights, metrics).alias("problem"))
 
 
-def _stub_transport(payload: str) -> tuple[int, str]:
-    size = len(payload)
-    if size % 4 == 0:
-        return 503, ""
-    return (404, "") if size % 4 == 1 else (200, payload[::-1])
+CALLS = "c AS (SELECT run_id AS request_id, stage, attempt, worker, CASE WHEN worker%9=0 THEN NULL WHEN worker%9<5 THEN 503 WHEN worker%9=5 THEN 429 WHEN worker%9=6 THEN 404 ELSE 200 END::BIGINT AS status FROM stage_run)"
 
 
-@query("transport_retries", """SELECT CAST(episode_id AS VARCHAR) || '/' || CAST(ord AS VARCHAR) AS request_id, CASE length(zh_text)%4 WHEN 0 THEN 503 WHEN 1 THEN 404 ELSE 200 END::BIGINT AS status, CASE WHEN length(zh_text)%4 IN (2, 3) THEN reverse(zh_text) END AS body,
- CASE WHEN length(zh_text)%4=0 THEN 3 ELSE 1 END::BIGINT AS attempts, CASE length(zh_text)%4 WHEN 0 THEN 'TRANSIENT_HTTP_FAILURE' WHEN 1 THEN 'HTTP_FAILURE' END AS error FROM segment""")
+@query("transport_retries", "WITH " + CALLS + """, n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY stage, attempt, worker) AS k, count(*) OVER (PARTITION BY request_id) AS recorded, status IS NULL OR status=429 OR status BETWEEN 500 AND 599 AS again FROM c),
+ f AS (SELECT request_id, coalesce(min(k) FILTER (NOT again AND k <= 3), max(k) FILTER (k <= 3)) AS attempts FROM n GROUP BY request_id)
+SELECT request_id, attempts, status, CASE WHEN status IS NULL THEN 'TRANSPORT_FAILED' WHEN status BETWEEN 200 AND 299 THEN NULL WHEN again THEN 'TRANSIENT_HTTP_FAILURE' ELSE 'HTTP_FAILURE' END AS error, recorded - attempts AS surplus
+FROM f JOIN n USING (request_id) WHERE n.k = f.attempts""")
 def transport_retries(spark, sf):
-    req = view(spark, sf, "segment").select(F.concat_ws("/", F.col("episode_id").cast("string"), F.col("ord").cast("string")).alias("request_id"), F.col("zh_text").alias("payload"))
-    return ad.call_with_retry(req, _stub_transport, sleep=lambda _: None)
+    """How calls ended, judged on the recorded attempts."""
+    calls = view(spark, sf, "stage_run").selectExpr("run_id AS request_id", "stage", "attempt", "worker",
+        "CAST(CASE WHEN worker%9=0 THEN NULL WHEN worker%9<5 THEN 503 WHEN worker%9=5 THEN 429 WHEN worker%9=6 THEN 404 ELSE 200 END AS BIGINT) AS status")
+    return ad.retry_outcomes(calls, ["request_id"], ["stage", "attempt", "worker"])

@@ -139,8 +139,7 @@ def job_ids_with_collisions(spark, sf):
 @query("corpus_report_join", """SELECT c.doc_id AS case_id, l.doc_id IS NULL AS mismatch FROM documents c LEFT JOIN labels l USING (doc_id)""")
 def corpus_report_join(spark, sf):
     cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"))
-    checked = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.lit(True).alias("checked"))
-    return cases.join(checked, "case_id", "left").select("case_id", F.col("checked").isNull().alias("mismatch"))
+    return rp.unchecked_cases(cases, table(spark, sf, "labels").select(F.col("doc_id").alias("case_id")), ["case_id"])
 
 
 @query("run_report_lines", "WITH " + TOT + """ SELECT run_id, 0 AS part, CAST(n AS BIGINT) AS position, line FROM (SELECT run_id, unnest([0,1,2,3]) AS n, unnest(['# Run ' || run_id, printf('Total wall: %.3f s', total_ms/1000.0::DOUBLE), '| Stage | Status | Seconds |', '| --- | --- | ---: |']) AS line FROM tot)

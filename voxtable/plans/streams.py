@@ -45,10 +45,12 @@ def upload_assembly_stream(spark, sf):
 @query("live_word_sessions_stream", """WITH w AS (SELECT *, sum(opens) OVER (PARTITION BY episode_id ORDER BY s, pos) AS g FROM (
    SELECT *, CASE WHEN pe IS NULL OR s - pe >= 3600000 THEN 1 ELSE 0 END AS opens FROM (
      SELECT *, max(e) OVER (PARTITION BY episode_id ORDER BY s, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM live_word)))
-SELECT episode_id, min(s) AS first_ms, count(*) AS n_words FROM w GROUP BY episode_id, g""")
+SELECT episode_id, min(s) AS first_ms, count(*) AS n_words FROM w GROUP BY episode_id, g
+ HAVING max(e) + 3600000 - 1 <= (SELECT max(s) FROM live_word) - 3600000""")
 def live_word_sessions_stream(spark, sf):
     words = stream_of(spark, sf, "events").selectExpr(
         "user_id AS episode_id", "date_trunc('MILLISECOND', CAST(ts AS TIMESTAMP)) AS at", "CAST(floor(value*1000) AS BIGINT) + 1 AS length_ms")
-    out = sj.run_once(sj.silence_sessions(words, gap_ms=3_600_000), "sessions", mode="complete")
+    # Append mode: a session comes out, and leaves the state, once the watermark has passed its end.
+    out = sj.run_once(sj.silence_sessions(words, gap_ms=3_600_000), "sessions")
     first = F.expr("timestampdiff(MILLISECOND, CAST(TIMESTAMP_NTZ'2024-01-01 00:00:00' AS TIMESTAMP), first_at)")
     return out.select("episode_id", first.alias("first_ms"), "n_words")

@@ -150,8 +150,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "glossary": ("benchmark", {
         "series_id": "item_id%7",
         "zh": "substring(text, 1, strpos(text, ' ')-1)",
-        "term": "substring(text, strpos(text, ' ')+1, 24)",
-        "vi": "substring(text, strpos(text, ' ')+1, strpos(substring(text, strpos(text, ' ')+1), ' ')-1)",
+        "term": "text",
+        "vi": "substring(text, strpos(text, ' ')+1)",
         "locked": "item_id%3<>0",
         "updated_at": "item_id",
     }),
