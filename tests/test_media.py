@@ -57,13 +57,14 @@ def test_dialogue_is_subtracted_with_ramps(rows):
     assert (got == np.rint(want)).all()
 
 
-def test_missing_dialogue_leaves_the_block(rows):
+def test_missing_dialogue_leaves_the_whole_episode(rows):
     blocks = blocks_of(rows, samples=1000)
     words = rows("episode_id bigint, s bigint, e bigint", [(1, 900, 1100)])
     windows = rows("episode_id bigint, left bigint, right bigint, samples array<smallint>", [(1, 0, 205, stereo(600, 205))])
-    out = pcm.subtract_mix(blocks, words, rows("episode_id bigint, left bigint, right bigint, samples array<smallint>", []), windows, ["episode_id"], rate=RATE)
-    assert listed(out, "block_no", "uncovered") == [(0, 0), (1, 20)]
-    assert (whole(out)[200:] == 1000).all()
+    clips = rows("episode_id bigint, left bigint, right bigint, samples array<smallint>", [(1, 10, 60, stereo(50, 50))])
+    out = pcm.subtract_mix(blocks, words, clips, windows, ["episode_id"], rate=RATE)
+    assert listed(out, "block_no", "uncovered") == [(0, 1), (1, 1)]
+    assert (whole(out) == 1000).all()
 
 
 def test_passthrough(rows):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.operators.intervals import coalesce_intervals
+from voxtable.operators.intervals import coalesce_intervals, uncovered_words
 
 RATE = 48_000
 
@@ -116,7 +116,8 @@ def stem_mix(blocks: DataFrame, words: DataFrame, clips: DataFrame, keys: Sequen
 def dialogue_pieces(windows: DataFrame, keys: Sequence[str], *, rate: int = RATE) -> DataFrame:
     """Separated dialogue windows (``left, right`` frames and samples) as one track per block.
 
-    Where windows overlap, the one that starts first counts; ``covered`` marks the frames that have one.
+    Where windows overlap, the one that starts first counts. Pieces of a block stream in; each frame keeps the start of the
+    window that it shows, so the order of arrival does not matter.
     """
     fields = f"{_key_types(windows, keys)}, block_no bigint, lo bigint, hi bigint, w_left bigint, w_right bigint, samples array<smallint>"
 
@@ -131,14 +132,18 @@ def dialogue_pieces(windows: DataFrame, keys: Sequence[str], *, rate: int = RATE
                                          voice[lo - left:hi - left].ravel())],
                                        columns=[*keys, "block_no", "lo", "hi", "w_left", "w_right", "samples"])
 
-    out = f"{_key_types(windows, keys)}, block_no bigint, dialogue array<smallint>, covered array<boolean>"
+    out = f"{_key_types(windows, keys)}, block_no bigint, dialogue array<smallint>"
 
-    def paint(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        track, covered = np.zeros((rate, 2), dtype="int16"), np.zeros(rate, dtype=bool)
-        for row in pdf.sort_values(["w_left", "w_right"], ascending=False).to_dict("records"):
-            track[row["lo"]:row["hi"]] = np.asarray(row["samples"], dtype="int16").reshape(-1, 2)
-            covered[row["lo"]:row["hi"]] = True
-        return pd.DataFrame([(*key, track.ravel(), covered)], columns=[*keys, "block_no", "dialogue", "covered"])
+    def paint(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.iinfo("int64").max
+        track, since, until = np.zeros((rate, 2), dtype="int16"), np.full(rate, none), np.full(rate, none)
+        for pdf in parts:
+            for lo, hi, left, right, samples in zip(pdf["lo"], pdf["hi"], pdf["w_left"], pdf["w_right"], pdf["samples"]):
+                span = slice(int(lo), int(hi))
+                earlier = (left < since[span]) | ((left == since[span]) & (right < until[span]))
+                track[span][earlier] = np.asarray(samples, dtype="int16").reshape(-1, 2)[earlier]
+                since[span][earlier], until[span][earlier] = left, right
+        yield pd.DataFrame([(*key, track.ravel())], columns=[*keys, "block_no", "dialogue"])
 
     return windows.where("left < right AND size(samples) > 0").mapInPandas(cut, fields).groupBy(*keys, "block_no").applyInPandas(paint, out)
 
@@ -148,17 +153,20 @@ def subtract_mix(
 ) -> DataFrame:
     """Source minus separated dialogue under the words, plus voice, with short ramps at every edge.
 
-    ``blocks``: keys, ``block_no, samples``. A word frame without separated dialogue is counted in
-    ``uncovered``; its block is left as it is.
+    ``blocks``: keys, ``block_no, samples``. The whole episode is mixed or none of it: where any word lacks separated dialogue,
+    ``uncovered`` counts such words and every block of the episode stays as it is, voice left out too.
     """
     ramp = rate * ramp_ms // 1000
     voices = clip_pieces(clips, keys, rate=rate, ramp=ramp).withColumnRenamed("samples", "voice")
     spans = words.select(*keys, frame_of(F.col("s"), rate).alias("a"), frame_of(F.col("e"), rate).alias("b")).where("a < b").distinct()
     cut = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / rate).cast("long"), F.floor((F.col("b") - 1) / rate).cast("long"))))
+    held = windows.select(*keys, F.col("left").cast("long").alias("start_ms"), F.least(F.col("right"), F.col("left") + F.size("samples") / 2).cast("long").alias("end_ms")).where("start_ms < end_ms")
+    refused = uncovered_words(spans.withColumnsRenamed({"a": "s", "b": "e"}), held, keys).groupBy(*keys).agg(F.count("*").alias("uncovered"))
     # Approved words never overlap, so a block holds at most one span per frame.
     masks = cut.groupBy(*keys, "block_no").agg(F.collect_list(F.struct("a", "b")).alias("mask"))
     on = [*keys, "block_no"]
     joined = blocks.join(masks, on, "left").join(voices, on, "left").join(dialogue_pieces(windows, keys, rate=rate), on, "left")
+    joined = joined.join(refused, list(keys), "left").withColumn("uncovered", F.coalesce("uncovered", F.lit(0)))
     fields = f"{_key_types(blocks, keys)}, block_no bigint, samples array<smallint>, clipped bigint, uncovered bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,15 +175,12 @@ def subtract_mix(
             for row in pdf.to_dict("records"):
                 source = np.asarray(row["samples"], dtype="float64").reshape(-1, 2)
                 n, base = len(source), int(row["block_no"]) * rate
-                mixed, missing = source.copy(), 0
+                mixed, missing = source.copy(), int(row["uncovered"])
                 if row["voice"] is not None:
                     mixed += np.asarray(row["voice"]).reshape(-1, 2)[:n]
-                for span in row["mask"] if row["mask"] is not None else ():
+                for span in row["mask"] if row["mask"] is not None and not missing else ():
                     frames = np.arange(max(span["a"], base), min(span["b"], base + n))
                     at = frames - base
-                    if row["dialogue"] is None or not np.asarray(row["covered"])[at].all():
-                        missing += len(at)
-                        continue
                     speech = np.asarray(row["dialogue"], dtype="float64").reshape(-1, 2)[at]
                     mixed[at] -= speech * _ramp(frames, span["a"], span["b"], ramp)[:, None]
                 final = source if missing else np.clip(np.rint(mixed), -32768, 32767)
@@ -183,7 +188,7 @@ def subtract_mix(
                              int(np.count_nonzero(np.abs(final) >= 32767)), missing))
             yield pd.DataFrame(rows, columns=[*keys, "block_no", "samples", "clipped", "uncovered"])
 
-    return joined.select(*on, "samples", "mask", "voice", "dialogue", "covered").mapInPandas(run, fields)
+    return joined.select(*on, "samples", "mask", "voice", "dialogue", "uncovered").mapInPandas(run, fields)
 
 
 def passthrough(blocks: DataFrame, dubs: DataFrame, windows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -122,7 +122,20 @@ def three_stem_mix(spark, sf):
     return out.select("episode_id", "block_no", F.array_join("samples", ",").alias("samples"), "clipped")
 
 
-@query("dialogue_subtract_mix")
+RAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({0} - {1} + 1)/4.0::DOUBLE, ({2} - {0})/4.0::DOUBLE))"
+SUB_SQL = f"""blk AS (SELECT vec_id//50 AS episode_id, vec_id%50 AS block_no, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1)-1 AS BIGINT) AS i FROM embeddings),
+ ids AS (SELECT DISTINCT episode_id, block_no FROM blk),
+ bad AS (SELECT episode_id, count(*) AS uncovered FROM ids a WHERE block_no%3=0 AND NOT EXISTS (SELECT 1 FROM ids b WHERE b.episode_id=a.episode_id AND b.block_no=a.block_no+1) GROUP BY episode_id),
+ smp AS (SELECT blk.*, i//2 AS r, coalesce(uncovered, 0) AS uncovered, (episode_id, block_no-1) IN (SELECT (episode_id, block_no) FROM ids WHERE block_no%3=0) AS tail,
+   greatest(-32768, least(32767, CAST(floor(CAST(v AS DOUBLE)*60000) AS BIGINT))) AS speech, greatest(-32768, least(32767, CAST(floor(CAST(v AS DOUBLE)*3000) AS BIGINT))) AS music FROM blk LEFT JOIN bad USING (episode_id)),
+ mixed AS (SELECT *, CASE WHEN uncovered > 0 THEN speech ELSE greatest(-32768, least(32767, CAST(round_even(speech
+   + CASE WHEN block_no%4=1 AND r >= 2 THEN (100 + (r-2)*2 + i%2) * {RAMP.format("r", 2, 32)} ELSE 0 END
+   - CASE WHEN block_no%3=0 AND r >= 5 THEN music * {RAMP.format("r", 5, 40)} ELSE 0 END
+   - CASE WHEN tail AND r < 8 THEN music * {RAMP.format("(r+32)", 5, 40)} ELSE 0 END, 0) AS BIGINT))) END AS m FROM smp)"""
+
+
+@query("dialogue_subtract_mix", "WITH " + SUB_SQL + """ SELECT episode_id, block_no, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS samples, CAST(sum(CASE WHEN abs(m) >= 32767 THEN 1 ELSE 0 END) AS BIGINT) AS clipped,
+  max(uncovered) AS uncovered FROM mixed GROUP BY episode_id, block_no""")
 def dialogue_subtract_mix(spark, sf):
     blocks = stem_blocks(spark, sf)
     words = blocks.where("block_no%3 = 0").selectExpr("episode_id", "CAST((block_no*32+5)*1000/32.0 AS DOUBLE) AS s", "CAST((block_no*32+40)*1000/32.0 AS DOUBLE) AS e")
