@@ -95,6 +95,18 @@ def test_upload_resumes_at_the_committed_length(spark, rows, tmp_path):
         (1, None, 4, False), (2, "OFFSET_MISMATCH", 4, False), (3, "EXCEEDS_TOTAL", 4, False), (4, None, 10, True), (5, "ALREADY_COMPLETE", 10, True)]
 
 
+def test_uploads_over_several_triggers(spark, rows, tmp_path):
+    """A key's chunks come in the order of the triggers; inside one trigger any order does."""
+    schema = "upload_id bigint, seq bigint, offset bigint, length bigint, total_bytes bigint"
+    for part in range(4):
+        data = [(u, part * 3 + i, (part * 3 + i) * 5 + (u == 2 and part == 2), 5, 60) for u in (1, 2, 3) for i in range(3)]
+        rows(schema, data[::-1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    stream = sj.file_stream(spark, str(tmp_path / "many"), schema, "*.parquet", files_per_trigger=1)
+    out = sj.run_once(sj.assembled_uploads(stream), "test-many", stateful=True)
+    assert out.count() == 36 and listed(out.where("complete"), "upload_id") == [(1,), (3,)]
+    assert listed(out.where("upload_id = 2 AND seq >= 6").select("reject").distinct(), "reject") == [("OFFSET_MISMATCH",)]
+
+
 def test_sessions_close_at_exactly_the_gap(spark, rows, tmp_path):
     rows("episode_id bigint, ms bigint, length_ms bigint", [(1, 0, 100), (1, 499, 101), (1, 1000, 50)]).selectExpr(
         "episode_id", "timestamp_millis(ms) AS at", "length_ms").coalesce(1).write.parquet(str(tmp_path / "w"))

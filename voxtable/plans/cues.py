@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft
-from voxtable.operators import intervals as iv
 from voxtable.operators import subtitles as st
+from voxtable.operators.scan import islands
 from voxtable.plans.dialogue import EP
 from voxtable.plans.registry import query
 from voxtable.plans.views import view
-from voxtable.session import staged
 
 
 def dubbed_cues(segments: DataFrame, clips: DataFrame) -> DataFrame:
-    """Cues of every line, with its fitting decision and the speech window it lies in."""
+    """Cues of every line with a clip, with its fitting decision and the speech window it lies in.
+
+    A line's window is the run of padded lines that it belongs to, so one scan names it; a second one numbers the cues.
+    """
     duration = segments.groupBy(*EP).agg(F.max("end_ms").alias("duration_ms"))
-    timed = segments.join(duration, EP)
-    windows = staged(iv.padded_windows(timed, EP).select(*EP, F.col("start_ms").alias("window_start_ms")))
     target = F.col("end_ms") - F.col("start_ms")
-    fitted = timed.join(clips, [*EP, "ord"]).withColumn("fit", ft.fitting_action(F.col("actual_ms"), target, F.col("attempts")))
-    placed = iv.latest_before(
-        fitted.select(*EP, "ord", "start_ms", "end_ms", "duration_ms", "subtitle_vi", "dub_vi", "fit"), windows, EP,
-        probe_at="start_ms", mark_at="window_start_ms", value=F.col("window_start_ms"), name="window_ms", probe_ids=["ord"])
-    cues, _ = st.strict_cues(staged(placed), EP, carry=["window_ms", "fit"])
+    timed = segments.join(duration, EP).join(clips, [*EP, "ord"], "left").select(
+        *EP, "ord", "start_ms", "end_ms", "duration_ms", "subtitle_vi", "dub_vi", F.col("actual_ms").isNotNull().alias("voiced"),
+        ft.fitting_action(F.col("actual_ms"), target, F.col("attempts")).alias("fit"),
+        F.greatest(F.lit(0), F.col("start_ms") - 600).alias("from_ms"), F.least(F.col("duration_ms"), F.col("end_ms") + 600).alias("to_ms"))
+    placed = islands(timed, EP, ["from_ms", "ord"], start="from_ms", end="to_ms", gap=1200, inclusive=True, furthest=True, name="run")
+    placed = placed.where("voiced").withColumn("window_ms", F.col("run.from_ms"))
+    cues, _ = st.strict_cues(placed.drop("voiced", "run", "from_ms", "to_ms"), EP, carry=["window_ms", "fit"])
     return cues.select(*EP, "cue_no", "window_ms", "fit", "block")
 
 

@@ -227,13 +227,44 @@ def word_boundary_error(spark, sf):
                       "boundary.median_abs_error_ms", "boundary.p95_abs_error_ms")
 
 
-@query("utterances")
+# Words are contiguous here, so no pause cuts; only the last piece of a line can be short.
+UTT_SQL = TOK_SQL + """, ln AS (SELECT DISTINCT episode_id, ord, start_ms AS lo, end_ms - start_ms AS d, n FROM tok),
+ walk AS (SELECT t.episode_id, t.ord, t.i, CAST(0 AS BIGINT) AS head FROM tok t WHERE i=0
+   UNION ALL SELECT w.episode_id, w.ord, p.i + 1, CASE WHEN p.t LIKE '%.' AND p.e - (p.start_ms + w.head*(p.end_ms-p.start_ms)//p.n) >= 800 THEN p.i + 1 ELSE w.head END
+     FROM walk w JOIN tok p ON p.episode_id=w.episode_id AND p.ord=w.ord AND p.i=w.i AND p.i + 1 < p.n),
+ mk AS (SELECT episode_id, ord, list(CASE WHEN t LIKE '%.' THEN 1000 WHEN t LIKE '%,' THEN 250 ELSE 0 END ORDER BY i) AS bonus FROM tok GROUP BY episode_id, ord),
+ cut AS (SELECT w.episode_id, w.ord, head AS a, max(i) + 1 AS b, lo, d, n, bonus, true AS fresh FROM walk w JOIN ln USING (episode_id, ord) JOIN mk USING (episode_id, ord) GROUP BY ALL
+   UNION ALL SELECT episode_id, ord, unnest([a, c]), unnest([c, b]), lo, d, n, bonus, true FROM (
+     SELECT *, coalesce(-list_max(list_transform(list_filter(range(a+1, b), lambda x: (x*d//n) - (a*d//n) >= 800 AND (b*d//n) - (x*d//n) >= 800),
+        lambda x: [CAST(bonus[x] AS BIGINT), -abs((x*d//n) - (a*d//n) - ((b*d//n) - (x*d//n))), -x]))[3], a + greatest(1, (b-a)//2)) AS c
+     FROM cut WHERE b - a >= 2 AND (b*d//n) - (a*d//n) > 12000)),
+ leaf AS (SELECT * FROM cut WHERE b - a < 2 OR (b*d//n) - (a*d//n) <= 12000),
+ sized AS (SELECT *, lag(a) OVER w AS pa, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM leaf WINDOW w AS (PARTITION BY episode_id, ord ORDER BY a)),
+ fin AS (SELECT *, na IS NULL AND pa IS NOT NULL AND (b*d//n) - (a*d//n) < 800 AND (b*d//n) - (pa*d//n) <= 12000 AS gone,
+   CASE WHEN nb = n AND (nb*d//n) - (na*d//n) < 800 AND (nb*d//n) - (a*d//n) <= 12000 THEN nb ELSE b END AS stop FROM sized)"""
+
+
+@query("utterances", "WITH RECURSIVE " + UTT_SQL + """ SELECT f.episode_id, f.ord, s.segment_id, row_number() OVER (PARTITION BY f.episode_id, f.ord ORDER BY a) - 1 AS utterance_no,
+  lo + a*d//f.n AS start_ms, lo + stop*d//f.n AS end_ms, (SELECT regexp_replace(replace(string_agg(t, ' ' ORDER BY i), '.', '。'), '^\\s+|\\s+$', '', 'g') FROM tok WHERE tok.episode_id=f.episode_id AND tok.ord=f.ord AND i >= a AND i < stop) AS text,
+  CAST(stop - a AS INTEGER) AS n_words FROM fin f JOIN segment s USING (episode_id, ord) WHERE NOT gone""")
 def utterances(spark, sf):
-    return wd.build_utterances(segments_with_words(spark, sf), ["episode_id", "ord", "segment_id"]).select(
+    """Words without their marks; the marks stand in the text, so that they decide the cuts."""
+    marked = segments_with_words(spark, sf).selectExpr(
+        "episode_id", "ord", "segment_id", "replace(zh_text, '.', '。') AS zh_text",
+        "transform(words, w -> named_struct('t', replace(regexp_replace(w.t, '[.,]+$', ''), '.', '。'), 's', w.s, 'e', w.e)) AS words")
+    return wd.build_utterances(marked, ["episode_id", "ord", "segment_id"]).select(
         "episode_id", "ord", "segment_id", "utterance_no", "start_ms", "end_ms", "text", F.size("words").alias("n_words"))
 
 
-@query("aligned_utterance_slots")
+@query("aligned_utterance_slots", "WITH RECURSIVE " + RAW_SQL + """, cut AS (SELECT t.episode_id, t.ord, CAST(0 AS BIGINT) AS a, n AS b, t.start_ms AS lo, t.end_ms - t.start_ms AS d, n FROM tok t JOIN verdict v ON v.episode_id=t.episode_id AND v.ord=t.ord AND reason IS NULL WHERE i=0
+   UNION ALL SELECT episode_id, ord, unnest([a, c]), unnest([c, b]), lo, d, n FROM (
+     SELECT *, coalesce(-list_max(list_transform(list_filter(range(a+1, b), lambda x: (x*d//n) - (a*d//n) >= 800 AND (b*d//n) - (x*d//n) >= 800),
+        lambda x: [-abs((x*d//n) - (a*d//n) - ((b*d//n) - (x*d//n))), -x]))[2], a + greatest(1, (b-a)//2)) AS c
+     FROM cut WHERE b - a >= 2 AND (b*d//n) - (a*d//n) > 12000)),
+ u AS (SELECT *, lo + a*d//n AS s0, row_number() OVER (PARTITION BY episode_id, ord ORDER BY a) - 1 AS utterance_no FROM cut WHERE b - a < 2 OR (b*d//n) - (a*d//n) <= 12000)
+SELECT episode_id, ord, utterance_no, s0 AS start_ms, lo + b*d//n AS end_ms,
+  (SELECT regexp_replace(string_agg(t, ' ' ORDER BY i), '^\\s+|\\s+$', '', 'g') FROM tok WHERE tok.episode_id=u.episode_id AND tok.ord=u.ord AND i >= a AND i < b) AS text,
+  'seg_' || lpad(CAST(s0 AS VARCHAR), 12, '0') || '_' || lpad(CAST(utterance_no AS VARCHAR), 4, '0') AS segment_id FROM u""")
 def aligned_utterance_slots(spark, sf):
     good = wd.alignment_verdicts(raw_alignments(spark, sf)).where("reason IS NULL")
     good = good.withColumnsRenamed({"start_ms": "slot_start", "end_ms": "slot_end"})
@@ -243,7 +274,11 @@ def aligned_utterance_slots(spark, sf):
                       tx.segment_id(F.col("start_ms"), F.col("utterance_no")).alias("segment_id"))
 
 
-@query("sentence_segments")
+@query("sentence_segments", "WITH " + TOK_SQL + """, g AS (SELECT *, coalesce(sum(CASE WHEN contains(t, '.') THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM tok),
+ p AS (SELECT episode_id, ord, k, min(s) AS s0, max(e) AS e0, min(start_ms) AS lo, max(end_ms) AS hi, string_agg(replace(t, '.', '。'), ' ' ORDER BY i) || CASE WHEN max(i) + 1 < max(n) THEN ' ' ELSE '' END AS wording FROM g GROUP BY episode_id, ord, k),
+ c AS (SELECT *, count(*) OVER (PARTITION BY episode_id, ord) AS many FROM p)
+SELECT c.episode_id, c.ord, segment_id || CASE WHEN many > 1 THEN ':s' || CAST(CAST(k AS BIGINT) AS VARCHAR) ELSE '' END AS segment_id, CASE WHEN many > 1 THEN s0 ELSE lo END AS start_ms,
+  CASE WHEN many > 1 THEN e0 ELSE hi END AS end_ms, wording AS zh_text FROM c JOIN segment USING (episode_id, ord)""")
 def sentence_segments(spark, sf):
     marked = segments_with_words(spark, sf).selectExpr(
         "episode_id", "ord", "segment_id", "start_ms", "end_ms", "replace(zh_text, '.', '。') AS zh_text",

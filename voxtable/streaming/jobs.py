@@ -16,7 +16,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, glob: str, *, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files of a folder as a stream; the checkpointed file log replaces an integer cursor."""
+    """Parquet files of a folder as a stream; the checkpointed file log replaces an integer cursor.
+
+    Keyed jobs behind it take a key's rows in the order of the triggers and sort them inside one. Files must so arrive in
+    the order of a key's rows; ``files_per_trigger`` bounds what one trigger, and so one key in one task, holds.
+    """
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
