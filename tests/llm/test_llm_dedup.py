@@ -165,8 +165,8 @@ def brute_bytes(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,seed", [(64, 1), (100, 2), (400, 3)])
-def test_suffix_dedup(spark, length, seed):
+@pytest.mark.parametrize("length,seed,bucket_rows", [(64, 1, 50_000), (100, 2, 50_000), (400, 3, 50_000), (100, 2, 3)])
+def test_suffix_dedup(spark, length, seed, bucket_rows):
     rnd = random.Random(seed)
 
     def noise(n):
@@ -176,7 +176,7 @@ def test_suffix_dedup(spark, length, seed):
     texts = [noise(rnd.randint(0, length)) + rnd.choice(shared) + noise(rnd.randint(0, 60)) + (rnd.choice(shared)[rnd.randint(0, 50) :] if rnd.random() < 0.5 else "") for _ in range(70)]
     texts += [None, "", "a" * (length - 1), "a" * length, "b" * length, "c" * (length + 1)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = suffix_dedup.drop_repeated_bytes(docs, length=length).orderBy("doc_id")
+    got = suffix_dedup.drop_repeated_bytes(docs, length=length, bucket_rows=bucket_rows).orderBy("doc_id")
     got = got.select("n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
     assert [tuple(r) for r in got] == brute_bytes(texts, length)
 

@@ -10,7 +10,8 @@ its anchor or as many to the right. What still meets is sorted, bucket by bucket
 the prefixes that end there read backwards. Long ties are the rule there, so they are resolved by ranks of a cover sample:
 every 16th byte from the anchor has its rank among all sample suffixes computed from the far end, and a comparison takes the
 bytes up to the next sample place and then that rank. All suffixes of a bucket that can tie lie at the same distance from the anchor, so
-one residue covers each pair of them, and the difference cover needs no second. Memory holds one bucket's surroundings only.
+one residue covers each pair of them, and the difference cover needs no second. Memory holds one bucket's surroundings only, and a
+bucket of too many goes another, exact way.
 
 From both orders and the common lengths of neighbours in them follows for each distance which strings are equal.
 
@@ -95,8 +96,8 @@ def _sorted_side(side: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, common
 
 
-def equal_strings(left: np.ndarray, left_has: np.ndarray, right: np.ndarray, right_has: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
-    """For each row and each distance a in 0..length-GRAM: whether the string that starts a bytes before the anchor also
+def equal_strings(left: np.ndarray, left_has: np.ndarray, right: np.ndarray, right_has: np.ndarray, bucket: np.ndarray, length: int, distances: range) -> np.ndarray:
+    """For each row and each of the distances: whether the string that starts that many bytes before the anchor also
     starts at another row of the bucket. ``left`` is read backwards from the anchor, ``right`` forwards; both are padded."""
     n = len(bucket)
     orders = []
@@ -105,7 +106,7 @@ def equal_strings(left: np.ndarray, left_has: np.ndarray, right: np.ndarray, rig
         orders.append((order, common))
     found = np.zeros((n, length - GRAM + 1), bool)
     number = np.unique(bucket, return_inverse=True)[1]
-    for a in range(length - GRAM + 1):
+    for a in distances:
         valid = np.flatnonzero((left_has >= a) & (right_has >= length - a))
         if len(valid) < 2:
             continue
@@ -122,7 +123,7 @@ def equal_strings(left: np.ndarray, left_has: np.ndarray, right: np.ndarray, rig
 
 
 def _spans(found: np.ndarray, place: np.ndarray, length: int) -> list[list[int]]:
-    """Covered bytes of each row as start, end, start, end..."""
+    """Covered bytes of each row as start, end, start, end...; column a is the string that starts a bytes before the place."""
     out = []
     for flags, at in zip(found, place):
         steps = np.flatnonzero(np.diff(np.r_[0, flags[::-1].astype(np.int8), 0]))
@@ -131,14 +132,18 @@ def _spans(found: np.ndarray, place: np.ndarray, length: int) -> list[list[int]]
     return out
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, *, bucket_rows: int = 50_000) -> DataFrame:
     """``__k1``, ``__k2``, ``spans`` (start, end, ...) of the bytes covered by strings found elsewhere too.
 
-    ``texts`` has the row's key and the bytes ``text``; rows that agree in both count as places of their own.
+    ``texts`` has the row's key and the bytes ``text``; rows that agree in both count as places of their own. A bucket of more
+    than ``bucket_rows`` different surroundings is not sorted in one task: each of its strings travels as a 128-bit hash
+    and is counted, which gives the same answer.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
     half = (length - GRAM) // 2
+    # A string that starts ``half`` bytes or more before its anchor is settled on the left side, the others on the right.
+    sides = {0: range(half, length - GRAM + 1), 1: range(half)}
     key = [*rows.KEY]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,42 +183,50 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     split = kinds.select(*place, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("h")), F.struct(F.lit(1).alias("side"), F.col("r").alias("h")))).alias("s"))
     split = split.select(*place, "s.side", "s.h").where("h IS NOT NULL")
     met = split.groupBy("g", "side", "h").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 AND least = 1")
-    asked = split.join(met.select("g", "side", "h"), ["g", "side", "h"], "left_semi")
-    asked = asked.groupBy(*key).agg(F.collect_list(F.struct("at", F.xxhash64("g", "side", "h").alias("bucket"), (F.col("n") > 1).alias("known"))).alias("asked"))
-    surroundings = "bucket bigint, at bigint, known boolean, back binary, ahead binary"
+    asked = split.join(met.select("g", "side", "h", (F.col("rows") > bucket_rows).alias("crowded")), ["g", "side", "h"])
+    asked = asked.groupBy(*key).agg(F.collect_list(F.struct("at", "side", "crowded", F.xxhash64("g", "side", "h").alias("bucket"), (F.col("n") > 1).alias("known"))).alias("asked"))
+    surroundings = "bucket bigint, at bigint, side int, crowded boolean, known boolean, back binary, ahead binary"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows.slices(batches, "text", 1 << 22):
-            owner, out = [], {n: [] for n in ("bucket", "at", "known", "back", "ahead")}
+            owner, out = [], {n: [] for n in ("bucket", "at", "side", "crowded", "known", "back", "ahead")}
             for i, (text, wanted) in enumerate(zip(rows.raw(part.column("text")), part.column("asked").to_pylist())):
                 for w in wanted:
                     p = w["at"]
                     owner.append(i)
-                    out["bucket"].append(w["bucket"])
-                    out["at"].append(p)
-                    out["known"].append(w["known"])
+                    for n in ("bucket", "at", "side", "crowded", "known"):
+                        out[n].append(w[n])
                     out["back"].append(text[max(0, p - length + GRAM) : p][::-1])
                     out["ahead"].append(text[p : p + length])
-            kinds_ = {"bucket": pa.int64(), "at": pa.int64(), "known": pa.bool_(), "back": pa.binary(), "ahead": pa.binary()}
+            kinds_ = {"bucket": pa.int64(), "at": pa.int64(), "side": pa.int32(), "crowded": pa.bool_(), "known": pa.bool_(), "back": pa.binary(), "ahead": pa.binary()}
             taken = [part.column(k).take(pa.array(owner, pa.int64())) for k in key]
             yield pa.RecordBatch.from_arrays([*taken, *[pa.array(out[n], t) for n, t in kinds_.items()]], names=[*key, *out])
 
     both = texts.select(*key, "text").join(asked, key)
     cut_out = both.mapInArrow(cut, f"__k1 bigint, __k2 bigint, {surroundings}")
-    dealt = cut_out.repartition("bucket").sortWithinPartitions("bucket")
+    large = asked.select(F.exists("asked", lambda w: w["crowded"]).alias("x")).where("x")
+    if not large.isEmpty():
+        cut_out = staged(cut_out, "surroundings")
+    dealt = cut_out.where("NOT crowded").repartition("bucket").sortWithinPartitions("bucket")
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(table: pa.Table) -> pa.RecordBatch:
-            sides = []
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            of = table.column("side").to_numpy()
+            for side, distances in sides.items():
+                own = table.take(pa.array(np.flatnonzero(of == side)))
+                if own.num_rows:
+                    yield one_side(own, distances)
+
+        def one_side(table: pa.Table, distances: range) -> pa.RecordBatch:
+            read = []
             for name, width in (("back", length - GRAM), ("ahead", length)):
                 width = -(-width // SAMPLE) * SAMPLE
                 values = table.column(name).to_pylist()
-                sides.append(np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(-1, width))
-                sides.append(np.array([len(v) for v in values]))
-            bucket = table.column("bucket").to_numpy()
-            got = equal_strings(*sides, bucket, length)
+                read.append(np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(-1, width))
+                read.append(np.array([len(v) for v in values]))
+            got = equal_strings(*read, table.column("bucket").to_numpy(), length, distances)
             place = table.column("at").to_numpy()
-            open_ = ~table.column("known").to_numpy(zero_copy_only=False) & got.any(axis=1)
+            open_ = ~table.column("known").to_numpy() & got.any(axis=1)
             pick = np.flatnonzero(open_)
             spans = _spans(got[pick], place[pick], length)
             taken = [table.column(k).combine_chunks().take(pa.array(pick)) for k in key]
@@ -230,22 +243,50 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             buckets = table.column("bucket").to_numpy()
             stop = int(np.searchsorted(buckets, buckets[-1]))  # the last bucket may go on
             if stop:
-                yield work(table.slice(0, stop))
+                yield from work(table.slice(0, stop))
             held, size = table.slice(stop).to_batches(), len(buckets) - stop
         if size:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     part = dealt.mapInArrow(settle, "__k1 bigint, __k2 bigint, spans array<bigint>")
     every = whole.unionByName(part)
+    if not large.isEmpty():
+
+        def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    piece = batch.slice(at, 256)
+                    owner, start, digests = [], [], []
+                    for i, (back, ahead, place, side) in enumerate(zip(*[piece.column(c).to_pylist() for c in ("back", "ahead", "at", "side")])):
+                        around = memoryview(back[::-1] + ahead)
+                        for a in sides[side]:
+                            if a <= len(back) and length - a <= len(ahead):
+                                owner.append(i)
+                                start.append(place - a)
+                                digests.append(xxhash.xxh3_128_digest(around[len(back) - a : len(back) - a + length]))
+                    pairs = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                    taken = [piece.column(k).take(pa.array(owner, pa.int64())) for k in (*key, "known")]
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(start, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=[*key, "known", "start", "h1", "h2"])
+
+        single = cut_out.where("crowded").mapInArrow(strings, "__k1 bigint, __k2 bigint, known boolean, start bigint, h1 bigint, h2 bigint")
+        single = staged(single, "crowded-strings")
+        # A string may lie in the surroundings of several anchors: places count, not rows; what is known has two.
+        place = F.xxhash64(*key, "start")
+        twice = single.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("known").alias("known"))
+        twice = twice.where("low <> high OR known").select("h1", "h2")
+        hit = single.where("NOT known").join(twice, ["h1", "h2"], "left_semi")
+        every = every.unionByName(hit.select(*key, F.array(F.col("start"), F.col("start") + length).alias("spans")))
     return every.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text
 
 
-def drop_repeated_bytes(docs: DataFrame, *, length: int = 400) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, *, length: int = 400, bucket_rows: int = 50_000) -> DataFrame:
     """``doc_id``, the row's key, ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` for every row of ``docs``."""
     base = rows.keyed(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), "doc_id", "text")
     key = [*rows.KEY]
     # Texts too short for any string take no part.
-    spans = staged(repeated_spans(base.where(F.octet_length("text") >= length).select(*key, "text"), length), "byte-spans")
+    spans = staged(repeated_spans(base.where(F.octet_length("text") >= length).select(*key, "text"), length, bucket_rows=bucket_rows), "byte-spans")
     joined = base.join(spans, key, "left")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
