@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtable.functions import text as tx
 from voxtable.functions.binding import let
@@ -56,7 +57,8 @@ def alignment_verdicts(segments: DataFrame, raw: str = "raw_words") -> DataFrame
             word_verdict(w, b["lo"], b["hi"]).alias("reason")))
 
     judged = let({"raw": F.col(raw), "lo": F.col("start_ms"), "hi": F.col("end_ms")}, judged_words)
-    out = spread(segments).withColumn("__w", judged)
+    # Exploding the one result keeps the judging from being computed again for every use below.
+    out = spread(segments).withColumn("__w", F.explode(F.array(judged)))
     w = F.col("__w")
     # One pass in word order: a word's own problem comes before its order problem.
     start = F.struct(F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("reason"))
@@ -143,23 +145,31 @@ def dub_decision(df: DataFrame, text: str = "zh_text", words: str = "words", spe
     )
 
 
-def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
-    """Force aligned words to be ordered and inside the chunk, one millisecond long at least."""
-    empty = F.array().cast(f"array<{WORD}>")
+_WORDS = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+
 
-    def fold(b: Column) -> Column:
-        def step(acc: Column, w: Column) -> Column:
-            s = F.greatest(w["s"], acc["at"])
-            e = F.greatest(s + 1, w["e"], w["s"] + 1)
-            over = e > b["hi"]
-            end = F.when(over, b["hi"]).otherwise(e)
-            begin = F.when(over, F.least(s, F.greatest(b["lo"], b["hi"] - 1))).otherwise(s)
-            word = F.struct(w["t"].alias("t"), begin.alias("s"), end.alias("e"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(word)).alias("out"))
+@F.pandas_udf(_WORDS)
+def _repaired(words: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+    def walk(row: Iterable[dict] | None, low: int, high: int) -> list[dict] | None:
+        if row is None:
+            return None
+        at, out = low, []
+        for w in row:
+            begin = max(w["s"], at)
+            end = max(begin + 1, w["e"], w["s"] + 1)
+            if end > high:
+                begin, end = min(begin, max(low, high - 1)), high
+            at = end
+            out.append({"t": w["t"], "s": int(begin), "e": int(end)})
+        return out
 
-        return F.aggregate(b["w"], F.struct(b["lo"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return pd.Series([walk(*row) for row in zip(words, lows, highs)], dtype=object)
 
-    return let({"w": words, "lo": chunk_start.cast("long"), "hi": chunk_end.cast("long")}, fold)
+
+def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
+    """Force aligned words to be ordered and inside the chunk, one millisecond long at least. One pass over the words."""
+    # Marked nondeterministic so that the step stays in a projection of its own, also below an explode.
+    return _repaired.asNondeterministic()(words, chunk_start.cast("long"), chunk_end.cast("long"))
 
 
 # --- utterance kernel ---------------------------------------------------------------------------
