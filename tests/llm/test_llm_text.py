@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
+from test_llm_dedup import SHINGLE_WORD, brute_lines, lowered, print_of, sets_of  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
-from voxtable.llm import decontamination, fingerprints, html_text, mixing, registry, rows, token_counts  # noqa: E402
+from voxtable.llm import decontamination, fingerprints, html_text, mixing, quality, registry, rows, token_counts  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 registry.load()
@@ -229,6 +231,45 @@ def test_pipeline_stages(spark, plain, odd, empty):
             assert out.count() <= docs.count()
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what the stage before it kept, in plain Python; the mix is checked by its sums."""
+    docs = rows.table(spark, SF, "documents")
+    held = {r["doc_id"]: r for r in docs.collect()}
+    model = quality.fit_quality(docs.select("doc_id", "text"), rows.table(spark, SF, "labels"))
+    kept = [i for i in sorted(held) if model.scores([(held[i]["text"] or "").encode()])[0] >= 0.3]
+    lines = brute_lines([held[i]["text"] for i in kept], 10)
+    text = {i: None if held[i]["text"] is None else x for i, (_, _, x) in zip(kept, lines)}
+
+    def shingles(t):
+        w = SHINGLE_WORD.findall(lowered(t))
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
+
+    prints, sets = {i: print_of(text[i], 5) for i in kept}, {i: shingles(text[i]) for i in kept}
+
+    def linked(i, j):
+        if prints[i] == prints[j]:
+            return True
+        common = len(sets[i] & sets[j])
+        return (prints[i] ^ prints[j]).bit_count() <= 8 and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9
+
+    groups = sets_of(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if linked(kept[a], kept[b])])
+    kept = [i for k, i in enumerate(kept) if groups[k] == k]
+    items = [shingles(r["text"]) for r in rows.table(spark, SF, "benchmark").collect()]
+    kept = [i for i in kept if not any(len(x & sets[i]) >= 0.8 * len(x) - 1e-9 for x in items if x)]
+
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, SF)
+    got = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert sorted(got) == kept and got == {i: text[i] for i in kept}
+    mixed = corpus_pipeline.STAGES[4][1](spark, now, SF).toPandas()
+    size = {i: len(SHINGLE_WORD.findall(text[i] or "")) for i in kept}
+    assert set(mixed["doc_id"]) <= set(kept) and all(size[i] == n for i, n in zip(mixed["doc_id"], mixed["size"]))
+    for source, g in mixed.groupby("source"):
+        own = [size[i] for i in kept if held[i]["source"] == source]
+        assert g["source_size"].iloc[0] == sum(own) and 0 <= g["target"].iloc[0] - g["taken"].sum() <= max(own)
+
+
 def test_pipeline_by_stages(spark):
     docs = rows.table(spark, SF, "documents")
     out = corpus_pipeline.run(spark, SF).toPandas()
