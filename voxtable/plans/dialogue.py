@@ -244,6 +244,20 @@ UTT_SQL = TOK_SQL + """, ln AS (SELECT DISTINCT episode_id, ord, start_ms AS lo,
    CASE WHEN nb = n AND (nb*d//n) - (na*d//n) < 800 AND (nb*d//n) - (a*d//n) <= 12000 THEN nb ELSE b END AS stop FROM sized)"""
 
 
+@query("word_boundary_error_numbered", "WITH " + TOK_SQL + """, k AS (SELECT episode_id, ord, row_number() OVER (PARTITION BY episode_id, ord ORDER BY i) - 1 AS j FROM tok WHERE i%9 <> 4),
+ x AS (SELECT episode_id, ord, unnest([j%5*10, j%3*5]) AS err FROM k)
+SELECT s.episode_id, s.ord, CAST(count(err)//2 AS BIGINT) AS matched_words, CAST(count(err) AS BIGINT) AS compared_boundaries, CAST(median(err) AS DOUBLE) AS median_abs_error_ms,
+  CAST(quantile_cont(err, 0.95) AS DOUBLE) AS p95_abs_error_ms FROM segment s LEFT JOIN x USING (episode_id, ord) GROUP BY s.episode_id, s.ord""")
+def word_boundary_error_numbered(spark, sf):
+    """The same on words that are told apart by their number, so that every match is certain."""
+    numbered = segments_with_words(spark, sf).withColumn(
+        "words", F.expr("transform(words, (w, i) -> named_struct('t', concat(w.t, 'x', i), 's', w.s, 'e', w.e))")).withColumn(
+        "heard", F.expr("transform(filter(words, (w, i) -> i % 9 <> 4), (w, i) -> named_struct('t', w.t, 's', w.s + i % 5 * 10, 'e', w.e - i % 3 * 5))"))
+    out = ql.word_boundary_errors(numbered, "words", "heard")
+    return out.select("episode_id", "ord", "boundary.matched_words", "boundary.compared_boundaries",
+                      "boundary.median_abs_error_ms", "boundary.p95_abs_error_ms")
+
+
 @query("utterances", "WITH RECURSIVE " + UTT_SQL + """ SELECT f.episode_id, f.ord, s.segment_id, row_number() OVER (PARTITION BY f.episode_id, f.ord ORDER BY a) - 1 AS utterance_no,
   lo + a*d//f.n AS start_ms, lo + stop*d//f.n AS end_ms, (SELECT regexp_replace(replace(string_agg(t, ' ' ORDER BY i), '.', '。'), '^\\s+|\\s+$', '', 'g') FROM tok WHERE tok.episode_id=f.episode_id AND tok.ord=f.ord AND i >= a AND i < stop) AS text,
   CAST(stop - a AS INTEGER) AS n_words FROM fin f JOIN segment s USING (episode_id, ord) WHERE NOT gone""")
