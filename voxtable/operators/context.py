@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtable.functions import text as tx
-from voxtable.functions.binding import let
 from voxtable.operators.scan import keyed_fold, neighbours, null_safe_join, row_index
 from voxtable.session import spread, staged
 
@@ -101,34 +102,59 @@ def term_matches(lines: DataFrame, terms: DataFrame, keys: Sequence[str], *, tex
     """Join every line with the terms that occur in it as a substring (same ``keys``); empty and null terms match nothing.
 
     One way for any number of terms. The head of a term is its first 8, 4, 2 or 1 characters, the longest that fit. A line
-    gives its different runs of the head lengths that occur, cut from one array of its characters; an equi-join
-    on (keys, run) finds candidates, each a line's hash and a term, and the whole term is then looked up in the line. Texts are
+    gives the hashes of its different runs of the head lengths that occur, in one pass over its characters; an equi-join
+    on (keys, hash) finds candidates, each a line's hash and a term's, and the whole term is then looked up in the line. Texts are
     not sent with their runs. Lines that agree in every column share their candidates.
     """
     length = F.char_length(term)
     size = F.when(length >= SEEDS[0], SEEDS[0])
     for n in SEEDS[1:]:
         size = size.when(length >= n, n)
-    wanted = terms.withColumns({"__len": size, "__tid": F.xxhash64(*terms.columns)}).where("__len IS NOT NULL")
+    wanted = terms.withColumns({"__len": size, "__tid": F.xxhash64(*_flagged(terms))}).where("__len IS NOT NULL")
     used = sorted(r[0] for r in wanted.select("__len").distinct().collect())  # four lengths at most
-    seeded = wanted.withColumn("__seed", F.substr(F.col(term), F.lit(1), F.col("__len")))
-
-    def runs(b: Column) -> Column:
-        def cut(n: int) -> Column:
-            starts = F.when(F.size(b["c"]) >= n, F.sequence(F.lit(1), F.size(b["c"]) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(b["c"], i, n), ""))
-
-        return F.array_distinct(F.concat(*[cut(n) for n in used])) if used else F.array().cast("array<string>")
-
-    named = spread(lines).withColumn("__lid", F.xxhash64(*[c for n in lines.columns for c in (F.col(n).isNull(), F.col(n))]))
-    chars = let({"c": F.split(F.coalesce(F.col(text), F.lit("")), "")}, runs)
-    found = named.select(*keys, "__lid", F.explode(chars).alias("__seed")).join(seeded.select(*keys, "__seed", "__tid"), [*keys, "__seed"])
-    found = found.select("__lid", "__tid").distinct()
+    seeded = _run_hashes(wanted.select(*keys, "__tid", F.substr(F.col(term), F.lit(1), F.col("__len")).alias("__text")), [*keys, "__tid"], used, whole=True)
+    named = spread(lines).withColumn("__lid", F.xxhash64(*_flagged(lines)))
+    runs = _run_hashes(named.select(*keys, "__lid", F.coalesce(F.col(text), F.lit("")).alias("__text")), [*keys, "__lid"], used)
+    found = runs.join(seeded, [*keys, "__run"]).select("__lid", "__tid").distinct()
     full = wanted.drop(*keys, "__len").distinct()
     hits = named.join(found, "__lid").join(full, "__tid").where(F.contains(F.col(text), F.col(term)))
     return hits.drop("__lid", "__tid")
 
 
+def _flagged(df: DataFrame) -> list[Column]:
+    # xxhash64 passes over nulls, so that null takes part through its own flag.
+    return [c for n in df.columns for c in (F.col(n).isNull(), F.col(n))]
+
+
+def _run_hashes(df: DataFrame, keep: list[str], sizes: list[int], *, whole: bool = False) -> DataFrame:
+    """``keep`` and ``__run``, a hash for every different run of ``sizes`` characters of ``__text``; with ``whole`` of the text itself."""
+    schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("__run", T.LongType())])
+
+    def hashed(text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        found = []
+        for n in [len(text)] if whole else sizes:
+            m = len(points) - n + 1
+            if m > 0:
+                value = np.full(m, n, np.uint64)
+                for k in range(n):
+                    value = (value ^ points[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                    value ^= value >> np.uint64(29)
+                found.append(value.view(np.int64))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                runs = [hashed(t) for t in part.column("__text").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
+                values = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in keep], pa.array(values)], names=[*keep, "__run"])
+
+    return df.mapInArrow(cut, schema)
+
+
 def relevant_terms(batches: DataFrame, terms: DataFrame, keys: Sequence[str], batch: Sequence[str], *, text: str, term: str) -> DataFrame:
     """Distinct terms that occur in some line of the batch."""
     hits = term_matches(batches, terms, keys, text=text, term=term)
