@@ -6,8 +6,8 @@ that holds at least ``threshold`` of the item must hold one of them: n - ceil(th
 item of the partition. A document is long against an item, so its whole set of shingles is looked up, not a sketch of it.
 Hits are candidates; each is then settled by counting the item's shingles, as texts, in the document.
 
-Words are runs without white space, A-Z lower-cased; a shingle has ``shingle`` words, and a shorter text is one shingle, so
-that a short item is found only where it is the whole text. Items and documents without words match nothing. Rows that agree
+Words are runs of letters, marks and digits, lower-cased, so that neither punctuation nor symbols strewn over a passage hide it.
+A shingle has ``shingle`` words, and a shorter text is one shingle, so that a short item is found only where it is the whole text. Items and documents without words match nothing. Rows that agree
 in id and text are one document or item; null ids are ids like others.
 """
 
@@ -27,13 +27,17 @@ SHINGLE, THRESHOLD = 5, 0.8
 ITEM = ("__i1", "__i2")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+
+
 def _shingled(text: Column, width: int, whole: Callable[[list[Column]], Column], short: Callable[[Column], Column], kind: str) -> Column:
     def cut(bound: Column) -> Column:
         w = bound["w"]
         many = F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(width)), lambda i: whole([F.get(w, i + k) for k in range(width)]))
         return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(short(w))).otherwise(F.array().cast(f"array<{kind}>"))
 
-    return let({"w": rows.words(rows.ascii_lower(text))}, cut)
+    return let({"w": _words(text)}, cut)
 
 
 def shingles(text: Column, width: int) -> Column:
@@ -90,8 +94,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 
 SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-b AS (SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, text, s FROM (SELECT doc_id, text, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM d WHERE len(w) > 0)),
 bs AS (SELECT DISTINCT item_id, text, s FROM (SELECT item_id, text, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, text, count(*) AS n_shingles FROM bs GROUP BY item_id, text)
