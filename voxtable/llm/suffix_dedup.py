@@ -171,7 +171,8 @@ def repeated_spans(texts: DataFrame, length: int, *, bucket_rows: int = 50_000)
 
     own = texts.select(*key, "text")
     found = staged(own.mapInArrow(scan, rows.widened(own.select(*key), at="bigint", g="bigint", c="bigint", l="bigint", r="bigint")), "anchors")
-    several = found.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g")
+    # Written before it is joined: a join of two plain shuffles can be split where one run holds many anchors.
+    several = staged(found.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "several")
     found = staged(found.join(several, "g", "left_semi"), "repeated-anchors")
     # Different surroundings of each anchor; one place stands for all where they are alike.
     kinds = staged(found.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in (*key, "at", "l", "r")]), "anchor-kinds")
