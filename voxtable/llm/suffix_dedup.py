@@ -184,7 +184,8 @@ def repeated_spans(texts: DataFrame, length: int, *, bucket_rows: int = 50_000)
     split = kinds.select(*place, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("h")), F.struct(F.lit(1).alias("side"), F.col("r").alias("h")))).alias("s"))
     split = split.select(*place, "s.side", "s.h").where("h IS NOT NULL")
     met = split.groupBy("g", "side", "h").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 AND least = 1")
-    asked = split.join(met.select("g", "side", "h", (F.col("rows") > bucket_rows).alias("crowded")), ["g", "side", "h"])
+    met = staged(met.select("g", "side", "h", (F.col("rows") > bucket_rows).alias("crowded")), "shared-halves")
+    asked = split.join(met, ["g", "side", "h"])
     asked = asked.groupBy(*key).agg(F.collect_list(F.struct("at", "side", "crowded", F.xxhash64("g", "side", "h").alias("bucket"), (F.col("n") > 1).alias("known"))).alias("asked"))
     surroundings = "bucket bigint, at bigint, side int, crowded boolean, known boolean, back binary, ahead binary"
 
