@@ -206,7 +206,7 @@ def edit_violations(
 ) -> DataFrame:
     """Review edits: same ids, ordered per track, inside the episode, decided, and complete when dubbed.
 
-    ``episodes``: keys, ``duration_ms`` and ``status``; edits are taken in review or at a checkpoint only. Stored ids that
+    ``episodes``: keys, ``duration_ms`` and, where it is known, ``status``: edits are taken in review or at a checkpoint only. Stored ids that
     are not unique are a conflict of their own. Codes of a whole episode have a null ident.
     """
     ids = [*keys, ident]
@@ -227,7 +227,8 @@ def edit_violations(
     })
     whole = F.lit(None).cast(stored.schema[ident].dataType).alias(ident)
     edited = edits.select(*keys).distinct()
-    closed = edited.join(episodes.select(*keys, "status"), list(keys), "left").where(~F.coalesce(F.col("status").isin(*EDITABLE), F.lit(False)))
+    status = F.col("status") if "status" in episodes.columns else F.lit(EDITABLE[0]).alias("status")
+    closed = edited.join(episodes.select(*keys, status), list(keys), "left").where(~F.coalesce(F.col("status").isin(*EDITABLE), F.lit(False)))
     twice = have.where(F.col("__old") > 1).select(*keys).distinct().join(edited, list(keys), "left_semi")
     return union_all([
         both.where("code IS NOT NULL"), rules, closed.select(*keys, whole, F.lit("EPISODE_NOT_IN_REVIEW").alias("code")),
