@@ -150,6 +150,40 @@ def test_one_of_each(odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def numbered(rnd, n):
+    return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return sorted(r["doc_id"] for r in simhash.one_of_each(docs).select("doc_id").collect())
+
+
+def brute_kept(texts):
+    def shingles(t):
+        w = SHINGLE_WORD.findall(lowered(t))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    return sorted(set(sets_of(len(sets), linked)))
+
+
+def test_one_of_each_is_pure_jaccard(spark):
+    """Tails of all lengths around the threshold, short and long texts, chains, blocks that move."""
+    rnd = random.Random(11)
+    texts = ["", None, " ", "a", "A", "a b c d e", "a b c d e f"]
+    for n in (8, 12, 60, 150, 400):
+        for _ in range(12):
+            base = numbered(rnd, n)
+            texts.append(" ".join(base))
+            for part in (0.05, 0.15, 0.19, 0.2, 0.21, 0.25):
+                m = int(n * part * rnd.uniform(0.5, 1.1))
+                texts.append(" ".join(rnd.choice([base[: n - m] + numbered(rnd, m // 2), base[m:] + base[:m], base[m:], base + numbered(rnd, m)])))
+    rnd.shuffle(texts)
+    assert kept_ids(spark, texts) == brute_kept(texts)
+
+
 def brute_bytes(texts, length):
     texts = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))

@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm import rows
@@ -250,45 +250,158 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> Da
     return prints.join(named, prints["__fp"] == named["fp"]).select("doc_id", F.col("__fp").alias("fingerprint"), "component_id")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (``ka1, ka2, kb1, kb2`` and more) whose sets of shingles have at least this Jaccard similarity."""
-    ends = pairs.select(F.col("ka1").alias("k1"), F.col("ka2").alias("k2")).unionAll(pairs.select("kb1", "kb2")).distinct()
+def _sets(docs: DataFrame, shingle: int, columns: list[str], kinds: str, pack) -> DataFrame:
+    """``pack`` of each bounded slice: the named columns, and the slice's shingle sets as sorted hashes."""
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows.slices(batches, "text", 1 << 22):
-            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in rows.raw(part.column("text"))]
-            yield rows.with_columns(part, ["k1", "k2"], shingles=pa.array(found, pa.list_(pa.int64())))
+            yield pack(part, [np.unique(shingle_hashes(t, shingle)) for t in rows.raw(part.column("text"))])
+
+    return docs.select(*columns, "text").mapInArrow(work, kinds)
+
+
+def _set_id(s: np.ndarray) -> int:
+    """A 63-bit hash of a set of shingles; equal sets share it."""
+    import xxhash
 
-    texts = docs.select(F.col(rows.KEY[0]).alias("k1"), F.col(rows.KEY[1]).alias("k2"), "text").join(ends.hint("merge"), ["k1", "k2"], "left_semi")
-    held = staged(texts.mapInArrow(sets, "k1 bigint, k2 bigint, shingles array<bigint>").dropDuplicates(["k1", "k2"]), "shingle-sets")
-    a, b = held.toDF("ka1", "ka2", "sa"), held.toDF("kb1", "kb2", "sb")
-    both = pairs.join(a, ["ka1", "ka2"]).join(b, ["kb1", "kb2"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select(*pairs.columns)
+    return xxhash.xxh3_64_intdigest(s.tobytes(), 42) >> 1
 
 
-def one_of_each(docs: DataFrame, *, shingle: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+def _shared_shingles(docs: DataFrame, shingle: int, total: int) -> DataFrame:
+    """``g, token, df`` for each shingle held by two or more different sets: the set, the shingle, the number of sets.
+
+    Every shingle of the corpus is shuffled once, packed by ranges of the hash.
+    """
+    bits = max(0, (total >> 19).bit_length())
+
+    def pack(part: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.concatenate(found)
+        at = np.repeat(np.arange(len(found)), [len(s) for s in found])
+        ids = np.array([_set_id(s) for s in found], np.int64)
+        place = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
+        order = np.argsort(place, kind="stable")
+        token, at, place = token[order], at[order], place[order]
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+        tokens, owners, sets = [], [], []
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(place)]):
+            here, owner = np.unique(at[lo:hi], return_inverse=True)
+            tokens.append(token[lo:hi].tobytes())
+            owners.append(owner.astype("<u4").tobytes())
+            sets.append(ids[here].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(place[cuts], pa.int64()), *(pa.array(x, pa.binary()) for x in (tokens, owners, sets))], names=["place", "tokens", "owners", "sets"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for place, t, o, g in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(place, []).append((np.frombuffer(t, "<u8"), np.frombuffer(g, "<i8")[np.frombuffer(o, "<u4")]))
+        while held:
+            _, blobs = held.popitem()
+            token, g = (np.concatenate(x) for x in zip(*blobs))
+            order = np.lexsort((g, token))
+            token, g = token[order], g[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (g[1:] != g[:-1])]  # texts of equal sets count once
+            token, g = token[new], g[new]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            df = np.diff(np.r_[first, len(token)])
+            df = np.repeat(df, df)
+            keep = np.flatnonzero(df > 1)
+            for at in range(0, len(keep), 1 << 16):
+                k = keep[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(token[k].view(np.int64)), pa.array(df[k].astype(np.int64))], names=["g", "token", "df"])
+
+    packed = _sets(docs, shingle, [], "place bigint, tokens binary, owners binary, sets binary", pack)
+    return packed.repartition(1 << bits, "place").mapInArrow(count, "g bigint, token bigint, df bigint")
+
+
+def _prefixes(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """``token, g, s, i, leads, rank``: the shingles by which two sets at the similarity must meet.
+
+    In one order of all shingles, rare before frequent, two such sets share one of the first s - ceil(similarity x s) + 1
+    of each. A set with as many shingles of its own has no partner. ``i`` shingles of the set come before this one. The
+    smaller set of a pair meets the other where ``leads`` is true, as what is left behind ``i`` bounds the overlap.
+    """
+    held = shared.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
+    held = held.join(sizes.hint("merge"), "g").withColumn("own", F.col("s") - F.size("found"))
+    length = F.col("s") - F.ceil(F.col("s") * F.lit(similarity) - 1e-9) + 1
+    held = held.withColumn("more", (length - F.col("own")).cast("int")).where("more > 0")
+    met = held.select("g", "s", "own", F.posexplode(F.slice("found", F.lit(1), F.col("more"))).alias("pos", "x"))
+    met = met.select("x.token", "g", "s", (F.col("own") + F.col("pos")).alias("i"))
+    met = met.withColumn("leads", F.col("s") - F.col("i") >= F.col("s") * F.lit(2 * similarity / (1 + similarity)) - 1e-6)
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("leads"), "g")) - 1)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets of shingles have at least this Jaccard similarity."""
+    a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _joined_sets(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node`` and ``label`` of all sets that steps of at least the similarity connect; a step counts only once it is checked.
+
+    ``met`` are the ``_prefixes``. In each round some sets of a shingle, 1, 7, 56, ... by rank, are checked against all
+    behind them that are not connected yet. So a large group takes about one check a member, and no pair is passed over
+    unless its ends are connected already.
+    """
+    most = met.where("leads").agg(F.max("rank")).first()[0]
+    links = met.select(F.col("g").alias("a"), F.col("g").alias("b")).where("false")
+    label = links.toDF("node", "label")
+    lo, hi = 0, 1
+    while most is not None and lo <= most:
+        now = met.join(label.hint("merge"), F.col("g") == F.col("node"), "left").withColumn("label", F.coalesce("label", "g")).drop("node")
+        main = now.where("rank = 0").select("token", F.col("label").alias("main"))
+        now = staged(now.join(main.hint("merge"), "token").withColumn("other", F.col("label") != F.col("main")).drop("main"), "simhash-labels")
+        ahead = now.where(f"leads AND rank >= {lo} AND rank < {hi}").select("token", *[F.col(c).alias(f"{c}_a") for c in ("g", "s", "i", "label", "rank", "other")])
+        # Sets of a shingle's main group need not meet each other.
+        found = [x.join(y.hint("merge"), "token") for x, y in ((ahead.where("NOT other_a"), now.where("other")), (ahead.where("other_a"), now))]
+        least = (F.col("s") + F.col("s_a")) * F.lit(similarity / (1 + similarity)) - 1e-6
+        fits = (F.col("rank") > F.col("rank_a")) & (F.col("label") != F.col("label_a")) & (F.least(F.col("s") - F.col("i"), F.col("s_a") - F.col("i_a")) >= least)
+        pairs = found[0].unionAll(found[1]).where(fits).select(F.least("g", "g_a").alias("a"), F.greatest("g", "g_a").alias("b")).distinct()
+        pairs = staged(pairs, "simhash-pairs")
+        if not pairs.isEmpty():
+            links = staged(links.unionAll(_alike(pairs, sets, similarity)), "simhash-links")
+            label = staged(components(links), "simhash-sets")
+        lo, hi = hi, hi * 8
+    return label
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group, with all its columns.
 
-    Fingerprints within ``radius`` bits are candidates; a link stands if the texts' sets of word shingles have at least the
-    given Jaccard similarity. Of a group the smallest ``doc_id`` stays (null ids come last, then the text's hash decides); of rows
+    Two texts are linked if their sets of word shingles have at least the given Jaccard similarity (above 0); the search
+    misses no such pair (``_prefixes``, ``_joined_sets``) and uses no fingerprints. Shingles and sets are known by 64- and
+    63-bit hashes. Of a group the smallest ``doc_id`` stays (null ids come last, then the text's hash decides); of rows
     that agree in id and text one stays. All empty and null texts are one group.
     """
     held = rows.keyed(docs, "doc_id", "text")
     key = [*rows.KEY]
-    prints = staged(with_fingerprints(held.select("doc_id", *key, "text"), shingle=shingle), "simhash")
+
+    def named(part: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        return rows.with_columns(part, ["doc_id", *key], g=pa.array([_set_id(s) for s in found], pa.int64()), s=pa.array([len(s) for s in found], pa.int64()))
+
+    ids = held.select("doc_id", *key)
+    known = staged(_sets(held, shingle, ["doc_id", *key], rows.widened(ids, g="bigint", s="bigint"), named), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *key)
-    first = staged(prints.groupBy("__fp").agg(F.min(order).alias("one"), F.count("*").alias("n")), "simhash-first")
-    links = near_links(first.select("__fp"), radius).distinct()
-    ends = [first.select(F.col("__fp").alias(x), F.col(f"one.{key[0]}").alias(f"k{x}1"), F.col(f"one.{key[1]}").alias(f"k{x}2")) for x in "ab"]
-    pairs = staged(links.join(ends[0], "a").join(ends[1], "b"), "simhash-pairs")
-    label = staged(components(_alike(held, pairs, shingle, similarity).select("a", "b")), "simhash-sets")
-    named = first.join(label, F.col("__fp") == F.col("node"), "left").withColumn("set", F.coalesce("label", "__fp"))
-    best = named.groupBy("set").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
-    grouped = named.join(best.drop("n"), "set").select(F.col("__fp").alias("fp"), "stays")
-    gone = prints.join(grouped, F.col("__fp") == F.col("fp")).where((F.col(key[0]) != F.col(f"stays.{key[0]}")) | (F.col(key[1]) != F.col(f"stays.{key[1]}")))
+    first = staged(known.groupBy("g", "s").agg(F.min(order).alias("one"), F.count("*").alias("n")), "simhash-first")
+    total = known.agg(F.sum("s")).first()[0] or 0
+    met = staged(_prefixes(_shared_shingles(held, shingle, total), first.select("g", "s"), similarity), "simhash-met")
+
+    def listed(part: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        return rows.with_columns(part, ["g"], shingles=pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())))
+
+    ends = first.join(met.where("leads").select("token").distinct().join(met, "token").select("g").distinct().hint("merge"), "g", "left_semi")
+    texts = held.select(*key, "text").join(ends.select("g", *[F.col(f"one.{k}").alias(k) for k in key]).hint("merge"), key).dropDuplicates(["g"])
+    sets = staged(_sets(texts, shingle, ["g"], "g bigint, shingles array<bigint>", listed), "shingle-sets")
+    label = _joined_sets(met, sets, similarity)
+    grouped = first.join(label.hint("merge"), F.col("g") == F.col("node"), "left").withColumn("set", F.coalesce("label", "g"))
+    best = grouped.groupBy("set").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
+    stays = grouped.select("g", "set").join(best.drop("n"), "set").select(F.col("g").alias("of"), "stays")
+    gone = known.join(stays, F.col("g") == F.col("of")).where((F.col(key[0]) != F.col(f"stays.{key[0]}")) | (F.col(key[1]) != F.col(f"stays.{key[1]}")))
     # What goes grows with the documents, so it is met by shuffle at every size.
     kept = held.join(gone.select(*key).distinct().hint("merge"), key, "left_anti")
-    if not prints.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not known.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(key)
     return kept.select(*docs.columns)
 
