@@ -184,6 +184,19 @@ def test_one_of_each_is_pure_jaccard(spark):
     assert kept_ids(spark, texts) == brute_kept(texts)
 
 
+def test_bystanders_hide_no_pair(spark):
+    """A long passage shared by many texts that are unlike each other (0.71), and pairs of 0.8 or more among them."""
+    rnd = random.Random(12)
+    passage = numbered(rnd, 250)
+    texts = [" ".join(passage + numbered(rnd, 50)) for _ in range(300)]
+    for _ in range(30):
+        own = numbered(rnd, 50)
+        texts += [" ".join(passage + own), " ".join(passage + own[: rnd.randrange(25, 50)] + numbered(rnd, 5))]
+    rnd.shuffle(texts)
+    want = brute_kept(texts)
+    assert len(want) < len(texts) - 20 and kept_ids(spark, texts) == want
+
+
 def brute_bytes(texts, length):
     texts = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
