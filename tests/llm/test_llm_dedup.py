@@ -197,6 +197,14 @@ def test_bystanders_hide_no_pair(spark):
     assert len(want) < len(texts) - 20 and kept_ids(spark, texts) == want
 
 
+def test_equal_fingerprints_are_checked(spark):
+    """One repeated shingle outvotes all others, so unlike texts have one fingerprint."""
+    rnd = random.Random(13)
+    texts = ["- " * 260 + " ".join(numbered(rnd, 200)) for _ in range(60)]
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1
+    assert kept_ids(spark, texts + texts[:5]) == list(range(60))
+
+
 def brute_bytes(texts, length):
     texts = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
