@@ -35,12 +35,13 @@ def counted(docs, least=7):
 
 
 def brute(words):
-    by_length = {}
+    less = {}  # words of one edit are equal once at most one code point is taken from each
     for w in words:
-        by_length.setdefault(len(w), []).append(w)
+        for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            less.setdefault(x, set()).add(w)
     out = {}
     for w, n in words.items():
-        near = [x for k in (-1, 0, 1) for x in by_length.get(len(w) + k, ()) if sum(a != b for a, b in zip(w, x)) < 2 or edits(w, x) == 1]
+        near = set().union(*(less[x] for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}))
         near = [x for x in near if edits(w, x) == 1]
         best = min(near, key=lambda x: (-words[x], x)) if near else None
         out[w] = [n, len(near), *((best, words[best]) if best and words[best] >= 10 * n else (None, None))]
