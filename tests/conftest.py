@@ -19,8 +19,3 @@ def spark():
 def rows(spark):
     """``rows(schema, [tuples])`` makes a table."""
     return lambda schema, data: spark.createDataFrame(data, schema)
-
-
-def listed(df, *columns):
-    """Sorted tuples of the named columns."""
-    return sorted((tuple(r[c] for c in columns) for r in df.select(*columns).collect()), key=repr)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import listed
+from listing import listed
 from pyspark.sql import functions as F
 
 from voxtable.functions import adapters as ad

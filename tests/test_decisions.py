@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import listed
+from listing import listed
 from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft

@@ -1,7 +1,7 @@
 """Sample-exact mixes and streams against their batch twins."""
 
 import numpy as np
-from conftest import listed
+from listing import listed
 
 from voxtable.operators import catalog as ct
 from voxtable.operators import pcm, scan

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import listed
+from listing import listed
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
