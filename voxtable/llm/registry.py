@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality", "language", "line_dedup", "mixing", "simhash", "decontamination", "fingerprints", "suffix_dedup", "token_counts", "html_text", "spelling")
+MODULES = ("quality", "language", "line_dedup", "mixing", "simhash", "decontamination", "fingerprints", "suffix_dedup", "token_counts", "html_text", "spelling", "alignment", "warc")
 
 
 def query(name: str, sql: str | None = None):
