@@ -1,5 +1,6 @@
 """Blocked scans equal plain windows, whatever the block width and however skewed the keys are."""
 
+import math
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import intervals as iv
 from voxtable.operators import scan
+from voxtable.session import is_scan
 
 
 @pytest.fixture(scope="module")
@@ -92,11 +94,78 @@ def test_global_rank(skewed):
     assert got.agg(F.max("r")).first()[0] == 3000
 
 
-def test_hot_key_and_hour_is_cut_by_rows(skewed):
+def test_hot_key_is_cut_by_rows(spark, skewed):
     """All rows lie in five seconds; the large key still gets many blocks of few rows."""
-    _, big = scan._parted(skewed, ["key"], "start_ms", 500)
+    small, big = scan._parted(skewed, ["key"], ["start_ms", "id"], 500)
     blocks = [r["count"] for r in big.groupBy("key", scan.BLK).count().collect()]
-    assert sum(blocks) > 1500 and len(blocks) > 50 and max(blocks) < 100
+    assert sum(blocks) > 1500 and len(blocks) == math.ceil(sum(blocks) / 500) + 1 and max(blocks) < 700
+    assert small.count() + sum(blocks) == skewed.count()
+    # Rows that agree in the first order column only are cut as well.
+    tied = spark.range(1000).selectExpr("1 AS key", "0 AS start_ms", "id")
+    _, big = scan._parted(tied, ["key"], ["start_ms", "id"], 100)
+    assert max(r["count"] for r in big.groupBy(scan.BLK).count().collect()) < 250
+    got = scan.row_index(tied, ["key"], ["start_ms", "id"], "i", block_rows=100)
+    assert got.where("i <> id").count() == 0 and got.count() == 1000
+
+
+def test_ordinary_keys_take_one_plain_window(skewed):
+    assert scan._parted(skewed, ["key"], ["id"], 3000)[1] is None and scan._parted(skewed, ["key"], ["id"], 2999)[1] is None
+    plan = scan.row_index(skewed, ["key"], ["start_ms", "id"], "i", block_rows=2999)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Union" not in plan and "Join" not in plan
+
+
+MACHINE = scan.Machine(["a", "b", "c"], {("a", "x"): "b", ("b", "x"): "c", ("c", "x"): "a", ("a", "y"): "c", ("c", "z"): "b"})
+
+
+def walked(data):
+    """Plain loop: rows of each key in order."""
+    out, seen = [], {}
+    for key, i, symbol, start in sorted(data, key=lambda r: r[1]):
+        state, n = seen.get(key, (start, 0))
+        out.append((i, state, n + 1))
+        moves = {("a", "x"): "b", ("b", "x"): "c", ("c", "x"): "a", ("a", "y"): "c", ("c", "z"): "b"}
+        seen[key] = (moves.get((state, symbol), state), n + 1)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 1000])
+def test_machine_scan_equals_loop(spark, block_rows):
+    rnd = random.Random(block_rows)
+    starts = {None: "a", 0: "b", 1: "gone", 2: None, 3: "c"}
+    data = []
+    for i in range(40 if block_rows < 3 else 3000):
+        key = rnd.choice([None, 0, 0, 0, 1, 2, 3])
+        data.append((key, i, rnd.choice(["x", "x", "y", "z", None, "?"]), starts[key]))
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, "key bigint, i bigint, s string, start string")
+    got = scan.machine_scan(df, ["key"], ["i"], MACHINE, symbol="s", start="start", block_rows=block_rows)
+    assert got.columns == ["key", "i", "s", "start", "before", "n"]
+    assert listed(got, "i", "before", "n") == walked(data)
+
+
+def test_large_key_runs_as_many_blocks(spark):
+    """One key of two million rows: its blocks are walked in many tasks, none of which holds more than a block or two."""
+    df = spark.range(2_000_000).selectExpr("7 AS key", "id AS i", "elt(1 + int(id % 3), 'x', 'y', 'z') AS s", "'a' AS start")
+    got = scan.machine_scan(df, ["key"], ["i"], MACHINE, symbol="s", start="start", block_rows=200_000)
+    state, want = "a", {"a": 0, "b": 0, "c": 0}
+    moves = {("a", "x"): "b", ("b", "x"): "c", ("c", "x"): "a", ("a", "y"): "c", ("c", "z"): "b"}
+    for i in range(2_000_000):
+        want[state] += 1
+        state = moves.get((state, "xyz"[i % 3]), state)
+    assert {r["before"]: r["count"] for r in got.groupBy("before").count().collect()} == {k: v for k, v in want.items() if v}
+    assert got.where("n <> i + 1").count() == 0
+
+
+def test_is_scan_by_named_plans(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for plain in (df, df.where("id > 3"), df.selectExpr("key", "id * 2 AS x"), df.union(df), df.select(F.explode(F.array("id"))), spark.range(4), spark.createDataFrame([(1,)], "a int"), skewed):
+        assert is_scan(plain)
+    same = F.pandas_udf(lambda v: v, "bigint")
+    works = (df.groupBy("key").count(), df.distinct(), df.join(df.select("id"), "id"), df.orderBy("id"), df.repartition(3), df.limit(5), df.select(same("id")),
+             df.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))), df.mapInArrow(lambda b: b, df.schema), df.dropDuplicates(["key"]))
+    for work in works:
+        assert not is_scan(work)
 
 
 def test_null_keys_and_times_are_kept(spark):
@@ -128,11 +197,17 @@ def test_a_chain_of_scans_reads_its_source_once(spark, skewed, tmp_path):
     assert str(tmp_path) not in three._jdf.queryExecution().executedPlan().toString() and "start_ms" in plan
 
 
-def test_building_a_query_starts_no_job(spark, skewed):
+def test_building_a_query_only_counts_rows(spark, skewed):
+    """A scan of few rows is settled by one count; operators without a scan start no job at all."""
     tracker = spark.sparkContext.statusTracker()
-    before = len(tracker.getJobIdsForGroup(None))
     base = skewed.selectExpr("key", "id", "start_ms", "end_ms")
+    base.count()
+    before = len(tracker.getJobIdsForGroup(None))
+    base.count()
+    one = len(tracker.getJobIdsForGroup(None)) - before
     scan.prefix(base, ["key"], ["start_ms", "id"], {"a": ("sum", F.col("end_ms"))})
+    assert len(tracker.getJobIdsForGroup(None)) == before + 2 * one
+    before = len(tracker.getJobIdsForGroup(None))
     iv.split_overlapping(base.groupBy("key").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), 100, 10)
     assert len(tracker.getJobIdsForGroup(None)) == before
 

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft
-from voxtable.functions.states import ACTIVE, RECOVERABLE, STAGE_ORDER, legal_moves, moves_table
-from voxtable.operators.scan import following, global_rank, keyed_fold, null_safe_join, prefix, previous
+from voxtable.functions.states import ACTIVE, MAIN_LINE, RECOVERABLE, SIDE_STATES, STAGE_ORDER, legal_moves, moves_table
+from voxtable.operators.scan import BLOCK_ROWS, Machine, following, global_rank, keyed_fold, machine_scan, null_safe_join, prefix, previous
 from voxtable.schemas import ROI
 from voxtable.session import staged
 
@@ -197,28 +197,25 @@ def time_in_state(events: DataFrame, keys: Sequence[str], order: Sequence[str],
     return nxt.withColumn("in_state_ms", F.col("__next") - F.col("ts_ms")).drop("__next")
 
 
-def apply_transitions(episodes: DataFrame, requests: DataFrame, *, order: Sequence[str] = ("ts_ms", "status", "message")) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Only legal moves leave a state; every other request stays where it is.
+STATUS_MACHINE = Machine([*MAIN_LINE, *SIDE_STATES], {move: move[1] for move in legal_moves()})
+
+
+def apply_transitions(
+    episodes: DataFrame, requests: DataFrame, *, order: Sequence[str] = ("ts_ms", "status", "message"), block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requested statuses in order: (updated episodes, event rows, rejects).
 
-    Each request is judged against the state that the accepted ones before it left, so an episode's requests are walked
-    in the given order; ``n`` numbers them.
+    Each request is judged against the state that the accepted ones before it left: the machine of legal moves is run along
+    each episode's requests (``scan.machine_scan``); ``n`` numbers them. A status that is unknown or null is no legal move.
     """
-    legal = frozenset(legal_moves())
     both = requests.select("episode_id", "status", "message", "ts_ms", *[c for c in order if c not in ("status", "message", "ts_ms")]).join(
         episodes.select("episode_id", F.col("status").alias("__old"), F.lit(True).alias("__known")), "episode_id", "left")
-
-    def step(state: dict, values: tuple) -> tuple[int, str | None, str | None]:
-        target, old, known = values
-        state["n"] = state.get("n", 0) + 1
-        now = state.setdefault("now", old)
-        if not known:
-            return state["n"], None, "EPISODE_NOT_FOUND"
-        if (now, target) not in legal:
-            return state["n"], now, "INVALID_TRANSITION"
-        state["now"] = target
-        return state["n"], now, None
-
-    judged = staged(keyed_fold(both, ["episode_id"], list(order), ["status", "__old", "__known"], {"n": "bigint", "from_state": "string", "code": "string"}, step), "transitions")
+    run = machine_scan(both, ["episode_id"], list(order), STATUS_MACHINE, symbol="status", start="__old", before="from_state", block_rows=block_rows)
+    moves = F.broadcast(moves_table(episodes.sparkSession).withColumn("__legal", F.lit(True)))
+    run = run.join(moves, (F.col("from_state") == F.col("old")) & (F.col("status") == F.col("new")), "left")
+    code = F.when(F.col("__known").isNull(), "EPISODE_NOT_FOUND").when(F.col("__legal").isNull(), "INVALID_TRANSITION")
+    judged = staged(run.withColumn("code", code).drop("old", "new", "__legal"), "transitions")
     rejects = judged.where("code IS NOT NULL").select("episode_id", "from_state", F.col("status").alias("to_state"), "code")
     done = judged.where("code IS NULL").select("episode_id", F.col("status").alias("state"), "message", "ts_ms", "n")
     last = done.groupBy("episode_id").agg(F.max_by("state", "n").alias("__s"))

@@ -1,17 +1,17 @@
 """Ordered scans that never put a hot key into one task, and lose no row.
 
-A plain window per key sends a hot key to one task. Here the keys with more than ``block_rows`` rows are found by counting.
-All other keys take the plain window. A large key is cut along its order axis into blocks of about equal row counts
-(by approximate quantiles of its own order values); the window runs inside a block, every block is summed up in one row, the
+A plain window per key sends a hot key to one task. Here a table of more than ``block_rows`` rows is counted by key first. Where no
+key has more rows than that, the plain window is the whole plan. Large keys are cut along their whole order into blocks of about
+equal row counts (a range split, written down); the window runs inside a block, every block is summed up in one row, the
 block rows are scanned per key, and the carry is joined back. Both ways give the same rows.
 
 Keys and order values may be null: a null key is a key, null order values come first. An input that is more than a scan of a
-table is written once, so that a chain of scans reads its source once. Rows that agree in the first order column stay in one block.
+table is written once, so that a chain of scans reads its source once. Only rows that agree in all order columns stay in one block.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -25,9 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from voxtable.session import is_scan, staged
 
 BLOCK_ROWS = 1 << 20
-PARTS = 255
 BLK = "__blk"
-_ORDERED = re.compile(r"(tinyint|smallint|int|bigint|float|double|date|timestamp\w*|decimal.*)$")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -37,24 +35,26 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, same, how).drop(*[f"__r_{c}" for c in on])
 
 
-def _parted(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, and rows of large keys with their block number."""
-    if not _ORDERED.match(dict(df.dtypes)[order]):
-        raise TypeError(f"{order} is no number or time")
+def _parted(df: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of large keys with their block number (None where no key is large)."""
+    if df.count() <= block_rows:
+        return df, None
+    large = staged(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > block_rows), "large-keys")
+    rows = large.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return df, None
     # At most one key in block_rows rows: bounded by the table's size over block_rows.
-    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > block_rows).select(*keys))
-    small = null_safe_join(df, large, keys, "left_anti")
-    big = null_safe_join(df, large, keys, "left_semi")
-    bounds = big.groupBy(*keys).agg(F.percentile_approx(order, [i / (PARTS + 1) for i in range(1, PARTS + 1)], 10_000).alias("__bounds"))
-    at = F.size(F.filter(F.array_distinct("__bounds"), lambda b: b <= F.col(order)))
-    cut = null_safe_join(big, bounds, keys, "inner").withColumn(BLK, F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at))
-    return small, cut.drop("__bounds")
+    named = F.broadcast(large.select(*keys))
+    small = null_safe_join(df, named, keys, "left_anti")
+    big = null_safe_join(df, named, keys, "left_semi").repartitionByRange(math.ceil(rows / block_rows) + 1, *keys, *order)
+    # A range split is sampled, so it is written before it is used twice.
+    return small, staged(big.withColumn(BLK, F.spark_partition_id()), "blocks")
 
 
-def _scanned(df: DataFrame, keys: Sequence[str], order: str, block_rows: int, plain: Callable[[DataFrame], DataFrame], blocked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _scanned(df: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int, plain: Callable[[DataFrame], DataFrame], blocked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     once = df if is_scan(df) else staged(df, "scan")
     small, big = _parted(once, keys, order, block_rows)
-    return plain(small).unionByName(blocked(big))
+    return plain(small) if big is None else plain(small).unionByName(blocked(big))
 
 
 def _fold(kind: str, col: Column) -> Column:
@@ -104,7 +104,7 @@ def prefix(
         joined = null_safe_join(local, carry, [*keys, BLK], "inner")
         return joined.select(*df.columns, *[merged(n, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in specs])
 
-    return _scanned(df, keys, order[0], block_rows, plain, blocked)
+    return _scanned(df, keys, order, block_rows, plain, blocked)
 
 
 def previous(df, keys, order, columns: dict[str, Column], *, reverse=False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -168,7 +168,7 @@ def islands(
         opened = F.last(F.when(opens(F.col(start), reach), F.col("__pos")), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
         return both.select(*df.columns, F.coalesce(opened, F.col("__from")).alias(name))
 
-    return _scanned(df, keys, order[0], block_rows, plain, blocked)
+    return _scanned(df, keys, order, block_rows, plain, blocked)
 
 
 def neighbours(
@@ -219,7 +219,7 @@ def neighbours(
 
         return out.select(*df.columns, *[shaped(n, keep) for n, (_, keep) in columns.items()])
 
-    return _scanned(df, keys, order, block_rows, plain, blocked)
+    return _scanned(df, keys, [order], block_rows, plain, blocked)
 
 
 def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], adds: dict[str, str], step: Callable[[dict, tuple], tuple]) -> DataFrame:
@@ -249,6 +249,120 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
 
 
+class Machine:
+    """A finite machine as tables: the place of each state, and for each symbol the map from states to states.
+
+    A map is a string of bytes, so that composing two of them is one translation. States and symbols that are not known share the last
+    place: such a state is never left, and such a symbol moves nothing.
+    """
+
+    def __init__(self, states: Sequence[str], moves: dict[tuple[str, str], str]) -> None:
+        self.states = tuple(states)
+        if len(self.states) > 254:
+            raise ValueError("a machine has at most 254 states")
+        self.symbols = tuple(sorted({symbol for _, symbol in moves}))
+        at = {s: i for i, s in enumerate(self.states)}
+        self.identity = bytes(range(len(self.states) + 1))
+        self.maps = [bytes([at[moves[s, x]] if (s, x) in moves else at[s] for s in self.states] + [len(self.states)]) for x in self.symbols] + [self.identity]
+
+    def place(self, state: Column) -> Column:
+        return _placed(state, self.states)
+
+    def symbol(self, value: Column) -> Column:
+        return _placed(value, self.symbols)
+
+    def named(self, place: Column, other: Column) -> Column:
+        return F.when(place < len(self.states), F.element_at(F.array(*[F.lit(s) for s in self.states]), place + 1)).otherwise(other)
+
+
+def _placed(value: Column, names: Sequence[str]) -> Column:
+    found = F.array_position(F.array(*[F.lit(n) for n in names]), value)
+    return F.when(found > 0, found - 1).otherwise(F.lit(len(names))).cast("int")
+
+
+def machine_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, *, symbol: str, start: str, before: str = "before", number: str = "n",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Run a finite machine along each key: add the state ``before`` each row and the row's one-based ``number`` in its key.
+
+    ``start`` names the state before the key's first row (equal in all rows of a key). What a row does depends on all rows before it,
+    but whatever the state at a block's start, a block of rows is a map from states to states. For a large key the blocks are
+    turned into maps in parallel, the maps are composed in order (one short row a block), and a second pass over the blocks, each from its own
+    state, gives the answers. Small keys take the second pass at once.
+    """
+    keys, columns, nothing = list(keys), df.columns, machine.identity
+    coded = df.withColumns({"__sym": machine.symbol(F.col(symbol)), "__at": machine.place(F.col(start))})
+    steps, passed = [t.ljust(256, b"\0") for t in machine.maps], coded.columns  # bytes.translate takes 256 places
+
+    def walk(group: list[str]) -> Callable:
+        def work(batches):
+            last, state, n = None, 0, 0
+            for batch in batches:
+                names = list(zip(*[batch.column(k).to_pylist() for k in group]))
+                at, count = [], []
+                for key, s, start_at, ahead in zip(names, *[batch.column(c).to_pylist() for c in ("__sym", "__at", "__ahead")]):
+                    if key != last:
+                        last, state, n = key, start_at, ahead
+                    n += 1
+                    at.append(state)
+                    count.append(n)
+                    state = steps[s][state]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(at, pa.int32()), pa.array(count, pa.int64())], names=[*passed, "__was", number])
+
+        return work
+
+    answered = T.StructType([*coded.schema.fields, T.StructField("__was", T.IntegerType()), T.StructField(number, T.LongType())])
+
+    def run(rows: DataFrame, group: list[str]) -> DataFrame:
+        dealt = rows.repartition(*group).sortWithinPartitions(*group, *order).select(*passed, *[c for c in group if c not in passed], "__ahead")
+        return dealt.mapInArrow(walk(group), answered)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return run(rows.withColumn("__ahead", F.lit(0).cast("long")), keys)
+
+    def composed(batches):
+        last, held = None, None
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in (*keys, BLK)]))
+            done = []
+            for key, s, start_at in zip(names, *[batch.column(c).to_pylist() for c in ("__sym", "__at")]):
+                if key != last:
+                    if last is not None:
+                        done.append((last, held))
+                    last, held = key, [nothing, 0, start_at]
+                held[0] = held[0].translate(steps[s])
+                held[1] += 1
+            if done:
+                yield block_rows_of(done, batch.schema)
+            schema = batch.schema
+        if last is not None:
+            yield block_rows_of([(last, held)], schema)
+
+    def block_rows_of(done: list, schema: pa.Schema) -> pa.RecordBatch:
+        named = [pa.array([k[i] for k, _ in done], schema.field(c).type) for i, c in enumerate((*keys, BLK))]
+        kinds = (pa.binary(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([*named, *[pa.array([h[i] for _, h in done], kind) for i, kind in enumerate(kinds)]], names=[*keys, BLK, "__map", "__rows", "__first"])
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        narrow = rows.select(*keys, BLK, *[c for c in order if c not in keys], "__sym", "__at")
+        kinds = T.StructType([*[narrow.schema[c] for c in (*keys, BLK)], T.StructField("__map", T.BinaryType()), T.StructField("__rows", T.LongType()), T.StructField("__first", T.IntegerType())])
+        maps = narrow.repartition(*keys, BLK).sortWithinPartitions(*keys, BLK, *order).mapInArrow(composed, kinds)
+
+        def enter(state: dict, values: tuple) -> tuple[int, int]:
+            block, size, first = values
+            at, ahead = state.get("at", first), state.get("ahead", 0)
+            state["at"], state["ahead"] = block[at], ahead + size
+            return at, ahead
+
+        entered = keyed_fold(maps, keys, [BLK], ["__map", "__rows", "__first"], {"__entry": "int", "__ahead": "bigint"}, enter)
+        both = null_safe_join(rows, entered.select(*keys, BLK, "__entry", "__ahead"), [*keys, BLK], "inner")
+        return run(both.withColumn("__at", F.col("__entry")), [*keys, BLK])
+
+    out = _scanned(coded, keys, order, block_rows, plain, blocked)
+    return out.select(*columns, machine.named(F.col("__was"), F.col(start)).alias(before), number)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """One-based rank over the whole table without a single-task window.
 

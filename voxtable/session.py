@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -72,12 +71,20 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_WORK = re.compile(r"\b(Join|Aggregate|Window|Repartition\w*|RebalancePartitions|Sort|GlobalLimit|MapIn\w+|FlatMap\w+|ArrowEval\w*|BatchEval\w*|Deduplicate|Distinct|Intersect|Except)\b")
+#: Logical nodes that keep rows where they are. A node that is not listed counts as work.
+PLAIN_NODES = frozenset({"Project", "Filter", "Generate", "Expand", "Union", "SubqueryAlias", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "InMemoryRelation", "Range", "OneRowRelation"})
 
 
 def is_scan(df: DataFrame) -> bool:
-    """True when ``df`` only reads, filters and projects; the plan is looked at, nothing runs."""
-    return not _WORK.search(df._jdf.queryExecution().optimizedPlan().toString())
+    """True when ``df`` only reads, filters and projects; the plan's nodes are looked at, nothing runs."""
+    waiting = [df._jdf.queryExecution().optimizedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() not in PLAIN_NODES:
+            return False
+        children = node.children()
+        waiting.extend(children.apply(i) for i in range(children.size()))
+    return True
 
 
 def spread(df: DataFrame) -> DataFrame:
