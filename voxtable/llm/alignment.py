@@ -97,9 +97,12 @@ def leaf_groups(ends_a: np.ndarray, ends_b: np.ndarray, whole: np.ndarray) -> np
     """The groups between neighbouring common ends, as rows (first A, behind last A, first B, behind last B), in order.
 
     ``ends_a`` and ``ends_b`` are the byte offsets at which tokens end, rising over all texts of a block; each row of ``whole``
-    is the interval of one text, whose last ends agree.
+    is the interval of one text, whose last ends agree; together they cover all tokens.
     """
-    leaves, todo = [], whole
+    # Tokens behind which a group ends, on either side; the ends of the texts to begin with.
+    cut_a, cut_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
+    cut_a[whole[:, 1] - 1] = cut_b[whole[:, 3] - 1] = True
+    todo = whole
     while len(todo):
         a0, a1, b0, b1 = todo.T
         middle = (a0 + a1) // 2 - 1
@@ -118,14 +121,14 @@ def leaf_groups(ends_a: np.ndarray, ends_b: np.ndarray, whole: np.ndarray) -> np
                 open_ = open_[at[open_] < 0]
             near += 1
             open_ = open_[(middle[open_] - near >= a0[open_]) | (middle[open_] + near < a1[open_] - 1)]
-        cut = at >= 0
-        leaves.append(todo[~cut])
-        low, high = todo[cut].copy(), todo[cut].copy()
-        low[:, 1], low[:, 3] = at[cut] + 1, with_b[cut] + 1
-        high[:, 0], high[:, 2] = at[cut] + 1, with_b[cut] + 1
-        todo = np.concatenate([low, high])
-    every = np.concatenate(leaves) if leaves else np.zeros((0, 4), np.int64)
-    return every[np.argsort(every[:, 0], kind="stable")]
+        cut = np.flatnonzero(at >= 0)
+        at, with_b = at[cut] + 1, with_b[cut] + 1
+        cut_a[at - 1] = cut_b[with_b - 1] = True
+        halves = (np.stack([a0[cut], at, b0[cut], with_b], axis=1), np.stack([at, a1[cut], with_b, b1[cut]], axis=1))
+        # Halves of one token on either side are leaves.
+        todo = np.concatenate([h[(h[:, 1] - h[:, 0] > 1) & (h[:, 3] - h[:, 2] > 1)] for h in halves])
+    to_a, to_b = np.flatnonzero(cut_a) + 1, np.flatnonzero(cut_b) + 1
+    return np.stack([np.r_[0, to_a[:-1]], to_a, np.r_[0, to_b[:-1]], to_b], axis=1)
 
 
 def _ranges(first: np.ndarray, behind: np.ndarray) -> np.ndarray:
@@ -177,7 +180,7 @@ def aligned(texts: list[str | None], codec: Codec) -> dict:
     at = 0
     while at < len(texts):  # encodings take far more room than ids
         stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= 1 << 19):
+        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= 1 << 18):
             size += len(texts[stop] or "")
             stop += 1
         for a, b in codec.encode(texts[at:stop]):
@@ -191,10 +194,12 @@ def aligned(texts: list[str | None], codec: Codec) -> dict:
     to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
     whole = np.stack([to_a - n_a, to_a, to_b - n_b, to_b], axis=1)
     groups = leaf_groups(ends_a, ends_b, whole[n_a > 0])
-    of_group = np.searchsorted(to_a, groups[:, 0], side="right")
+    owner = np.repeat(np.arange(len(texts)), n_a)
+    of_group = owner[groups[:, 0]]
     link_a, link_b = links(groups, ends_a, ends_b)
-    of_link = np.searchsorted(to_a, link_a, side="right")
+    of_link = owner[link_a]
     pairs, place = np.unique(every_a[link_a] << 32 | every_b[link_b], return_inverse=True)
+    del link_a, link_b, ends_a, ends_b
     held, times = np.unique(of_link * len(pairs) + place, return_counts=True)
     of_held = held // len(pairs) if len(pairs) else held
     place = held - of_held * len(pairs)
@@ -247,7 +252,7 @@ def _listed_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.where("listed").select("block", "places", "times").mapInArrow(unpack, "block bigint, place bigint, pair bigint, docs bigint")
 
 
-def align(docs: DataFrame, *, path_a: str = BYTE_LEVEL, path_b: str = PIECES, block_bytes: int = 1 << 23, max_bytes: int = 1 << 26) -> DataFrame:
+def align(docs: DataFrame, *, path_a: str = BYTE_LEVEL, path_b: str = PIECES, block_bytes: int = 1 << 20, max_bytes: int = 1 << 26) -> DataFrame:
     """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256`` for every row of ``docs``.
 
     Null and empty texts, and texts that one of the tokenizers does not give back, have zeros and an empty digest. Repeated rows are
