@@ -128,7 +128,7 @@ def leaf_groups(ends_a: np.ndarray, ends_b: np.ndarray, whole: np.ndarray) -> np
         # Halves of one token on either side are leaves.
         todo = np.concatenate([h[(h[:, 1] - h[:, 0] > 1) & (h[:, 3] - h[:, 2] > 1)] for h in halves])
     to_a, to_b = np.flatnonzero(cut_a) + 1, np.flatnonzero(cut_b) + 1
-    return np.stack([np.r_[0, to_a[:-1]], to_a, np.r_[0, to_b[:-1]], to_b], axis=1)
+    return np.stack([np.r_[0, to_a][:-1], to_a, np.r_[0, to_b][:-1], to_b], axis=1)
 
 
 def _ranges(first: np.ndarray, behind: np.ndarray) -> np.ndarray:
