@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions import fitting as ft
 from voxtable.functions.states import ACTIVE, MAIN_LINE, RECOVERABLE, SIDE_STATES, STAGE_ORDER, legal_moves, moves_table
+from voxtable.operators.reports import hash_tree
 from voxtable.operators.scan import BLOCK_ROWS, Machine, following, global_rank, keyed_fold, machine_scan, null_safe_join, prefix, previous
 from voxtable.schemas import ROI
 from voxtable.session import staged
@@ -345,14 +346,14 @@ def export_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def export_manifest(rows: DataFrame) -> DataFrame:
-    """Per exported table its rows, bytes and a digest of the documents that does not depend on their order.
+def export_manifest(rows: DataFrame, order: Sequence[str] = ("doc",), *, leaf_rows: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per exported table its rows, bytes, leaves and the root of a SHA-256 hash tree over its documents.
 
-    The digest adds up 48 bits of each document's sha256, so it is computed in parallel and any table size fits.
+    Tables have no order of their own, so documents are taken in the order of their text unless ``order`` names columns (a position in the
+    file) that come first.
     """
-    part = F.conv(F.substring(F.sha2("doc", 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy("table_name").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("doc").cast("long")).alias("bytes"), F.sum(part).cast("string").alias("digest"))
+    order = [*order] if "doc" in order else [*order, "doc"]
+    return hash_tree(rows, ["table_name"], order, "doc", leaf_rows=leaf_rows, block_rows=block_rows)
 
 
 def write_export(tables: dict[str, DataFrame], path: str) -> DataFrame:

@@ -168,8 +168,8 @@ def locked_term_rejects(
 ) -> DataFrame:
     """Batches that must be rejected: a line has the term but its translation lacks the locked wording."""
     hits = term_matches(lines, terms, keys, text=source, term=term)
-    folded = hits.select("*", tx.casefold(F.col(subtitle)).alias("__sub"), tx.casefold(F.col(dub)).alias("__dub"),
-                         tx.casefold(F.col(target)).alias("__want"))
+    # A missing translation lacks every wording.
+    folded = hits.select("*", *[tx.casefold(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((subtitle, "__sub"), (dub, "__dub"), (target, "__want"))])
     missing = folded.where(~F.contains(F.col("__sub"), F.col("__want")) | ~F.contains(F.col("__dub"), F.col("__want")))
     return missing.groupBy(*dict.fromkeys([*keys, *batch])).agg(F.count("*").alias("omissions"))
 
@@ -242,19 +242,20 @@ def context_proposals(
     """Judge identity proposals: ``accepted`` only with a real quote, known characters and allowed keys.
 
     ``proposals``: keys, series, ``alias, character_id, addressee_id, addressing, evidence``. The quote
-    may come from any line of the batch, so the batch text is joined as one bounded array.
+    may come from any line of the batch, so the batch text is joined as one bounded array. A proposal for a line or a batch that
+    is not there stays as a row: not ``accepted``, with ``known_line`` false and no ``segment_id``.
     """
     batch = lines.groupBy(*keys).agg(F.collect_list("zh_text").alias("__texts"))
-    named = lines.select(*keys, "alias", "segment_id")
+    named = lines.select(*keys, "alias", "segment_id", F.lit(True).alias("known_line"))
     known = characters.select(series, F.col("character_id").alias("__known")).distinct()
-    out = proposals.join(named, [*keys, "alias"]).join(batch, list(keys))
+    out = null_safe_join(null_safe_join(proposals, named, [*keys, "alias"], "left"), batch, list(keys), "left").withColumn("known_line", F.coalesce("known_line", F.lit(False)))
     for field in ("character_id", "addressee_id"):
         hit = known.select(series, F.col("__known").alias(field), F.lit(True).alias(f"__ok_{field}"))
         out = out.join(hit, [series, field], "left")
     known_ok = lambda f: F.col(f).isNull() | F.col(f"__ok_{f}").isNotNull()
     quoted = (F.char_length("evidence") > 0) & F.exists("__texts", lambda t: F.contains(t, F.col("evidence")))
     keys_ok = F.size(F.array_except(F.map_keys("addressing"), F.array(F.lit("self"), F.lit("other")))) == 0
-    good = quoted & known_ok("character_id") & known_ok("addressee_id") & keys_ok & ~F.exists(F.map_values("addressing"), lambda v: v.isNull())
+    good = F.col("known_line") & quoted & known_ok("character_id") & known_ok("addressee_id") & keys_ok & ~F.exists(F.map_values("addressing"), lambda v: v.isNull())
     return out.withColumn("accepted", F.coalesce(good, F.lit(False))).drop("__texts", "__ok_character_id", "__ok_addressee_id")
 
 

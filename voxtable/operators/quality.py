@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
+from voxtable.functions.edit_distance import long_edit_distance
 from voxtable.operators.scan import prefix
 from voxtable.session import spread, staged
 
@@ -21,7 +22,7 @@ BOUNDARY = T.StructType().add("matched_words", T.LongType()).add("compared_bound
 
 
 def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """Add ``cer`` and its parts. Normalization runs once per side."""
+    """Add ``cer`` and its parts for lines (see ``transcript_error_rates`` for whole transcripts). Normalization runs once per side."""
     out = spread(pairs).withColumn("__r", tx.normalize_chinese(F.col(reference))).withColumn("__h", tx.normalize_chinese(F.col(hypothesis)))
     return (
         out.withColumn("ref_chars", F.char_length("__r").cast("long"))
@@ -30,6 +31,13 @@ def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str
     )
 
 
+def transcript_error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """``error_rates`` for whole transcripts of any length: the same columns and ``edits``, without a quadratic table."""
+    out = spread(pairs).withColumn("__r", tx.normalize_chinese(F.col(reference))).withColumn("__h", tx.normalize_chinese(F.col(hypothesis)))
+    out = out.withColumn("edits", long_edit_distance(F.col("__r"), F.col("__h"))).withColumn("ref_chars", F.char_length("__r").cast("long"))
+    return out.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("edits") / F.col("ref_chars"))).drop("__r", "__h")
+
+
 def joined_text(chunks: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
     """Chunk texts of a case, joined in order. One case's transcript is one value by definition."""
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

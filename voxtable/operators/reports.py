@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
+from voxtable.operators.scan import BLOCK_ROWS, null_safe_join, row_index
+from voxtable.session import staged
 
 # Stages of a benchmark plan, in order, and the environment each runs in.
 PLAN_STAGES = {"asr": "asr", "align": "asr", "tts": "tts", "bandit": "bandit", "ocr": "vision", "inpaint": "vision"}
@@ -79,9 +85,9 @@ def merged_evidence(reported: Column, nested: Column) -> Column:
 
 
 def digest(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], *, spaced: bool = False) -> DataFrame:
-    """SHA-256 of a canonical JSON list per key.
+    """SHA-256 of a canonical JSON list per key, and the number of its rows.
 
-    A digest hashes one document, the file list of one asset, so the list is one value by definition.
+    The list is never built: rows stream through a hash in order (``streamed_digest``), so a list may have any length.
     ``fields`` are written in alphabetical order, nulls kept. ``spaced`` uses ``", "`` and ``": "``.
     """
     doc = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
@@ -89,9 +95,71 @@ def digest(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[st
         parts = [F.concat(F.lit(f'"{f}": '), F.regexp_extract(F.to_json(F.struct(F.col(f).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1))
                  for f in sorted(fields)]
         doc = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
-    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), doc.alias("d"))))
-    body = F.array_join(F.transform(listed, lambda x: x["d"]), ", " if spaced else ",")
-    return rows.groupBy(*keys).agg(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256).alias("sha256"), F.count("*").alias("files"))
+    pieces = rows.select(*keys, F.col(order).alias("__order"), doc.alias("__doc"))
+    return streamed_digest(pieces, keys, ["__order", "__doc"], "__doc", begin="[", between=", " if spaced else ",", end="]", count="files")
+
+
+def streamed_digest(
+    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, *, begin: str = "", between: str = "", end: str = "", name: str = "sha256", count: str = "n"
+) -> DataFrame:
+    """Per key the SHA-256 of its pieces in order, with fixed texts around and between them, and their number.
+
+    Rows are dealt by key and sorted; a task holds one batch and one hash state, however long a key's pieces are together. A hash
+    of one sequence is sequential by its nature; ``hash_tree`` is the parallel form. Null pieces are passed over.
+    """
+    keys = list(keys)
+    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField(name, T.StringType()), T.StructField(count, T.LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    head, glue, tail = (x.encode() for x in (begin, between, end))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, n, first, done = None, None, 0, True, []
+
+        def close() -> None:
+            state.update(tail)
+            done.append((*last, state.hexdigest(), n))
+
+        for batch in batches:
+            for *key, text in zip(*[batch.column(c).to_pylist() for c in (*keys, piece)]):
+                if key != last:
+                    if last is not None:
+                        close()
+                    last, state, n, first = key, hashlib.sha256(head), 0, True
+                n += 1
+                if text is not None:
+                    if not first:
+                        state.update(glue)
+                    state.update(text.encode())
+                    first = False
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=schema.names)
+                done.clear()
+        if last is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=schema.names)
+
+    held = pieces.select(*dict.fromkeys([*keys, *order, piece]))
+    return held.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+
+
+def hash_tree(rows: DataFrame, keys: Sequence[str], order: Sequence[str], doc: str, *, leaf_rows: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per key ``n``, ``bytes`` and ``root``: a hash tree of two levels over the documents in order.
+
+    A leaf is the SHA-256 of the SHA-256 digests of ``leaf_rows`` documents that follow each other, whatever task they lie in; the root is
+    that of the leaves in order. Leaves are built in parallel, also inside one key; only one short row a leaf is walked in order. A changed
+    byte, two rows in another order, a row more or a row twice all change the root. A null document counts as the empty one.
+    """
+    keys = list(keys)
+    text = F.coalesce(F.col(doc), F.lit(""))
+    hashed = rows.select(*keys, *[c for c in order if c not in keys], F.sha2(text, 256).alias("__h"), F.octet_length(text).cast("long").alias("__b"))
+    placed = row_index(hashed, keys, [*order, "__h"], "__i", block_rows=block_rows)
+    held = F.sort_array(F.collect_list(F.struct("__i", "__h")))  # leaf_rows at most
+    leaves = placed.groupBy(*keys, F.floor(F.col("__i") / leaf_rows).alias("__leaf")).agg(
+        F.sha2(F.array_join(F.transform(held, lambda x: x["__h"]), ""), 256).alias("__sha"), F.count("*").alias("__n"), F.sum("__b").alias("__b"))
+    leaves = staged(leaves, "leaves")
+    roots = streamed_digest(leaves, keys, ["__leaf"], "__sha", name="root", count="leaves")
+    sums = leaves.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__b").alias("bytes"))
+    return null_safe_join(sums, roots, keys, "inner")
 
 
 def plan_jobs(cases: DataFrame, keys: Sequence[str], *, synthetic: bool = False) -> tuple[DataFrame, DataFrame]:

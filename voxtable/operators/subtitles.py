@@ -22,13 +22,16 @@ def unresolved(lines: DataFrame) -> DataFrame:
 
 
 def clip_coverage(dubs: DataFrame, clips: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
-    """Per key: lines to dub, clips missing, and the ids without a clip."""
+    """Per key: lines to dub, how many have no clip, and the first of them; ``missing_clips`` gives them all, as rows."""
     joined = dubs.join(clips.select(*keys, ident, F.lit(True).alias("__have")), [*keys, ident], "left")
-    gone = F.sort_array(F.collect_list(F.when(F.col("__have").isNull(), F.col(ident))))
-    listed = F.array_join(F.transform(gone, lambda i: i.cast("string")), ",")
+    gone = F.col("__have").isNull()
     return joined.groupBy(*keys).agg(
-        F.count("*").alias("dub_lines"), F.count_if(F.col("__have").isNull()).alias("missing_clips"),
-        F.when(F.count_if(F.col("__have").isNull()) > 0, listed).alias("missing"))
+        F.count("*").alias("dub_lines"), F.count_if(gone).alias("missing_clips"), F.min(F.when(gone, F.col(ident))).alias("first_missing"))
+
+
+def missing_clips(dubs: DataFrame, clips: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
+    """The lines to dub that have no clip."""
+    return dubs.join(clips.select(*keys, ident), [*keys, ident], "left_anti")
 
 
 def fitted_slots(

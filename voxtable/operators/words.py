@@ -7,7 +7,10 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -144,23 +147,45 @@ def dub_decision(df: DataFrame, text: str = "zh_text", words: str = "words", spe
     )
 
 
-def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
-    """Force aligned words to be ordered and inside the chunk, one millisecond long at least."""
-    empty = F.array().cast(f"array<{WORD}>")
+_NONE = -(1 << 60)  # stands for "no bound yet"
+
+
+def _running_max(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running maximum inside each run of ``sizes`` values, by ranks, so that one pass serves all runs."""
+    kinds, rank = np.unique(values, return_inverse=True)
+    base = np.repeat(np.arange(len(sizes)), sizes) * len(kinds)
+    return kinds[np.maximum.accumulate(base + rank) - base]
+
+
+def _repaired(words: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+    """A word ends one millisecond behind the one before it or at its own end, whichever is later. In the max-plus algebra that is a
+    running maximum of (own end less position), so a row of any length takes one linear pass."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten()
+    own = lambda name, instead: pc.fill_null(pc.struct_field(flat, name), instead).to_numpy(zero_copy_only=False).astype(np.int64)
+    bound = lambda column, instead: np.repeat(pc.fill_null(column, instead).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+    start, end, low, high = own("s", _NONE), own("e", _NONE), bound(lo, _NONE), bound(hi, -_NONE)
+    at = np.arange(len(start)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    reach = np.maximum(np.where(start > _NONE, start + 1, _NONE), end)
+    # ``free`` is where the word would end without the chunk's end, ``before`` where the one before it would.
+    free = np.maximum(_running_max(np.where(reach > _NONE, reach - at, _NONE), sizes), np.where(low > _NONE, low + 1, _NONE))
+    free = np.where(free > _NONE, free + at, _NONE)
+    before = np.where(at == 0, low, np.minimum(np.r_[_NONE, free[:-1]][: len(free)], high))
+    begin = np.maximum(start, before)
+    over = free > high
+    latest = np.maximum(low, high - 1)
+    begin = np.where(over, np.where(begin > _NONE, np.minimum(begin, latest), latest), begin)
+    ended = np.where(over, high, free)
+    times = [pa.array(x, pa.int64(), mask=x == _NONE) for x in (begin, ended)]
+    fixed = pa.StructArray.from_arrays([pc.struct_field(flat, "t"), *times], names=["t", "s", "e"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), fixed, mask=pc.is_null(words))
 
-    def fold(b: Column) -> Column:
-        def step(acc: Column, w: Column) -> Column:
-            s = F.greatest(w["s"], acc["at"])
-            e = F.greatest(s + 1, w["e"], w["s"] + 1)
-            over = e > b["hi"]
-            end = F.when(over, b["hi"]).otherwise(e)
-            begin = F.when(over, F.least(s, F.greatest(b["lo"], b["hi"] - 1))).otherwise(s)
-            word = F.struct(w["t"].alias("t"), begin.alias("s"), end.alias("e"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(word)).alias("out"))
 
-        return F.aggregate(b["w"], F.struct(b["lo"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-
-    return let({"w": words, "lo": chunk_start.cast("long"), "hi": chunk_end.cast("long")}, fold)
+def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
+    """Force aligned words to be ordered and inside the chunk, one millisecond long at least."""
+    plain = F.transform(words, lambda w: F.struct(w["t"].alias("t"), w["s"].cast("long").alias("s"), w["e"].cast("long").alias("e")))
+    # Called nondeterministic so that the optimizer neither copies the call nor pushes it into a scan.
+    return F.arrow_udf(_repaired, f"array<{WORD}>").asNondeterministic()(plain, chunk_start.cast("long"), chunk_end.cast("long"))
 
 
 # --- utterance kernel ---------------------------------------------------------------------------

@@ -301,7 +301,8 @@ def workspace_export(spark, sf):
     return _exported(spark, sf)
 
 
-@query("workspace_export_manifest", "WITH " + EXPORT + """ SELECT table_name, count(*) AS n, CAST(sum(strlen(doc)) AS BIGINT) AS bytes,
-  CAST(sum(CAST(CAST('0x' || substr(sha256(doc), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM e GROUP BY table_name""")
+@query("workspace_export_manifest", "WITH " + EXPORT + """, p AS (SELECT table_name, doc, (row_number() OVER (PARTITION BY table_name ORDER BY doc) - 1)//64 AS leaf, row_number() OVER (PARTITION BY table_name ORDER BY doc) AS i FROM e),
+ l AS (SELECT table_name, leaf, sha256(string_agg(sha256(doc), '' ORDER BY i)) AS h, count(*) AS n, sum(strlen(doc)) AS b FROM p GROUP BY ALL)
+SELECT table_name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS leaves, sha256(string_agg(h, '' ORDER BY leaf)) AS root FROM l GROUP BY table_name""")
 def workspace_export_manifest(spark, sf):
-    return ct.export_manifest(_exported(spark, sf))
+    return ct.export_manifest(_exported(spark, sf), leaf_rows=64)

@@ -32,11 +32,13 @@ def relevant_glossary(spark, sf):
 
 
 @query("locked_term_rejects", "WITH " + BATCH + """ SELECT b.series_id, b.episode_id, batch_no, count(*) AS omissions FROM b JOIN glossary g ON b.series_id=g.series_id AND g.locked AND contains(b.zh_text, g.zh)
- WHERE NOT contains(replace(lower(b.zh_text),'ß','ss'), replace(lower(g.vi),'ß','ss')) OR NOT contains(replace(lower(upper(b.zh_text)),'ß','ss'), replace(lower(g.vi),'ß','ss')) GROUP BY ALL""")
+ WHERE ord%11=5 OR ord%13=7 OR NOT contains(replace(lower(b.zh_text),'ß','ss'), replace(lower(g.vi),'ß','ss')) OR NOT contains(replace(lower(upper(b.zh_text)),'ß','ss'), replace(lower(g.vi),'ß','ss')) GROUP BY ALL""")
 def locked_term_rejects(spark, sf):
-    lines = view(spark, sf, "segment").withColumn("batch_no", F.expr("ord DIV 4")).withColumn("dub", F.upper("zh_text"))
+    # Some lines came back without a subtitle, some without a dubbing text.
+    lines = view(spark, sf, "segment").withColumns({
+        "batch_no": F.expr("ord DIV 4"), "sub": F.expr("CASE WHEN ord%11 <> 5 THEN zh_text END"), "dub": F.expr("CASE WHEN ord%13 <> 7 THEN upper(zh_text) END")})
     terms = view(spark, sf, "glossary").where("locked").select("series_id", "zh", "vi")
-    return cx.locked_term_rejects(lines, terms, ["series_id"], ["episode_id", "batch_no"], source="zh_text", subtitle="zh_text", dub="dub", term="zh", target="vi")
+    return cx.locked_term_rejects(lines, terms, ["series_id"], ["episode_id", "batch_no"], source="zh_text", subtitle="sub", dub="dub", term="zh", target="vi")
 
 
 @query("speaker_characters", """SELECT episode_id, ord, CASE WHEN speaker_id<>'system' AND episode_id%4<>0 THEN 'char_' || speaker_id END AS character_id,
@@ -93,7 +95,8 @@ def rejected_batches_kept(spark, sf):
     return cx.kept_originals(lines, bad, ["episode_id", "batch_no"]).select("episode_id", "ord", "action", "needs_review")
 
 
-@query("context_proposals", """SELECT episode_id, ord, (ord%5<>1 AND speaker_id<>'system' AND ord%7<>3) AS accepted FROM segment""")
+@query("context_proposals", """SELECT episode_id, ord, (ord%5<>1 AND speaker_id<>'system' AND ord%7<>3) AS accepted, true AS known_line FROM segment
+ UNION ALL SELECT episode_id, NULL, false, false FROM segment WHERE ord%4=0 UNION ALL SELECT episode_id, NULL, false, false FROM segment WHERE ord%4=1""")
 def context_proposals(spark, sf):
     lines = batched(spark, sf)
     known = table(spark, sf, "conversations").where("role <> 'system'").selectExpr("conv_id%7 AS series_id", "role AS character_id").distinct()
@@ -101,9 +104,12 @@ def context_proposals(spark, sf):
         "series_id", "episode_id", "batch_no", "alias", "speaker_id AS character_id", "CAST(NULL AS STRING) AS addressee_id",
         "CASE WHEN ord%7=3 THEN map('they', 'x') ELSE map('self', 'toi') END AS addressing",
         "CASE WHEN ord%5=1 THEN '' ELSE substring_index(zh_text, ' ', 2) END AS evidence")
+    # Proposals for a line that the batch does not have, and for a batch that has no lines.
+    first, second = (offers.where(f"alias = '{a}'") for a in ("s1", "s2"))
+    offers = offers.unionByName(first.withColumn("alias", F.lit("s99"))).unionByName(second.withColumn("batch_no", F.lit(-1).cast("long")))
     out = cx.context_proposals(offers, lines.select("episode_id", "batch_no", "alias", "segment_id", "zh_text", "ord"), known, ["episode_id", "batch_no"])
     ids = lines.select("episode_id", "segment_id", "ord")
-    return out.join(ids, ["episode_id", "segment_id"]).select("episode_id", "ord", "accepted")
+    return out.join(ids, ["episode_id", "segment_id"], "left").select("episode_id", "ord", "accepted", "known_line")
 
 
 @query("context_hashes", r"""SELECT episode_id, ord, sha256('{"glossary_version":' || CAST(ord%3 AS VARCHAR) || ',"nearby_context":"' || n || '","series_id":"' || CAST(series_id AS VARCHAR) || '","source":"' || s || '"}') AS hash

@@ -184,7 +184,7 @@ def tempo_chain(spark, sf):
 
 
 @query("clip_coverage", """SELECT s.episode_id, count(*) AS dub_lines, CAST(count_if(c.missing) AS BIGINT) AS missing_clips,
-  string_agg(CASE WHEN c.missing THEN CAST(s.ord AS VARCHAR) END, ',' ORDER BY s.ord) AS missing FROM segment s JOIN clip c USING (episode_id, ord) WHERE action='DUB' GROUP BY s.episode_id""")
+  min(s.ord) FILTER (c.missing) AS first_missing FROM segment s JOIN clip c USING (episode_id, ord) WHERE action='DUB' GROUP BY s.episode_id""")
 def clip_coverage(spark, sf):
     dubs = view(spark, sf, "segment").where("action = 'DUB'")
     clips = view(spark, sf, "clip").where("NOT missing").select("episode_id", "ord", "actual_ms")
@@ -194,7 +194,7 @@ def clip_coverage(spark, sf):
 @query("missing_clips", "SELECT s.episode_id, s.ord, s.segment_id FROM segment s JOIN clip c USING (episode_id, ord) WHERE action='DUB' AND c.missing")
 def missing_clips(spark, sf):
     clips = view(spark, sf, "clip").where("NOT missing").select("episode_id", "ord")
-    return view(spark, sf, "segment").where("action = 'DUB'").join(clips, ["episode_id", "ord"], "left_anti").select("episode_id", "ord", "segment_id")
+    return st.missing_clips(view(spark, sf, "segment").where("action = 'DUB'"), clips, EP, "ord").select("episode_id", "ord", "segment_id")
 
 
 @query("character_error_rate", """
@@ -218,6 +218,20 @@ def joined_transcript(spark, sf):
     return ql.joined_text(view(spark, sf, "segment"), EP, "ord", "zh_text")
 
 
+@query("transcript_error_rate", """SELECT episode_id, length(r) AS ref_chars, levenshtein(r, h) AS edits, CASE WHEN length(r) > 0 THEN levenshtein(r, h)/CAST(length(r) AS DOUBLE) END AS cer FROM (
+ SELECT episode_id, string_agg(p, '' ORDER BY ord) AS r, string_agg(CASE WHEN ord%5=2 THEN reverse(p) WHEN ord%7<>3 THEN p ELSE '' END, '' ORDER BY ord) AS h FROM (
+  SELECT episode_id, ord, translate(regexp_replace(translate(nfc_normalize(zh_text), {P}, {S}), '\\s+', '', 'g'), {A}, {B}) AS p FROM segment) GROUP BY episode_id)"""
+       .replace("{A}", "'ÄñÊÈÑéèÍßÉêçíÇüöÖóÓäÜ'").replace("{B}", "||".join(f"chr({i})" for i in range(1, 22)))
+       .replace("{P}", "'" + tx.COMPARE_PUNCTUATION.replace("'", "''") + "'").replace("{S}", "repeat(' ', 40)"))
+def transcript_error_rate(spark, sf):
+    """Whole transcripts: every fifth line is heard backwards, every seventh not at all."""
+    lines = view(spark, sf, "segment").withColumn("plain", tx.normalize_chinese(F.col("zh_text")))
+    heard = lines.withColumn("plain", F.expr("CASE WHEN ord%5=2 THEN reverse(plain) WHEN ord%7<>3 THEN plain ELSE '' END"))
+    pairs = ql.joined_text(lines, EP, "ord", "plain").withColumnRenamed("text", "reference").join(
+        ql.joined_text(heard, EP, "ord", "plain").withColumnRenamed("text", "hypothesis"), EP)
+    return ql.transcript_error_rates(pairs).select("episode_id", "ref_chars", "edits", "cer")
+
+
 @query("word_boundary_error")
 def word_boundary_error(spark, sf):
     cases = segments_with_words(spark, sf).withColumn(
