@@ -129,3 +129,15 @@ def test_vocabulary_too_large(plain):
 def test_byte_alphabet_is_that_of_the_vocabulary():
     used = {c for t in json.load(open(alignment.BYTE_LEVEL))["model"]["vocab"] for c in t}
     assert used <= set(alignment.byte_level_alphabet()) | set("<|endoftext|>")
+
+
+def test_rank_encoder_gives_the_ids_of_the_vocabulary():
+    """Every 37th code point, between letters, digits, signs and blanks of several kinds (all of them were compared once)."""
+    codec = alignment.Codec(open(alignment.BYTE_LEVEL, "rb").read(), open(alignment.PIECES, "rb").read())
+    assert codec.ranked is not None
+    points = [chr(x) for x in [*range(1, 0x3000), *range(0x3000, 0x110000, 37)] if not 0xD800 <= x < 0xE000]
+    texts = [f"a{c}b 1{c}2{c} {c}{c}!{c}  {c}\n{c}'{c}s" for c in points] + ["  \n\t x  ", "don't WE'LL", "<|endoftext|>", " " * 700, "ab" * 700]
+    assert codec.by_a(texts) == [e.ids for e in codec.a.encode_batch(texts, add_special_tokens=False)]
+    other = json.load(open(alignment.BYTE_LEVEL))
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    assert alignment.ranked_vocabulary(json.dumps(other).encode()) is None
