@@ -59,8 +59,9 @@ def with_roles(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("bigint"), "payload_digest": F.sha1(body.cast("binary"))})
     # A payload is known by its digest; groups are counted before the shuffle, and only those with copies meet the pages again.
     large = held.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
-    # Written first: a join of two plain shuffles can be split where one payload holds many pages.
-    several = staged(large.where("copies > 1 AND kept IS NOT NULL").select("payload_digest", "kept"), "payloads").hint("merge")
+    # Written first, so that its size is known: Spark sends it to the pages while it is below the session's broadcast threshold. Beyond
+    # that both sides are shuffled, and a payload that many pages have is split (adaptive skew join).
+    several = staged(large.where("copies > 1 AND kept IS NOT NULL").select("payload_digest", "kept"), "payloads")
     joined = held.join(several, "payload_digest", "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to"))
@@ -205,7 +206,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                     out.move(attempt + end, base + end)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["source", "records"])
 
-    return staged(found.select("path").repartition("path").mapInArrow(work, "source string, records bigint"), "normalised")
+    # A file a task: paths are few bytes, so a plain shuffle of them would be put into one task.
+    dealt = found.select("path").repartitionByRange(max(1, found.count()), "path")
+    return staged(dealt.mapInArrow(work, "source string, records bigint"), "normalised")
 
 
 def index_of(spark: SparkSession, target: str) -> DataFrame:
@@ -218,7 +221,9 @@ def read_back(index: DataFrame, stretch: int = 1 << 26) -> DataFrame:
 
     A record that is not the one its index names, or a response whose payload is not that of its digest, is an error.
     """
-    dealt = index.withColumn("__stretch", F.floor(F.col("offset") / stretch)).repartition("archive", "__stretch").sortWithinPartitions("archive", "offset").drop("__stretch")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, 2 * size // stretch)
+    dealt = index.withColumn("__stretch", F.floor(F.col("offset") / stretch)).repartition(tasks, "archive", "__stretch").sortWithinPartitions("archive", "offset").drop("__stretch")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, name = None, None
