@@ -1,11 +1,13 @@
 """Sample-exact mixes and streams against their batch twins."""
 
 import numpy as np
+import pytest
 from listing import listed
 
 from voxtable.operators import catalog as ct
 from voxtable.operators import pcm, scan
 from voxtable.streaming import jobs as sj
+from voxtable.streaming import ordered as so
 
 RATE = 200
 
@@ -73,38 +75,95 @@ def test_passthrough(rows):
     assert listed(mix, "episode_id") == [(1,)] and listed(copy, "episode_id") == [(2,), (3,)]
 
 
-def test_monitor_over_several_triggers_equals_batch(spark, rows, tmp_path):
+MOVES = "episode_id bigint, event_id bigint, ts_ms bigint, state string"
+CHUNKS = "upload_id bigint, seq bigint, offset bigint, length bigint, total_bytes bigint"
+DAY = 86_400_000
+
+
+def fed(spark, rows, folder, schema, batches, job, key, time):
+    """One call for each batch of rows, the end marker last; what came out of each call."""
+    out = []
+    for data in [*batches, None]:
+        piece = sj.end_marker(spark, schema, key, time) if data is None else rows(schema, data)
+        piece.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        got = sj.resume(job(sj.file_stream(spark, f"{folder}/in", schema, "*.parquet")), f"{folder}/out", stateful=True)
+        out.append(got.collect())
+    return out
+
+
+def test_monitor_takes_files_in_the_wrong_order(spark, rows, tmp_path):
     states = ["QUEUED", "PREPARING", "SEPARATING", "ASR", "FAILED", "QUEUED", "RETRYING"]
-    schema = "episode_id bigint, event_id bigint, ts_ms bigint, state string"
-    for part in range(3):
-        data = [(e, part * 10 + i, part * 1000 + i * 7, states[(part * 3 + i * (e + 1)) % 7]) for e in range(4) for i in range(5)]
-        rows(schema, data[::-1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    stream = sj.file_stream(spark, str(tmp_path / "log"), schema, "*.parquet", files_per_trigger=1)
-    got = sj.run_once(sj.monitored_moves(stream), "test-moves", stateful=True)
-    batch = ct.judged_moves(spark.read.parquet(str(tmp_path / "log")), ["episode_id"], ["ts_ms", "event_id"])
-    want = batch.where("from_state IS NOT NULL")
+    parts = [[(e, part * 10 + i, DAY + part * 1000 + i // 2 * 7, states[(part * 3 + i * (e + 1)) % 7]) for e in range(4) for i in range(6)] for part in range(3)]
+    out = fed(spark, rows, tmp_path, MOVES, [parts[2], parts[0], parts[1]], lambda s: so.monitored_moves(s, reorder_ms=DAY // 2), "episode_id", "ts_ms")
+    got = [r for call in out for r in call]
+    assert not any(out[:3])  # nothing is settled before the end
+    batch = ct.judged_moves(rows(MOVES, sum(parts, [])), ["episode_id"], ["ts_ms", "event_id"]).where("from_state IS NOT NULL")
     cols = ("episode_id", "event_id", "from_state", "state", "legal")
-    assert listed(got, *cols) == listed(want, *cols)
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=repr) == listed(batch, *cols) and not any(r["late"] for r in got)
+
+
+def test_rows_come_out_at_the_watermark_and_late_ones_as_rejects(spark, rows, tmp_path):
+    hour = DAY // 24
+    batches = [
+        [(1, 1, DAY, "QUEUED"), (1, 2, DAY + 1, "PREPARING"), (2, 3, DAY + 10 * hour, "QUEUED")],
+        [(1, 4, DAY + 9 * hour, "FAILED"), (1, 5, DAY + 7 * hour + 1, "PREPARING"), (1, 6, DAY + 8 * hour + 5, "SEPARATING")],
+        [(2, 8, DAY + 30 * hour, "FAILED")],
+    ]
+    out = fed(spark, rows, tmp_path, MOVES, batches, lambda s: so.monitored_moves(s, reorder_ms=2 * hour, grace_ms=hour), "episode_id", "ts_ms")
+    seen = [[(r["event_id"], r["from_state"], r["late"]) for r in sorted(call, key=lambda r: r["event_id"])] for call in out]
+    assert seen[0] == [(2, "QUEUED", False)]  # two hours behind the latest row all is settled
+    assert (5, None, True) in seen[1]  # later than that, but within the grace
+    assert seen[2] == [(4, "SEPARATING", False), (6, "PREPARING", False)]  # by time, not by arrival
+    assert seen[3] == [(8, "QUEUED", False)]
 
 
 def test_upload_resumes_at_the_committed_length(spark, rows, tmp_path):
-    schema = "upload_id bigint, seq bigint, offset bigint, length bigint, total_bytes bigint"
-    rows(schema, [(1, 1, 0, 4, 10), (1, 2, 5, 2, 10), (1, 3, 4, 7, 10), (1, 4, 4, 6, 10), (1, 5, 10, 1, 10)]).coalesce(1).write.parquet(str(tmp_path / "up"))
-    out = sj.run_once(sj.assembled_uploads(sj.file_stream(spark, str(tmp_path / "up"), schema, "*.parquet")), "test-up", stateful=True)
-    assert listed(out, "seq", "reject", "committed_bytes", "complete") == [
+    data = [(1, 1, 0, 4, 10), (1, 2, 5, 2, 10), (1, 3, 4, 7, 10), (1, 4, 4, 6, 10), (1, 5, 10, 1, 10)]
+    out = fed(spark, rows, tmp_path, CHUNKS, [data[::-1]], lambda s: so.assembled_uploads(s, reorder_ms=DAY), "upload_id", "seq")
+    assert sorted((r["seq"], r["reject"], r["committed_bytes"], r["complete"]) for r in out[1] if r["upload_id"] == 1) == [
         (1, None, 4, False), (2, "OFFSET_MISMATCH", 4, False), (3, "EXCEEDS_TOTAL", 4, False), (4, None, 10, True), (5, "ALREADY_COMPLETE", 10, True)]
 
 
-def test_uploads_over_several_triggers(spark, rows, tmp_path):
-    """A key's chunks come in the order of the triggers; inside one trigger any order does."""
-    schema = "upload_id bigint, seq bigint, offset bigint, length bigint, total_bytes bigint"
-    for part in range(4):
-        data = [(u, part * 3 + i, (part * 3 + i) * 5 + (u == 2 and part == 2), 5, 60) for u in (1, 2, 3) for i in range(3)]
-        rows(schema, data[::-1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
-    stream = sj.file_stream(spark, str(tmp_path / "many"), schema, "*.parquet", files_per_trigger=1)
-    out = sj.run_once(sj.assembled_uploads(stream), "test-many", stateful=True)
-    assert out.count() == 36 and listed(out.where("complete"), "upload_id") == [(1,), (3,)]
-    assert listed(out.where("upload_id = 2 AND seq >= 6").select("reject").distinct(), "reject") == [("OFFSET_MISMATCH",)]
+def test_chunks_of_an_upload_over_triggers_in_the_wrong_order(spark, rows, tmp_path):
+    parts = [[(u, part * 3 + i, (part * 3 + i) * 5 + (u == 2 and part == 2), 5, 60) for u in (1, 2, 3) for i in range(3)] for part in range(4)]
+    out = fed(spark, rows, tmp_path, CHUNKS, [parts[3], parts[1], parts[0] + parts[2]], lambda s: so.assembled_uploads(s, reorder_ms=DAY), "upload_id", "seq")
+    got = [r for call in out for r in call]
+    assert len(got) == 36 and sorted(r["upload_id"] for r in got if r["complete"]) == [1, 3]
+    assert {r["reject"] for r in got if r["upload_id"] == 2 and r["seq"] >= 6} == {"OFFSET_MISMATCH"}
+
+
+def test_keyed_sessions_close_at_the_gap_and_at_the_end(spark, rows, tmp_path):
+    schema = "episode_id bigint, at_ms bigint, pos bigint, length_ms bigint"
+    words = [(1, DAY, 0, 100), (1, DAY + 499, 1, 101), (1, DAY + 1000, 2, 50), (2, DAY + 5, 3, 1), (1, DAY + 120, 4, 700)]
+    out = fed(spark, rows, tmp_path, schema, [words[:4:3], words[1:3] + words[4:]], lambda s: so.word_sessions(s, gap_ms=400, reorder_ms=DAY // 2), "episode_id", "at_ms")
+    assert not any(out[:2])
+    assert sorted((r["episode_id"], r["first_ms"] - DAY, r["n_words"], r["late_ms"]) for r in out[2]) == [(1, 0, 4, None), (2, 5, 1, None)]
+
+
+def test_a_tail_goes_on_where_it_stopped(spark, rows, tmp_path):
+    """New files come once; a batch that was written but not committed comes again with the same number and replaces itself."""
+    folder, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    stream = lambda: sj.file_stream(spark, folder, "id bigint", "*.parquet", files_per_trigger=1)
+    calls = []
+    for ids in ([1, 2], [3], []):
+        if ids:
+            rows("id bigint", [(i,) for i in ids]).coalesce(1).write.mode("append").parquet(folder)
+        calls.append(listed(sj.resume(stream(), target), "id"))
+    assert calls == [[(1,), (2,)], [(3,)], []]
+    for i in (4, 5, 6):
+        rows("id bigint", [(i,)]).coalesce(1).write.mode("append").parquet(folder)
+
+    def breaks(batch, number):
+        batch.write.mode("overwrite").parquet(sj._version(target, number))
+        if number == 3:
+            raise RuntimeError("stopped behind the write")
+
+    with pytest.raises(Exception, match="stopped behind the write"):
+        stream().writeStream.option("checkpointLocation", f"{target}/log").trigger(availableNow=True).foreachBatch(breaks).start().awaitTermination()
+    assert sj.versions(spark, target) == [0, 1, 2]
+    assert listed(sj.read_versions(spark, target, stream().schema), "id") == [(i,) for i in (1, 2, 3, 4)]  # what is not committed is not seen
+    assert listed(sj.resume(stream(), target), "id") == [(5,), (6,)]
+    assert listed(sj.read_versions(spark, target, stream().schema), "id") == [(i,) for i in range(1, 7)]
 
 
 def test_sessions_close_at_exactly_the_gap(spark, rows, tmp_path):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from voxtable.functions.states import moves_sql
 from voxtable.plans.catalog import PREV
 from voxtable.plans.registry import query
-from voxtable.plans.views import view_of
+from voxtable.plans.views import view, view_of
 from voxtable.schemas import TABLES
+from voxtable.session import fresh_path
 from voxtable.streaming import jobs as sj
+from voxtable.streaming import ordered as so
 
 
 def stream_of(spark, sf, name):
@@ -22,13 +24,38 @@ def event_tail_stream(spark, sf):
     return sj.run_once(tail, "event-tail").select("event_id", "episode_id", "ts_ms", "state", "message")
 
 
+def fed(spark, name, df, key, time, job, parts=(2, 0, 1)):
+    """Write ``df`` in parts, in the given order, and run the job after each; the end marker comes last. All rows that came out."""
+    folder, target = fresh_path(spark, name), fresh_path(spark, f"{name}-out")
+    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    numbered = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(len(parts))))
+    pieces = [numbered.where(F.col("__part") == p).drop("__part") for p in parts]
+    pieces += [sj.end_marker(spark, schema, key, time)] if time else []
+    out = None
+    for piece in pieces:
+        piece.write.mode("append").parquet(folder)
+        fresh = sj.resume(job(sj.file_stream(spark, folder, schema, "*.parquet")), target, stateful=time is not None)
+        out = fresh if out is None else out.unionByName(fresh)
+    return out
+
+
+@query("event_tail_resumed", "SELECT event_id, episode_id, ts_ms, state, message FROM job_event WHERE event_id > 250")
+def event_tail_resumed(spark, sf):
+    """Three calls, each behind new files: every row comes out of one of them."""
+    events = view(spark, sf, "job_event").select("event_id", "episode_id", "ts_ms", "state", "message")
+    return fed(spark, "tail", events, "episode_id", None, lambda stream: stream.where("event_id > 250"))
+
+
+YEAR_MS = 366 * 86_400_000
+
+
 @query("transition_monitor_stream", "WITH " + PREV.replace("lead(ts_ms) OVER (PARTITION BY episode_id ORDER BY ts_ms, event_id) AS nx", "lag(ts_ms) OVER (PARTITION BY episode_id ORDER BY ts_ms, event_id) AS pt")
        + f" SELECT episode_id, event_id, from_state, state, (from_state, state) IN (SELECT (old, new) FROM {moves_sql()}) AS legal, ts_ms - pt AS previous_ms FROM p WHERE from_state IS NOT NULL")
 def transition_monitor_stream(spark, sf):
-    events = view_of(stream_of(spark, sf, "events"), "job_event")
-    return sj.run_once(sj.monitored_moves(events), "moves", stateful=True)
-
-
+    """The files hold each episode's events in no order; what comes out is in order."""
+    events = view(spark, sf, "job_event").select("episode_id", "event_id", "ts_ms", "state")
+    out = fed(spark, "moves", events, "episode_id", "ts_ms", lambda stream: so.monitored_moves(stream, reorder_ms=YEAR_MS))
+    return out.where("NOT late").drop("late")
 
 
 @query("upload_assembly_stream", "WITH RECURSIVE " + """ch AS (SELECT upload_id, seq, length, CAST(90 AS BIGINT) AS total, row_number() OVER (PARTITION BY upload_id ORDER BY seq) AS n, skewed + (seq//1000000000-1)*20 AS "offset" FROM upload_chunk),
@@ -37,15 +64,27 @@ def transition_monitor_stream(spark, sf):
    CASE WHEN done<>total AND "offset"=done AND "offset"+length <= total THEN done+length ELSE done END FROM st JOIN ch c ON c.upload_id=st.upload_id AND c.n=st.n+1)
 SELECT upload_id, seq, reject, done AS committed_bytes, done=90 AS complete FROM st WHERE n > 0""")
 def upload_assembly_stream(spark, sf):
-    chunks = view_of(stream_of(spark, sf, "lineitem"), "upload_chunk").selectExpr(
+    """The chunks of an upload come in the wrong order over several triggers."""
+    chunks = view(spark, sf, "upload_chunk").selectExpr(
         "upload_id", "seq", "skewed + (seq DIV 1000000000 - 1)*20 AS offset", "length", "90L AS total_bytes")
-    return sj.run_once(sj.assembled_uploads(chunks), "uploads", stateful=True)
+    return fed(spark, "uploads", chunks, "upload_id", "seq", lambda stream: so.assembled_uploads(stream, reorder_ms=YEAR_MS))
 
 
-@query("live_word_sessions_stream", """WITH w AS (SELECT *, sum(opens) OVER (PARTITION BY episode_id ORDER BY s, pos) AS g FROM (
+SESSIONS = """WITH w AS (SELECT *, sum(opens) OVER (PARTITION BY episode_id ORDER BY s, pos) AS g FROM (
    SELECT *, CASE WHEN pe IS NULL OR s - pe >= 3600000 THEN 1 ELSE 0 END AS opens FROM (
      SELECT *, max(e) OVER (PARTITION BY episode_id ORDER BY s, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM live_word)))
-SELECT episode_id, min(s) AS first_ms, count(*) AS n_words FROM w GROUP BY episode_id, g
+SELECT episode_id, min(s) AS first_ms, count(*) AS n_words FROM w GROUP BY episode_id, g"""
+
+
+@query("ordered_word_sessions_stream", SESSIONS)
+def ordered_word_sessions_stream(spark, sf):
+    """Sessions of a keyed processor: the end of the input closes those that are open."""
+    words = view(spark, sf, "live_word").selectExpr("episode_id", "s AS at_ms", "pos", "e - s AS length_ms")
+    out = fed(spark, "sessions", words, "episode_id", "at_ms", lambda stream: so.word_sessions(stream, gap_ms=3_600_000, reorder_ms=YEAR_MS))
+    return out.where("late_ms IS NULL").drop("late_ms")
+
+
+@query("live_word_sessions_stream", SESSIONS + """
  HAVING max(e) + 3600000 - 1 <= (SELECT max(s) FROM live_word) - 3600000""")
 def live_word_sessions_stream(spark, sf):
     words = stream_of(spark, sf, "events").selectExpr(

@@ -1,15 +1,14 @@
-"""Structured Streaming jobs over the event log, upload chunks and live words."""
+"""Structured Streaming jobs over the event log and live words: sources, resumable sinks, native sessions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
 
-from voxtable.functions.states import legal_moves
 from voxtable.session import fresh_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,8 +17,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def file_stream(spark: SparkSession, folder: str, schema: str, glob: str, *, files_per_trigger: int = 64) -> DataFrame:
     """Parquet files of a folder as a stream; the checkpointed file log replaces an integer cursor.
 
-    Keyed jobs behind it take a key's rows in the order of the triggers and sort them inside one. Files must so arrive in
-    the order of a key's rows; ``files_per_trigger`` bounds what one trigger, and so one key in one task, holds.
+    ``files_per_trigger`` bounds what one trigger holds. Keyed jobs in event-time order are in ``streaming.ordered``.
     """
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -35,11 +33,7 @@ def run_once(stream: DataFrame, name: str, *, mode: str = "append", stateful: bo
     """
     spark = stream.sparkSession
     root = fresh_path(spark, name)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    if stateful:
-        spark.conf.set(key, ROCKSDB)
-    try:
+    with _state_store(spark, stateful):
         writer = stream.writeStream.option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
         if mode == "append":
             writer.outputMode("append").format("parquet").option("path", f"{root}/data").start().awaitTermination()
@@ -52,80 +46,68 @@ def run_once(stream: DataFrame, name: str, *, mode: str = "append", stateful: bo
 
         writer.outputMode(mode).foreachBatch(replace).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{root}/data-{last[-1]}")
-    finally:
-        if stateful:
-            if before is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, before)
-
 
-class StateMonitor(StatefulProcessor):
-    """Keeps the last state of an episode; reports each move, whether it is legal, and how long it took."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string, ts_ms bigint")
-        self.moves = set(legal_moves())
+@contextmanager
+def _state_store(spark: SparkSession, needed: bool) -> Iterator[None]:
+    """Keyed processors need the RocksDB state store; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if needed:
+        spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if needed and before is None:
+            spark.conf.unset(key)
+        elif needed:
+            spark.conf.set(key, before)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Rows of one trigger come unordered.
-        pdf = pd.concat(rows).sort_values(["ts_ms", "event_id"])
-        state, since = self.last.get() or (None, None)
-        out = []
-        for event, ts, new in zip(pdf["event_id"], pdf["ts_ms"], pdf["state"]):
-            if state is not None:
-                out.append((key[0], int(event), state, new, (state, new) in self.moves, int(ts - since)))
-            state, since = new, int(ts)
-        self.last.update((state, since))
-        yield pd.DataFrame(out, columns=["episode_id", "event_id", "from_state", "state", "legal", "previous_ms"])
 
-    def close(self) -> None:
-        pass
+def resume(stream: DataFrame, target: str, *, stateful: bool = False) -> DataFrame:
+    """Process what came in since the last call with this ``target``; returns the rows of this call.
 
+    The checkpoint below ``target`` is the cursor. Each batch is a version in a folder of its own, overwritten if the batch has to run again,
+    and counts once its number is in the checkpoint's commits. So a run that is stopped anywhere loses and repeats nothing.
+    """
+    spark = stream.sparkSession
+    before = versions(spark, target)
 
-MONITOR = "episode_id bigint, event_id bigint, from_state string, state string, legal boolean, previous_ms bigint"
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(_version(target, number))
 
+    with _state_store(spark, stateful):
+        stream.writeStream.option("checkpointLocation", f"{target}/log").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return read_versions(spark, target, stream.schema, after=before[-1] if before else -1)
 
-def monitored_moves(events: DataFrame) -> DataFrame:
-    """``events``: ``episode_id, event_id, ts_ms, state`` as a stream."""
-    return events.groupBy("episode_id").transformWithStateInPandas(
-        statefulProcessor=StateMonitor(), outputStructType=MONITOR, outputMode="Append", timeMode="None")
 
+def _version(target: str, number: int) -> str:
+    return f"{target}/versions/{number:09d}"
 
-class UploadAssembler(StatefulProcessor):
-    """Accepts a chunk only at the committed length and within the total; others learn where to resume."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.committed = handle.getValueState("committed", "bytes bigint")
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the committed batches of ``target``, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/log/commits")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n) for n in found if n.isdigit())
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values("seq")
-        done = int((self.committed.get() or (0,))[0])
-        out = []
-        for seq, offset, length, total in zip(pdf["seq"], pdf["offset"], pdf["length"], pdf["total_bytes"]):
-            if done == total:
-                verdict = "ALREADY_COMPLETE"
-            elif offset != done:
-                verdict = "OFFSET_MISMATCH"
-            elif offset + length > total:
-                verdict = "EXCEEDS_TOTAL"
-            else:
-                verdict, done = None, done + int(length)
-            out.append((key[0], int(seq), verdict, done, done == total))
-        self.committed.update((done,))
-        yield pd.DataFrame(out, columns=["upload_id", "seq", "reject", "committed_bytes", "complete"])
 
-    def close(self) -> None:
-        pass
+def read_versions(spark: SparkSession, target: str, schema: T.StructType, *, after: int = -1) -> DataFrame:
+    """The rows of the committed batches behind ``after``."""
+    paths = [_version(target, n) for n in versions(spark, target) if n > after]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-ASSEMBLY = "upload_id bigint, seq bigint, reject string, committed_bytes bigint, complete boolean"
+#: The first millisecond of the year 2200; nanoseconds, which pandas counts in, end in 2262.
+END_MS = 7_258_118_400_000
 
 
-def assembled_uploads(chunks: DataFrame) -> DataFrame:
-    """``chunks``: ``upload_id, seq, offset, length, total_bytes`` as a stream."""
-    return chunks.groupBy("upload_id").transformWithStateInPandas(
-        statefulProcessor=UploadAssembler(), outputStructType=ASSEMBLY, outputMode="Append", timeMode="None")
+def end_marker(spark: SparkSession, schema: str, key: str, time: str) -> DataFrame:
+    """One row far ahead in time, on a key of its own (-1): behind it the watermark has passed all other rows."""
+    fields = T._parse_datatype_string(schema).fields
+    held = {key: -1, time: END_MS}
+    return spark.range(1).select(*[F.lit(held.get(f.name)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def silence_sessions(words: DataFrame, *, gap_ms: int, lateness: str = "1 hour") -> DataFrame:
