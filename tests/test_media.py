@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from listing import listed
+from pyspark.sql import functions as F
 
 from voxtable.operators import catalog as ct
 from voxtable.operators import pcm, scan
+from voxtable.sources import audio as au
 from voxtable.streaming import jobs as sj
 from voxtable.streaming import ordered as so
 
@@ -171,3 +173,36 @@ def test_sessions_close_at_exactly_the_gap(spark, rows, tmp_path):
         "episode_id", "timestamp_millis(ms) AS at", "length_ms").coalesce(1).write.parquet(str(tmp_path / "w"))
     stream = sj.file_stream(spark, str(tmp_path / "w"), "episode_id bigint, at timestamp, length_ms bigint", "*.parquet")
     assert listed(sj.run_once(sj.silence_sessions(stream, gap_ms=400), "test-sessions", mode="complete"), "n_words") == [(1,), (2,)]
+
+
+def test_ranges_give_the_blocks_of_whole_files(spark, tmp_path):
+    rnd = np.random.default_rng(1)
+    made = {"mono": au.wav_bytes(rnd.integers(-9, 9, 1003), 100, 1), "stereo": au.wav_bytes(rnd.integers(-9, 9, 2 * 777), 50, 2), "short": au.wav_bytes(rnd.integers(-9, 9, 7), 100, 1), "none": au.wav_bytes(np.zeros(0), 100, 1)}
+    made |= {"cut": made["mono"][:700], "head": made["mono"][:30], "empty": b"", "text": b"no sound at all", "bytes": made["mono"][:34] + b"\x08\0" + made["mono"][36:], "odd": made["stereo"][:-1]}
+    long_chunk = b"LIST" + (5000).to_bytes(4, "little") + b"x" * 5000
+    made["overrun"] = made["mono"][:36] + long_chunk + made["mono"][36:]
+    made["chunks"] = made["mono"][:4] + (len(made["overrun"]) - 8).to_bytes(4, "little") + made["overrun"][8:]
+    files = spark.createDataFrame([(n, bytearray(b)) for n, b in made.items()], "name string, content binary")
+    folder = f"file:{tmp_path}/wavs"
+    assert au.write_wavs(files, folder) == len(made)
+    plain = lambda df, key: sorted((r[key].rsplit("/", 1)[-1].removesuffix(".wav"), r["block_no"], r["rate"], r["channels"], r["frames"], r["samples"], r["error"]) for r in df.collect())
+    want = plain(au.wav_blocks(files, "name"), "name")
+    assert {e for *_, e in want} >= {None, "NO_SAMPLES", "UNREADABLE", "NOT_PCM16_MONO_OR_STEREO"}
+    for range_bytes in (1, 64, 201, 1 << 20):
+        empty = spark.createDataFrame([(f"{folder}/empty.wav", 0)], "path string, length bigint")  # Spark's listing passes over it
+        few = au.wav_files(spark, folder).where("length > 0").unionByName(empty).where("length < 800" if range_bytes == 1 else "true")
+        got = plain(au.wav_ranges(few, range_bytes=range_bytes), "path")
+        assert got == (want if range_bytes > 1 else [w for w in want if len(made[w[0]]) < 800])
+
+
+def test_a_file_of_three_gigabytes_is_read_by_many_tasks(spark, tmp_path):
+    """A sparse file: nothing of it is ever in one cell."""
+    head = au.wav_bytes(np.zeros(0), 48_000, 2)
+    size = 3 << 30
+    with open(tmp_path / "long.wav", "wb") as out:
+        out.write(head[:4] + (size + 36).to_bytes(4, "little") + head[8:40] + size.to_bytes(4, "little"))
+        out.truncate(44 + size)
+    blocks = au.wav_ranges(au.wav_files(spark, str(tmp_path)), range_bytes=1 << 27).select("block_no", "frames", F.spark_partition_id().alias("task"))
+    got = blocks.groupBy("task").agg(F.count("*").alias("n"), F.sum("frames").alias("frames"), F.max("block_no").alias("last")).collect()
+    assert len(got) > 8 and sum(r["frames"] for r in got) == size // 4
+    assert sum(r["n"] for r in got) == max(r["last"] for r in got) + 1 == -(-(size // 4) // 48_000)

@@ -157,8 +157,11 @@ def _as_wav(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: au.wav_bytes(np.floor(np.asarray(v, dtype="float64") * 30_000), 8, 2))
 
 
-@query("wav_blocks", """SELECT vec_id, b AS block_no, 8 AS rate, list_sum(list_transform(embedding[b*16+1:b*16+16], lambda v: CAST(floor(CAST(v AS DOUBLE)*30000) AS BIGINT)))::BIGINT AS total, 8 AS frames
- FROM (SELECT *, unnest(range(0, 4)) AS b FROM embeddings)""".replace("8 AS rate", "CAST(8 AS BIGINT) AS rate").replace("8 AS frames", "CAST(8 AS BIGINT) AS frames"))
+WAV_SQL = """SELECT vec_id, b AS block_no, 8 AS rate, list_sum(list_transform(embedding[b*16+1:b*16+16], lambda v: CAST(floor(CAST(v AS DOUBLE)*30000) AS BIGINT)))::BIGINT AS total, 8 AS frames
+ FROM (SELECT *, unnest(range(0, 4)) AS b FROM embeddings)""".replace("8 AS rate", "CAST(8 AS BIGINT) AS rate").replace("8 AS frames", "CAST(8 AS BIGINT) AS frames")
+
+
+@query("wav_blocks", WAV_SQL)
 def wav_blocks(spark, sf):
     files = table(spark, sf, "embeddings").select("vec_id", _as_wav("embedding").alias("content"))
     out = au.wav_blocks(files, "vec_id")
@@ -166,6 +169,17 @@ def wav_blocks(spark, sf):
     return out.select("vec_id", "block_no", "rate", total.alias("total"), "frames")
 
 
+@query("wav_range_blocks", WAV_SQL)
+def wav_range_blocks(spark, sf):
+    """The same sounds as files in the shared folder, each read in several ranges of bytes."""
+    folder = fresh_path(spark, "wavs")
+    au.write_wavs(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), _as_wav("embedding").alias("content")), folder)
+    out = au.wav_ranges(au.wav_files(spark, folder), range_bytes=50)
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    ident = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long")
+    return out.select(ident.alias("vec_id"), "block_no", "rate", total.alias("total"), "frames")
+
+
 @query("adapter_stage_run", "SELECT run_id, stage, attempt, CASE WHEN stage NOT IN ('stage1', 'stage2', 'stage3', 'stage5') THEN 'UNSUPPORTED_STAGE' END AS problem FROM stage_run")
 def adapter_stage_run(spark, sf):
     """Recorded runs of stages that no adapter serves."""

@@ -1,4 +1,8 @@
-"""PCM16 WAV files to one-second sample blocks, and back."""
+"""PCM16 WAV files to one-second sample blocks, and back.
+
+``wav_blocks`` takes files that are already in a cell. ``wav_ranges`` takes paths: a file of any length is read by many tasks, each of
+which opens it, reads its header and then only the blocks that begin in its own range of bytes.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxtable.sources.files import located, put
 
 BLOCK = "block_no bigint, rate bigint, channels bigint, frames bigint, samples array<smallint>, error string"
 
@@ -30,7 +38,7 @@ def _blocks(content: bytes) -> Iterator[tuple]:
                 number += 1
             if not number:
                 yield 0, rate, channels, 0, None, "NO_SAMPLES"
-    except (wave.Error, EOFError):
+    except (wave.Error, EOFError, RuntimeError):  # a chunk beyond the end of its file is a RuntimeError
         yield 0, None, None, 0, None, "UNREADABLE"
 
 
@@ -54,6 +62,80 @@ def wav_blocks(files: DataFrame, key: str = "path", content: str = "content") ->
     return files.select(key, content).mapInPandas(run, f"{key} {kind}, {BLOCK}")
 
 
+def _range_blocks(path: str, start: int, stop: int) -> Iterator[tuple]:
+    """The blocks that begin in bytes ``start`` to ``stop`` of the file; what concerns the whole file comes from its first range."""
+    files, place = located(path)
+    with files.open_input_file(place) as source:
+        try:
+            wav = wave.open(source, "rb")
+            rate, channels, width, frames = wav.getframerate(), wav.getnchannels(), wav.getsampwidth(), wav.getnframes()
+            if width != 2 or channels not in (1, 2) or rate < 1:
+                if start == 0:
+                    yield 0, rate, channels, 0, None, "NOT_PCM16_MONO_OR_STEREO"
+                return
+            data, size = source.tell(), 2 * channels * rate
+            number = max(0, -(-(start - data) // size))
+            while data + number * size < stop and number * rate < frames:
+                wav.setpos(number * rate)
+                raw = wav.readframes(rate)
+                samples = np.frombuffer(raw[:len(raw) - len(raw) % (2 * channels)], dtype="<i2")
+                if not len(samples):
+                    break
+                yield number, rate, channels, len(samples) // channels, samples, None
+                number += 1
+            if start == 0 and (not frames or source.size() - data < 2 * channels):
+                yield 0, rate, channels, 0, None, "NO_SAMPLES"
+        except (wave.Error, EOFError, RuntimeError):  # a chunk beyond the end of its file is a RuntimeError
+            if start == 0:
+                yield 0, None, None, 0, None, "UNREADABLE"
+
+
+def wav_files(spark: SparkSession, folder: str, glob: str = "*.wav") -> DataFrame:
+    """``path`` and ``length`` of the files below a folder; contents are not read. Spark passes over empty files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
+def wav_ranges(files: DataFrame, *, range_bytes: int = 1 << 25) -> DataFrame:
+    """``path`` and the columns of ``wav_blocks`` for files given by ``path`` and ``length``, read by ranges of bytes.
+
+    Ranges are rows and are dealt evenly, so a recording of days is spread like many short ones; a task holds 64 seconds. An empty
+    file is ``UNREADABLE``.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long"))
+    ranges = files.select("path", "length", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + range_bytes)
+    number = int(ranges.groupBy().count().first()[0])
+    names = ["path", "block_no", "rate", "channels", "frames", "samples", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, start, stop in zip(pdf["path"], pdf["start"], pdf["stop"]):
+                rows = []
+                for block in _range_blocks(path, int(start), int(stop)):
+                    rows.append((path, *block))
+                    if len(rows) == 64:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    # A few ranges a task; a plain shuffle of so few bytes would be put into one task.
+    tasks = min(number, max(files.sparkSession.sparkContext.defaultParallelism * 4, number // 8)) or 1
+    return ranges.repartition(tasks, "path", "start").mapInPandas(run, f"path string, {BLOCK}")
+
+
+def write_wavs(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Write each row's bytes as ``folder/name.wav``; the number of files. Runs at once; a task that is run again replaces its files."""
+    located(folder)[0].create_dir(located(folder)[1], recursive=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ident, data in zip(pdf[name], pdf[content]):
+                put(f"{folder.rstrip('/')}/{ident}.wav", bytes(data), TaskContext.get().taskAttemptId())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select(name, content).mapInPandas(run, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
 def wav_bytes(samples: np.ndarray, rate: int, channels: int) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as wav:
