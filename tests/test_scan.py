@@ -230,5 +230,5 @@ def test_keyed_fold_carries_over_batches(spark):
 
 def test_reachable_overlap_joins_have_no_cross_product(skewed):
     turns = skewed.selectExpr("key AS episode_id", "id AS turn_id", "start_ms", "end_ms", "CAST(id % 3 AS STRING) AS speaker_id")
-    plan = iv.speaker_overlaps(turns, ["episode_id"], bin_ms=64)._jdf.queryExecution().executedPlan().toString()
+    plan = iv.speaker_overlaps(turns, ["episode_id"], leaf_ms=64)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.binding import let
-from voxtable.operators.scan import BLOCK_ROWS, islands, neighbours, prefix, previous
+from voxtable.operators.scan import BLOCK_ROWS, islands, neighbours, null_safe_join, prefix, previous
 from voxtable.session import spread, staged
 
 
@@ -194,31 +194,86 @@ def history_chunks(df: DataFrame, frames: str = "frame_count", *, size: int = 40
     )
 
 
-def range_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ms: int, condition: Column | None = None
-) -> DataFrame:
-    """Overlap join as an equi-join on (keys, time bin).
+TOP = 16
+NODE = ("level", "number")
+
+
+def tree_nodes(df: DataFrame, start: str, end: str, leaf_ms: int) -> DataFrame:
+    """Each range once for each node of a binary tree over time that it is made of, ``level`` and ``number``: at most two a level, of any length.
 
-    ``left`` has ``l_start, l_end`` and ``right`` has ``r_start, r_end`` besides the keys. A pair is
-    kept only in the bin that holds the start of its intersection, so no ``distinct`` is needed. A
-    hot (key, bin) is left to the adaptive skew join, which splits it across tasks.
+    Level 0 has leaves of ``leaf_ms``. Above level ``TOP`` the tree is cut, so a very long range has one node for
+    each ``2 ** TOP`` leaves besides. Levels are exploded first, which keeps the arithmetic in generated code.
     """
+    leaves = df.withColumns({"__lo": _leaf(F.col(start), leaf_ms), "__hi": _leaf(F.col(end) - 1, leaf_ms) + 1})
+    placed = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), _deepest(F.col(start), F.col(end), leaf_ms))))
+    # Leaves that no node below took begin at the next multiple and end at the last one.
+    placed = placed.withColumns({"__lo": -F.expr("shiftright(-__lo, level)"), "__hi": F.expr("shiftright(__hi, level)")}).where("__lo < __hi")
+    ends = F.array(F.when(F.pmod("__lo", F.lit(2)) == 1, F.col("__lo")), F.when(F.pmod("__hi", F.lit(2)) == 1, F.col("__hi") - 1))
+    top = F.sequence(F.col("__lo"), F.col("__hi") - 1)
+    return placed.withColumn("number", F.explode(F.when(F.col("level") == TOP, top).otherwise(ends))).where("number IS NOT NULL").drop("__lo", "__hi")
 
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        lo, hi = F.floor(F.col(s) / bin_ms), F.floor((F.col(e) - 1) / bin_ms)
-        return df.where(F.col(s) < F.col(e)).withColumn("__bin", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
 
-    pairs = binned(left, "l_start", "l_end").join(binned(right, "r_start", "r_end"), [*keys, "__bin"])
-    pairs = pairs.where("l_start < r_end AND r_start < l_end").where(
-        F.floor(F.greatest("l_start", "r_start") / bin_ms) == F.col("__bin")
-    )
-    if condition is not None:
-        pairs = pairs.where(condition)
-    return pairs.drop("__bin")
+def _leaf(at: Column, leaf_ms: int) -> Column:
+    return F.floor(at / leaf_ms).cast("long")
+
+
+def _deepest(start: Column, end: Column, leaf_ms: int) -> Column:
+    """The highest level on which a range can have a node."""
+    leaves = _leaf(end - 1, leaf_ms) + 1 - _leaf(start, leaf_ms)
+    return F.least(F.floor(F.log2(leaves.cast("double"))).cast("int") + 1, F.lit(TOP))
 
 
-def speaker_overlaps(turns: DataFrame, keys: Sequence[str], *, bin_ms: int = 60_000) -> DataFrame:
+def range_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], condition: Column | None = None, *, leaf_ms: int = 4096, part_rows: int = 1 << 17
+) -> DataFrame:
+    """Overlap join on a tree over time, as an equi-join on (keys, node).
+
+    ``left`` has ``l_start, l_end`` and ``right`` has ``r_start, r_end`` besides the keys. Of two ranges that overlap one holds the start of the
+    other. A range stands at the nodes that make it up (``tree_nodes``), a start at the nodes above it, one on each level that occurs; a range
+    and a start within it share exactly one node, so no pair comes twice and a long range makes a few rows, not one for every minute. A node of more
+    than ``part_rows`` ranges or starts is dealt in pairs of parts.
+    """
+    keys = list(keys)
+    sides = {"l": left.where("l_start < l_end"), "r": right.where("r_start < r_end")}
+    seen = {n: df.agg(F.count("*").alias("n"), F.max(_deepest(F.col(f"{n}_start"), F.col(f"{n}_end"), leaf_ms)).alias("deep")).first() for n, df in sides.items()}
+    # A node holds a range or a start once at most, so tables of up to part_rows rows have no crowded node.
+    many = max(r["n"] for r in seen.values()) > part_rows
+    out = None
+    for owner, other, least in (("l", "r", "<="), ("r", "l", "<")):
+        ranges = tree_nodes(sides[owner], f"{owner}_start", f"{owner}_end", leaf_ms)
+        above = sides[other].withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(seen[owner]["deep"] or 0))))
+        starts = above.withColumn("number", F.call_function("shiftright", _leaf(F.col(f"{other}_start"), leaf_ms), F.col("level")))
+        joined = (_node_join(ranges, starts, keys, part_rows) if many else ranges.join(starts, [*keys, *NODE])).where(f"{owner}_start {least} {other}_start AND {other}_start < {owner}_end")
+        pairs = joined.select(*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
+        out = pairs if out is None else out.unionAll(pairs)
+    return out if condition is None else out.where(condition)
+
+
+def _node_join(ranges: DataFrame, starts: DataFrame, keys: list[str], part_rows: int) -> DataFrame:
+    """Join on keys and node. Where a node is crowded each part of its ranges meets each part of its starts."""
+    on = [*keys, *NODE]
+    counts = [df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > part_rows) for df in (ranges, starts)]
+    crowded = counts[0].select(*on, F.ceil(F.col("n") / part_rows).alias("__a"), F.lit(1).alias("__b")).unionAll(
+        counts[1].select(*on, F.lit(1).alias("__a"), F.ceil(F.col("n") / part_rows).alias("__b")))
+    crowded = staged(crowded.groupBy(*on).agg(F.max("__a").cast("int").alias("__a"), F.max("__b").cast("int").alias("__b")), "crowded-nodes")
+    if crowded.isEmpty():
+        return ranges.join(starts, on)
+    # At most one node in part_rows rows.
+    crowded = F.broadcast(crowded)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        parted = null_safe_join(df, crowded, on, "left").withColumns({"__a": F.coalesce("__a", F.lit(1)), "__b": F.coalesce("__b", F.lit(1))})
+        parted = parted.withColumn(own, F.pmod(F.xxhash64(*[c for c in df.columns if c not in on]), F.col(own)).cast("int"))
+        return parted.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    return dealt(ranges, "__a", "__b").join(dealt(starts, "__b", "__a"), [*on, "__a", "__b"]).drop("__a", "__b")
+
+
+def speaker_overlaps(turns: DataFrame, keys: Sequence[str], *, leaf_ms: int = 4096, part_rows: int = 1 << 17) -> DataFrame:
     """Pairs of turns of different speakers that share time, with the shared range."""
+    # Ranges and starts of either side are read from it, so it is written once, narrow.
+    turns = staged(turns.select(*keys, "turn_id", "start_ms", "end_ms", "speaker_id"), "turns")
+
     def side(prefix_: str) -> DataFrame:
         return turns.select(
             *keys,
@@ -229,9 +284,7 @@ def speaker_overlaps(turns: DataFrame, keys: Sequence[str], *, bin_ms: int = 60_
         )
 
     pairs = range_join(
-        side("l"), side("r"), keys, bin_ms,
-        (F.col("l_id") < F.col("r_id")) & (F.col("l_speaker") != F.col("r_speaker")),
-    )
+        side("l"), side("r"), keys, (F.col("l_id") < F.col("r_id")) & (F.col("l_speaker") != F.col("r_speaker")), leaf_ms=leaf_ms, part_rows=part_rows)
     return pairs.select(
         *keys, "l_id", "r_id", "l_speaker", "r_speaker",
         F.greatest("l_start", "r_start").alias("start_ms"),

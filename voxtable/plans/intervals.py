@@ -96,7 +96,7 @@ SELECT a.episode_id, a.turn_id AS l_id, b.turn_id AS r_id, a.speaker_id AS l_spe
 FROM turn a JOIN turn b ON a.episode_id=b.episode_id AND a.turn_id < b.turn_id AND a.speaker_id <> b.speaker_id
   AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms""")
 def speaker_overlap_pairs(spark, sf):
-    return iv.speaker_overlaps(view(spark, sf, "turn"), EP, bin_ms=900_000)
+    return iv.speaker_overlaps(view(spark, sf, "turn"), EP, leaf_ms=900_000)
 
 
 @query("protected_collisions", """
