@@ -7,7 +7,8 @@ content of embedded media, and all but the chosen option of a drop-down. All oth
 of their own, blank lines around paragraphs, headings, lists, tables and quotes, list marks and numbers with indentation, preformatted
 text as it stands, and table cells in columns padded to equal width (a column wider than ``WIDE`` is not padded).
 
-Null and empty pages give an empty text. Elements nested deeper than ``DEEP`` are read as part of their ancestor; no text is lost.
+Null and empty pages give an empty text. Elements nested deeper than ``DEEP`` are read as part of their ancestor; no visible text is lost, hidden text stays hidden, and
+``visibility`` is then not switched on again inside of a hidden one. Columns wider than ``WIDE`` are not filled up to their width.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ IMPLIED = {
 }
 WALLS = frozenset("table td th caption template html".split())
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A quote opens a value only right after the equals sign; elsewhere it is a character like any other. What is read is not read again.
+_VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)"
+_TAG = re.compile(rf"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?>{_VALUE}|[^>])*+)>)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
@@ -68,11 +71,11 @@ def parse(html: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", {})
     stack = [root]
-    extra: list[str] = []  # names of open elements that are too deep for the tree
+    extra: list[tuple[str, bool]] = []  # open elements that are too deep for the tree, and whether they hide what they hold
     at, size = 0, len(html)
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not any(hides for _, hides in extra):
             stack[-1].children.append(unescape(piece))
 
     def close(names: tuple[str, ...] | frozenset, walls: tuple[str, ...] | frozenset) -> None:
@@ -94,8 +97,9 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if tag[1]:
-            if extra and name in extra:
-                del extra[len(extra) - 1 - extra[::-1].index(name) :]
+            deep = [i for i, (n, _) in enumerate(extra) if n == name]
+            if deep:
+                del extra[deep[-1] :]
             else:
                 close((name,), WALLS - {name} if name not in ("table", "body", "html") else ())
             continue
@@ -119,9 +123,10 @@ def parse(html: str) -> Node:
             if name not in VOID:
                 stack.append(node)
         elif name in VOID:
-            stack[-1].children.append(node)
+            if not any(hides for _, hides in extra):
+                stack[-1].children.append(node)
         else:
-            extra.append(name)
+            extra.append((name, _hidden(node) or not _seen(node, True)))
     return root
 
 
