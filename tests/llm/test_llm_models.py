@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxtable.llm import language, quality, rows
 
@@ -87,3 +88,11 @@ def test_language_families_and_pairs(spark):
     assert names == [*texts, "und"] and score[-1] == 0
     alone = [model.predict([t])[0][0] for t in texts.values()]
     assert alone == names[:-1]
+
+
+def test_a_share_may_be_tiny(spark):
+    """A share below a millionth still draws rows, and all rows are drawn by a share of one."""
+    df = spark.range(20_000_000)
+    n = df.where(rows.drawn(4e-7, F.col("id"))).count()
+    assert 1 <= n <= 25 and spark.range(1000).where(rows.drawn(1.0, F.col("id"))).count() == 1000
+    assert abs(df.where(rows.drawn(0.01, F.col("id"))).count() - 200_000) < 3000

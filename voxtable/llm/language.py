@@ -163,9 +163,8 @@ def fit_language(docs: DataFrame, *, per_language: int = 400, max_bytes: int = 3
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    shares = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, int(1_000_000 * min(1.0, 1.3 * per_language / n)))])
-    drawn = known.where(place < F.element_at(shares, F.col("lang"))).select("doc_id", "text", "lang")
+    shares = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, 1.3 * per_language / n))])
+    drawn = known.where(rows.drawn(F.element_at(shares, F.col("lang")), F.col("doc_id"), F.lit(11))).select("doc_id", "text", "lang")
     ranked = sorted(drawn.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     taken: dict[str, int] = {}
     texts, labels = [], []

@@ -154,8 +154,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality
     known = known.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("__label"))
     total = known.count()
     share = min(1.0, 1.2 * max_rows / max(total, 1))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    known = known.where(place < F.lit(int(share * 1_000_000)))
+    known = known.where(rows.drawn(share, F.col("doc_id")))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).where(F.octet_length("__text") <= max_bytes)
     found = text.join(known, "doc_id").select("doc_id", "__text", "__label")
     picked = found.orderBy(F.xxhash64("doc_id"), "doc_id", "__text").limit(max_rows).collect()

@@ -40,6 +40,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def drawn(share: Column | float, *parts: Column) -> Column:
+    """True for about this share of all rows, by a hash of ``parts``; the share may be as small as a double can tell."""
+    coarse = F.pmod(F.xxhash64(*parts), F.lit(1_000_000))
+    fine = F.shiftrightunsigned(F.xxhash64(*parts, F.lit(0xF1FE)), 11) / F.lit(float(1 << 53))
+    return coarse + fine < F.lit(1_000_000.0) * share
+
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
