@@ -96,3 +96,55 @@ def test_a_share_may_be_tiny(spark):
     n = df.where(rows.drawn(4e-7, F.col("id"))).count()
     assert 1 <= n <= 25 and spark.range(1000).where(rows.drawn(1.0, F.col("id"))).count() == 1000
     assert abs(df.where(rows.drawn(0.01, F.col("id"))).count() - 200_000) < 3000
+
+
+def test_scores_equal_nested_loops():
+    """A plain forward pass: every filter at every place, chunks of two strides, the mean and the maximum over chunks."""
+    net = quality.ByteConvNet(seed=3)
+    rng = np.random.default_rng(5)
+    net.weights["out"], net.weights["bias"], net.weights["base"] = rng.normal(0, 1, 2 * quality.FILTERS), rng.normal(0, 0.1, quality.FILTERS), np.array([0.2])
+    texts = [b"", b"x", b"short text", bytes(rng.integers(32, 127, quality.STRIDE - 1, dtype=np.uint8)), bytes(rng.integers(0, 256, 3 * quality.STRIDE + 7, dtype=np.uint8))]
+    w, got = net.weights, net.scores(texts)
+    for text, score in zip(texts, got):
+        n = -(-(len(text) + quality.WIDTH) // quality.STRIDE)
+        data, peaks = text.ljust((n + 1) * quality.STRIDE, b"\0"), []
+        for s in range(n):
+            best = [-1e9] * quality.FILTERS
+            for at in range(s * quality.STRIDE, (s + 1) * quality.STRIDE, quality.STEP):
+                if at >= n * quality.STRIDE - quality.WIDTH:
+                    continue  # would reach behind the text's own padding
+                for f in range(quality.FILTERS):
+                    best[f] = max(best[f], sum(float(w["code"][data[at + k]] @ w["filter"][k][:, f]) for k in range(quality.WIDTH)))
+            peaks.append(best)
+        chunks = [[max(0.0, max(peaks[c][f], peaks[min(c + 1, n - 1)][f]) + w["bias"][f]) for f in range(quality.FILTERS)] for c in range(n)]
+        x = [sum(c[f] for c in chunks) / n for f in range(quality.FILTERS)] + [max(c[f] for c in chunks) for f in range(quality.FILTERS)]
+        assert abs(score - 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, w["out"])) + w["base"][0])))) < 1e-4
+
+
+def test_language_equals_a_plain_count_of_wins(spark):
+    docs = rows.table(spark, SF, "documents")
+    model = language.fit_language(docs)
+    texts = [r["text"] for r in docs.where("text IS NOT NULL").limit(80).collect()] + ["", "1234", "a", "der die das", "é"]
+    names, scores = model.predict(texts)
+
+    def winner(machines, runs, count):
+        wins, total, least = ({n: 0.0 for n in machines.names} for _ in range(3))
+        least = {n: 1.0 for n in machines.names}
+        for k, (a, b) in enumerate(machines.pairs):
+            margin = sum(float(machines.weights[r, k]) for row in runs for r in row) / count + machines.bias[k]
+            sure = 1 / (1 + np.exp(-4 * margin))
+            for n, gain, p in ((machines.names[a], margin, sure), (machines.names[b], -margin, 1 - sure)):
+                wins[n], total[n], least[n] = wins[n] + (gain > 0), total[n] + gain, min(least[n], p)
+        best = max(machines.names, key=lambda n: (wins[n], total[n], -machines.names.index(n)))
+        return best, least[best]
+
+    for text, name, score in zip(texts, names, scores):
+        runs, _, letters = language.features([text])
+        if not letters[0]:
+            assert (name, score) == ("und", 0)
+            continue
+        count = max(1, int((runs < 1 << language.BITS).sum()))
+        family, sure = winner(model.families, runs, count)
+        inner = model.within[family]
+        want, certain = (inner.names[0], 1.0) if len(inner.names) == 1 else winner(inner, runs, count)
+        assert name == want and abs(score - sure * certain) < 1e-4
