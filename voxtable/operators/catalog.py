@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +14,7 @@ from voxtable.operators.reports import hash_tree
 from voxtable.operators.scan import BLOCK_ROWS, Machine, following, global_rank, keyed_fold, machine_scan, null_safe_join, prefix, previous
 from voxtable.schemas import ROI
 from voxtable.session import staged
+from voxtable.sources.versions import Tables
 
 # Issues that keep an episode in review, and issues a saved review resolves.
 REVIEW_CODES = ("DURATION_REWRITE_REQUIRED", "ALIGNMENT_REVIEW_REQUIRED", "TRANSCRIPT_REVIEW_REQUIRED", "MISSING_TTS_CLIP")
@@ -316,6 +317,28 @@ def without_deleted(table: DataFrame, deleted: DataFrame, keys: Sequence[str]) -
     return table.join(deleted.select(*keys), list(keys), "left_anti")
 
 
+def delete_series(tables: Tables, wanted: DataFrame) -> tuple[int, DataFrame]:
+    """Delete the wanted series (``series_id``) and all that hangs on them, in one commit: (new version, series that stay as they are busy).
+
+    ``series`` and ``episode`` are tables of the log; every other table with an ``episode_id`` loses the rows of deleted episodes.
+    Either all tables show the deletion or none.
+    """
+    base = tables.version()
+    read = {name: tables.read(name, base) for name in tables.names(base)}
+    asked = read["series"].join(wanted.select("series_id").distinct(), "series_id", "left_semi")
+    gone = staged(deletable(asked, read["episode"], "series_id").select("series_id"), "deleted-series")
+    episodes = staged(read["episode"].join(gone, "series_id", "left_semi").select("episode_id"), "deleted-episodes")
+    kept = {"series": without_deleted(read["series"], gone, ["series_id"])}
+    kept |= {name: without_deleted(df, episodes, ["episode_id"]) for name, df in read.items() if "episode_id" in df.columns}
+    return tables.commit(kept, base), asked.join(gone, "series_id", "left_anti")
+
+
+def change_tables(tables: Tables, changes: dict[str, Callable[[DataFrame], DataFrame]]) -> int:
+    """Change several tables in one commit, each by a function of its present rows (``resolve_issues``, new segments)."""
+    base = tables.version()
+    return tables.commit({name: change(tables.read(name, base)) for name, change in changes.items()}, base)
+
+
 def replace_partitions(df: DataFrame, path: str, key: str = "episode_id") -> None:
     """Overwrite only the partitions present in ``df``.
 

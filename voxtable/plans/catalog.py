@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from voxtable.functions.states import moves_sql
@@ -11,6 +13,7 @@ from voxtable.operators import scan
 from voxtable.plans.registry import query
 from voxtable.plans.views import table, view
 from voxtable.session import fresh_path, staged
+from voxtable.sources.versions import Tables
 
 EP = ["episode_id"]
 QUEUE = "q AS (SELECT e.episode_id, s.priority, s.created_at AS sc, s.series_id, e.ordinal FROM episode e JOIN series s USING (series_id) WHERE e.status='QUEUED' AND e.queue_requested)"
@@ -254,6 +257,25 @@ def cascade_delete(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("series_deleted_in_one_commit", """WITH del AS (SELECT series_id FROM series s WHERE priority=3 AND NOT EXISTS (SELECT 1 FROM episode e WHERE e.series_id=s.series_id AND e.status IN ('V1_RUNNING','PREPARING','ASR'))),
+ de AS (SELECT episode_id FROM episode WHERE series_id IN (SELECT series_id FROM del)), iss AS (SELECT *, resolved OR (code = 'ROI_REQUIRED' AND episode_id IN (SELECT episode_id FROM episode)) AS r2 FROM issue WHERE episode_id NOT IN (SELECT episode_id FROM de))
+SELECT CAST(0 AS BIGINT) AS version, 'series' AS table_name, count(*) AS n FROM series UNION ALL SELECT 0, 'episode', count(*) FROM episode UNION ALL SELECT 0, 'issue', count(*) FROM issue WHERE NOT resolved UNION ALL SELECT 0, 'artifact', count(*) FROM artifact
+UNION ALL SELECT 2, 'series', count(*) FROM series WHERE series_id NOT IN (SELECT series_id FROM del) UNION ALL SELECT 2, 'episode', count(*) FROM episode WHERE episode_id NOT IN (SELECT episode_id FROM de)
+UNION ALL SELECT 2, 'issue', count(*) FROM iss WHERE NOT r2 UNION ALL SELECT 2, 'artifact', count(*) FROM artifact WHERE episode_id NOT IN (SELECT episode_id FROM de)""")
+def series_deleted_in_one_commit(spark, sf):
+    """Three commits: the tables, a cascade over all four of them, resolved issues; rows (open issues) before and after."""
+    tables = Tables(spark, fresh_path(spark, "tables"))
+    tables.commit({n: view(spark, sf, n) for n in ("series", "episode", "issue", "artifact")}, -1)
+    ct.delete_series(tables, tables.read("series").where("priority = 3"))
+    ct.change_tables(tables, {"issue": lambda issues: ct.resolve_issues(issues, tables.read("episode", 0), ["ROI_REQUIRED"])})
+    parts = []
+    for version in (0, tables.version()):
+        for name in tables.names(version):
+            df = tables.read(name, version)
+            parts.append((df.where("NOT resolved") if name == "issue" else df).agg(F.lit(version).cast("long").alias("version"), F.lit(name).alias("table_name"), F.count("*").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("manifest_set_mismatch", """WITH a AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents), b AS (SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id%21=4 THEN text || '!' ELSE text END) AS sha256 FROM documents WHERE doc_id%33<>5)
 (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))""")
 def manifest_set_mismatch(spark, sf):
