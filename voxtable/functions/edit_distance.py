@@ -8,10 +8,12 @@ of at most the band's half width is exact. Otherwise the band is doubled. Time g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 FIRST_BAND = 64
 
@@ -69,12 +71,14 @@ def edit_distance(a: str, b: str) -> int:
         half *= 2
 
 
-def long_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of texts of any length; null where one of them is null."""
+def with_edit_distance(df: DataFrame, a: str, b: str, name: str = "edits") -> DataFrame:
+    """Add the Levenshtein distance of two texts of any length; null where one of them is null."""
+    kept = df.columns
 
-    def work(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
-        return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in pairs], pa.int64())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())
+            found = pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, name])
 
-    # Called nondeterministic so that the optimizer does not copy the call.
-    return F.arrow_udf(work, "bigint").asNondeterministic()(a, b)
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))

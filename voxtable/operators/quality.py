@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from voxtable.functions import fitting as ft
 from voxtable.functions import text as tx
-from voxtable.functions.edit_distance import long_edit_distance
+from voxtable.functions.edit_distance import with_edit_distance
 from voxtable.operators.scan import prefix
 from voxtable.session import spread, staged
 
@@ -34,7 +34,7 @@ def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str
 def transcript_error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``error_rates`` for whole transcripts of any length: the same columns and ``edits``, without a quadratic table."""
     out = spread(pairs).withColumn("__r", tx.normalize_chinese(F.col(reference))).withColumn("__h", tx.normalize_chinese(F.col(hypothesis)))
-    out = out.withColumn("edits", long_edit_distance(F.col("__r"), F.col("__h"))).withColumn("ref_chars", F.char_length("__r").cast("long"))
+    out = with_edit_distance(out, "__r", "__h").withColumn("ref_chars", F.char_length("__r").cast("long"))
     return out.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("edits") / F.col("ref_chars"))).drop("__r", "__h")
 
 

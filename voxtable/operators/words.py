@@ -181,11 +181,18 @@ def _repaired(words: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), fixed, mask=pc.is_null(words))
 
 
-def repaired_words(words: Column, chunk_start: Column, chunk_end: Column) -> Column:
-    """Force aligned words to be ordered and inside the chunk, one millisecond long at least."""
+def repaired_words(df: DataFrame, words: str = "words", chunk_start: str = "start_ms", chunk_end: str = "end_ms") -> DataFrame:
+    """Force aligned words to be ordered and inside the chunk, one millisecond long at least; the words are replaced."""
     plain = F.transform(words, lambda w: F.struct(w["t"].alias("t"), w["s"].cast("long").alias("s"), w["e"].cast("long").alias("e")))
-    # Called nondeterministic so that the optimizer neither copies the call nor pushes it into a scan.
-    return F.arrow_udf(_repaired, f"array<{WORD}>").asNondeterministic()(plain, chunk_start.cast("long"), chunk_end.cast("long"))
+    bound = df.withColumns({words: plain, "__lo": F.col(chunk_start).cast("long"), "__hi": F.col(chunk_end).cast("long")})
+    kept = df.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fixed = _repaired(batch.column(words), batch.column("__lo"), batch.column("__hi"))
+            yield pa.RecordBatch.from_arrays([fixed if c == words else batch.column(c) for c in kept], names=kept)
+
+    return spread(bound).mapInArrow(work, bound.select(*kept).schema)
 
 
 # --- utterance kernel ---------------------------------------------------------------------------

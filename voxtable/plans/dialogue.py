@@ -327,7 +327,7 @@ def repaired_words(spark, sf):
     crooked = segments_with_words(spark, sf).withColumn("words", F.expr(
         "transform(words, (w, i) -> named_struct('t', w.t, 's', greatest(start_ms, w.s - CAST(i*37%250 AS BIGINT)), "
         "'e', greatest(w.s - CAST(i*37%250 AS BIGINT) + 1, w.e - CAST(i*91%500 AS BIGINT))))"))
-    fixed = crooked.withColumn("words", wd.repaired_words(F.col("words"), F.col("start_ms"), F.col("end_ms")))
+    fixed = wd.repaired_words(crooked.select("episode_id", "ord", "words", "start_ms", "end_ms"))
     return fixed.select("episode_id", "ord", F.posexplode("words").alias("pos", "w")).select(
         "episode_id", "ord", F.col("pos").cast("long").alias("pos"), "w.s", "w.e")
 
