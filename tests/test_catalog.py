@@ -202,7 +202,7 @@ def test_edits_need_an_open_episode_and_unique_ids(rows):
 
 def test_export_manifest_ignores_order(rows):
     a = rows("table_name string, doc string", [("t", "é"), ("t", "b"), ("u", "c")])
-    one, two = (listed(ct.export_manifest(x), "table_name", "n", "bytes", "digest") for x in (a, a.orderBy("doc").repartition(5)))
+    one, two = (listed(ct.export_manifest(x), "table_name", "n", "bytes", "root") for x in (a, a.orderBy("doc").repartition(5)))
     assert one == two and one[0][:3] == ("t", 2, 3)
 
 
