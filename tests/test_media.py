@@ -71,6 +71,16 @@ def test_missing_dialogue_leaves_the_whole_episode(rows):
     assert (whole(out) == 1000).all()
 
 
+def test_overlapping_words_are_subtracted_once(rows):
+    blocks = blocks_of(rows, samples=1000)
+    windows = rows("episode_id bigint, left bigint, right bigint, samples array<smallint>", [(1, 0, 400, stereo(600, 400))])
+    clips = rows("episode_id bigint, left bigint, right bigint, samples array<smallint>", [])
+    words = lambda *spans: rows("episode_id bigint, s bigint, e bigint", [(1, s, e) for s, e in spans])
+    mixed = lambda w: whole(pcm.subtract_mix(blocks, w, clips, windows, ["episode_id"], rate=RATE)).tolist()
+    assert mixed(words((200, 700), (500, 1100), (600, 650))) == mixed(words((200, 1100)))
+    assert min(mixed(words((200, 700), (500, 1100)))) >= 400
+
+
 def test_passthrough(rows):
     blocks = rows("episode_id bigint", [(1,), (2,), (3,)])
     mix, copy = pcm.passthrough(blocks, rows("episode_id bigint", [(1,), (2,)]), rows("episode_id bigint", [(1,), (3,)]), ["episode_id"])

@@ -159,10 +159,12 @@ def subtract_mix(
     ramp = rate * ramp_ms // 1000
     voices = clip_pieces(clips, keys, rate=rate, ramp=ramp).withColumnRenamed("samples", "voice")
     spans = words.select(*keys, frame_of(F.col("s"), rate).alias("a"), frame_of(F.col("e"), rate).alias("b")).where("a < b").distinct()
-    cut = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / rate).cast("long"), F.floor((F.col("b") - 1) / rate).cast("long"))))
+    # Words that overlap are one span, so dialogue is taken away once; spans that touch keep their own ramps.
+    apart = coalesce_intervals(spans, keys, "a", "b", gap_ms=0, inclusive=False).select(*keys, F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    cut = apart.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / rate).cast("long"), F.floor((F.col("b") - 1) / rate).cast("long"))))
     held = windows.select(*keys, F.col("left").cast("long").alias("start_ms"), F.least(F.col("right"), F.col("left") + F.size("samples") / 2).cast("long").alias("end_ms")).where("start_ms < end_ms")
     refused = uncovered_words(spans.withColumnsRenamed({"a": "s", "b": "e"}), held, keys).groupBy(*keys).agg(F.count("*").alias("uncovered"))
-    # Approved words never overlap, so a block holds at most one span per frame.
+    # Spans lie apart, so a block holds at most one a frame.
     masks = cut.groupBy(*keys, "block_no").agg(F.collect_list(F.struct("a", "b")).alias("mask"))
     on = [*keys, "block_no"]
     joined = blocks.join(masks, on, "left").join(voices, on, "left").join(dialogue_pieces(windows, keys, rate=rate), on, "left")
